@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_tree, exact_dedup, pfair_mix, piece_bpe, url_reputation
+from . import chat_tree, exact_dedup, license_scan, pack, pfair_mix, piece_bpe, quality_fm, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": license_scan.op1_license_scan,
+        "op3_quality_fm": quality_fm.op3_quality_fm,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_url_reputation": url_reputation.op5_url_reputation,
         "op6_chat_trees": chat_tree.op6_chat_trees,
         "op7_pfair_mix": pfair_mix.op7_pfair_mix,
+        "op8_pack_ids": pack.op8_pack_ids,
         "op10_piece_bpe": piece_bpe.op10_piece_bpe,
     }
 
