@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_tree, exact_dedup, license_scan, pack, pfair_mix, piece_bpe, quality_fm, url_reputation
+from . import chat_tree, exact_dedup, license_scan, pack, partenum, pfair_mix, piece_bpe, quality_fm, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat_trees": chat_tree.op6_chat_trees,
         "op7_pfair_mix": pfair_mix.op7_pfair_mix,
         "op8_pack_ids": pack.op8_pack_ids,
+        "op9_partenum_join": partenum.op9_partenum_join,
         "op10_piece_bpe": piece_bpe.op10_piece_bpe,
     }
 
