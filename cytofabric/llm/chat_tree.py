@@ -56,16 +56,16 @@ def root_to_leaf_paths(messages: DataFrame, keep: int | None = None) -> DataFram
     )
     state = cut(state)
     leaves = state.select("conv_id", "node", F.col("top").alias("top_"))
-    parents = leaves.where("top_ is not null").select(F.col("conv_id").alias("c"), F.col("top_").alias("p")).distinct()
-    first = state
-    while state.where("top is not null").limit(1).count():
+    first, parents = state, leaves.where("top_ is not null").select(F.col("conv_id").alias("c"), F.col("top_").alias("p")).distinct()
+    while (rising := state.where("top is not null")).limit(1).count():
         above = state.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("top").alias("up"), F.col("nodes").alias("over"), F.col("path_score").alias("s"))
-        state, old = cut(
-            state.join(above, same & (F.col("top") == F.col("n")), "left")
-            .where("n is null or not array_contains(over, node)")
-            .select("conv_id", "node", F.col("up").alias("top"), F.when(F.col("n").isNull(), F.col("nodes")).otherwise(F.concat("over", "nodes")).alias("nodes"), (F.col("path_score") + F.coalesce("s", F.lit(0.0))).alias("path_score"))
+        # a node whose path has reached its root joins no more; one that meets itself is on a cycle or below one
+        risen = (
+            rising.join(above, same & (F.col("top") == F.col("n"))).where("not array_contains(over, node)")
+            .select("conv_id", "node", F.col("up").alias("top"), F.concat("over", "nodes").alias("nodes"), (F.col("path_score") + F.col("s")).alias("path_score"))
             .where("top is null or not array_contains(nodes, top)")
-        ), state
+        )
+        state, old = cut(state.where("top is null").union(risen)), state
         if old is not first:
             release(old)
     paths = state.join(parents, same & (F.col("node") == F.col("p")), "left_anti")

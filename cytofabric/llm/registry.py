@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_tree, exact_dedup, license_scan, pack, partenum, pfair_mix, piece_bpe, quality_fm, url_reputation
+from . import chat_tree, exact_dedup, license_scan, nn_descent, pack, partenum, pfair_mix, piece_bpe, quality_fm, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
+        "op2_nn_descent": nn_descent.op2_nn_descent,
         "op3_quality_fm": quality_fm.op3_quality_fm,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_url_reputation": url_reputation.op5_url_reputation,
