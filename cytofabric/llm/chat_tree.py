@@ -40,38 +40,46 @@ def linear_tree(turns: DataFrame) -> DataFrame:
     return nodes.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
-def root_to_leaf_paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
-    """(conv_id, leaf, nodes, path_score, rank): the paths of every tree, the best-scored branch first.
+def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
+    """(conv_id, leaf, node, up): each node of each root-to-leaf path, up steps above its leaf.
 
-    messages: (conv_id, node, parent, score). In each round every node joins the path of the node above its path's
-    top, so that a path of n nodes takes about log2(n) self-joins. A parent that is null, missing or the node itself
-    makes a root. Nodes on a cycle or below one have no root, so no path. Null scores count 0; ties rank by leaf.
-    keep: how many branches of a tree stay; None: all.
+    messages: (conv_id, node, parent). A parent that is null, missing or the node itself makes a root; of rows that repeat a node
+    the smallest parent counts. Leaves on a cycle or below one have no root, so no path. An empty table has no paths.
+
+    Self-joins of the table of jumps over 2^r messages give that over 2^(r+1); then each path takes, from the longest
+    jump to the shortest, every node that one jump leads to. A path of n nodes costs n rows and about 2 log2(n) joins.
     """
-    tree = messages.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    known = tree.select(F.col("conv_id").alias("c"), F.col("node").alias("p")).distinct()
+    nodes = cut(messages.groupBy("conv_id", "node").agg(F.min("parent").alias("parent")))
+    most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    known = nodes.select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
     same = F.col("conv_id").eqNullSafe(F.col("c"))
-    state = tree.join(known, same & (F.col("parent") == F.col("p")), "left").select(
-        "conv_id", "node", F.when(F.col("p") != F.col("node"), F.col("p")).alias("top"), F.array("node").alias("nodes"), F.col("score").alias("path_score")
-    )
-    state = cut(state)
-    leaves = state.select("conv_id", "node", F.col("top").alias("top_"))
-    first, parents = state, leaves.where("top_ is not null").select(F.col("conv_id").alias("c"), F.col("top_").alias("p")).distinct()
-    while (rising := state.where("top is not null")).limit(1).count():
-        above = state.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("top").alias("up"), F.col("nodes").alias("over"), F.col("path_score").alias("s"))
-        # a node whose path has reached its root joins no more; one that meets itself is on a cycle or below one
-        risen = (
-            rising.join(above, same & (F.col("top") == F.col("n"))).where("not array_contains(over, node)")
-            .select("conv_id", "node", F.col("up").alias("top"), F.concat("over", "nodes").alias("nodes"), (F.col("path_score") + F.col("s")).alias("path_score"))
-            .where("top is null or not array_contains(nodes, top)")
-        )
-        state, old = cut(state.where("top is null").union(risen)), state
-        if old is not first:
-            release(old)
-    paths = state.join(parents, same & (F.col("node") == F.col("p")), "left_anti")
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("path_score"), "node"))
-    paths = paths.select("conv_id", F.col("node").alias("leaf"), "nodes", "path_score").withColumn("rank", rank.cast("long") if keep else F.lit(None).cast("long"))
-    return paths.where(F.col("rank") <= keep) if keep else paths
+    jumps = [cut(nodes.where("parent <> node").join(known, same & (F.col("parent") == F.col("n"))).select("conv_id", "node", F.col("parent").alias("to")))]
+    parents = jumps[0].select(F.col("conv_id").alias("c"), F.col("to").alias("n")).distinct()
+    leaves = nodes.join(parents, same & (F.col("node") == F.col("n")), "left_anti").select("conv_id", F.col("node").alias("leaf"))
+    while jumps[-1].limit(1).count():
+        on = jumps[-1].select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("to").alias("far"))
+        jumps.append(cut(jumps[-1].join(on, same & (F.col("to") == F.col("n"))).select("conv_id", "node", F.col("far").alias("to"))))
+        if 1 << (len(jumps) - 1) >= most:  # who still jumps has met itself
+            endless = jumps[-1].select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
+            leaves = leaves.join(endless, same & (F.col("leaf") == F.col("n")), "left_anti")
+            break
+    paths = cut(leaves.select("conv_id", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")))
+    for r in range(len(jumps) - 2, -1, -1):
+        on = jumps[r].select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "to")
+        over = paths.join(on, same & (F.col("node") == F.col("n"))).select("conv_id", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << r)).alias("up"))
+        paths, old = cut(paths.union(over)), paths
+        release(old)
+    return paths
+
+
+def best_branches(paths: DataFrame, messages: DataFrame, keep: int) -> DataFrame:
+    """The paths of the `keep` branches of each tree with the highest sums of scores; null counts 0, ties go by leaf."""
+    scores = messages.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    sums = paths.join(scores, same & (F.col("node") == F.col("n"))).groupBy("conv_id", "leaf").agg(F.sum("score").alias("path_score"))
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("path_score"), "leaf"))
+    best = sums.withColumn("rank", rank).where(F.col("rank") <= keep).select(F.col("conv_id").alias("c"), F.col("leaf").alias("n"))
+    return paths.join(best, same & (F.col("leaf") == F.col("n")), "left_semi")
 
 
 def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
@@ -80,7 +88,7 @@ def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
     messages: (conv_id, node, role, text); null roles and texts count as empty. Of messages that repeat conv_id and
     node each stands in the path, by role and text. Spans count code points.
     """
-    steps = paths.select("conv_id", "leaf", F.posexplode("nodes").alias("pos", "n"))
+    steps = paths.select("conv_id", "leaf", (-F.col("up")).alias("pos"), F.col("node").alias("n"))
     at = messages.select(F.col("conv_id").alias("c"), F.col("node").alias("n_"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     steps = steps.join(at, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("n") == F.col("n_")))
     steps = steps.select(

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .piece_bpe import default_model, load
 
 #: Ids of a row; ids that a task holds before it packs them (64 MB); id that fills a row up.
-LENGTH, WINDOW_IDS, FILL = 2048, 16 << 20, 0
+LENGTH, WINDOW_IDS, FILL = 2048, 16 << 20, 50256
 SCHEMA = (
     "pack_id long, n_ids int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 )
@@ -24,6 +26,22 @@ _ARROW = pa.schema([
 ])
 
 
+def default_ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@cache
+def tokenizer(path: str) -> tiktoken.Encoding:
+    """Byte-level BPE from a file of ranks, one for each Python worker; strings of special tokens are ordinary text."""
+    import public_tokenizers
+
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Capacities:
     """For each free capacity 0..length the open bins that have it; finds the smallest capacity that is large enough.
 
@@ -89,7 +107,7 @@ def pack_window(doc_ids: list, texts_ids: list[np.ndarray], length: int, fill: i
         yield first + k, int(n.sum()), [pieces[i][0] for i in items], [pieces[i][1] for i in items], np.concatenate([[0], np.cumsum(n)]), ids.tobytes(), positions.tobytes()
 
 
-def pack_documents(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, fill: int = FILL) -> DataFrame:
+def pack_documents(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, fill: int = FILL) -> DataFrame:
     """Rows of `length` ids each: pack_id, n_ids (used), doc_ids and starts (of each segment, in its document's ids),
     cu_seqlens (0, then the segments' ends), input_ids and position_ids (little-endian 32-bit; positions start anew with each segment).
 
@@ -98,10 +116,10 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     null texts have no ids, so no segment; null ids stay null in doc_ids; repeated rows are packed each. Pack ids are
     unique and ascend in a partition; which documents share a row depends on how the input is partitioned.
     """
-    path = model or default_model()
+    path = ranks or default_ranks()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, held, ids, size = load(path), [], [], 0
+        bpe, held, ids, size = tokenizer(path), [], [], 0
         next_id = TaskContext.get().partitionId() << 33
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -119,7 +137,7 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
         for batch in batches:
             for i, text in enumerate(batch.column(1)):
-                one = np.frombuffer(bpe.encode(text.as_py()), np.int32)
+                one = bpe.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype(np.int32)
                 held.append(batch.column(0)[i].as_py())
                 ids.append(one)
                 size += len(one)
