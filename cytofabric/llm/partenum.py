@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, blank_words, cut, release, slices, table
+from .common import Remembered, blank_words, cut, release, slices, table, tidy
 from .components import connected_components
 
 #: Rounds in which one member of a bucket is compared with the others, before all that is left is.
@@ -122,15 +122,11 @@ def jaccard_components(docs: DataFrame, words_each: int = 5, percent: int = 80,
     described = docs.select(F.col(id_col).cast("long").alias("id_"), _described(F.col(text_col), words_each, percent).alias("d"))
     described = cut(described.select("id_", "d.n", "d.set_key", "d.sigs"))
     members = cut(described.select("id_", "n", "set_key"))
-    classes = described.where("n > 0 and id_ is not null").groupBy("set_key").agg(F.min("id_").alias("rep"), F.any_value("n").alias("n"), F.any_value("sigs").alias("sigs"))
-    sigs = classes.select("rep", "n", F.explode("sigs").alias("sig"))
-    bucket = Window.partitionBy("sig")
-    buckets = cut(sigs.withColumn("size", F.count("*").over(bucket)).where("size > 1").select("sig", "rep", "n"))
+    buckets = _buckets(described)
     release(described)
-
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text_"))
-    wanted = buckets.select("rep").distinct()
-    sets = cut(texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", _sets(F.col("text_"), words_each).alias("set")))
+    tidy(docs.sparkSession)
+    sets = _wanted_sets(docs, buckets, words_each, id_col, text_col)
+    tidy(docs.sparkSession)
 
     links, labels, leftover = None, None, buckets
     for turn in range(LEADER_ROUNDS + 1):
@@ -149,6 +145,7 @@ def jaccard_components(docs: DataFrame, words_each: int = 5, percent: int = 80,
             break
         links = found if links is None else links.union(found)
         labels = connected_components(links, "a", "b")
+        tidy(docs.sparkSession)
     classes = members.where("n > 0").groupBy("set_key").agg(F.min("id_").alias("rep"))
     classes = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     return members.join(cut(classes), "set_key", "left").select(
@@ -156,6 +153,21 @@ def jaccard_components(docs: DataFrame, words_each: int = 5, percent: int = 80,
     )
 
 
+def _buckets(described: DataFrame) -> DataFrame:
+    """(sig, rep, n): signatures that several classes have, with these; one shuffle by class and one by signature."""
+    classes = described.where("n > 0 and id_ is not null").groupBy("set_key").agg(F.min("id_").alias("rep"), F.any_value("n").alias("n"), F.any_value("sigs").alias("sigs"))
+    sigs = classes.select("rep", F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig"))
+    sized = sigs.withColumn("size", F.count("*").over(Window.partitionBy("sig")))
+    return cut(sized.where("size > 1").select("sig", "rep", "n"))
+
+
+def _wanted_sets(docs: DataFrame, buckets: DataFrame, words_each: int, id_col: str, text_col: str) -> DataFrame:
+    """(rep, set) of the classes that stand in any bucket."""
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text_"))
+    texts = texts.join(buckets.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    return cut(texts.select("rep", _sets(F.col("text_"), words_each).alias("set")))
+
+
 def _with_leader(buckets: DataFrame, turn: int) -> DataFrame:
     """(a, b, n_a, n_b): one member of each bucket, another one each turn, with each member of another component."""
     rank = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
