@@ -15,6 +15,8 @@ from .components import connected_components
 
 #: Rounds in which one member of a bucket is compared with the others, before all that is left is.
 LEADER_ROUNDS = 3
+#: Halves beyond the k + 1 needed, as a share of k: how many weak ones a set may leave out. Bins of a sketch.
+SLACK, SKETCH_BINS = 0.3, 256
 _C1, _C2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,9 +56,10 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of which two sets with 100 |A & B| >= percent |A | B| have one in common at least.
 
     A set takes part in the instance of its band, and in the one below as the larger of two. There two such sets
-    differ in at most k shingles. The domain falls into n1 parts, with at most one difference in some part, and each of those
-    into two; of the two, subsets of one are enumerated: at least m - k of the m = 2 n1 halves agree. A half's signature hashes all
-    shingles that the set has in it. Halves without any say little; only sets in which m - k of them are empty need those.
+    differ in at most k shingles. The domain falls into n1 parts, each of two halves, and of these subsets of one are enumerated:
+    a half's signature hashes all shingles that the set has in it. At least m - k of the m = 2 n1 halves agree, so a set may leave out
+    m - k - 1 of them. It leaves out all halves with fewer than c shingles, for the largest c that this allows: of two sets the one with the
+    larger c has an agreeing half of c shingles or more, which the other keeps too. Halves of one common shingle rarely count then.
     """
     n, out = len(shingles), []
     if not n:
@@ -67,34 +70,39 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
         if i < 0:
             continue
         k = (starts[i + 1] - 1) * (100 - percent) // percent
-        m = 1 if k == 0 else 2 * (-(-(k + 1) // 2) + 1)
+        m = 1 if k == 0 else 2 * -(-(k + 1 + int(SLACK * k) + 1) // 2)
         salt = _mix(np.array([i + 1], np.uint64))[0] | np.uint64(1)
-        part = ((shingles * salt) >> np.uint64(33)) % np.uint64(m)
+        part = (((shingles * salt) >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
+        sizes = np.bincount(part, minlength=m)
+        c = int(np.partition(sizes, m - k - 1)[m - k - 1])  # at most m - k - 1 halves have fewer
         order = np.argsort(part, kind="stable")
-        part = part[order]
-        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        sums, parts = np.add.reduceat(_mix(shingles[order] ^ salt), at), part[at]
-        if m - len(parts) >= m - k:
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), parts)
-            sums, parts = np.concatenate([sums, np.zeros(len(empty), np.uint64)]), np.concatenate([parts, empty])
-        out.append(_mix(sums * _P + parts * _C1 + salt))
+        ends = np.cumsum(sizes)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(shingles[order] ^ salt))])
+        kept = np.flatnonzero(sizes >= c)
+        own = sums[ends[kept]] - sums[ends[kept] - sizes[kept]]
+        out.append(_mix(own * _P + kept.astype(np.uint64) * _C1 + salt))
     return np.concatenate(out)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall to each of SKETCH_BINS: the sum of two sketches' minima is at least the size of the intersection."""
+    return np.bincount((shingles >> np.uint64(7)).astype(np.int64) % SKETCH_BINS, minlength=SKETCH_BINS).astype(np.uint32).tobytes()
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     at = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
 def _described(text: Column, words_each: int, percent: int) -> Column:
-    @F.arrow_udf("struct<n:bigint,set_key:binary,sigs:array<bigint>>")
+    @F.arrow_udf("struct<n:bigint,set_key:binary,sigs:array<bigint>,sketch:binary>")
     def describe(texts: pa.Array) -> pa.Array:
         parts = []
         for part in slices(texts):
             sets = [shingle_set(t, words_each) for t in part.to_pylist()]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            parts.append(pa.StructArray.from_arrays([pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), _lists([signatures(s, percent) for s in sets])], names=["n", "set_key", "sigs"]))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n", pa.int64()), ("set_key", pa.binary()), ("sigs", pa.list_(pa.int64()))]))
+            parts.append(pa.StructArray.from_arrays([pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), _lists([signatures(s, percent) for s in sets]), pa.array(map(sketch, sets), pa.binary())], names=["n", "set_key", "sigs", "sketch"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n", pa.int64()), ("set_key", pa.binary()), ("sigs", pa.list_(pa.int64())), ("sketch", pa.binary())]))
 
     return describe(text)
 
@@ -119,33 +127,32 @@ def jaccard_components(docs: DataFrame, words_each: int = 5, percent: int = 80,
     size. Buckets that still hold several components get further leaders, and at last every pair of different components.
     Each pair's similarity is counted from the whole sets; none is left out. Links stay in Spark throughout.
     """
+    spark = docs.sparkSession
     described = docs.select(F.col(id_col).cast("long").alias("id_"), _described(F.col(text_col), words_each, percent).alias("d"))
-    described = cut(described.select("id_", "d.n", "d.set_key", "d.sigs"))
+    described = cut(described.select("id_", "d.n", "d.set_key", "d.sigs", "d.sketch"))
     members = cut(described.select("id_", "n", "set_key"))
     buckets = _buckets(described)
+    sketches = cut(described.select(F.col("id_").alias("rep"), "sketch").join(buckets.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]))
     release(described)
-    tidy(docs.sparkSession)
-    sets = _wanted_sets(docs, buckets, words_each, id_col, text_col)
-    tidy(docs.sparkSession)
+    tidy(spark)
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text_"))
+    compare = _Comparison(texts, sketches, words_each, percent)
 
     links, labels, leftover = None, None, buckets
     for turn in range(LEADER_ROUNDS + 1):
         if turn:
-            leftover = _unsettled(buckets, labels)
+            leftover = cut(_unsettled(buckets, labels))
             if not leftover.limit(1).count():
                 break
-            leftover = cut(leftover)
-        pairs = _with_leader(leftover, turn) if turn < LEADER_ROUNDS else _between_components(leftover)
-        found = _similar(pairs, sets, percent)
-        if not found.limit(1).count() and links is not None:
-            if turn < LEADER_ROUNDS:
-                found = _similar(_between_components(leftover), sets, percent)
-            links = links.union(found)
-            labels = connected_components(links, "a", "b")
-            break
+        found = compare.links(_with_leader(leftover, turn) if turn < LEADER_ROUNDS else _between_components(leftover))
+        last = turn == LEADER_ROUNDS
+        if turn and not last and not found.limit(1).count():
+            found, last = compare.links(_between_components(leftover)), True
         links = found if links is None else links.union(found)
         labels = connected_components(links, "a", "b")
-        tidy(docs.sparkSession)
+        tidy(spark)
+        if last:
+            break
     classes = members.where("n > 0").groupBy("set_key").agg(F.min("id_").alias("rep"))
     classes = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     return members.join(cut(classes), "set_key", "left").select(
@@ -161,13 +168,6 @@ def _buckets(described: DataFrame) -> DataFrame:
     return cut(sized.where("size > 1").select("sig", "rep", "n"))
 
 
-def _wanted_sets(docs: DataFrame, buckets: DataFrame, words_each: int, id_col: str, text_col: str) -> DataFrame:
-    """(rep, set) of the classes that stand in any bucket."""
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text_"))
-    texts = texts.join(buckets.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
-    return cut(texts.select("rep", _sets(F.col("text_"), words_each).alias("set")))
-
-
 def _with_leader(buckets: DataFrame, turn: int) -> DataFrame:
     """(a, b, n_a, n_b): one member of each bucket, another one each turn, with each member of another component."""
     rank = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
@@ -194,13 +194,45 @@ def _between_components(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) that link."""
-    possible = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
-    one = possible.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a")
-    both = one.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y")).cast("long")
-    return cut(both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y") - common).alias("u")).where(100 * F.col("i") >= percent * F.col("u")).select("a", "b"))
+class _Comparison:
+    """Counts the similarity of pairs from their whole sets, which it makes from the texts of those that need it, once."""
+
+    def __init__(self, texts: DataFrame, sketches: DataFrame, words_each: int, percent: int):
+        self.texts, self.sketches, self.words_each, self.percent = texts, sketches, words_each, percent
+        self.sets: DataFrame | None = None
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (a, b) that link. Pairs whose sizes or sketches leave no room for it go before any set moves."""
+        p = self.percent
+        pairs = pairs.where(100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")).distinct()
+        pairs = pairs.join(self.sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(self.sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
+        pairs = pairs.withColumn("most", _most_common(F.col("x"), F.col("y")))
+        pairs = cut(pairs.where(100 * F.col("most") >= p * (F.col("n_a") + F.col("n_b") - F.col("most"))).select("a", "b"))
+        wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+        wanted = cut(wanted.join(self.sets.select("rep"), "rep", "left_anti") if self.sets else wanted)
+        if wanted.limit(1).count():
+            texts = self.texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
+            more = cut(texts.select("rep", _sets(F.col("text_"), self.words_each).alias("set")))
+            tidy(pairs.sparkSession)
+            self.sets = self.sets.union(more) if self.sets else more
+        if self.sets is None:
+            return pairs
+        both = pairs.join(self.sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(self.sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y")).cast("long")
+        both = both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y") - common).alias("u"))
+        return cut(both.where(100 * F.col("i") >= p * F.col("u")).select("a", "b"))
+
+
+def _most_common(x: Column, y: Column) -> Column:
+    @F.arrow_udf("bigint")
+    def most(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(a), 2000):
+            u, v = (np.frombuffer(b"".join(s.slice(at, 2000).to_pylist()), np.uint32).reshape(-1, SKETCH_BINS) for s in (a, b))
+            out.append(np.minimum(u, v).sum(1, dtype=np.int64))
+        return pa.array(np.concatenate(out) if out else [], pa.int64())
+
+    return most(x, y)
 
 
 def keep_one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
