@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def marker_list(text: Column) -> Column:
     """Markers between semicolons: blanks dropped, each once."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ";"), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: F.trim(p))
     return F.array_distinct(F.filter(parts, lambda p: p != ""))
 
 
