@@ -123,7 +123,7 @@ def jaccard_components(docs: DataFrame, words_each: int = 5, percent: int = 80,
     ones too, have no shingles and no links. Rows with equal sets are one class, whose smallest id stands for it: copies are never
     paired. Rows with a null id belong to their class's component, which is null if no other row has an id.
 
-    In a bucket of one signature a leader is compared with the others, so a group of near copies costs rows in proportion to its
+    Each member of a bucket of one signature is compared with a leader, so a group of near copies costs rows in proportion to its
     size. Buckets that still hold several components get further leaders, and at last every pair of different components.
     Each pair's similarity is counted from the whole sets; none is left out. Links stay in Spark throughout.
     """
@@ -141,10 +141,10 @@ def jaccard_components(docs: DataFrame, words_each: int = 5, percent: int = 80,
     links, labels, leftover = None, None, buckets
     for turn in range(LEADER_ROUNDS + 1):
         if turn:
-            leftover = cut(_unsettled(buckets, labels))
+            leftover = cut(_unsettled(leftover.select("sig", "rep", "n"), labels))  # settled once, settled for good
             if not leftover.limit(1).count():
                 break
-        found = compare.links(_with_leader(leftover, turn) if turn < LEADER_ROUNDS else _between_components(leftover))
+        found = compare.links(_with_leader(leftover, turn, percent) if turn < LEADER_ROUNDS else _between_components(leftover))
         last = turn == LEADER_ROUNDS
         if turn and not last and not found.limit(1).count():
             found, last = compare.links(_between_components(leftover)), True
@@ -168,14 +168,21 @@ def _buckets(described: DataFrame) -> DataFrame:
     return cut(sized.where("size > 1").select("sig", "rep", "n"))
 
 
-def _with_leader(buckets: DataFrame, turn: int) -> DataFrame:
-    """(a, b, n_a, n_b): one member of each bucket, another one each turn, with each member of another component."""
+def _with_leader(buckets: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b): each member with one of the leaders of its buckets, of another component: the one that most of them have.
+
+    A bucket's leader is one of its members, another one each turn. Near copies share most buckets, so that one leader is
+    as a rule their group's; pairs are never more than members.
+    """
     rank = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
     first = F.min(F.struct(rank.alias("k"), F.col("rep"), F.col("n"), *([F.col("component")] if turn else []))).over(Window.partitionBy("sig"))
     pairs = buckets.withColumn("l", first).where("rep <> l.rep")
     if turn:
         pairs = pairs.where("component <> l.component")
-    return pairs.select(F.col("l.rep").alias("a"), F.col("rep").alias("b"), F.col("l.n").alias("n_a"), F.col("n").alias("n_b"))
+    pairs = pairs.select("rep", "n", F.col("l.rep").alias("leader"), F.col("l.n").alias("n_l")).where(100 * F.least("n", "n_l") >= percent * F.greatest("n", "n_l"))
+    shared = pairs.groupBy("rep", "n", "leader", "n_l").agg(F.count("*").alias("shared"))
+    best = shared.groupBy("rep", "n").agg(F.max_by(F.struct("leader", "n_l"), F.struct("shared", -F.col("leader"))).alias("l"))
+    return best.select(F.col("l.leader").alias("a"), F.col("rep").alias("b"), F.col("l.n_l").alias("n_a"), F.col("n").alias("n_b"))
 
 
 def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:

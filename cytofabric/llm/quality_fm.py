@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = labels.where("quality is not null").select(F.col(id_col).cast("long").alias("id_"), F.col("quality").cast("double").alias("y")).where(~held_out(F.col("id_")))
     chosen = chosen.orderBy(F.xxhash64("id_"), "id_", "y").limit(most_rows)
     chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # most_rows ids and labels
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("id_")).select("y", "id_", F.col(text_col).alias("text_"), _metadata(docs).alias("chars_"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"), _metadata(docs).alias("chars_")).join(F.broadcast(chosen), "id_")
 
     @F.arrow_udf("struct<ids:array<int>,x:array<float>>")
     def sparse(texts: pa.Array, chars: pa.Array) -> pa.Array:
