@@ -127,7 +127,7 @@ def overlap_grid(cells: DataFrame, signatures: Mapping[str, Signature]) -> DataF
     both += [(a, b, tuple(x | y for x, y in zip(signatures[a], signatures[b], strict=True))) for a, b in combinations(signatures, 2)]
     sums = [F.sum(F.when(matches(F.col("mask"), *s), 1).otherwise(0)).alias(f"s{i}") for i, (_, _, s) in enumerate(both)]
     one = cells.agg(F.count("*").alias("total"), *sums)
-    rows = F.array(*(F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), (F.col(f"s{i}") / F.col("total")).alias("fraction")) for i, (a, b, _) in enumerate(both)))
+    rows = F.array(*(F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.try_divide(f"s{i}", "total").alias("fraction")) for i, (a, b, _) in enumerate(both)))
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 

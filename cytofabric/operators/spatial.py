@@ -133,8 +133,8 @@ def moran(cells: DataFrame, edges: DataFrame, value: str = "label") -> DataFrame
     x = mean.join(inner, "specimen", "left").join(s1, "specimen", "left").join(s2, "specimen", "left")
     n, s0 = F.col("n"), F.col("s0")
     i = F.when((F.col("var") > 0) & (s0 > 0), F.col("wzz") / s0 / F.col("var"))
-    expected = -1 / (n - 1)
-    var = (n * n * F.col("s1") - n * F.col("s2") + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - expected * expected
+    expected = F.try_divide(F.lit(-1.0), n - 1)
+    var = F.try_divide(n * n * F.col("s1") - n * F.col("s2") + 3 * s0 * s0, (n * n - 1) * s0 * s0) - expected * expected
     x = x.withColumn("moran", i).withColumn("z", F.when((n > 2) & (var > 0), (i - expected) / F.sqrt(var)))
     p = F.when(F.col("z") > 0, 1 - norm_cdf("z")).otherwise(norm_cdf("z"))
     cut = F.floor(p * 1e10) / 1e10
