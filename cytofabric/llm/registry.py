@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_chat_trees": chat_tree.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op5_url_reputation": url_reputation.ORACLE, "op6_chat_trees": chat_tree.ORACLE}

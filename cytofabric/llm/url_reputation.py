@@ -105,7 +105,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str
 def outcomes_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(host, bad): a page shows the document whose id is the number in its path; bad: that document's quality is 0."""
     host, path = host_and_path(F.col("url"))
-    shown = pages.select(host.alias("host"), F.regexp_extract(path, r"/([0-9]{1,18})(?![^/.]|[0-9])", 1).try_cast("long").alias("shown")).where("shown is not null")
+    shown = pages.select(host.alias("host"), F.regexp_extract(path, r"/([0-9]{1,18})(?:[/.]|$)", 1).try_cast("long").alias("shown")).where("shown is not null")
     marks = labels.where("quality is not null").select(F.col("doc_id").alias("shown"), (F.col("quality") == 0).cast("int").alias("bad"))
     return shown.join(marks, "shown").select("host", "bad")
 
@@ -113,3 +113,40 @@ def outcomes_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, outcomes_of(pages, table(spark, sf_dir, "labels")))
+
+
+def _level(name: str, rows: str, n: str, bad: str, mean: str, keys: str) -> str:
+    """SQL: the strength of a level's prior, and its groups' posterior means under it."""
+    var = f"{mean} * (1 - {mean})"
+    return f"""
+{name}_w AS (SELECT CASE WHEN over_ > 0 AND chance > 0 THEN greatest(1.0, least(1000.0, chance / over_ - 1)) ELSE 1000.0 END AS strength
+  FROM (SELECT sum(pow({bad} - {n} * {mean}, 2) - {n} * {var}) AS over_, sum({n} * ({n} - 1) * {var}) AS chance FROM {rows})),
+{name} AS (SELECT {keys}, ({bad} + strength * {mean}) / ({n} + strength) AS m_{name}, strength FROM {rows}, {name}_w)"""
+
+
+_TWO = "array_to_string(split(host, '.')[-2:], '.')"
+_LONG = f"{_TWO} IN {TWO_LABEL_SUFFIXES}"
+_RULES = " ".join(
+    f"WHEN (host = '{r.split('/')[0]}' OR host LIKE '%.{r.split('/')[0]}') AND starts_with(path, '/{r.split('/', 1)[1]}') THEN '{r}'" for r, _ in sorted(RULES, key=lambda x: -len(x[0]))
+)
+_BLOCKED = tuple(r for r, v in RULES if v == "block")
+ORACLE = f"""
+WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM rest),
+outcomes AS (SELECT host, CAST(quality = 0 AS DOUBLE) AS bad FROM parts JOIN labels ON doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[/.]|$)', 1) AS BIGINT) WHERE quality IS NOT NULL),
+hosts AS (SELECT host, CAST(coalesce(n, 0) AS DOUBLE) AS n, coalesce(bad, 0.0) AS bad, CASE WHEN {_LONG} THEN array_to_string(split(host, '.')[-3:], '.') ELSE {_TWO} END AS domain,
+  CASE WHEN {_LONG} THEN {_TWO} ELSE split(host, '.')[-1] END AS suffix
+  FROM (SELECT DISTINCT host FROM parts) LEFT JOIN (SELECT host, count(*) AS n, sum(bad) AS bad FROM outcomes GROUP BY host) USING (host)),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+s0 AS (SELECT *, (sum(bad) OVER () + 0.5) / (sum(n) OVER () + 1.0) AS m FROM suffixes),
+{_level("s", "s0", "n", "bad", "m", "suffix")},
+d0 AS (SELECT domains.*, m_s AS m FROM domains JOIN s USING (suffix)),
+{_level("d", "d0", "n", "bad", "m", "domain")},
+h0 AS (SELECT host, n, bad, m_d AS m FROM hosts JOIN d USING (domain)),
+{_level("h", "h0", "n", "bad", "m", "host, n, bad, m")},
+ab AS (SELECT host, bad + strength * m AS a, n - bad + strength * (1 - m) AS b FROM h),
+known AS (SELECT host, a / (a + b) AS mean, sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS sd FROM ab),
+ruled AS (SELECT *, CASE {_RULES} END AS rule FROM parts JOIN known USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN {_BLOCKED} THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN mean - {Z} * sd > {LIMIT} THEN 'block' ELSE 'allow' END AS verdict, round(mean, 6) AS bad_share FROM ruled
+"""
