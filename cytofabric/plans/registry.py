@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("ingest", "populations", "spatial", "clinical", "features", "gating", "api")
+_MODULES = ("ingest", "populations", "spatial", "clinical", "features", "gating", "metadata", "api")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

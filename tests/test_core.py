@@ -239,3 +239,15 @@ def test_findings(spark):
     f = spark.createDataFrame([(1, "s", "x", "pending_review", None)], "id int, study string, background string, status string, published_at timestamp")
     f = api.set_status(api.create_finding(f, spark.createDataFrame([(2, "s", "y")], "id int, study string, background string")), 1, "published")
     assert [r.id for r in api.published_findings(f, "s").collect()] == [1]
+
+
+def test_json_artifacts_and_annotations(spark, tmp_path):
+    from cytofabric.operators import metadata
+
+    (tmp_path / "f.json").write_text('{"S": ["one", "two"], "R": []}')
+    assert [tuple(r) for r in metadata.json_artifacts(spark, str(tmp_path / "f.json")).collect()] == [("S", 0, "one"), ("S", 1, "two")]
+    (tmp_path / "a.json").write_text('{"groups": {"g": {"channels": ["b", "a"], "color": "red"}}, "aliases": {"x": "a"}}')
+    both = metadata.json_annotations(spark, str(tmp_path / "a.json"))
+    assert [tuple(r) for r in api.channel_annotations(both["groups"]).collect()] == [("g", "red", ["a", "b"])]
+    assert [tuple(r) for r in both["aliases"].collect()] == [("x", "a")]
+    assert metadata.method_catalogue(spark).count() == 7
