@@ -17,6 +17,8 @@ from .components import connected_components
 LEADER_ROUNDS = 3
 #: Halves beyond the k + 1 needed, as a share of k: how many weak ones a set may leave out. Bins of a sketch.
 SLACK, SKETCH_BINS = 0.3, 256
+#: Members of a bucket that one group compares.
+BLOCK = 1024
 _C1, _C2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,10 +146,10 @@ def jaccard_components(docs: DataFrame, words_each: int = 5, percent: int = 80,
             leftover = cut(_unsettled(leftover.select("sig", "rep", "n"), labels))  # settled once, settled for good
             if not leftover.limit(1).count():
                 break
-        found = compare.links(_with_leader(leftover, turn, percent) if turn < LEADER_ROUNDS else _between_components(leftover))
+        found = compare.links(_with_leader(leftover, turn, percent) if turn < LEADER_ROUNDS else _between_components(leftover, sketches, percent))
         last = turn == LEADER_ROUNDS
         if turn and not last and not found.limit(1).count():
-            found, last = compare.links(_between_components(leftover)), True
+            found, last = compare.links(_between_components(leftover, sketches, percent)), True
         links = found if links is None else links.union(found)
         labels = connected_components(links, "a", "b")
         tidy(spark)
@@ -192,13 +194,54 @@ def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumns({"low": F.min("component").over(w), "high": F.max("component").over(w)}).where("low < high").drop("low", "high")
 
 
-def _between_components(rows: DataFrame) -> DataFrame:
-    """All pairs of different components in a bucket. Those outside its largest component seek partners, so that what pairs within that cost is not paid."""
-    sizes = rows.groupBy("sig", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("sig").agg(F.max(F.struct("size", "component"))["component"].alias("main"))
-    rest = rows.join(main, "sig").where("component <> main").select("sig", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c"))
-    pairs = rest.join(rows.select("sig", F.col("rep").alias("b"), F.col("n").alias("n_b"), "component"), "sig").where("c <> component")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
+def _between_components(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b): of all pairs of different components in a bucket those that sizes and sketches leave room for.
+
+    Members meet in blocks of at most about BLOCK: a larger bucket's members are dealt to blocks by hash, and each pair of blocks is a group
+    of its own, so no bucket is held by one task. Only pairs that may link leave a task.
+    """
+    sized = rows.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("sig")) / BLOCK).cast("int"))
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sized = sized.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "n", "component").join(sketches, "rep")
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = pa.concat_tables([held, now]).combine_chunks() if held is not None else now
+            keys = [now[c].to_numpy() for c in ("sig", "lo", "hi")]
+            new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+            yield from pairs_of(now, [*edges])
+            held = now.slice(edges[-1])
+        if held is not None and held.num_rows:
+            yield from pairs_of(held, [0, held.num_rows])
+
+    def pairs_of(rows: pa.Table, edges: list[int]):
+        rep, n, component, own, lo, hi = (rows[c].to_numpy() for c in ("rep", "n", "component", "own", "lo", "hi"))
+        n, found = n.astype(np.int64), [[], [], [], []]
+        text = rows["sketch"].combine_chunks() if isinstance(rows["sketch"], pa.ChunkedArray) else rows["sketch"]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b - a < 2:
+                continue
+            bins = np.frombuffer(b"".join(text.slice(a, b - a).to_pylist()), np.uint32).reshape(b - a, -1)
+            for i in range(b - a - 1):
+                x = a + i
+                may = (component[x + 1 : b] != component[x]) & (100 * np.minimum(n[x + 1 : b], n[x]) >= percent * np.maximum(n[x + 1 : b], n[x]))
+                may &= (lo[x] == hi[x]) | (own[x + 1 : b] != own[x])
+                j = np.flatnonzero(may)
+                if not len(j):
+                    continue
+                most = np.minimum(bins[i + 1 + j], bins[i]).sum(1, dtype=np.int64)
+                j = j[100 * most >= percent * (n[x] + n[x + 1 + j] - most)] + x + 1
+                first = rep[j] < rep[x]
+                for out, column in zip(found, (np.where(first, rep[j], rep[x]), np.where(first, rep[x], rep[j]), np.where(first, n[j], n[x]), np.where(first, n[x], n[j])), strict=True):
+                    out.append(column)
+        if found[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in found], names=["a", "b", "n_a", "n_b"])
+
+    dealt = sized.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "rep")
+    return dealt.mapInArrow(compare, "a long, b long, n_a long, n_b long")
 
 
 class _Comparison:

@@ -344,3 +344,21 @@ def test_piece_bpe_is_the_library(odd_documents, no_documents):
     for r, d in zip(piece_bpe.encode_documents(odd_documents).collect(), odd_documents.collect(), strict=True):
         assert list(r.ids) == library.encode(d.text or "") and r.decoded == library.decode(list(r.ids))
     assert piece_bpe.encode_documents(no_documents).count() == 0
+
+
+def test_buckets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64))
+    sets = {i: np.unique(np.concatenate([base[: int(rng.integers(40, 60))], rng.integers(0, 1 << 63, int(rng.integers(1, 9))).astype(np.uint64)])) for i in range(40)}
+    member = [(int(sig), i, len(s), i // 3) for i, s in sets.items() for sig in rng.permutation(5)[:2]]
+    rows = spark.createDataFrame(member, "sig long, rep long, n int, component long")
+    sketches = spark.createDataFrame([(i, bytearray(partenum.sketch(s))) for i, s in sets.items()], "rep long, sketch binary")
+    got = {(r.a, r.b) for r in partenum._between_components(rows, sketches, 80).collect()}
+    want = set()
+    for (s, a, n, c), (t, b, m, e) in itertools.combinations(sorted(member, key=lambda r: r[1]), 2):
+        x, y = (np.frombuffer(partenum.sketch(sets[i]), np.uint32) for i in (a, b))
+        most = int(np.minimum(x, y).sum())
+        if s == t and c != e and 100 * min(n, m) >= 80 * max(n, m) and 100 * most >= 80 * (n + m - most):
+            want.add((a, b))
+    assert got == want and want
