@@ -89,6 +89,40 @@ def test_nn_descent_of_nothing(vectors):
     assert nn_descent.near_duplicates(vectors[1].limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def rare_pairs(spark):
+    """4000 vectors of which 12 have a near copy."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(4000, 32))
+    base[3988:] = base[:12] + rng.normal(scale=0.3, size=(12, 32))
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>").repartition(4)
+
+
+def test_audit_of_rare_links_is_no_guess(spark, rare_pairs):
+    _, points = nn_descent.classes_of(rare_pairs.where("vec_id < 11 or vec_id between 100 and 3988"), "vec_id", "embedding")
+    links, full = spark.createDataFrame([], "id long, other long"), spark.createDataFrame([], "rep long")
+    assert [nn_descent.audit_recall(points, links, full, 0.9, seed) for seed in range(3)] == [0.0] * 3
+    _, points = nn_descent.classes_of(rare_pairs.where("vec_id between 100 and 400"), "vec_id", "embedding")
+    assert nn_descent.audit_recall(points, links, full, 0.9, 0) == 1.0
+
+
+def test_unknown_recall(spark, rare_pairs, monkeypatch):
+    monkeypatch.setattr(nn_descent, "AUDIT", 10)
+    monkeypatch.setattr(nn_descent, "AUDIT_LEAST", 10, raising=False)
+    _, points = nn_descent.classes_of(rare_pairs.where("vec_id between 100 and 400"), "vec_id", "embedding")
+    assert nn_descent.audit_recall(points, spark.createDataFrame([], "id long, other long"), spark.createDataFrame([], "rep long"), 0.9, 0) is None
+
+
+@pytest.mark.parametrize("rounds", [24, 2])
+def test_nn_descent_finds_rare_pairs(rare_pairs, monkeypatch, rounds):
+    monkeypatch.setattr(nn_descent, "PROJECTIONS", 1)
+    monkeypatch.setattr(nn_descent, "BLOCK", 16)
+    monkeypatch.setattr(nn_descent, "MOST_ROUNDS", rounds)
+    out = nn_descent.near_duplicates(rare_pairs).where("n_links > 0").collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in out} == {(i, 1, i % 3988) for i in [*range(12), *range(3988, 4000)]}
+    assert out[0].recall >= 0.98
+
+
 # 3 factorisation machine
 
 
