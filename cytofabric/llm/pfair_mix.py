@@ -5,16 +5,20 @@ from __future__ import annotations
 import heapq
 import json
 import math
-from collections.abc import Mapping
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
+from functools import reduce
+from itertools import chain, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: What the driver handles is bounded by these, not by the data: sources, and slots of a period.
-MOST_SOURCES, PERIOD = 512, 1000
+#: Slots that leave the driver at once.
+BATCH = 1 << 18
 
 
 def period_of(shares: Mapping[str, int]) -> dict[str, list[int]]:
@@ -36,87 +40,97 @@ def period_of(shares: Mapping[str, int]) -> dict[str, list[int]]:
     return out
 
 
-def apportion(weights: Mapping[str, float], slots: int) -> dict[str, int]:
-    """slots in proportion to weights by largest remainders; each source at least one."""
-    total = sum(Fraction(w) for w in weights.values())
-    exact = {s: Fraction(w) / total * slots for s, w in weights.items()}
-    got = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(weights, key=lambda s: (got[s] - exact[s], s))
-    for s in order[: max(0, slots - sum(got.values()))]:
-        got[s] += 1
-    return got
+def windows(ends: list[tuple[Fraction, str]], left: list[int], gone: list[int], n: int, w: int) -> Iterator[tuple[int, int]]:
+    """(release, deadline) of each of the n blocks of a source of weight w, exactly.
 
-
-def phases_of(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[dict]:
-    """The whole schedule as at most two phases for each source, whatever the number of blocks.
-
-    A phase repeats one period as long as all its sources have blocks for it. Where one has too few, a single
-    period runs in which its slots beyond the last block stay free; then the others go on without it, with their weights scaled up.
-    Rows: source, first and last block, first slot, blocks and slots of a period, the blocks' slots in a period.
+    In the ideal schedule all sources run at once, at rates in proportion to their weights, until they end; after V units of weight
+    a source has had min(weight V, blocks) slots. ends: V at which each ends, in order; left and gone: weight
+    that is left and blocks of ended sources, before the first and from each end on.
     """
-    left, done, slot, rows = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        share = apportion({s: weights[s] for s in left}, max(period, 4 * len(left)))
-        slots, h = period_of(share), sum(share.values())
-        times = min(left[s] // share[s] for s in left)
-        for s in left:
-            n = min(left[s], share[s] * max(1, times))
-            rows.append({"source_": s, "first": done[s], "last": done[s] + n - 1, "base": slot, "c": share[s], "h": h, "slots": slots[s]})
-            done[s] += n
-        slot += h * max(1, times)
-        left = {s: blocks[s] - done[s] for s in left if blocks[s] > done[s]}
-    return rows
-
-
-def pfair_mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, temperature: float = 0.5, block: int = 16, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", period: int = PERIOD) -> DataFrame:
+    at, floor = 0, 0
+    for j in range(1, n + 1):
+        if at < len(ends) and ends[at][0] * w <= j:
+            at = bisect_right(ends, Fraction(j, w), at, key=lambda e: e[0])
+        work = j * left[at]
+        yield floor, gone[at] - (-work // w)
+        floor = gone[at] + work // w
+
+
+def schedule(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) in the order of slots: earliest deadline first over the exact windows, so that at every slot of a schedule
+    of any length each source is less than one block off the ideal schedule. Every slot is taken. Memory grows with the sources only."""
+    exact = {s: Fraction(weights[s]) for s, n in blocks.items() if n > 0}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * scale) for s, x in exact.items()}
+    ends = sorted((Fraction(blocks[s], w), s) for s, w in whole.items())
+    left, gone = [sum(whole.values())], [0]
+    for _, s in ends:
+        left.append(left[-1] - whole[s])
+        gone.append(gone[-1] + blocks[s])
+    coming, ready = [], []
+    for s in whole:
+        of = windows(ends, left, gone, blocks[s], whole[s])
+        coming.append((*next(of), s, 0, of))
+    heapq.heapify(coming)
+    for slot in range(sum(blocks[s] for s in whole)):
+        while coming and coming[0][0] <= slot:
+            _, deadline, s, j, of = heapq.heappop(coming)
+            heapq.heappush(ready, (deadline, s, j, of))
+        _, s, j, of = heapq.heappop(ready)
+        yield s, j, slot
+        if (following := next(of, None)) is not None:
+            heapq.heappush(coming, (*following, s, j + 1, of))
+
+
+def pfair_mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, temperature: float = 0.5, block: int = 16, seed: int = 0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs with all columns in row_, and source_ (JSON text), rank, block_, slot, offset: read by (slot, offset) the sources are mixed.
 
     weights: target weight for each source, sources not named get none and follow when all others have ended; None: rows ** temperature.
     Every row stays, once. Rows of a source stand by a seeded hash of their id (then id), so order in the input and
-    partitions don't matter; repeated ids are neighbours. Null is a source of its own. An empty table gives no rows. Beyond the
-    block that a weight fits exactly, shares are rounded to 1/period.
+    partitions don't matter; repeated ids are neighbours. Null is a source of its own. An empty table gives no rows.
 
     Nothing of a source meets in one task: its n rows are numbered in sqrt(n) hash buckets of about sqrt(n) rows each,
-    offset by the buckets' counts. The driver sees one count for each source, of at most MOST_SOURCES, and makes the periodic schedule.
+    offset by the buckets' counts. The driver sees one count for each source and streams the schedule out in batches of BATCH
+    slots, a step for each block; what it holds grows with the number of sources only.
     """
     spark = docs.sparkSession
     key = F.to_json(F.struct(F.col(source_col).cast("string").alias("s")))
     rows = docs.select(F.struct("*").alias("row_"), key.alias("source_"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("hash_"), F.col(id_col).alias("id_"))
-    counts = {r[0]: r[1] for r in rows.groupBy("source_").count().limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: map them to groups first")
-    name = {k: json.loads(k).get("s") for k in counts}
+    n = {r[0]: r[1] for r in rows.groupBy("source_").count().collect()}
+    blocks = {s: -(-n[s] // block) for s in sorted(n)}
     if weights is None:
-        share, late = {k: float(n) ** temperature for k, n in counts.items()}, {}
+        share = {s: float(n[s]) ** temperature for s in blocks}
     else:
-        share = {k: float(weights[name[k]]) for k in counts if weights.get(name[k], 0) > 0}
-        late = {k: 1.0 for k in counts if k not in share}
-    blocks = {k: -(-n // block) for k, n in counts.items()}
-    plan = phases_of({k: blocks[k] for k in share}, share, period)
-    end = max((p["base"] + p["h"] * (-(-(p["last"] - p["first"] + 1) // p["c"])) for p in plan), default=0)
-    plan += [p | {"base": p["base"] + end} for p in phases_of({k: blocks[k] for k in late}, late, period)]
-    by_source: dict[str, list] = {}
-    for p in plan:
-        by_source.setdefault(p["source_"], []).append(tuple(p[x] for x in ("first", "last", "base", "c", "h", "slots")))
-    schedule = spark.createDataFrame(list(by_source.items()), "source_ string, phases array<struct<first:long,last:long,base:long,c:long,h:long,slots:array<int>>>")
-
-    buckets = max(1, math.isqrt(max(counts.values(), default=1)))
+        share = {s: float(w) for s in blocks if (w := weights.get(json.loads(s).get("s"), 0)) > 0}
+    late = {s: 1.0 for s in blocks if s not in share}
+    first, last = (schedule({s: blocks[s] for s in some}, some) for some in (share, late))
+    end = sum(blocks[s] for s in share)
+    slots, parts = chain(first, ((s, j, end + slot) for s, j, slot in last)), []
+    while held := list(islice(slots, BATCH)):
+        columns = zip(zip(*held, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)
+        parts.append(cut(spark.createDataFrame(pa.table([pa.array(c, t) for c, t in columns], names=["source_", "block_", "slot"]))))
+    taken = reduce(DataFrame.union, parts, spark.createDataFrame([], "source_ string, block_ long, slot long"))
+
+    buckets = max(1, math.isqrt(max(n.values(), default=1)))
     rows = rows.withColumn("bucket", F.pmod(F.shiftright("hash_", 20), F.lit(buckets)))
     sizes = rows.groupBy("source_", "bucket").count()
     before = Window.partitionBy("source_").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(sizes.select("source_", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start_")))
+    starts = cut(sizes.select("source_", "bucket", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start_")))
+    # The slots of a bucket's blocks, about sqrt(n) / block of them, come with its start, so that rows move once.
+    parts = starts.select("*", F.explode(F.sequence(F.floor(F.col("start_") / block), F.floor((F.col("start_") + F.col("count") - 1) / block))).alias("block_"))
+    parts = parts.join(taken, ["source_", "block_"]).groupBy("source_", "bucket", "start_")
+    starts = cut(parts.agg(F.array_sort(F.collect_list(F.struct("block_", "slot"))).alias("slots_")))
     within = F.row_number().over(Window.partitionBy("source_", "bucket").orderBy("hash_", "id_"))
     rows = rows.withColumn("within", within).join(starts, ["source_", "bucket"]).withColumn("rank", F.col("start_") + F.col("within") - 1)
-    rows = rows.withColumn("block_", F.floor(F.col("rank") / block)).join(F.broadcast(schedule), "source_")  # at most MOST_SOURCES rows, each of bounded length
-    phase = F.filter("phases", lambda p: (p.first <= F.col("block_")) & (F.col("block_") <= p.last))[0]
-    rows = rows.withColumn("p", phase).withColumn("k", F.col("block_") - F.col("p.first"))
-    slot = F.col("p.base") + F.floor(F.col("k") / F.col("p.c")) * F.col("p.h") + F.get(F.col("p.slots"), (F.col("k") % F.col("p.c")).cast("int"))
-    return rows.select("row_", "source_", "rank", "block_", slot.cast("long").alias("slot"), (F.col("rank") % block).alias("offset"))
+    rows = rows.withColumn("block_", F.floor(F.col("rank") / block))
+    slot = F.get("slots_", (F.col("block_") - F.col("slots_")[0]["block_"]).cast("int"))["slot"]
+    return rows.select("row_", "source_", "rank", "block_", slot.alias("slot"), (F.col("rank") % block).alias("offset"))
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, with their own columns only, in mixed order."""
-    return pfair_mix(docs, **how).orderBy("slot", "offset").select("row_.*")
+def mixed(docs: DataFrame, position: str | None = None, block: int = 16, **how) -> DataFrame:
+    """The rows of docs, with their own columns only, in mixed order; position: name of a further column that keeps this order."""
+    out = pfair_mix(docs, block=block, **how).orderBy("slot", "offset")
+    return out.select("row_.*", *([(F.col("slot") * block + F.col("offset")).alias(position)] if position else []))
 
 
 def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,6 +240,32 @@ def test_pfair_lag_stays_below_one_block():
                 assert abs(sum(x < t for x in slots[s]) * h - c * t) < h
 
 
+def test_pfair_lag_over_the_whole_schedule():
+    cases = [({"a": 9000, "b": 9000, "c": 9000}, {"a": 1.0, "b": 2**0.5, "c": 3**0.5}), ({"a": 20000, "b": 1}, {"a": 1.0, "b": 1e-5}), ({f"s{i}": 1 + i % 7 for i in range(600)}, {f"s{i}": 1 + i**0.5 for i in range(600)})]
+    for blocks, weights in cases:
+        got, had, ideal, left = list(pfair_mix.schedule(blocks, weights)), dict.fromkeys(blocks, 0), dict.fromkeys(blocks, 0.0), 0.0
+        assert [x[2] for x in got] == list(range(sum(blocks.values()))) and len({x[:2] for x in got}) == len(got)
+        for s, j, _ in got:
+            assert j == had[s]
+            had[s], left = had[s] + 1, 1.0
+            while left > 1e-9:
+                going = [x for x in blocks if ideal[x] < blocks[x] - 1e-9]
+                if not going:
+                    break
+                total = sum(weights[x] for x in going)
+                step = min(left, *(total * (blocks[x] - ideal[x]) / weights[x] for x in going))
+                for x in going:
+                    ideal[x] += step * weights[x] / total
+                left -= step
+            assert all(abs(had[x] - ideal[x]) < 1 + 1e-6 for x in blocks)
+
+
+def test_mixing_of_many_sources(spark):
+    docs = spark.range(1300).select(F.col("id").alias("doc_id"), (F.col("id") % 600).cast("string").alias("source"))
+    out = pfair_mix.pfair_mix(docs, block=2)
+    assert out.count() == out.select("slot", "offset").distinct().count() == 1300 and out.agg(F.max("slot")).first()[0] == 699
+
+
 def test_mixing_keeps_every_row(spark, odd_documents, no_documents):
     out = pfair_mix.pfair_mix(odd_documents, block=2)
     assert out.count() == 12 and out.select("slot", "offset").distinct().count() == 12
