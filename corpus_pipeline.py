@@ -26,13 +26,13 @@ def distinct_shingles(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in files whose order interleaves the sources by their target weights."""
-    return pfair_mix.mixed(docs)
+    """All documents, and the position of each in an order that interleaves the sources by their target weights."""
+    return pfair_mix.mixed(docs, position="position")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each text's token ids, and of the text decoded from them."""
-    return piece_bpe.digests(piece_bpe.encode_documents(docs))
+    """Digests of each text's token ids, and of the text decoded from them, with the text's position in the mix."""
+    return piece_bpe.digests(piece_bpe.encode_documents(docs, keep=("position",)), keep=("position",))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -188,16 +188,16 @@ def decode(ids: Column, model: str | None = None) -> Column:
     return texts(ids)
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """One row per row of docs: id_col, ids, decoded. Repeated rows and null ids stay; other columns are not read."""
-    ids = docs.select(F.col(id_col), encode(F.col(text_col), model).alias("ids"))
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id_col, the columns in keep, ids, decoded. Repeated rows and null ids stay; other columns are not read."""
+    ids = docs.select(F.col(id_col), *keep, encode(F.col(text_col), model).alias("ids"))
     return ids.withColumn("decoded", decode(F.col("ids"), model))
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digests(encoded: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return encoded.select(
-        id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
+        id_col, *keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 

@@ -266,6 +266,18 @@ def test_mixing_of_many_sources(spark):
     assert out.count() == out.select("slot", "offset").distinct().count() == 1300 and out.agg(F.max("slot")).first()[0] == 699
 
 
+def test_pipeline_result_keeps_the_mix(spark):
+    import corpus_pipeline
+
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("source"))
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["piece_bpe"](spark, stages["pfair_mix"](spark, docs, "").repartition(5), "").orderBy("position").collect()
+    share = 100**0.5 / (100**0.5 + 900**0.5)
+    small = [r.doc_id % 10 == 0 for r in out]
+    assert len({r.position for r in out}) == 1000 and all(abs(sum(small[:n]) - n * share) <= 32 for n in range(300))
+    assert 50 < sum(small[:300]) < 100
+
+
 def test_mixing_keeps_every_row(spark, odd_documents, no_documents):
     out = pfair_mix.pfair_mix(odd_documents, block=2)
     assert out.count() == 12 and out.select("slot", "offset").distinct().count() == 12
