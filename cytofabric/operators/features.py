@@ -60,6 +60,13 @@ def equal_cell_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "cells").select("set_a", "set_b")
 
 
+def cell_set_classes(sets: DataFrame) -> DataFrame:
+    """(set_id, class_id, class_size) of every set: class_id is the smallest set_id that holds the same cells. sets: (set_id, structure)."""
+    held = sets.groupBy("set_id").agg(F.array_sort(F.collect_set("structure")).alias("cells"))
+    classes = held.groupBy("cells").agg(F.min("set_id").alias("class_id"), F.count("*").alias("class_size"))
+    return held.join(classes, "cells").select("set_id", "class_id", "class_size")
+
+
 def latest_run(features: DataFrame, method: str | None = None) -> DataFrame:
     """The row of (plugin, run, ...) with the greatest run, of a plugin if named."""
     rows = features if method is None else features.where(F.col("plugin") == method)

@@ -75,6 +75,11 @@ def l08(spark, d):
     return L.equal_cell_sets(a, b)
 
 
+@query("l08_cell_set_classes", "SELECT o_custkey AS set_id, min(o_custkey) OVER (PARTITION BY l) AS class_id, count(*) OVER (PARTITION BY l) AS class_size FROM (SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS l FROM orders GROUP BY 1)")
+def l08_classes(spark, d):
+    return L.cell_set_classes(table(spark, d, "orders").select(F.col("o_custkey").alias("set_id"), F.col("o_orderstatus").alias("structure")))
+
+
 @query("e06_latest_run", "SELECT event_type AS plugin, CAST(max(event_id) AS BIGINT) AS run FROM events WHERE event_type = 'click' GROUP BY 1")
 def e06(spark, d):
     return L.latest_run(table(spark, d, "events").select(F.col("event_type").alias("plugin"), F.col("event_id").cast("long").alias("run")), "click")

@@ -251,3 +251,11 @@ def test_json_artifacts_and_annotations(spark, tmp_path):
     assert [tuple(r) for r in api.channel_annotations(both["groups"]).collect()] == [("g", "red", ["a", "b"])]
     assert [tuple(r) for r in both["aliases"].collect()] == [("x", "a")]
     assert metadata.method_catalogue(spark).count() == 7
+
+
+def test_classes_cover_every_set(spark):
+    from cytofabric.operators import features
+
+    sets = spark.createDataFrame([(3, 1), (3, 2), (1, 2), (1, 1), (1, 1), (2, 1), (7, 1)], "set_id long, structure long")
+    out = {r.set_id: (r.class_id, r.class_size) for r in features.cell_set_classes(sets).collect()}
+    assert out == {1: (1, 2), 3: (1, 2), 2: (2, 2), 7: (2, 2)}
