@@ -44,7 +44,7 @@ def d15(spark, d):
 
 @query("i13_gate_search")
 def i13(spark, d):
-    return G.gate_search(_samples(spark, d), {n: n for n in _SIGS}, _SIGS, ["BULK", "TAXED"], steps=12, rounds=1)
+    return G.gate_search(_samples(spark, d), {n: n for n in _SIGS}, _SIGS, ["BULK", "TAXED"])
 
 
 def _standard(spark, d):
@@ -55,7 +55,7 @@ def _standard(spark, d):
 
 @query("i10_two_gaussians")
 def i10(spark, d):
-    return G.bimodality(G.two_gaussians(_standard(spark, d), 5))
+    return G.bimodality(G.two_gaussians(_standard(spark, d), 20))
 
 
 @query("i12_calls_from_gates", f"{_C} SELECT specimen AS sample, count(*) FILTER (v >= CASE WHEN specimen % 2 = 0 THEN 60000 ELSE m END) AS positive FROM (SELECT specimen, l_extendedprice AS v, avg(l_extendedprice) OVER (PARTITION BY specimen) AS m FROM cells) GROUP BY 1")
@@ -87,8 +87,11 @@ def k03(spark, d):
 
 @query("k04_layout")
 def k04(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)))
-    return K.layout(v, [f"e{i}" for i in range(8)]).select("vec_id", "x", "y")
+    v = table(spark, d, "embeddings")
+    width = v.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"e{i}" for i in range(width)]
+    v = v.select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)))
+    return K.layout(v, names).select("vec_id", "x", "y")
 
 
 @query("k05_virtual_sample", f"{_C} SELECT CAST(specimen AS BIGINT) AS specimen, structure, x, y, mask FROM cells UNION ALL SELECT -1, structure, CAST(l_quantity AS INT), CAST(l_quantity AS INT), mask FROM cells WHERE structure % 7 = 0")

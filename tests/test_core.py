@@ -254,8 +254,28 @@ def test_json_artifacts_and_annotations(spark, tmp_path):
 
 
 def test_classes_cover_every_set(spark):
-    from cytofabric.operators import features
-
     sets = spark.createDataFrame([(3, 1), (3, 2), (1, 2), (1, 1), (1, 1), (2, 1), (7, 1)], "set_id long, structure long")
     out = {r.set_id: (r.class_id, r.class_size) for r in features.cell_set_classes(sets).collect()}
     assert out == {1: (1, 2), 3: (1, 2), 2: (2, 2), 7: (2, 2)}
+
+
+def test_gating_queries_do_the_operators_whole_job(spark, monkeypatch):
+    import inspect
+
+    from cytofabric.plans import gating as plans
+
+    given, sf = {}, "/root/testdata/sf0.001"
+    for module, name in ((plans.K, "layout"), (plans.G, "two_gaussians"), (plans.G, "gate_search")):
+        of = inspect.signature(getattr(module, name))
+
+        def keep(*a, of=of, name=name, **b):
+            bound = of.bind(*a, **b)
+            bound.apply_defaults()
+            given[name] = bound.arguments
+            return spark.createDataFrame([(1, 0.0, 0.0)], "vec_id long, x double, y double")
+
+        monkeypatch.setattr(module, name, keep)
+    monkeypatch.setattr(plans.G, "bimodality", lambda d: d)
+    plans.k04(spark, sf), plans.i10(spark, sf), plans.i13(spark, sf)
+    assert len(given["layout"]["columns"]) == 64 and given["two_gaussians"]["iterations"] == 20
+    assert (given["gate_search"]["steps"], given["gate_search"]["rounds"]) == (16, 2)
