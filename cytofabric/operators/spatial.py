@@ -179,8 +179,8 @@ def convex_hulls(cells: DataFrame) -> DataFrame:
 def ripley_f(cells: DataFrame, label: int = 1, steps: int = 100, simulations: int = 100, points: int = 1000, seed: int = 0) -> DataFrame:
     """(specimen, radius, area): Ripley's F of a label's cells: how far random points of the hull are from them.
 
-    p of each distance is the share of simulated patterns (as many uniform points in the hull) whose F is at least as large; the
-    summary radius is sum(p * distance) / sum(p), to one decimal. Seeded by specimen. Null without cells of the label or area.
+    p of each distance is the share of patterns whose F is less than the observed, which counts as one of them; simulated patterns are
+    `points` uniform points in the hull each, and all are probed with the same random points as the cells. The summary radius is sum(p * distance) / sum(p), to one decimal. Seeded by specimen. Null without cells of the label or area.
     A task holds one specimen's hull and its cells of the label; simulation is independent for each specimen.
     """
     hulls = convex_hulls(cells)
@@ -219,11 +219,12 @@ def _summary_radius(specimen: int, hull, at, steps: int, simulations: int, point
         d = np.concatenate([np.sqrt(((part[:, None] - pattern[None]) ** 2).sum(2).min(1)) for part in np.array_split(probes, max(1, len(probes) * len(pattern) // 2_000_000))])
         return np.searchsorted(np.sort(d), bins, "right") / len(d)
 
-    observed = f(own, uniform(points))
-    above = np.zeros(steps)
+    probes = uniform(points)
+    observed = f(own, probes)
+    below = np.ones(steps)
     for _ in range(simulations):
-        above += f(uniform(min(len(own), points)), uniform(max(50, points // 10))) >= observed
-    p = above / simulations
+        below += f(uniform(points), probes) < observed
+    p = below / (simulations + 1)
     return (round(float((p * bins).sum() / p.sum()), 1) if p.sum() else None), area
 
 

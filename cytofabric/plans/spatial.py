@@ -102,7 +102,7 @@ def j07(spark, d):
 
 @query("j08_ripley_f")
 def j08(spark, d):
-    return S.ripley_f(labelled(spark, d), label=1, simulations=20)
+    return S.ripley_f(labelled(spark, d), label=1)
 
 
 @query("i08_region_enrichment", f"{_C} SELECT specimen, count(*) FILTER (x < 500 AND (mask & 20) = 20 AND (mask & 1) = 0) AS a, count(*) FILTER (x < 500 AND NOT ((mask & 20) = 20 AND (mask & 1) = 0)) AS b, count(*) FILTER (x >= 500 AND (mask & 20) = 20 AND (mask & 1) = 0) AS c, count(*) FILTER (x >= 500 AND NOT ((mask & 20) = 20 AND (mask & 1) = 0)) AS d, TRUE AS p_in_range FROM cells GROUP BY 1")

@@ -279,3 +279,14 @@ def test_gating_queries_do_the_operators_whole_job(spark, monkeypatch):
     plans.k04(spark, sf), plans.i10(spark, sf), plans.i13(spark, sf)
     assert len(given["layout"]["columns"]) == 64 and given["two_gaussians"]["iterations"] == 20
     assert (given["gate_search"]["steps"], given["gate_search"]["rounds"]) == (16, 2)
+
+
+def test_ripley_weighs_distances_where_cells_are_nearer_than_chance():
+    rng = np.random.default_rng(1)
+    hull = [0, 0, 1000, 0, 1000, 1000, 0, 1000]
+    far = math.sqrt(1e6 / 2) / 8
+    at = lambda points: [{"x": x, "y": y} for x, y in points]
+    grid = [(x, y) for x in range(5, 1000, 10) for y in range(5, 1000, 10)]
+    near, _ = spatial._summary_radius(1, hull, at(grid), 100, 100, 1000, 0)
+    clump, _ = spatial._summary_radius(1, hull, at(rng.uniform(0, 50, (200, 2))), 100, 100, 1000, 0)
+    assert near < 0.5 * far and clump == pytest.approx(far, abs=0.1)
