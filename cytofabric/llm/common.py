@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,9 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Session setting under which Spark deletes a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one of this machine where that is unset and all
+    tasks run in this process; an error on a cluster, whose machines would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (folder or tempfile.gettempdir()).rstrip("/")
 
 
@@ -22,11 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: ends the lineage, survives lost executors.
 
     Unlike a cached plan, the files' sizes are known to the optimizer, so that only what is really small is
-    broadcast, and every join above starts from a fresh exchange, which adaptive execution can split.
+    broadcast, and every join above starts from a fresh exchange, which adaptive execution can split. Shuffle files of the write
+    go when it ends, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cytofabric-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,13 +52,6 @@ def release(*tables: DataFrame) -> None:
                 path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let go of plans that nothing refers to any more: Spark then deletes their shuffle files, which else pile up on disk
-    until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,16 +69,25 @@ def slices(array: pa.Array, rows: int = 2000, most_bytes: int = 16 << 20) -> Ite
 
 
 class Remembered(dict):
-    """word -> make(word), kept in two generations of at most `most` entries each."""
+    """word -> make(word) of this Python worker, in two generations of at most `most` entries each; long words are made anew each time.
 
-    def __init__(self, make, most: int = 200_000):
+    So it is bounded in bytes too: a key has at most LONGEST of them (or characters), and what is made of it is in proportion.
+    """
+
+    LONGEST = 48
+    all: list[Remembered] = []
+
+    def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
+        Remembered.all.append(self)
 
     def __missing__(self, word):
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
+            if len(word) > self.LONGEST:
+                return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -80,6 +95,14 @@ class Remembered(dict):
         return value
 
 
+def only(*wanted: Remembered) -> None:
+    """Empty all others: a worker is used by one operator after another, and each would else leave what it remembers behind."""
+    for held in Remembered.all:
+        if (held or held.old) and not any(held is w for w in wanted):
+            held.clear()
+            held.old = {}
+
+
 #: A-Z to a-z, everything but letters, digits and non-ASCII bytes to a space.
 _ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 

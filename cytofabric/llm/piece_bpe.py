@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cache
 from itertools import accumulate, pairwise
 
@@ -13,7 +14,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, slices, table
+from .common import Remembered, only, slices, table
 
 MARK = "▁"  # stands for a space
 _LATIN = "A-Za-zÀ-ɏ"
@@ -37,14 +38,16 @@ class PieceBPE:
             raise ValueError("the model needs byte fallback, and no piece that crosses units")
         # a piece that its own text does not merge to can stand in no encoding
         self.reached = {p for p in self.id if len(p) == 1 or self.merge(p) == [p]}
+        self.letters = frozenset(p for p in self.id if len(p) == 1)
         self.find = ahocorasick.Automaton()
         self.shorter: dict[str, str] = {}  # the next shorter piece that a piece begins with
         for p in self.reached:
-            self.find.add_word(p, p)
+            if len(p) > 1:  # each letter is found anyway
+                self.find.add_word(p, (p, len(p) - 1))
             self.shorter[p] = next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.reached), "")
         self.find.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.units = Remembered(self.unit_ids, 300_000)
+        self.fits = Remembered(lambda pair: self.merge(pair[0] + pair[1]) == [*pair], 100_000)
+        self.units = Remembered(self.unit_ids, 200_000)
         self.text = [p if p in self.id else chr(self.value[i]) if i in self.value else " \u2047 " if model.is_unknown(i) else "" for i, p in enumerate(self.pieces)]
         self.high = np.array([self.value.get(i, 0) >= 128 for i in n])
 
@@ -61,24 +64,15 @@ class PieceBPE:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fit(self, a: str, b: str) -> bool:
-        """May piece b follow piece a: their text merges to these two again."""
-        known = self.fits.get((a, b))
-        if known is None:
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            known = self.fits[a, b] = self.merge(a + b) == [a, b]
-        return known
-
     def known_pieces(self, text: str) -> list[str]:
         """Of a text all of whose characters are pieces."""
-        known, fit, shorter = self.fits, self.fit, self.shorter
-        n, longest = len(text), [""] * len(text)
-        for end, p in self.find.iter(text):  # matches by their end, so the last one with a start is its longest
-            longest[end + 1 - len(p)] = p
+        fits, shorter = self.fits, self.shorter  # may a piece follow another: their text merges to these two again
+        n, longest = len(text), list(text)
+        for end, (p, back) in self.find.iter(text):  # matches by their end, so the last one with a start is its longest
+            longest[end - back] = p
         failed, out, at, last, p = 0, [], 0, "", longest[0]  # failed: bitfield of positions from which no way goes on
         while at < n:
-            while p and (failed >> (at + len(p)) & 1 or last and not (known[last, p] if (last, p) in known else fit(last, p))):
+            while p and (failed and failed >> (at + len(p)) & 1 or last and not fits[last, p]):
                 p = shorter[p]
             if p:
                 out.append(p)
@@ -102,10 +96,14 @@ class PieceBPE:
         return out + (self.known_pieces(unit[at:]) if at < len(unit) else [])
 
     def unit_ids(self, unit: str) -> bytes:
+        if unit in self.reached:
+            return array("i", [self.id[unit]]).tobytes()
+        if self.letters.issuperset(unit):
+            return array("i", map(self.id.__getitem__, self.known_pieces(unit))).tobytes()
         ids: list[int] = []
         for p in self.unit_pieces(unit):
             ids += [self.id[p]] if p in self.id else [self.byte[b] for b in p.encode()]
-        return np.array(ids, np.int32).tobytes()
+        return array("i", ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers: a space before the text, spaces as marks, no begin or end."""
@@ -166,6 +164,7 @@ def encode(text: Column, model: str | None = None) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         bpe = load(path)
+        only(bpe.units, bpe.fits)
         parts = [id_lists([bpe.encode(t) for t in part.to_pylist()]) for part in slices(texts)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 

@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, blank_words, held_out, slices, table
+from .common import Remembered, blank_words, held_out, only, slices, table
 
 #: Word buckets; bins of a statistic; rank of the interactions; labelled rows learnt from, at most; passes; threshold.
 WORD_BUCKETS, BINS, RANK, MOST_ROWS, PASSES, ACCEPT = 1 << 15, 12, 6, 6000, 6, 0.3
@@ -29,7 +29,7 @@ def _bucket(word: bytes) -> int:
     return zlib.crc32(word) % WORD_BUCKETS
 
 
-_buckets = Remembered(_bucket, 100_000)
+_buckets = Remembered(_bucket, 60_000)
 
 
 def statistics(text: str, words: list[bytes], n_chars: float | None) -> np.ndarray:
@@ -130,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     @F.arrow_udf("struct<ids:array<int>,x:array<float>>")
     def sparse(texts: pa.Array, chars: pa.Array) -> pa.Array:
+        only(_buckets)
         at, ids, x = features(texts.to_pylist(), chars.to_pylist())
         at = pa.array(at, pa.int32())
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(x, pa.float32()))], names=["ids", "x"])
@@ -157,6 +158,7 @@ def score(docs: DataFrame, model: FactorisationMachine, text_col: str = "text")
 
     @F.arrow_udf("double")
     def scores(texts: pa.Array, chars: pa.Array) -> pa.Array:
+        only(_buckets)
         fm, out, at = FactorisationMachine(*shared.value), [], 0
         for part in slices(texts, 500):
             out.append(fm.scores(part.to_pylist(), chars.slice(at, len(part)).to_pylist()))
