@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, blank_words, cut, release, slices, table, tidy
+from .common import Remembered, blank_words, cut, only, release, slices, table
 from .components import connected_components
 
-#: Rounds in which one member of a bucket is compared with the others, before all that is left is.
-LEADER_ROUNDS = 3
-#: Halves beyond the k + 1 needed, as a share of k: how many weak ones a set may leave out. Bins of a sketch.
-SLACK, SKETCH_BINS = 0.3, 256
-#: Members of a bucket that one group compares.
-BLOCK = 1024
+#: Rounds in which the members of a bucket are compared with one of them, before all that is left is.
+LEADER_ROUNDS = 2
+#: Sub-parts of a part, by the most differences k of two similar sets: more where k is small, as then a signature of few parts says little.
+SUB_PARTS = ((12, 4), (60, 3), (1 << 60, 2))
+#: Parts beyond those needed, as a share of k: how many weak ones a set may leave out. Bins of a sketch.
+SLACK, SKETCH_BINS = 0.15, 128
+#: Members, and shingles of members, that one side of a comparison inside a task has.
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
+_MANY = 65535  # a full bin of a sketch
 _C1, _C2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -28,7 +32,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_hashes = Remembered(lambda word: int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"), 150_000)
+_hashes = Remembered(lambda word: int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"), 60_000)
 
 
 def shingle_set(text: str | None, words_each: int) -> np.ndarray:
@@ -47,21 +51,30 @@ def shingle_set(text: str | None, words_each: int) -> np.ndarray:
 
 @cache
 def band_starts(percent: int) -> list[int]:
-    """Smallest sizes of the bands: sets of one band, or of two adjacent ones, may reach the similarity."""
+    """Smallest sizes of the bands. The largest set of a band is so much larger than the smallest that similar sets are of one band or of adjacent ones."""
     starts = [1]
     while starts[-1] < 1 << 40:
-        starts.append(starts[-1] * 100 // percent + 1)
+        least = starts[-1] * 100 // percent + 1
+        starts.append(least * 100 // percent + 1)
     return starts
 
 
-def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of which two sets with 100 |A & B| >= percent |A | B| have one in common at least.
+@cache
+def parts_of(k: int) -> tuple[int, int]:
+    """(n1, n2): parts of the domain, and sub-parts of each, for sets that differ in k shingles at most."""
+    return k // 2 + 2 + int(SLACK * k), next(n2 for most, n2 in SUB_PARTS if k <= most)
+
 
-    A set takes part in the instance of its band, and in the one below as the larger of two. There two such sets
-    differ in at most k shingles. The domain falls into n1 parts, each of two halves, and of these subsets of one are enumerated:
-    a half's signature hashes all shingles that the set has in it. At least m - k of the m = 2 n1 halves agree, so a set may leave out
-    m - k - 1 of them. It leaves out all halves with fewer than c shingles, for the largest c that this allows: of two sets the one with the
-    larger c has an agreeing half of c shingles or more, which the other keeps too. Halves of one common shingle rarely count then.
+def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Signatures of which two different sets with 100 |A & B| >= percent |A | B| have one in common at least.
+
+    A set takes part in the instance of its band, and in the one below if it may be the larger of two there. There two such sets
+    differ in at most k shingles. The domain falls into n1 parts, each of n2 sub-parts. For each part all subsets of n2 - 1 sub-parts are
+    enumerated: a signature hashes all shingles that the set has in such a subset. At most k // 2 parts hold two differences or more; each of
+    the other g = n1 - k // 2 has a subset on which both sets agree. A set leaves out signatures of fewer than c shingles, for the largest c for which
+    these lie in g - 1 parts at most. So of the two sets the one with the larger c keeps an agreeing signature, whose size is the same
+    in the other, which keeps it too. Subsets of a shingle or two, which a common passage fills, rarely count then. With k = 0 only equal
+    sets are similar; they need no signature.
     """
     n, out = len(shingles), []
     if not n:
@@ -69,26 +82,31 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     starts = band_starts(percent)
     band = int(np.searchsorted(starts, n, "right")) - 1
     for i in (band, band - 1):
-        if i < 0:
+        k = (starts[i + 1] - 1) * (100 - percent) // percent if i >= 0 else 0
+        if k == 0 or (i < band and n * percent > 100 * (starts[band] - 1)):
             continue
-        k = (starts[i + 1] - 1) * (100 - percent) // percent
-        m = 1 if k == 0 else 2 * -(-(k + 1 + int(SLACK * k) + 1) // 2)
+        n1, n2 = parts_of(k)
         salt = _mix(np.array([i + 1], np.uint64))[0] | np.uint64(1)
-        part = (((shingles * salt) >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
-        sizes = np.bincount(part, minlength=m)
-        c = int(np.partition(sizes, m - k - 1)[m - k - 1])  # at most m - k - 1 halves have fewer
-        order = np.argsort(part, kind="stable")
-        ends = np.cumsum(sizes)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(shingles[order] ^ salt))])
-        kept = np.flatnonzero(sizes >= c)
-        own = sums[ends[kept]] - sums[ends[kept] - sizes[kept]]
-        out.append(_mix(own * _P + kept.astype(np.uint64) * _C1 + salt))
-    return np.concatenate(out)
+        part = (((shingles * salt) >> np.uint64(33)) % np.uint64(n1 * n2)).astype(np.int64)
+        sizes, order = np.bincount(part, minlength=n1 * n2), np.argsort(part, kind="stable")
+        ends, sums = np.cumsum(sizes), np.concatenate([[np.uint64(0)], np.cumsum(_mix(shingles[order] ^ salt))])
+        hashed, sizes = (sums[ends] - sums[ends - sizes]).reshape(n1, n2), sizes.reshape(n1, n2)
+        kept, weight = hashed.sum(1)[:, None] - hashed, sizes.sum(1)[:, None] - sizes  # of all sub-parts but one
+        c = np.partition(weight.min(1), n1 - k // 2 - 1)[n1 - k // 2 - 1]
+        name = np.arange(n1 * n2, dtype=np.uint64).reshape(n1, n2)
+        out.append(_mix((kept * _P + name * _C1 + salt)[weight >= c]))
+    return np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """How many shingles fall to each of SKETCH_BINS: the sum of two sketches' minima is at least the size of the intersection."""
-    return np.bincount((shingles >> np.uint64(7)).astype(np.int64) % SKETCH_BINS, minlength=SKETCH_BINS).astype(np.uint32).tobytes()
+    """How many shingles fall to each of SKETCH_BINS, at most _MANY: for most_common()."""
+    return np.minimum(np.bincount((shingles >> np.uint64(7)).astype(np.int64) % SKETCH_BINS, minlength=SKETCH_BINS), _MANY).astype(np.uint16).tobytes()
+
+
+def most_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of the minima of two sketches, at least the size of the intersection; very large where a bin of both is full."""
+    least = np.minimum(a, b)
+    return np.where((least == _MANY).any(-1), 1 << 40, least.sum(-1, dtype=np.int64))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -96,24 +114,36 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
+_DESCRIBED = pa.struct([("n", pa.int64()), ("set_key", pa.binary()), ("sigs", pa.list_(pa.int64())), ("sketch", pa.binary())])
+
+
 def _described(text: Column, words_each: int, percent: int) -> Column:
     @F.arrow_udf("struct<n:bigint,set_key:binary,sigs:array<bigint>,sketch:binary>")
     def describe(texts: pa.Array) -> pa.Array:
+        only(_hashes)
         parts = []
         for part in slices(texts):
             sets = [shingle_set(t, words_each) for t in part.to_pylist()]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            parts.append(pa.StructArray.from_arrays([pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), _lists([signatures(s, percent) for s in sets]), pa.array(map(sketch, sets), pa.binary())], names=["n", "set_key", "sigs", "sketch"]))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n", pa.int64()), ("set_key", pa.binary()), ("sigs", pa.list_(pa.int64())), ("sketch", pa.binary())]))
+            columns = [pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), _lists([signatures(s, percent) for s in sets]), pa.array(map(sketch, sets), pa.binary())]
+            parts.append(pa.StructArray.from_arrays(columns, fields=list(_DESCRIBED)))
+        return pa.concat_arrays(parts) if parts else pa.array([], _DESCRIBED)
 
     return describe(text)
 
 
 def _sets(text: Column, words_each: int) -> Column:
-    @F.arrow_udf("array<bigint>")
+    """struct(set_key, set): the key tells texts of repeated ids apart."""
+
+    @F.arrow_udf("struct<set_key:binary,set:array<bigint>>")
     def sets(texts: pa.Array) -> pa.Array:
-        parts = [_lists([shingle_set(t, words_each) for t in part.to_pylist()]) for part in slices(texts)]
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+        only(_hashes)
+        parts = []
+        for part in slices(texts):
+            found = [shingle_set(t, words_each) for t in part.to_pylist()]
+            keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary())
+            parts.append(pa.StructArray.from_arrays([keys, _lists(found)], names=["set_key", "set"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("set_key", pa.binary()), ("set", pa.list_(pa.int64()))]))
 
     return sets(text)
 
@@ -122,52 +152,59 @@ def jaccard_components(docs: DataFrame, words_each: int = 5, percent: int = 80,
     """One row per row of docs: id_col, n_shingles, component_id (smallest id reachable by links, itself included).
 
     Two documents link when 100 |A & B| >= percent |A | B| for their sets of words_each-word shingles. Texts without words, null
-    ones too, have no shingles and no links. Rows with equal sets are one class, whose smallest id stands for it: copies are never
-    paired. Rows with a null id belong to their class's component, which is null if no other row has an id.
+    ones too, have no shingles and no links. Rows with equal sets are one class, known by a number, so that copies are never
+    paired and repeated ids with different texts stay apart. A row with a null id links as any other; it belongs to its component, whose id is null
+    if no row in it has one.
 
-    Each member of a bucket of one signature is compared with a leader, so a group of near copies costs rows in proportion to its
-    size. Buckets that still hold several components get further leaders, and at last every pair of different components.
+    Members of a bucket of one signature are first compared with a leader of it, so a group of near copies costs rows in proportion to
+    its size. Buckets that still hold several components are then compared whole, inside tasks (_between_components).
     Each pair's similarity is counted from the whole sets; none is left out. Links stay in Spark throughout.
     """
-    spark = docs.sparkSession
     described = docs.select(F.col(id_col).cast("long").alias("id_"), _described(F.col(text_col), words_each, percent).alias("d"))
     described = cut(described.select("id_", "d.n", "d.set_key", "d.sigs", "d.sketch"))
     members = cut(described.select("id_", "n", "set_key"))
-    buckets = _buckets(described)
-    sketches = cut(described.select(F.col("id_").alias("rep"), "sketch").join(buckets.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]))
+    classes = described.where("n > 0").groupBy("set_key").agg(F.min("id_").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", "sigs", "sketch")))
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
     release(described)
-    tidy(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text_"))
-    compare = _Comparison(texts, sketches, words_each, percent)
-
-    links, labels, leftover = None, None, buckets
-    for turn in range(LEADER_ROUNDS + 1):
-        if turn:
-            leftover = cut(_unsettled(leftover.select("sig", "rep", "n"), labels))  # settled once, settled for good
-            if not leftover.limit(1).count():
-                break
-        found = compare.links(_with_leader(leftover, turn, percent) if turn < LEADER_ROUNDS else _between_components(leftover, sketches, percent))
-        last = turn == LEADER_ROUNDS
-        if turn and not last and not found.limit(1).count():
-            found, last = compare.links(_between_components(leftover, sketches, percent)), True
+    buckets = _buckets(classes)
+    known = cut(classes.select("cls", "set_key", "rep", "n", "sketch").join(buckets.select("cls").distinct(), "cls", "left_semi"))
+    names = cut(classes.select("cls", "set_key", "rep"))
+    release(classes)
+    texts = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
+    sets = _Sets(texts, known, words_each)
+
+    links, labels = None, None
+    for turn in range(LEADER_ROUNDS):
+        found = _links(_with_leader(buckets, turn, percent), known, sets, percent)
         links = found if links is None else links.union(found)
         labels = connected_components(links, "a", "b")
-        tidy(spark)
-        if last:
+        buckets = _unsettled(buckets.select("sig", "cls", "n"), labels)  # settled once, settled for good
+        if not buckets.limit(1).count():
             break
-    classes = members.where("n > 0").groupBy("set_key").agg(F.min("id_").alias("rep"))
-    classes = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    return members.join(cut(classes), "set_key", "left").select(
-        F.col("id_").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id_")).alias("component_id")
+    else:
+        labels = connected_components(links.union(_between_components(buckets, known, sets, percent)), "a", "b")
+    placed = names.join(labels.select(F.col("id").alias("cls"), "component"), "cls", "left").select("set_key", "rep", F.coalesce("component", "cls").alias("component"))
+    placed = cut(placed)
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    placed = placed.join(least, "component").select("set_key", "component_id")
+    return members.join(cut(placed), "set_key", "left").select(
+        F.col("id_").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id_")).alias("component_id")
     )
 
 
-def _buckets(described: DataFrame) -> DataFrame:
-    """(sig, rep, n): signatures that several classes have, with these; one shuffle by class and one by signature."""
-    classes = described.where("n > 0 and id_ is not null").groupBy("set_key").agg(F.min("id_").alias("rep"), F.any_value("n").alias("n"), F.any_value("sigs").alias("sigs"))
-    sigs = classes.select("rep", F.col("n").cast("int").alias("n"), F.explode("sigs").alias("sig"))
-    sized = sigs.withColumn("size", F.count("*").over(Window.partitionBy("sig")))
-    return cut(sized.where("size > 1").select("sig", "rep", "n"))
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(sig, cls, n): signatures that several classes have, with these. Counts are pre-aggregated, and a frequent signature's rows
+    meet their count by a join, which adaptive execution can split."""
+    sigs = classes.select(F.explode("sigs").alias("sig"), "cls")
+    shared = sigs.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1").select("sig")
+    shared = cut(shared)
+    rows = cut(sigs.join(shared, "sig"))
+    return cut(rows.join(classes.select("cls", F.col("n").cast("int").alias("n")), "cls").select("sig", "cls", "n"))
+
+
+def _fit(a: str, b: str, percent: int) -> Column:
+    """May sets of these sizes be similar?"""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def _with_leader(buckets: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -176,113 +213,153 @@ def _with_leader(buckets: DataFrame, turn: int, percent: int) -> DataFrame:
     A bucket's leader is one of its members, another one each turn. Near copies share most buckets, so that one leader is
     as a rule their group's; pairs are never more than members.
     """
-    rank = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-    first = F.min(F.struct(rank.alias("k"), F.col("rep"), F.col("n"), *([F.col("component")] if turn else []))).over(Window.partitionBy("sig"))
-    pairs = buckets.withColumn("l", first).where("rep <> l.rep")
-    if turn:
-        pairs = pairs.where("component <> l.component")
-    pairs = pairs.select("rep", "n", F.col("l.rep").alias("leader"), F.col("l.n").alias("n_l")).where(100 * F.least("n", "n_l") >= percent * F.greatest("n", "n_l"))
-    shared = pairs.groupBy("rep", "n", "leader", "n_l").agg(F.count("*").alias("shared"))
-    best = shared.groupBy("rep", "n").agg(F.max_by(F.struct("leader", "n_l"), F.struct("shared", -F.col("leader"))).alias("l"))
-    return best.select(F.col("l.leader").alias("a"), F.col("rep").alias("b"), F.col("l.n_l").alias("n_a"), F.col("n").alias("n_b"))
+    rank = F.col("cls") if turn == 0 else F.xxhash64("cls", F.lit(turn))
+    own = F.col("component") if turn else F.col("cls")
+    leaders = buckets.groupBy("sig").agg(F.min(F.struct(rank.alias("k"), F.col("cls"), F.col("n"), own.alias("of"))).alias("l"))
+    pairs = buckets.join(leaders, "sig").where(own != F.col("l.of"))
+    pairs = pairs.select("cls", "n", F.col("l.cls").alias("leader"), F.col("l.n").alias("n_l")).where(_fit("n", "n_l", percent))
+    shared = pairs.groupBy("cls", "n", "leader", "n_l").agg(F.count("*").alias("shared"))
+    best = shared.groupBy("cls", "n").agg(F.max_by(F.struct("leader", "n_l"), F.struct("shared", -F.col("leader"))).alias("l"))
+    return best.select(F.col("l.leader").alias("a"), F.col("cls").alias("b"), F.col("l.n_l").alias("n_a"), F.col("n").alias("n_b"))
 
 
 def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (sig, rep, n, component) of buckets that hold more than one component."""
-    rows = buckets.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    w = Window.partitionBy("sig")
-    return rows.withColumns({"low": F.min("component").over(w), "high": F.max("component").over(w)}).where("low < high").drop("low", "high")
+    """Rows (sig, cls, n, component) of buckets that hold more than one component."""
+    rows = cut(buckets.join(labels.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    mixed = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
+    return cut(rows.join(mixed, "sig").select("sig", "cls", "n", "component"))
+
+
+class _Sets:
+    """The sets of classes, made from the texts of those that need them, once."""
+
+    def __init__(self, texts: DataFrame, known: DataFrame, words_each: int):
+        self.texts, self.known, self.words_each, self.made = texts, known, words_each, None
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(cls, set) of the classes in wanted (cls), and of others wanted before."""
+        wanted = wanted.distinct()
+        wanted = wanted.join(self.made.select("cls"), "cls", "left_anti") if self.made else wanted
+        wanted = cut(self.known.join(wanted, "cls", "left_semi").select("cls", "set_key", "rep"))
+        rows = self.texts.join(wanted, F.col("id_").eqNullSafe(F.col("rep")), "left_semi")  # a class's rep is the id of one of its rows
+        found = rows.select(_sets(F.col("text_"), self.words_each).alias("s")).select("s.*").dropDuplicates(["set_key"])
+        made = cut(found.join(wanted, "set_key").select("cls", "set"))
+        self.made = self.made.union(made) if self.made else made
+        return self.made
+
+
+def _links(pairs: DataFrame, known: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b, n_a, n_b) that link. Pairs whose sketches leave no room for it go before any set moves."""
+    pairs = pairs.join(known.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), "a").join(known.select(F.col("cls").alias("b"), F.col("sketch").alias("y")), "b")
+    pairs = pairs.withColumn("most", _most_common(F.col("x"), F.col("y")))
+    pairs = cut(pairs.where(100 * F.col("most") >= percent * (F.col("n_a") + F.col("n_b") - F.col("most"))).select("a", "b"))
+    made = sets.of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")))
+    both = pairs.join(made.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(made.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y")).cast("long")
+    both = both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y") - common).alias("u"))
+    return cut(both.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b"))
 
 
-def _between_components(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n_a, n_b): of all pairs of different components in a bucket those that sizes and sketches leave room for.
+def _most_common(x: Column, y: Column) -> Column:
+    @F.arrow_udf("bigint")
+    def most(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(a), 2000):
+            u, v = (np.frombuffer(b"".join(s.slice(at, 2000).to_pylist()), np.uint16).reshape(-1, SKETCH_BINS) for s in (a, b))
+            out.append(most_common(u, v))
+        return pa.array(np.concatenate(out) if out else [], pa.int64())
 
-    Members meet in blocks of at most about BLOCK: a larger bucket's members are dealt to blocks by hash, and each pair of blocks is a group
-    of its own, so no bucket is held by one task. Only pairs that may link leave a task.
+    return most(x, y)
+
+
+def _between_components(buckets: DataFrame, known: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """(a, b): links that join all components that any links in the buckets (sig, cls, n, component) join.
+
+    Buckets of one smallest member become one group, as near copies meet in many buckets. In a group all members of different
+    components are compared: by sketches first, of which only members that may have a link come back, then these by their whole
+    sets, of which no more links come back than join the components. So arithmetic grows with the square of a group that does not
+    settle, but no rows do; and blocks of it are spread over tasks.
     """
-    sized = rows.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("sig")) / BLOCK).cast("int"))
-    sized = sized.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sized = sized.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "n", "component").join(sketches, "rep")
+    leaders = buckets.groupBy("sig").agg(F.min("cls").alias("leader"))
+    rows = cut(buckets.join(leaders, "sig").select("leader", "cls", "n", "component").distinct())
+    may = _compared(rows.join(known.select("cls", F.col("sketch").alias("held")), "cls"), percent, False)
+    rows = cut(rows.join(may.select(F.col("a").alias("leader"), F.col("b").alias("cls")).distinct(), ["leader", "cls"]))
+    made = sets.of(rows.select("cls"))
+    return cut(_compared(rows.join(made.select("cls", F.col("set").alias("held")), "cls"), percent, True).distinct())
+
 
-    def compare(batches):
+def _compared(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """rows: (leader, cls, n, component, held), held: the set if exact, else its sketch. Returns links (a, b) if exact, else (leader, cls) as (a, b).
+
+    A group of more than BLOCK members or BLOCK_SHINGLES shingles is dealt to blocks by hash, each pair of which is compared by itself.
+    """
+    sized = rows.groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = rows.join(sized, "leader").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("leader", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", F.col("n").cast("long").alias("n"), "component", "held")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             now = pa.Table.from_batches([batch])
             now = pa.concat_tables([held, now]).combine_chunks() if held is not None else now
-            keys = [now[c].to_numpy() for c in ("sig", "lo", "hi")]
-            new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-            edges = [0, *(np.flatnonzero(new) + 1).tolist()]
-            yield from pairs_of(now, [*edges])
+            keys = [now[c].to_numpy() for c in ("leader", "lo", "hi")]
+            edges = [0, *(np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1).tolist()]
+            yield from found_in(now, edges)
             held = now.slice(edges[-1])
         if held is not None and held.num_rows:
-            yield from pairs_of(held, [0, held.num_rows])
+            yield from found_in(held, [0, held.num_rows])
 
-    def pairs_of(rows: pa.Table, edges: list[int]):
-        rep, n, component, own, lo, hi = (rows[c].to_numpy() for c in ("rep", "n", "component", "own", "lo", "hi"))
-        n, found = n.astype(np.int64), [[], [], [], []]
-        text = rows["sketch"].combine_chunks() if isinstance(rows["sketch"], pa.ChunkedArray) else rows["sketch"]
+    def found_in(rows: pa.Table, edges: list[int]) -> Iterator[pa.RecordBatch]:
+        columns, out = [rows[c].to_numpy() for c in ("leader", "lo", "hi", "own", "cls", "n", "component")], []
+        payload = rows["held"].combine_chunks() if rows.num_rows else None
         for a, b in zip(edges, edges[1:], strict=False):
-            if b - a < 2:
-                continue
-            bins = np.frombuffer(b"".join(text.slice(a, b - a).to_pylist()), np.uint32).reshape(b - a, -1)
-            for i in range(b - a - 1):
-                x = a + i
-                may = (component[x + 1 : b] != component[x]) & (100 * np.minimum(n[x + 1 : b], n[x]) >= percent * np.maximum(n[x + 1 : b], n[x]))
-                may &= (lo[x] == hi[x]) | (own[x + 1 : b] != own[x])
-                j = np.flatnonzero(may)
-                if not len(j):
-                    continue
-                most = np.minimum(bins[i + 1 + j], bins[i]).sum(1, dtype=np.int64)
-                j = j[100 * most >= percent * (n[x] + n[x + 1 + j] - most)] + x + 1
-                first = rep[j] < rep[x]
-                for out, column in zip(found, (np.where(first, rep[j], rep[x]), np.where(first, rep[x], rep[j]), np.where(first, n[j], n[x]), np.where(first, n[x], n[j])), strict=True):
-                    out.append(column)
-        if found[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in found], names=["a", "b", "n_a", "n_b"])
-
-    dealt = sized.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "rep")
-    return dealt.mapInArrow(compare, "a long, b long, n_a long, n_b long")
-
-
-class _Comparison:
-    """Counts the similarity of pairs from their whole sets, which it makes from the texts of those that need it, once."""
-
-    def __init__(self, texts: DataFrame, sketches: DataFrame, words_each: int, percent: int):
-        self.texts, self.sketches, self.words_each, self.percent = texts, sketches, words_each, percent
-        self.sets: DataFrame | None = None
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The distinct pairs (a, b) that link. Pairs whose sizes or sketches leave no room for it go before any set moves."""
-        p = self.percent
-        pairs = pairs.where(100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")).distinct()
-        pairs = pairs.join(self.sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(self.sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
-        pairs = pairs.withColumn("most", _most_common(F.col("x"), F.col("y")))
-        pairs = cut(pairs.where(100 * F.col("most") >= p * (F.col("n_a") + F.col("n_b") - F.col("most"))).select("a", "b"))
-        wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        wanted = cut(wanted.join(self.sets.select("rep"), "rep", "left_anti") if self.sets else wanted)
-        if wanted.limit(1).count():
-            texts = self.texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
-            more = cut(texts.select("rep", _sets(F.col("text_"), self.words_each).alias("set")))
-            tidy(pairs.sparkSession)
-            self.sets = self.sets.union(more) if self.sets else more
-        if self.sets is None:
-            return pairs
-        both = pairs.join(self.sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(self.sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y")).cast("long")
-        both = both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y") - common).alias("u"))
-        return cut(both.where(100 * F.col("i") >= p * F.col("u")).select("a", "b"))
+            leader, lo, hi, own, cls, n, component = (c[a:b] for c in columns)
+            if b - a > 1 and (component != component[0]).any():
+                pairs = _pairs_of(payload.slice(a, b - a), own if lo[0] != hi[0] else None, n, component.copy(), percent, exact)
+                out += [(min(cls[i], cls[j]), max(cls[i], cls[j])) for i, j in pairs] if exact else [(leader[0], c) for c in {x for i, j in pairs for x in (cls[i], cls[j])}]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
+    dealt = rows.repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi", "cls")
+    return dealt.mapInArrow(compare, "a long, b long")
 
-def _most_common(x: Column, y: Column) -> Column:
-    @F.arrow_udf("bigint")
-    def most(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for at in range(0, len(a), 2000):
-            u, v = (np.frombuffer(b"".join(s.slice(at, 2000).to_pylist()), np.uint32).reshape(-1, SKETCH_BINS) for s in (a, b))
-            out.append(np.minimum(u, v).sum(1, dtype=np.int64))
-        return pa.array(np.concatenate(out) if out else [], pa.int64())
 
-    return most(x, y)
+def _pairs_of(held: pa.Array, own: np.ndarray | None, n: np.ndarray, component: np.ndarray, percent: int, exact: bool) -> list[tuple[int, int]]:
+    """Pairs (i, j) of a group's members of different components, and of different `own` if given, that link (exact) or may.
+
+    Exact pairs join components as they are found, and later ones only count between what is still apart; of pairs that may link one is enough for each member.
+    """
+    out, m = [], len(n)
+    if exact:
+        starts = np.concatenate([[0], np.cumsum(n)])
+        distinct, place = np.unique(held.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        mark = np.zeros(len(distinct), np.int64)
+    else:
+        bins, seen = np.frombuffer(b"".join(held.to_pylist()), np.uint16).reshape(m, -1), np.zeros(m, bool)
+    for x in range(m - 1):
+        may = (component[x + 1 :] != component[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x]))
+        if own is not None:
+            may &= own[x + 1 :] != own[x]
+        if not exact and seen[x]:
+            may &= ~seen[x + 1 :]
+        j = np.flatnonzero(may) + x + 1
+        if not len(j):
+            continue
+        if exact:
+            mark[place[starts[x] : starts[x + 1]]] = 1
+            common = np.add.reduceat(mark[place[starts[x + 1] :]], starts[x + 1 : m] - starts[x + 1])[j - x - 1]
+            mark[place[starts[x] : starts[x + 1]]] = 0
+        else:
+            common = most_common(bins[j], bins[x])
+        j = j[100 * common >= percent * (n[x] + n[j] - common)]
+        if exact:
+            _, first = np.unique(component[j], return_index=True)
+            out += [(x, int(j[i])) for i in first]
+            component[np.isin(component, component[j])] = component[x]
+        elif len(j):
+            out += [(x, int(i)) for i in (j[~seen[j]] if (~seen[j]).any() else j[:1])]
+            seen[j] = seen[x] = True
+    return out
 
 
 def keep_one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

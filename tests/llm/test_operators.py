@@ -341,12 +341,29 @@ def test_similar_sets_share_a_signature():
             d = int(rng.integers(0, max(1, int(0.12 * len(base))) + 1))
             other = np.unique(np.concatenate([base[rng.permutation(len(base))[d:]], rng.integers(0, 1 << 63, size=int(rng.integers(0, d + 2))).astype(np.uint64)]))
             both, either = len(np.intersect1d(base, other)), len(np.union1d(base, other))
-            if len(other) and 100 * both >= percent * either:
+            if len(other) and 100 * both >= percent * either and both < either:
                 hits += 1
                 assert len(np.intersect1d(partenum.signatures(base, percent), partenum.signatures(other, percent)))
-            a, b = (np.frombuffer(partenum.sketch(s), np.uint32) for s in (base, other))
-            assert np.minimum(a, b).sum() >= both
-        assert hits > 300
+            a, b = (np.frombuffer(partenum.sketch(s), np.uint16) for s in (base, other))
+            assert partenum.most_common(a, b) >= both
+        assert hits > 150
+
+
+def test_signatures_combine_sub_parts():
+    """One shingle more is in one sub-part of one part: it changes all signatures of that part but the one that leaves it out."""
+    rng = np.random.default_rng(4)
+    for size in (30, 60, 100, 250):
+        base = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        n1, n2 = partenum.parts_of((partenum.band_starts(85)[int(np.searchsorted(partenum.band_starts(85), size, "right"))] - 1) * 15 // 85)
+        assert n2 > 2
+        more = np.append(base, np.uint64(1 << 63))
+        a, b = (partenum.signatures(s, 85) for s in (base, more))
+        assert len(a) <= 2 * n1 * n2 and 1 <= len(np.setdiff1d(a, b)) <= len(a) - len(np.intersect1d(a, b)) and len(np.intersect1d(a, b))
+
+
+def test_full_bins_of_sketches_leave_room():
+    full = np.full(partenum.SKETCH_BINS, 65535, np.uint16)
+    assert partenum.most_common(full, full) > 1 << 30
 
 
 def naive_components(texts, words_each, percent):
@@ -418,19 +435,37 @@ def test_piece_bpe_is_the_library(odd_documents, no_documents):
     assert piece_bpe.encode_documents(no_documents).count() == 0
 
 
-def test_buckets_are_compared_in_blocks(spark, monkeypatch):
+def test_repeated_ids_with_different_texts(spark):
+    """Ids may repeat: classes go by their sets, so no link of either text is lost."""
+    a, b = sentence(1, 60), sentence(2, 60)
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, b + " else"), (None, sentence(3, 60)), (9, sentence(4, 60))], "doc_id long, text string")
+    out = rows(partenum.jaccard_components(docs), "doc_id", "component_id")
+    assert out == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, 1), (None, None), (9, 9)], key=str)
+
+
+def test_groups_are_compared_in_blocks(spark, monkeypatch):
+    """A chain and a crowd that no leader settles, in blocks of a few members: the links found join what brute force joins."""
     monkeypatch.setattr(partenum, "BLOCK", 4)
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64))
     sets = {i: np.unique(np.concatenate([base[: int(rng.integers(40, 60))], rng.integers(0, 1 << 63, int(rng.integers(1, 9))).astype(np.uint64)])) for i in range(40)}
-    member = [(int(sig), i, len(s), i // 3) for i, s in sets.items() for sig in rng.permutation(5)[:2]]
-    rows = spark.createDataFrame(member, "sig long, rep long, n int, component long")
-    sketches = spark.createDataFrame([(i, bytearray(partenum.sketch(s))) for i, s in sets.items()], "rep long, sketch binary")
-    got = {(r.a, r.b) for r in partenum._between_components(rows, sketches, 80).collect()}
-    want = set()
-    for (s, a, n, c), (t, b, m, e) in itertools.combinations(sorted(member, key=lambda r: r[1]), 2):
-        x, y = (np.frombuffer(partenum.sketch(sets[i]), np.uint32) for i in (a, b))
-        most = int(np.minimum(x, y).sum())
-        if s == t and c != e and 100 * min(n, m) >= 80 * max(n, m) and 100 * most >= 80 * (n + m - most):
-            want.add((a, b))
-    assert got == want and want
+    for exact in (False, True):
+        held = [(0, i, len(s), i // 3, s.view(np.int64).tolist() if exact else bytearray(partenum.sketch(s))) for i, s in sets.items()]
+        df = spark.createDataFrame(held, "leader long, cls long, n int, component long, held " + ("array<long>" if exact else "binary")).repartition(3)
+        got = partenum._compared(df, 80, exact).collect()
+        joined = {i: i // 3 for i in sets}
+        linked = set()
+        for a, b in itertools.combinations(sets, 2):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if a // 3 != b // 3 and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                linked |= {a, b}
+                low, high = sorted((joined[a], joined[b]))
+                joined = {i: low if c == high else c for i, c in joined.items()}
+        if exact:
+            own = {i: i // 3 for i in sets}
+            for r in got:
+                low, high = sorted((own[r.a], own[r.b]))
+                own = {i: low if c == high else c for i, c in own.items()}
+            assert {i: min(j for j in own if own[j] == own[i]) for i in own} == {i: min(j for j in joined if joined[j] == joined[i]) for i in joined} and linked
+        else:
+            assert linked <= {r.b for r in got}
