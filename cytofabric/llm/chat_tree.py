@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import cut, release, table
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Branches of each tree that the query formats.
+BRANCHES = 1
 
 
 def escape(text: Column) -> Column:
@@ -30,14 +32,15 @@ def unescape_role(role: Column) -> Column:
 
 
 def linear_tree(turns: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as a tree in which each turn replies to the one before it.
+    """Rows (conv_id, turn, role, text) as a tree in which each turn replies to the one before it, scored by what the assistant says in it.
 
     Turns of a conversation stand by turn (null first), equal ones by role and text. All rows with a null conv_id are
     one conversation.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     nodes = turns.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long"))
-    return nodes.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
+    said = F.when(F.col("role") == "assistant", F.length("text")).otherwise(0).cast("double")
+    return nodes.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", said.alias("score"))
 
 
 def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
@@ -69,11 +72,15 @@ def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
         over = paths.join(on, same & (F.col("node") == F.col("n"))).select("conv_id", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << r)).alias("up"))
         paths, old = cut(paths.union(over)), paths
         release(old)
+    release(*jumps)
     return paths
 
 
 def best_branches(paths: DataFrame, messages: DataFrame, keep: int) -> DataFrame:
-    """The paths of the `keep` branches of each tree with the highest sums of scores; null counts 0, ties go by leaf."""
+    """The paths of the `keep` branches of each tree with the highest sums of scores; null counts 0, ties go by leaf.
+
+    Sums are pre-aggregated, and of a tree's branches no more than `keep` leave a task before they are ranked.
+    """
     scores = messages.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.coalesce("score", F.lit(0.0)).alias("score"))
     same = F.col("conv_id").eqNullSafe(F.col("c"))
     sums = paths.join(scores, same & (F.col("node") == F.col("n"))).groupBy("conv_id", "leaf").agg(F.sum("score").alias("path_score"))
@@ -127,7 +134,7 @@ def op6_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     tree = linear_tree(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more))
-    done = read_back(format_paths(tree, root_to_leaf_paths(tree)))
+    done = read_back(format_paths(tree, best_branches(root_to_leaf_paths(tree), tree, BRANCHES)))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return done.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),

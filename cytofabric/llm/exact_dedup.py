@@ -31,8 +31,12 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def add(self, groups: DataFrame, batch: str) -> None:
-        """Append the groups (digest, largest, copies) whose digest the index has not seen."""
+        """Append the groups (digest, largest, copies) whose digest the index has not seen. A batch added again, after a failure
+        half-way too, appends only what is not there yet."""
         fresh = groups.join(self.read().select("digest"), "digest", "left_anti")
         fresh = fresh.select("digest", F.col("largest").alias("keep_id"), "copies", F.lit(batch).alias("batch"))
         fresh.repartition(self.buckets, "digest").write.insertInto(self.name)
@@ -43,7 +47,7 @@ def digest_of(text: str):
     return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; null equals empty. Of a batch's equal texts the largest id stays; a text that an
@@ -51,23 +55,28 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     with which the text entered the index. Rows that repeat id and text are all marked alike; null ids stay only
     where no copy has an id. An empty table gives no rows. Other columns are neither read nor returned.
 
+    batch names the rows that come together. A job that failed after they entered the index is run again under the same name and
+    gives the same result: texts that the batch itself brought are not taken for earlier ones. Without an index one is made and dropped.
+
     Counts are pre-aggregated before the shuffle. Rows of heavy digests, of which there are at most HEAVY_PARTS by
     definition, get their group from a broadcast of that bounded size; in the join their key is their own id, which
     spreads them. All others meet their group by a join on the digest, of which none holds many rows.
     """
     spark = docs.sparkSession
+    given, batch = index, batch or uuid.uuid4().hex
     index = index or DigestIndex(spark)
-    batch = uuid.uuid4().hex
     rows = docs.select(F.col(id_col).cast("long").alias("id_"), digest_of(text_col).alias("digest"))
     groups = cut(rows.groupBy("digest").agg(F.max("id_").alias("largest"), F.count("*").alias("copies")))
     total = groups.agg(F.sum("copies")).first()[0] or 0
     index.add(groups, batch)
     known = index.read().select("digest", "keep_id", F.col("copies").alias("entered"), (F.col("batch") == batch).alias("own"))
     found = groups.join(known, "digest").select(
-        "digest", "copies", "keep_id", "own",
+        "digest", "copies", F.when(F.col("own"), F.col("largest")).otherwise(F.col("keep_id")).alias("keep_id"), "own",
         F.when(F.col("own"), F.col("copies")).otherwise(F.col("copies") + F.col("entered")).alias("group_size"),
     )
     found = cut(found)
+    if given is None:
+        index.drop()
     heavy = found.where(F.col("copies") >= max(2, total / HEAVY_PARTS)).select(
         F.col("digest").alias("heavy"), F.struct("keep_id", "group_size", "own").alias("h")
     )
@@ -82,11 +91,15 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     )
 
 
-def keep_first_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup() keeps, with all their columns, whatever their names."""
-    kept = exact_dedup(docs, index, id_col, text_col).where("kept").select(F.col(id_col).alias("id_"), F.unhex("text_sha256").alias("digest_"))
+def keep_first_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup() keeps, with all their columns, whatever their names. Of rows that repeat id and text one stays, any of them."""
+    kept = exact_dedup(docs, index, batch, id_col, text_col).where("kept").select(F.col(id_col).alias("id_"), F.unhex("text_sha256").alias("digest_"))
+    kept = cut(kept.groupBy("id_", "digest_").agg(F.count("*").alias("rows_")))
     marked = docs.select(F.struct("*").alias("row_"), F.col(id_col).cast("long").alias("key_id"), digest_of(text_col).alias("key_digest"))
-    return marked.join(kept, F.col("key_id").eqNullSafe(F.col("id_")) & (F.col("key_digest") == F.col("digest_")), "left_semi").select("row_.*")
+    same = F.col("key_id").eqNullSafe(F.col("id_")) & (F.col("key_digest") == F.col("digest_"))
+    once = marked.join(kept.where("rows_ = 1"), same, "left_semi")
+    several = marked.join(cut(kept.where("rows_ > 1")), same, "left_semi").dropDuplicates(["key_id", "key_digest"])
+    return once.union(several).select("row_.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

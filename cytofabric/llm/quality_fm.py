@@ -135,8 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         at = pa.array(at, pa.int32())
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(x, pa.float32()))], names=["ids", "x"])
 
-    found = rows.select("y", "id_", sparse("text_", "chars_").alias("f")).limit(2 * most_rows).toArrow()
-    found = found.take(pa.compute.sort_indices(found, [("id_", "ascending"), ("y", "ascending")])).combine_chunks() if found.num_rows else found
+    rows = rows.select("y", "id_", F.xxhash64("text_").alias("h"), sparse("text_", "chars_").alias("f"))
+    found = rows.orderBy("id_", "h", "y").limit(2 * most_rows).toArrow()  # more than most_rows only where ids repeat
+    found = found.take(pa.compute.sort_indices(found, [("id_", "ascending"), ("h", "ascending"), ("y", "ascending")])).combine_chunks() if found.num_rows else found
     if not found.num_rows:
         return fit(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     f = found["f"].combine_chunks()

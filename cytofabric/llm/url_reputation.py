@@ -11,8 +11,8 @@ from .common import cut, table
 
 #: (rule, verdict): host and path in one string, as the contract of the query names them.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Suffixes of two labels under which names are registered; others have one label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
+#: Public suffixes of two labels: a category under a country's code; others have one label. A pattern for the last two labels.
+TWO_LABEL_SUFFIX = r"^(ac|co|com|edu|go|gob|gov|gouv|id|ltd|me|mil|ne|net|nhs|nom|or|org|plc|sch)\.[a-z]{2}$"
 MOST_RULES = 500
 #: A page is blocked if the bad share of its host is above LIMIT even at the lower bound, Z standard deviations down.
 LIMIT, Z = 0.5, 1.0
@@ -39,11 +39,22 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
     return found
 
 
-def domain_and_suffix(host: Column) -> tuple[Column, Column]:
-    """The registered domain and the public suffix of a host; a host of one label is both itself."""
-    two = F.substring_index(host, ".", -2)
-    long_suffix = two.isin(*TWO_LABEL_SUFFIXES)
-    return F.when(long_suffix, F.substring_index(host, ".", -3)).otherwise(two), F.when(long_suffix, two).otherwise(F.substring_index(host, ".", -1))
+def domain_and_suffix(host: Column, two_labels: str = TWO_LABEL_SUFFIX, more: Sequence[str] = ()) -> tuple[Column, Column]:
+    """The registered domain and the public suffix of a host, without user and port; a host of one label or of numbers is both itself.
+
+    more: public suffixes of any number of labels beyond the pattern for two, as a public suffix list has them; the longest counts. They
+    are one expression, so of a bounded number (MOST_RULES).
+    """
+    if len(more) > MOST_RULES:
+        raise ValueError(f"{len(more)} suffixes; at most {MOST_RULES} fit into one expression")
+    host = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    labels = F.when(F.substring_index(host, ".", -2).rlike(two_labels), 2).otherwise(1)
+    for suffix in sorted(more, key=lambda x: x.count(".")):
+        labels = F.when((host == suffix) | F.endswith(host, F.lit("." + suffix)), suffix.count(".") + 1).otherwise(labels)
+    parts = F.split(host, "[.]")
+    last = lambda n: F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), n), ".")
+    whole = host.rlike(r"^[0-9.]+$|^\[.*\]$") | (F.instr(host, ".") == 0)
+    return F.when(whole, host).otherwise(last(labels + 1)), F.when(whole, host).otherwise(last(labels))
 
 
 def _strength(rows: DataFrame, n: str, bad: str, mean: str) -> Column:
@@ -87,7 +98,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str
 
     outcomes: (host, bad), a row for each labelled page, bad 0 or 1. Null urls and urls without :// have empty host and
     path; the empty host has a reputation like any other. Repeated rows each count. Without labelled pages no host is blocked by its
-    reputation. The verdict is the rule's, else block where mean - z sd > limit.
+    reputation. The verdict is the rule's, else block where mean - z sd > limit: the posterior's lower bound in normal approximation.
     """
     host, path = host_and_path(F.col(url_col))
     seen = pages.select(F.col(id_col).alias("id_"), host.alias("host"), path.alias("path"))
@@ -124,8 +135,10 @@ def _level(name: str, rows: str, n: str, bad: str, mean: str, keys: str) -> str:
 {name} AS (SELECT {keys}, ({bad} + strength * {mean}) / ({n} + strength) AS m_{name}, strength FROM {rows}, {name}_w)"""
 
 
-_TWO = "array_to_string(split(host, '.')[-2:], '.')"
-_LONG = f"{_TWO} IN {TWO_LABEL_SUFFIXES}"
+_BARE = "regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '')"
+_WHOLE = f"(regexp_matches({_BARE}, '^[0-9.]+$|^\\[.*\\]$') OR NOT contains({_BARE}, '.'))"
+_TWO = f"array_to_string(split({_BARE}, '.')[-2:], '.')"
+_LONG = f"regexp_matches({_TWO}, '{TWO_LABEL_SUFFIX}')"
 _RULES = " ".join(
     f"WHEN (host = '{r.split('/')[0]}' OR host LIKE '%.{r.split('/')[0]}') AND starts_with(path, '/{r.split('/', 1)[1]}') THEN '{r}'" for r, _ in sorted(RULES, key=lambda x: -len(x[0]))
 )
@@ -134,8 +147,8 @@ ORACLE = f"""
 WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM rest),
 outcomes AS (SELECT host, CAST(quality = 0 AS DOUBLE) AS bad FROM parts JOIN labels ON doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[/.]|$)', 1) AS BIGINT) WHERE quality IS NOT NULL),
-hosts AS (SELECT host, CAST(coalesce(n, 0) AS DOUBLE) AS n, coalesce(bad, 0.0) AS bad, CASE WHEN {_LONG} THEN array_to_string(split(host, '.')[-3:], '.') ELSE {_TWO} END AS domain,
-  CASE WHEN {_LONG} THEN {_TWO} ELSE split(host, '.')[-1] END AS suffix
+hosts AS (SELECT host, CAST(coalesce(n, 0) AS DOUBLE) AS n, coalesce(bad, 0.0) AS bad, CASE WHEN {_WHOLE} THEN {_BARE} WHEN {_LONG} THEN array_to_string(split({_BARE}, '.')[-3:], '.') ELSE {_TWO} END AS domain,
+  CASE WHEN {_WHOLE} THEN {_BARE} WHEN {_LONG} THEN {_TWO} ELSE split({_BARE}, '.')[-1] END AS suffix
   FROM (SELECT DISTINCT host FROM parts) LEFT JOIN (SELECT host, count(*) AS n, sum(bad) AS bad FROM outcomes GROUP BY host) USING (host)),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),

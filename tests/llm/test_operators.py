@@ -39,6 +39,40 @@ def test_licence_chain_bridges_changed_words():
     assert found and found[0][2] == 2 and 0.6 <= found[0][4] < 1
 
 
+def test_whole_licences_are_covered():
+    automaton = license_scan.LicenceAutomaton(license_scan.BASE, license_scan.TEMPLATES)
+    for name in ("mit", "isc", "bsd", "unlicense", "zlib"):
+        words = alnum_words("x y " + license_scan.TEMPLATES[f"{name}-whole"] + " z")
+        assert (name, False, 2, len(words) - 3, 1.0) in automaton.scan(words)
+
+
+def test_matching_statistics_are_the_longest_matches():
+    automaton = license_scan.LicenceAutomaton({"a b": "x"}, {"t": "a b c a b d", "u": "b c b a"})
+    texts = [t.split() for t in ("a b", "a b c a b d", "b c b a")]
+    rng = random.Random(4)
+    for _ in range(300):
+        words = rng.choices("abcde", k=rng.randint(0, 25))
+        want = [(i, max((n for n in range(1, i + 1) if any(t[j : j + n] == words[i - n : i] for t in texts for j in range(len(t)))), default=0)) for i in range(1, len(words) + 1)]
+        assert [(end, n) for end, _, n in automaton.matches([w.encode() for w in words])] == [x for x in want if x[1]]
+
+
+def test_chain_is_the_best_one():
+    rng = random.Random(6)
+    gap = license_scan.MAX_GAP
+    for _ in range(200):
+        pieces = sorted({(rng.randint(0, 40), rng.randint(0, 40), rng.randint(4, 9)) for _ in range(rng.randint(1, 7))})
+        best = 0
+        for r in range(1, len(pieces) + 1):
+            for chain in itertools.combinations(pieces, r):
+                total, ok = chain[0][2], True
+                for (d0, t0, n0), (d, t, n) in itertools.pairwise(chain):
+                    over = max(0, d0 + n0 - d, t0 + n0 - t)
+                    ok &= d0 < d and t0 < t and over < n and d - d0 - n0 <= gap and t - t0 - n0 <= gap
+                    total += n - over
+                best = max(best, total) if ok else best
+        assert license_scan.LicenceAutomaton._chain(pieces)[0] == best
+
+
 def test_licence_scan_of_odd_rows(odd_documents, no_documents):
     out = {r.doc_id: r for r in license_scan.scan_licences(odd_documents).collect()}
     assert out[3].n_words == out[4].n_words == 0 and out[4].spans == []
@@ -79,12 +113,21 @@ def test_nn_descent_finds_the_links_of_brute_force(vectors):
     found = {r.vec_id: r for r in out if r.vec_id is not None and r.vec_id < 1000 and r.vec_id != 7}
     wrong = [i for i, r in found.items() if r.component_id != find(i)]
     assert not wrong
-    more = link[:, 7].astype(int)  # the repeated row of vector 7 is one more vector
-    off = sum(r.n_links != link[i].sum() + more[i] for i, r in found.items())
-    assert off <= 0.05 * len(found)
+    more = link[:, 7].astype(int) + link[:, 3]  # the repeated row of vector 7, and that of vector 3 without an id
+    more[3] += 1
+    assert not [i for i, r in found.items() if r.n_links != link[i].sum() + more[i]] and out[0].recall == 1.0
+    assert [(r.component_id, r.kept) for r in out if r.vec_id is None] == [(3, False)]
     assert all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for r in out if r.vec_id is not None and r.vec_id >= 1000)
 
 
+def test_nn_descent_takes_rows_of_any_size_and_width(spark):
+    up, right = [1.0, 1.0], [1.0, -1.0]
+    data = [(1, up), (2, [1e200, 1e200]), (3, [3e-200, 3e-200]), (4, right), (4, up), (5, [1e300, -1e300]), (6, [1.0, 1.0, 1.0]), (7, [2.0, 2.0, 2.0]), (8, []), (9, None), (10, [1.0])]
+    out = nn_descent.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("cls", F.lit(1)))
+    got = rows(out, "vec_id", "n_links", "component_id")
+    assert got == sorted([(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 1, 4), (4, 3, 1), (5, 1, 4), (6, 1, 6), (7, 1, 6), (8, 0, 8), (9, 0, 9), (10, 0, 10)], key=str)
+
+
 def test_nn_descent_of_nothing(vectors):
     assert nn_descent.near_duplicates(vectors[1].limit(0)).count() == 0
 
@@ -167,7 +210,7 @@ def test_exact_dedup_keeps_the_largest_id(odd_documents, no_documents):
     assert out[None].keep_id is None and out[None].kept
     assert exact_dedup.exact_dedup(no_documents).count() == 0
     kept = exact_dedup.keep_first_copies(odd_documents)
-    assert kept.columns == odd_documents.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 4, 5, 6, 7, 7, 8, 9, 10]
+    assert kept.columns == odd_documents.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 4, 5, 6, 7, 8, 9, 10]
 
 
 def test_later_batches_meet_the_index(spark):
@@ -179,9 +222,35 @@ def test_later_batches_meet_the_index(spark):
     assert index.read().count() == 3
 
 
+def test_a_batch_run_again_gives_the_same(spark):
+    index = exact_dedup.DigestIndex(spark)
+    docs = spark.createDataFrame([(5, "a"), (6, "a"), (7, "b")], "doc_id long, text string")
+    first = rows(exact_dedup.exact_dedup(docs, index, "monday"))
+    assert rows(exact_dedup.exact_dedup(docs, index, "monday")) == first and index.read().count() == 2
+    assert [r.kept for r in exact_dedup.exact_dedup(docs, index, "tuesday").collect()] == [False] * 3
+    assert sorted(r.doc_id for r in exact_dedup.keep_first_copies(docs.union(docs), index, "monday").collect()) == [6, 7]
+    before = spark.catalog.listTables()
+    exact_dedup.exact_dedup(docs).collect()
+    assert len(spark.catalog.listTables()) == len(before)
+
+
 # 5 URL reputation
 
 
+def test_domains_and_suffixes(spark):
+    hosts = ["www.a.co.uk", "a.com", "b.a.com:8080", "me@b.a.com", "localhost", "10.0.0.1:80", "x.y.city.kobe.jp", "co.uk", ""]
+    d, s = url_reputation.domain_and_suffix(F.col("h"), more=("city.kobe.jp",))
+    assert [tuple(r) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select(d, s).collect()] == [
+        ("a.co.uk", "co.uk"), ("a.com", "com"), ("a.com", "com"), ("a.com", "com"), ("localhost", "localhost"), ("10.0.0.1", "10.0.0.1"), ("y.city.kobe.jp", "city.kobe.jp"), ("co.uk", "co.uk"), ("", ""),
+    ]
+
+
+def test_long_and_repeated_urls(spark):
+    pages = spark.createDataFrame([(1, "https://a.org/" + "x" * 300_000), (1, "https://a.org/y"), (None, "https://a.org/y")], "page_id long, url string").withColumn("host", F.lit("clash"))
+    out = url_reputation.filter_urls(pages, spark.createDataFrame([], "host string, bad int")).collect()
+    assert sorted((r.page_id or 0, r.host, len(r.path), r.rule) for r in out) == [(0, "a.org", 2, "org/"), (1, "a.org", 2, "org/"), (1, "a.org", 300_001, "org/")]
+
+
 def test_hosts_and_rules(spark):
     urls = ["https://WWW.Example.org/es/1?x", "http://a.example.org/en/17#t", "ftp://b.com/fr/", "no scheme", None, "x://h.net", "y://h.com/de/9/a?b#c", "z://fooexample.org/es/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -218,6 +287,13 @@ def test_reply_trees(spark):
     assert chat_tree.root_to_leaf_paths(m.limit(0)).count() == 0
 
 
+def test_chat_of_long_and_repeated_rows(spark):
+    m = spark.createDataFrame([(1, 1, "user", "q" * 200_000), (1, 2, "assistant", "<|" * 50_000), (1, 2, "assistant", "<|" * 50_000)], "conv_id long, turn long, role string, text string").withColumn("leaf", F.lit(0))
+    tree = chat_tree.linear_tree(m)
+    out = chat_tree.read_back(chat_tree.format_paths(tree, chat_tree.best_branches(chat_tree.root_to_leaf_paths(tree), tree, 1))).collect()
+    assert len(out) == 1 and [len(t.text) for t in out[0].turns] == [200_000, 100_000, 100_000] and out[0].loss_text == "<|" * 100_000
+
+
 def test_long_chains_need_few_rounds(spark):
     n = 70
     m = spark.range(n).select(F.lit(1).alias("conv_id"), "id", F.lit("user").alias("role"), F.col("id").cast("string").alias("text")).withColumnRenamed("id", "turn")
