@@ -18,8 +18,8 @@ from .components import connected_components
 LEADER_ROUNDS = 2
 #: Sub-parts of a part, by the most differences k of two similar sets: more where k is small, as then a signature of few parts says little.
 SUB_PARTS = ((12, 4), (60, 3), (1 << 60, 2))
-#: Parts beyond those needed, as a share of k: how many weak ones a set may leave out. Bins of a sketch.
-SLACK, SKETCH_BINS = 0.15, 128
+#: Parts beyond those needed, as a share of k: how many weak ones a set may leave out. Least and most bins of a sketch.
+SLACK, LEAST_BINS, MOST_BINS = 0.15, 128, 1 << 16
 #: Members, and shingles of members, that one side of a comparison inside a task has.
 BLOCK, BLOCK_SHINGLES = 1024, 400_000
 _MANY = 65535  # a full bin of a sketch
@@ -99,8 +99,20 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """How many shingles fall to each of SKETCH_BINS, at most _MANY: for most_common()."""
-    return np.minimum(np.bincount((shingles >> np.uint64(7)).astype(np.int64) % SKETCH_BINS, minlength=SKETCH_BINS), _MANY).astype(np.uint16).tobytes()
+    """How many shingles fall to each bin, at most _MANY: for most_common(). Bins are a power of two, about half as many as shingles, so that
+    sketches of long texts say as much as those of short ones."""
+    bins = min(MOST_BINS, max(LEAST_BINS, 1 << (len(shingles) // 2).bit_length() - 1)) if len(shingles) > 1 else LEAST_BINS
+    return np.minimum(np.bincount((shingles >> np.uint64(7)).astype(np.int64) % bins, minlength=bins), _MANY).astype(np.uint16).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows, with the bins of the shortest of them: a longer one's bins are added up."""
+    least = min(map(len, sketches)) // 2
+    return np.stack([_fold(np.frombuffer(s, np.uint16), least) for s in sketches])
+
+
+def _fold(counts: np.ndarray, bins: int) -> np.ndarray:
+    return counts if len(counts) == bins else np.minimum(counts.reshape(-1, bins).sum(0, dtype=np.int64), _MANY).astype(np.uint16)
 
 
 def most_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -243,7 +255,9 @@ class _Sets:
         wanted = cut(self.known.join(wanted, "cls", "left_semi").select("cls", "set_key", "rep"))
         rows = self.texts.join(wanted, F.col("id_").eqNullSafe(F.col("rep")), "left_semi")  # a class's rep is the id of one of its rows
         found = rows.select(_sets(F.col("text_"), self.words_each).alias("s")).select("s.*").dropDuplicates(["set_key"])
-        made = cut(found.join(wanted, "set_key").select("cls", "set"))
+        # null-safe, as the optimizer would else ask for a key that is not null before the join above, and so make every text's set
+        wanted = wanted.select("cls", F.col("set_key").alias("key_"))
+        made = cut(found.join(wanted, F.col("set_key").eqNullSafe(F.col("key_"))).select("cls", "set"))
         self.made = self.made.union(made) if self.made else made
         return self.made
 
@@ -263,11 +277,7 @@ def _links(pairs: DataFrame, known: DataFrame, sets: _Sets, percent: int) -> Dat
 def _most_common(x: Column, y: Column) -> Column:
     @F.arrow_udf("bigint")
     def most(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for at in range(0, len(a), 2000):
-            u, v = (np.frombuffer(b"".join(s.slice(at, 2000).to_pylist()), np.uint16).reshape(-1, SKETCH_BINS) for s in (a, b))
-            out.append(most_common(u, v))
-        return pa.array(np.concatenate(out) if out else [], pa.int64())
+        return pa.array([int(most_common(*folded([u, v]))) for u, v in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
 
     return most(x, y)
 
@@ -335,7 +345,7 @@ def _pairs_of(held: pa.Array, own: np.ndarray | None, n: np.ndarray, component:
         distinct, place = np.unique(held.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
         mark = np.zeros(len(distinct), np.int64)
     else:
-        bins, seen = np.frombuffer(b"".join(held.to_pylist()), np.uint16).reshape(m, -1), np.zeros(m, bool)
+        bins, seen = folded(held.to_pylist()), np.zeros(m, bool)
     for x in range(m - 1):
         may = (component[x + 1 :] != component[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x]))
         if own is not None:

@@ -420,8 +420,7 @@ def test_similar_sets_share_a_signature():
             if len(other) and 100 * both >= percent * either and both < either:
                 hits += 1
                 assert len(np.intersect1d(partenum.signatures(base, percent), partenum.signatures(other, percent)))
-            a, b = (np.frombuffer(partenum.sketch(s), np.uint16) for s in (base, other))
-            assert partenum.most_common(a, b) >= both
+            assert partenum.most_common(*partenum.folded([partenum.sketch(s) for s in (base, other)])) >= both
         assert hits > 150
 
 
@@ -438,8 +437,12 @@ def test_signatures_combine_sub_parts():
 
 
 def test_full_bins_of_sketches_leave_room():
-    full = np.full(partenum.SKETCH_BINS, 65535, np.uint16)
+    full = np.full(partenum.LEAST_BINS, 65535, np.uint16)
     assert partenum.most_common(full, full) > 1 << 30
+    rng = np.random.default_rng(0)
+    long = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64))
+    a, b = partenum.folded([partenum.sketch(long), partenum.sketch(long[:900])])
+    assert len(a) == len(b) == 256 and a.sum() == 4000 and b.sum() == 900 == partenum.most_common(a, b)
 
 
 def naive_components(texts, words_each, percent):
