@@ -40,10 +40,11 @@ def clinical_position(samples: DataFrame, interventions: DataFrame, diagnoses: D
     An intervention on the day of extraction counts as earlier. condition, result: of the first diagnosis at or after extraction, else
     empty; of equal dates the one that sorts first. interventions: (subject, event_date); diagnoses: (subject, condition, result, event_date).
 
-    Events are gathered by subject, one list each; samples meet their subject's list.
+    Events are reduced where they lie to one for each subject and date, so a subject's list is as long as its dates are many; samples meet their subject's list.
     """
-    when = interventions.groupBy("subject").agg(F.collect_list(date_keys(F.col("event_date"))).alias("i"))
-    told = diagnoses.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("condition", "result", date_keys(F.col("event_date")).alias("k")))).alias("d"))
+    when = interventions.select("subject", "event_date").distinct().groupBy("subject").agg(F.collect_list(date_keys(F.col("event_date"))).alias("i"))
+    told = diagnoses.groupBy("subject", "event_date").agg(F.min(F.struct("condition", "result")).alias("f"))
+    told = told.groupBy("subject").agg(F.collect_list(F.struct("f.condition", "f.result", date_keys(F.col("event_date")).alias("k"))).alias("d"))
     x = samples.select("specimen", "subject", date_keys(F.col("extraction")).alias("own")).join(when, "subject", "left").join(told, "subject", "left")
     x = x.withColumns({"si": _scheme(F.concat(F.coalesce("i", F.array()), F.array("own"))), "sd": _scheme(F.concat(F.coalesce(F.transform("d", lambda d: d.k), F.array()), F.array("own")))})
     before = F.exists("i", lambda k: _key(F.col("si"), k) <= _key(F.col("si"), F.col("own")))
@@ -63,7 +64,7 @@ def stratum_numbers(positions: DataFrame, start: int = 0) -> DataFrame:
     seen = positions.groupBy(*keys).agg(F.min("specimen").alias("first_"))
     blank = (F.col("position") == "") & (F.col("condition") == "") & (F.col("result") == "")
     numbered = seen.withColumn("stratum", F.row_number().over(Window.orderBy(blank, "first_")) + start)
-    return positions.join(F.broadcast(numbered.drop("first_")), keys)  # combinations of a few clinical terms
+    return positions.join(numbered.drop("first_"), keys)
 
 
 def rebased(cohorts: DataFrame, study: str = "study", cohort: str = "cohort") -> DataFrame:

@@ -33,7 +33,7 @@ def missing(expected: DataFrame, values: DataFrame) -> DataFrame:
 
 def zero_filled(values: DataFrame, subjects: DataFrame) -> DataFrame:
     """values (feature, subject, value) with 0 for each feature's missing subjects."""
-    every = values.select("feature").distinct().crossJoin(F.broadcast(subjects.select("subject").distinct()))  # features by samples: metadata
+    every = values.select("feature").distinct().crossJoin(subjects.select("subject").distinct())  # the result: a row for each feature and sample
     return values.unionByName(missing(every, values).withColumn("value", F.lit(0.0)))
 
 
@@ -54,28 +54,50 @@ def completeness(values: DataFrame, expected: DataFrame, nulls: int = 5, null_sh
     return x.withColumn("suspicious", bad)
 
 
+def _set_digests(rows: DataFrame, name: str) -> DataFrame:
+    """(name, size, total, mixed) of each set's distinct cells, summed where they arise: equal for equal sets, and by chance for others with a probability of about 2^-128."""
+    a, b = F.xxhash64("structure"), F.xxhash64(F.lit(1), "structure")
+    return rows.select(name, "structure").distinct().groupBy(name).agg(F.count("*").alias("size"), F.sum(a.cast("decimal(20,0)")).alias("total"), F.bit_xor(b).alias("mixed"))
+
+
 def equal_cell_sets(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(set_a, set_b) that hold the same cells: a (set_a, structure), b (set_b, structure)."""
-    left, right = (d.groupBy(s).agg(F.array_sort(F.collect_set("structure")).alias("cells")) for d, s in ((a, "set_a"), (b, "set_b")))
-    return left.join(right, "cells").select("set_a", "set_b")
+    """(set_a, set_b) that hold the same cells: a (set_a, structure), b (set_b, structure). Sets are compared by digests, never held whole."""
+    return _set_digests(a, "set_a").join(_set_digests(b, "set_b"), ["size", "total", "mixed"]).select("set_a", "set_b")
 
 
 def cell_set_classes(sets: DataFrame) -> DataFrame:
     """(set_id, class_id, class_size) of every set: class_id is the smallest set_id that holds the same cells. sets: (set_id, structure)."""
-    held = sets.groupBy("set_id").agg(F.array_sort(F.collect_set("structure")).alias("cells"))
-    classes = held.groupBy("cells").agg(F.min("set_id").alias("class_id"), F.count("*").alias("class_size"))
-    return held.join(classes, "cells").select("set_id", "class_id", "class_size")
+    held = _set_digests(sets, "set_id")
+    classes = held.groupBy("size", "total", "mixed").agg(F.min("set_id").alias("class_id"), F.count("*").alias("class_size"))
+    return held.join(classes, ["size", "total", "mixed"]).select("set_id", "class_id", "class_size")
 
 
-def latest_run(features: DataFrame, method: str | None = None) -> DataFrame:
-    """The row of (plugin, run, ...) with the greatest run, of a plugin if named."""
+def latest_run(features: DataFrame, method: str | None = None, **where: object) -> DataFrame:
+    """The row of (plugin, run, ...) with the greatest run, of a plugin if named, and of those columns' values (version, stratifier) if given."""
     rows = features if method is None else features.where(F.col("plugin") == method)
+    for column, value in where.items():
+        rows = rows.where(F.col(column).eqNullSafe(F.lit(value)))
     return rows.orderBy(F.desc("run")).limit(1)
 
 
+def importance_features(scores: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(specifications, values) of importance scores (plugin, run, version, stratifier, specimen, structure, importance).
+
+    Each (plugin, run, version, stratifier) is a feature, with these four as its specifiers in order; its values are the ranks, from 1, of the `most`
+    important cells of each specimen: (feature, subject, value). Ties go to the smaller id. Scores that a cell has from overlapping regions count once, the largest.
+    """
+    keys = ["plugin", "run", "version", "stratifier"]
+    named = scores.withColumn("specifiers", F.array(*(F.col(c).cast("string") for c in keys)))
+    named = named.withColumn("feature", feature_hash(F.lit("gnn importance score"), F.array_join("specifiers", "\u001e")))
+    known = specifications(named.select(F.lit("gnn importance score").alias("method"), "specifiers"))
+    best = named.groupBy("feature", "specimen", "structure").agg(F.max("importance").alias("importance"))
+    w = Window.partitionBy("feature", "specimen").orderBy(F.desc("importance"), "structure")
+    return known, best.withColumn("value", F.row_number().over(w)).where(F.col("value") <= most).select("feature", F.col("structure").alias("subject"), "value")
+
+
 def outdated(measured: DataFrame, derived: DataFrame) -> DataFrame:
     """(derivative, specimen) measured but absent from a derivative: derived (derivative, specimen)."""
-    every = derived.select("derivative").distinct().crossJoin(F.broadcast(measured.select("specimen").distinct()))
+    every = derived.select("derivative").distinct().crossJoin(measured.select("specimen").distinct())
     return every.join(derived, ["derivative", "specimen"], "left_anti")
 
 

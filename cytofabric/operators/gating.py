@@ -35,7 +35,7 @@ def discordance(cells: DataFrame, assigned: Mapping[str, str], signatures: Mappi
     assigned: signature -> 0/1 column; gates: (by, candidate, <channel>...) with a gate for each channel. Positive is value > gate.
     """
     g = gates.select(by, "candidate", *(F.col(c).alias(f"gate_{c}") for c in gates.columns if c not in (by, "candidate")))
-    rows = cells.join(F.broadcast(g) if g.limit(100_001).count() <= 100_000 else g, by)  # checked size
+    rows = cells.join(g, by)
     parts = []
     for name, (positive, negative) in signatures.items():
         made = F.lit(True)
@@ -56,6 +56,7 @@ def gate_search(cells: DataFrame, assigned: Mapping[str, str], signatures: Mappi
     Each channel's own signature first: the best of `steps` gates on [0, 2 mean]. Then rounds of one channel at a time, others held, for the
     least mean distance over all signatures. Every candidate of every sample is counted in one aggregation a step.
     """
+    cells = stored(cells.select(*dict.fromkeys([by, *channels, *assigned.values()])))
     means = stored(cells.groupBy(by).agg(*(F.avg(c).alias(c) for c in channels)))
     share = F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))
     at = lambda c: F.col(f"m_{c}") * 2 * F.col("candidate") / (steps - 1)
@@ -86,6 +87,7 @@ def two_gaussians(values: DataFrame, iterations: int = 20) -> DataFrame:
 
     values: (sample, channel, v), usually standardised. Each iteration is one aggregation of the weighted sums of all groups.
     """
+    values = stored(values.select("sample", "channel", "v"))
     state = stored(values.groupBy("sample", "channel").agg(F.count("*").alias("n"), F.greatest(F.stddev_pop("v"), F.lit(1e-3)).alias("s0")).select("sample", "channel", F.lit(0.5).alias("w0"), F.lit(-1.0).alias("m0"), "s0", F.lit(0.5).alias("w1"), F.lit(1.0).alias("m1"), F.col("s0").alias("s1")))
     for _ in range(iterations):
         x = values.join(state, ["sample", "channel"])

@@ -2,57 +2,72 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbors import nearest, radius_pairs
-from .sampling import representative
+from .neighbors import nearest, radius_pairs, stored
+from .sampling import at_most
 
 
 def roi_side(cells: DataFrame, target: int) -> int:
     """Side of a square that holds `target` cells at the median density of the specimens' bounding boxes."""
-    box = cells.groupBy("specimen").agg(F.count("*").alias("n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"))
+    box = cells.groupBy("specimen").agg(F.count("*").alias("n"), ((F.max("x") - F.min("x")).cast("double") * (F.max("y") - F.min("y"))).alias("area"))
     median = box.where("area > 0").agg(F.percentile(F.col("n") / F.col("area"), F.lit(0.5))).first()[0]
     return int(round((target / median) ** 0.5)) if median else 0
 
 
 def place_rois(cells: DataFrame, target: Column, side: int, k: int = 5, most_targets: int = 100_000) -> DataFrame:
-    """(specimen, roi, x_min, x_max, y_min, y_max, targets): boxes round target cells, the ones with most target cells near first.
+    """(specimen, roi, x_min, x_max, y_min, y_max, targets): boxes round target cells, the one with most target cells within side // 2 first.
 
-    Of each specimen's target cells at most most_targets are looked at (the feature's limit, by hash). Their neighbour lists within
-    side // 2 come from one grid join; a task then takes boxes of one specimen greedily and removes the cells in them. The number of
-    boxes is the target cells' share of the specimen over a box's share of its area, one if a tenth of the cells are targets.
+    The number of boxes of a specimen is its share of target cells times its bounding box's area over a box's, rounded; one if that is
+    over a tenth of a box but rounds to none. After each box its target cells go; ties go to the smaller id. A box with k cells
+    of any kind or fewer ends the specimen. targets: those left when the box was placed. At most most_targets target cells of a specimen take part (the
+    feature's limit), chosen by hash.
+
+    Counts come from grid joins that spread over tasks. The boxes of a specimen follow from each other, so one task places them, from the
+    coordinates and counts of its target cells only.
     """
     half = side // 2
-    box = cells.groupBy("specimen").agg(F.count("*").alias("n"), F.sum(target.cast("long")).alias("hits"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("area"))
-    wanted = F.rint(F.col("hits") / F.col("n") * F.col("area") / float(side * side))
-    box = box.select("specimen", F.when((wanted < 1) & (F.col("hits") / F.col("n") > 0.1), 1).otherwise(wanted).cast("int").alias("wanted"))
-    aims = cells.where(target).select("specimen", "structure", "x", "y")
-    specimens = max(1, box.count())
-    aims = representative(aims, most_targets * specimens)
-    reach = radius_pairs(aims, aims.select("specimen", "structure", "x", "y", F.col("x").alias("qx"), F.col("y").alias("qy")), half * 2**0.5, (), ("qx", "qy"))
-    near = reach.join(aims.select("specimen", F.col("structure").alias("a"), "x", "y"), ["specimen", "a"]).where((F.abs(F.col("x") - F.col("qx")) <= half) & (F.abs(F.col("y") - F.col("qy")) <= half))
-    lists = near.groupBy("specimen", "a", "x", "y").agg(F.collect_list("b").alias("near")).join(box, "specimen")
+    box = cells.groupBy("specimen").agg(F.count("*").alias("n"), F.sum(target.cast("long")).alias("hits"), ((F.max("x") - F.min("x")).cast("double") * (F.max("y") - F.min("y"))).alias("area"))
+    share = F.col("hits") / F.col("n") * F.col("area") / float(side * side)
+    wanted = F.when((F.rint(share) == 0) & (share > 0.1), 1).otherwise(F.rint(share)).cast("int")
+    box = box.select("specimen", wanted.alias("wanted")).where("wanted > 0")
+    aims = stored(at_most(cells.where(target).join(box.select("specimen"), "specimen", "left_semi").select("specimen", "structure", "x", "y"), most_targets))
+    place = aims.select("specimen", "structure", "x", "y", F.col("x").alias("px"), F.col("y").alias("py"))
+
+    def in_box(pairs: DataFrame) -> Column:
+        return (F.abs(F.col("px") - F.col("qx")) <= half) & (F.abs(F.col("py") - F.col("qy")) <= half)
+
+    near = radius_pairs(place, aims.select("specimen", "structure", "x", "y", F.col("x").alias("qx"), F.col("y").alias("qy")), half * 2**0.5, ("px", "py"), ("qx", "qy"))
+    counts = near.groupBy("specimen", "a", F.col("px").alias("x"), F.col("py").alias("y")).agg(F.sum((F.col("d2") <= half * half).cast("long")).alias("near"), F.sum(in_box(near).cast("long")).alias("boxed"))
+    counts = stored(counts)
+    # a box with more than k target cells to begin with has as many cells; only the others are counted
+    thin = counts.where(F.col("boxed") <= k).select("specimen", F.col("a").alias("structure"), "x", "y", F.col("x").alias("px"), F.col("y").alias("py"))
+    around = radius_pairs(thin, cells.select("specimen", "structure", "x", "y", F.col("x").alias("qx"), F.col("y").alias("qy")), half * 2**0.5, ("px", "py"), ("qx", "qy"))
+    around = around.where(in_box(around)).groupBy("specimen", "a").agg(F.count("*").alias("all_"))
+    rows = counts.join(around, ["specimen", "a"], "left").join(box, "specimen").select("specimen", "a", "x", "y", "near", (F.coalesce("all_", F.lit(k + 1)) > k).alias("enough"), "wanted")
 
     def greedy(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        lists = {a: set(n) for a, n in zip(group["a"], group["near"], strict=True)}
-        place = {a: (x, y) for a, x, y in zip(group["a"], group["x"], group["y"], strict=True)}
-        rows = []
-        while lists and len(rows) < int(group["wanted"].iloc[0]):
-            best = min(lists, key=lambda a: (-len(lists[a]), a))
-            taken = set(lists[best])
-            if len(taken) < k + 1:
+        group = group.sort_values("a")
+        x, y, near, enough = (group[c].to_numpy() for c in ("x", "y", "near", "enough"))
+        near, left, out = near.copy(), np.ones(len(x), bool), []
+        for i in range(int(group["wanted"].iloc[0])):
+            if not left.any():
+                break
+            at = int(np.where(left, near, -1).argmax())
+            if not enough[at]:
                 break
-            x, y = place[best]
-            rows.append((key[0], len(rows), x - half, x + half, y - half, y + half, len(taken)))
-            for a in taken:
-                for other in lists.pop(a, ()):
-                    if other in lists:
-                        lists[other].discard(a)
-        return pd.DataFrame(rows, columns=["specimen", "roi", "x_min", "x_max", "y_min", "y_max", "targets"])
+            inside = left & (np.abs(x - x[at]) <= half) & (np.abs(y - y[at]) <= half)
+            out.append((key[0], i, x[at] - half, x[at] + half, y[at] - half, y[at] + half, inside.sum()))
+            left &= ~inside
+            gone, other = np.flatnonzero(inside), np.flatnonzero(left & (np.abs(x - x[at]) <= 2 * half) & (np.abs(y - y[at]) <= 2 * half))
+            for part in np.array_split(gone, max(1, len(gone) * len(other) // 4_000_000)):
+                near[other] -= ((x[part][:, None] - x[other]) ** 2 + (y[part][:, None] - y[other]) ** 2 <= half * half).sum(0)
+        return pd.DataFrame(out, columns=["specimen", "roi", "x_min", "x_max", "y_min", "y_max", "targets"])
 
-    return lists.groupBy("specimen").applyInPandas(greedy, "specimen long, roi int, x_min long, x_max long, y_min long, y_max long, targets long")
+    return rows.groupBy("specimen").applyInPandas(greedy, "specimen long, roi int, x_min long, x_max long, y_min long, y_max long, targets long")
 
 
 def roi_cells(cells: DataFrame, rois: DataFrame) -> DataFrame:
@@ -68,7 +83,7 @@ def roi_graphs(cells: DataFrame, rois: DataFrame, k: int = 5, longest: float | N
     nodes = roi_cells(cells, rois)
     edges = nearest(nodes.select(F.col("graph").alias("specimen"), "structure", "x", "y"), k)
     edges = edges if longest is None else edges.where(F.col("d2") <= longest * longest)
-    return nodes, edges.select(F.col("specimen").alias("graph"), F.col("a").alias("src"), F.col("b").alias("dst"), F.sqrt(F.col("d2").cast("double")).alias("distance"))
+    return nodes, edges.select(F.col("specimen").alias("graph"), F.col("a").alias("src"), F.col("b").alias("dst"), F.sqrt("d2").alias("distance"))
 
 
 def split_datasets(specimens: DataFrame, train: float = 0.7, validation: float = 0.15, seed: int = 0) -> DataFrame:
@@ -80,7 +95,7 @@ def split_datasets(specimens: DataFrame, train: float = 0.7, validation: float =
     """
     median = specimens.where("label is not null").groupBy("label").agg(F.percentile("rois", F.lit(0.5)).alias("median_"), F.sum("rois").alias("all_"), F.count("*").alias("many_"))
     x = specimens.join(median, "label", "left")
-    order = Window.partitionBy("label").orderBy((F.col("rois") < 10 * F.col("median_")), F.xxhash64("specimen", F.lit(seed)), "specimen")
+    order = Window.partitionBy("label").orderBy((F.col("rois") < 10 * F.col("median_")), F.md5(F.concat_ws("/", "specimen", F.lit(seed)).cast("binary")), "specimen")
     x = x.withColumns({"at_": F.row_number().over(order), "sum_": F.sum("rois").over(order)})
     share = F.col("sum_") / F.col("all_")
     third = 3 if validation > 0 else 2
@@ -90,6 +105,11 @@ def split_datasets(specimens: DataFrame, train: float = 0.7, validation: float =
     return x.select("specimen", "label", "rois", F.when(F.col("label").isNotNull(), chosen).alias("set"))
 
 
+def labelled_specimens(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """cells of specimens that have a label, as graphs for training are made of no others. labels: (specimen, label)."""
+    return cells.join(labels.where("label is not null").select("specimen"), "specimen", "left_semi")
+
+
 def dataset_counts(graphs: DataFrame) -> DataFrame:
     return graphs.groupBy("set", "label").agg(F.count("*").alias("n"))
 

@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Cells in a bin above which it is split before neighbours are looked for, and cells it is then meant to have.
+CROWDED, WANTED_IN_BIN = 64, 16
+#: Session setting under which Spark deletes a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The path of a new folder in the cluster's shared one, spark.checkpoint.dir. Where that is unset, a temporary folder serves if all
+    tasks run in this process; elsewhere that is an error, as machines would not see each other's files."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(folder or tempfile.gettempdir()).rstrip('/')}/cells-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared folder and read back, so that loops start from short plans and real sizes."""
+    """df written to a new shared folder and read back, so that loops start from short plans and real sizes."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
-    path = f"{folder}/cells-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, before = new_folder(spark), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def squared_distance(xa: str, ya: str, xb: str, yb: str) -> Column:
+    """In doubles: exact for whole positions that lie up to 2^26 apart, where 32-bit integers would overflow from 2^15 on."""
+    dx, dy = (F.col(a).cast("double") - F.col(b).cast("double") for a, b in ((xa, xb), (ya, yb)))
+    return dx * dx + dy * dy
+
+
 def _around(points: DataFrame) -> DataFrame:
     """Each point once for each of the nine bins around its own."""
     step = F.array(*(F.lit(i) for i in (-1, 0, 1)))
@@ -37,33 +62,58 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, keep_left: tu
         return d.select("specimen", F.col("structure").alias(name), F.col("x").alias(f"x{name}"), F.col("y").alias(f"y{name}"), *keep, F.floor(F.col("x") / side).alias("bx"), F.floor(F.col("y") / side).alias("by"))
 
     pairs = binned(left, "a", keep_left).join(_around(binned(right, "b", keep_right)), ["specimen", "bx", "by"])
-    dx, dy = F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")
-    pairs = pairs.withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= radius * radius)
+    pairs = pairs.withColumn("d2", squared_distance("xa", "ya", "xb", "yb")).where(F.col("d2") <= radius * radius)
     return pairs.select("specimen", "a", "b", "d2", *keep_left, *keep_right)
 
 
-def nearest(cells: DataFrame, k: int = 6, rank_ties: str = "structure") -> DataFrame:
+def _bin_sides(c: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """(specimen, span, side): bins in which k neighbours are likely, yet no bin is crowded. span: the extent of cells and queries.
+
+    The side comes from the density of the bounding box; where cells stand closer, from the fullest bin, until no bin
+    of the specimen holds more than CROWDED cells or bins have side 1.
+    """
+    extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1)).cast("double")
+    sides = c.groupBy("specimen").agg(F.count("*").alias("n"), extent.alias("own"))
+    if queries is None:
+        sides = sides.withColumn("span", F.col("own"))
+    else:
+        both = c.select("specimen", "x", "y").union(queries.select("specimen", "x", "y"))
+        sides = sides.join(both.groupBy("specimen").agg(extent.alias("span")), "specimen")
+    sides = stored(sides.select("specimen", "span", F.greatest(F.lit(1.0), F.sqrt(0.55 * (k + 2) * F.col("own") * F.col("own") / F.col("n"))).alias("side")))
+    todo, done = sides, []
+    while True:
+        bins = c.join(todo, "specimen").groupBy("specimen", F.floor(F.col("x") / F.col("side")).alias("bx"), F.floor(F.col("y") / F.col("side")).alias("by")).count()
+        full = stored(todo.join(bins.groupBy("specimen").agg(F.max("count").alias("most")), "specimen"))
+        crowded = (F.col("most") > CROWDED) & (F.col("side") > 1)
+        done.append(full.where(~crowded).drop("most"))
+        todo = full.where(crowded).select("specimen", "span", F.greatest(F.lit(1.0), F.col("side") * F.sqrt(WANTED_IN_BIN / F.col("most"))).alias("side"))
+        if not todo.limit(1).count():
+            return reduce(DataFrame.union, done)
+
+
+def nearest(cells: DataFrame, k: int = 6, rank_ties: str = "structure", queries: DataFrame | None = None) -> DataFrame:
     """(specimen, a, b, d2, rank): the k nearest other cells of every cell, ties by the smaller id; all if there are fewer.
 
-    Bins are sized from each specimen's density so that k neighbours are likely within one bin's side; a cell that finds k within it
-    is done, as whatever it has not seen is farther. The others go on with bins of twice the side, until a bin holds the specimen.
+    queries: points (specimen, structure, x, y) to find the nearest cells of, instead of the cells themselves. A cell that finds k within its bin's
+    side is done, as whatever it has not seen is farther. The others go on with bins of three times the side, until a bin holds the specimen.
+    So a cell meets about as many others as stand in nine bins of its neighbourhood's density.
     """
-    c = cells.select("specimen", F.col(rank_ties).alias("structure"), "x", "y")
-    span = c.groupBy("specimen").agg(F.count("*").alias("n"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1)).alias("span"))
-    span = stored(span.select("specimen", "n", "span", F.greatest(F.lit(1.0), F.sqrt(0.55 * (k + 2) * F.col("span") * F.col("span") / F.col("n"))).alias("side")))
-    todo, everyone, done, factor = c, c, [], 1
+    place = lambda d: d.select("specimen", F.col(rank_ties).alias("structure"), "x", "y")
+    c = stored(place(cells))
+    todo = c if queries is None else stored(place(queries))
+    sides = _bin_sides(c, k, None if queries is None else todo)
+    everyone, done, factor = c, [], 1
     while True:
-        with_side = span.withColumn("side", F.col("side") * factor)
+        with_side = sides.withColumn("side", F.col("side") * factor)
         last = F.col("side") > F.col("span")
 
         def binned(d: DataFrame, name: str, sides: DataFrame = with_side) -> DataFrame:
             d = d.join(sides, "specimen")
-            return d.select("specimen", "side", "n", last.alias("last"), F.col("structure").alias(name), F.col("x").alias(f"x{name}"), F.col("y").alias(f"y{name}"), F.floor(F.col("x") / F.col("side")).alias("bx"), F.floor(F.col("y") / F.col("side")).alias("by"))
+            return d.select("specimen", "side", last.alias("last"), F.col("structure").alias(name), F.col("x").alias(f"x{name}"), F.col("y").alias(f"y{name}"), F.floor(F.col("x") / F.col("side")).alias("bx"), F.floor(F.col("y") / F.col("side")).alias("by"))
 
-        right = _around(binned(everyone, "b").drop("side", "n", "last"))
+        right = _around(binned(everyone, "b").drop("side", "last"))
         pairs = binned(todo, "a").join(right, ["specimen", "bx", "by"]).where("a <> b")
-        dx, dy = F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")
-        pairs = pairs.withColumn("d2", dx * dx + dy * dy).where(F.col("last") | (F.col("d2") <= F.col("side") * F.col("side")))
+        pairs = pairs.withColumn("d2", squared_distance("xa", "ya", "xb", "yb")).where(F.col("last") | (F.col("d2") <= F.col("side") * F.col("side")))
         # the bins of a are part of the key, so the rows of a cell are already together
         lists = pairs.groupBy("specimen", "bx", "by", "a").agg(F.any_value("last").alias("last"), F.slice(F.array_sort(F.collect_list(F.struct("d2", "b"))), 1, k).alias("l"))
         found = stored(lists.where(F.col("last") | (F.size("l") >= k)).select("specimen", "a", "l"))
@@ -72,8 +122,8 @@ def nearest(cells: DataFrame, k: int = 6, rank_ties: str = "structure") -> DataF
         if not todo.limit(1).count():
             break
         everyone = c.join(todo.select("specimen").distinct(), "specimen", "left_semi")
-        factor *= 2
-    lists = reduce(lambda a, b: a.union(b), done)
+        factor *= 3
+    lists = reduce(DataFrame.union, done)
     return lists.select("specimen", "a", F.posexplode("l").alias("rank", "e")).select("specimen", "a", "e.b", "e.d2", (F.col("rank") + 1).alias("rank"))
 
 

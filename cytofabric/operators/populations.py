@@ -87,7 +87,7 @@ def resolve_handles(handles: DataFrame, composites: DataFrame, channels: DataFra
     single = channels.select(F.col("target").alias("handle"), F.array("target").alias("positive"), F.array().cast("array<string>").alias("negative")).join(named.select("handle"), "handle", "left_anti")
     known = named.unionByName(single).withColumn("known", F.lit(True))
     none = F.array().cast("array<string>")
-    found = handles.join(F.broadcast(known), "handle", "left")  # metadata: one row for each phenotype or channel
+    found = handles.join(known, "handle", "left")
     return found.select("handle", F.coalesce("positive", none).alias("positive"), F.coalesce("negative", none).alias("negative"), (F.coalesce("known", F.lit(False)) | (F.col("handle") == "")).alias("known"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -38,12 +40,23 @@ def representative(cells: DataFrame, most: int = 1_000_000, seed: int = 10001, b
 
     A threshold on the seeded hash keeps a little more than is due; only what it keeps is ranked.
     """
-    take = allocation(cells.groupBy(by).agg(F.count("*").alias("n")), most, by)
+    return _taken(cells, allocation(cells.groupBy(by).agg(F.count("*").alias("n")), most, by), seed, by, key)
+
+
+def at_most(cells: DataFrame, most: int, seed: int = 10001, by: str = "specimen", key: str = "structure") -> DataFrame:
+    """Of each specimen's cells `most`, chosen by seeded hash; all if it has no more."""
+    sizes = cells.groupBy(by).agg(F.count("*").alias("n"))
+    return _taken(cells, sizes.withColumn("take", F.least("n", F.lit(most))), seed, by, key)
+
+
+def _taken(cells: DataFrame, take: DataFrame, seed: int, by: str, key: str) -> DataFrame:
+    """take: (by, n, take). Cells of a specimen that is taken whole are not ranked."""
     share = (F.col("take") + 6 * F.sqrt(F.col("take").cast("double")) + 12) / F.col("n")
     h = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40))
-    likely = cells.join(take, by).withColumn("h_", h).where(F.col("h_") <= F.least(share, F.lit(1.0)) * float(1 << 40))
+    some = cells.join(take.where("take < n"), by).withColumn("h_", h).where(F.col("h_") <= F.least(share, F.lit(1.0)) * float(1 << 40))
     rank = F.row_number().over(Window.partitionBy(by).orderBy("h_", key))
-    return likely.withColumn("rank_", rank).where(F.col("rank_") <= F.col("take")).select(*cells.columns)
+    some = some.withColumn("rank_", rank).where(F.col("rank_") <= F.col("take")).select(*cells.columns)
+    return some.union(cells.join(take.where("take >= n").select(by), by, "left_semi").select(*cells.columns))
 
 
 def uniform_ranks(cells: DataFrame, columns: Sequence[str], landmarks: int = 1000) -> DataFrame:
@@ -51,13 +64,18 @@ def uniform_ranks(cells: DataFrame, columns: Sequence[str], landmarks: int = 100
     filled = Imputer(inputCols=list(columns), outputCols=list(columns)).fit(cells.withColumns({c: F.col(c).cast("double") for c in columns}))
     x = filled.transform(cells.withColumns({c: F.col(c).cast("double") for c in columns}))
     points = F.array(*(F.lit(i / landmarks) for i in range(landmarks + 1)))
-    marks = x.agg(*(F.percentile_approx(c, points, 10 * landmarks).alias(f"marks_{c}") for c in columns))  # one row of fixed size
-    x = x.crossJoin(F.broadcast(marks))
+    marks = x.agg(*(F.percentile_approx(c, points, 10 * landmarks).alias(c) for c in columns)).first()  # one row of fixed size
 
     def rank(c: str) -> Column:
-        return F.size(F.filter(f"marks_{c}", lambda m: m < F.col(c))) / (landmarks + 1.0)
+        at = np.array(marks[c] or [])
+
+        @F.pandas_udf("double")
+        def below(v: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(at, v.to_numpy()) / (landmarks + 1.0))
+
+        return below(F.col(c))
 
-    return x.withColumns({c: rank(c) for c in columns}).drop(*(f"marks_{c}" for c in columns))
+    return x.withColumns({c: rank(c) for c in columns})
 
 
 def layout(cells: DataFrame, columns: Sequence[str], extent: float = 5000.0) -> DataFrame:

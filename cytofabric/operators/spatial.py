@@ -76,10 +76,11 @@ def enrichment(cells: DataFrame, edges: DataFrame, pair: tuple[int, int] | None
         a, b = pair
         per = per.withColumns({"one": F.get(F.filter("l", lambda s: s.label == a), F.lit(0)), "two": F.get(F.filter("l", lambda s: s.label == b), F.lit(0))})
     per = stored(per.select("specimen", "n", F.col("one.label").alias("l1"), F.col("two.label").alias("l2"), F.col("one.c").cast("double").alias("na"), F.col("two.c").cast("double").alias("nb")))
-    seen = _labelled_edges(cells, edges).join(per.select("specimen", "l1", "l2"), "specimen")
-    observed = seen.groupBy("specimen").agg(F.count("*").cast("double").alias("s0"), F.sum(F.when((F.col("la") == F.col("l1")) & (F.col("lb") == F.col("l2")), 1).otherwise(0)).cast("double").alias("observed"))
-    back = edges.select("specimen", F.col("b").alias("a"), F.col("a").alias("b"))
-    rec = edges.join(back, ["specimen", "a", "b"]).groupBy("specimen").agg(F.count("*").cast("double").alias("rec"))
+    by_label = _labelled_edges(cells, edges).groupBy("specimen", "la", "lb").agg(F.count("*").alias("m"))
+    seen = by_label.join(per.select("specimen", "l1", "l2"), "specimen")
+    observed = seen.groupBy("specimen").agg(F.sum("m").cast("double").alias("s0"), F.sum(F.when((F.col("la") == F.col("l1")) & (F.col("lb") == F.col("l2")), F.col("m")).otherwise(0)).cast("double").alias("observed"))
+    both_ways = edges.groupBy("specimen", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count("*").alias("m"))
+    rec = both_ways.groupBy("specimen").agg(F.sum(F.when(F.col("m") == 2, 2).otherwise(0)).cast("double").alias("rec"))
     degrees = edges.select("specimen", F.col("a").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("specimen", "b", F.lit(0), F.lit(1)))
     degrees = degrees.groupBy("specimen", "v").agg(F.sum("o").cast("double").alias("o"), F.sum("i").cast("double").alias("i"))
     sums = degrees.groupBy("specimen").agg(F.sum(F.col("o") * F.col("o")).alias("oo"), F.sum(F.col("i") * F.col("i")).alias("ii"), F.sum(F.col("o") * F.col("i")).alias("oi"))
@@ -120,12 +121,12 @@ def moran(cells: DataFrame, edges: DataFrame, value: str = "label") -> DataFrame
     p is null where it is not a number or 0, as for a constant value or fewer than 2 cells.
     """
     v = cells.select("specimen", "structure", F.col(value).cast("double").alias("v"))
-    mean = v.groupBy("specimen").agg(F.count("*").cast("double").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("var"))
-    weight = edges.groupBy("specimen", "a").agg(F.count("*").alias("deg"))
-    w = edges.join(weight, ["specimen", "a"]).select("specimen", "a", "b", (1 / F.col("deg")).alias("w"))
+    mean = stored(v.groupBy("specimen").agg(F.count("*").cast("double").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("var")))
     z = v.join(mean, "specimen").select("specimen", "structure", (F.col("v") - F.col("m")).alias("z"))
-    a, b = (z.withColumnRenamed("structure", s).withColumnRenamed("z", f"z{s}") for s in "ab")
-    inner = w.join(a, ["specimen", "a"]).join(b, ["specimen", "b"]).groupBy("specimen").agg(F.sum(F.col("w") * F.col("za") * F.col("zb")).alias("wzz"), F.sum("w").alias("s0"))
+    weight = edges.groupBy("specimen", "a").agg(F.count("*").alias("deg")).join(z.select("specimen", F.col("structure").alias("a"), F.col("z").alias("za")), ["specimen", "a"])
+    w = edges.join(weight, ["specimen", "a"]).join(z.select("specimen", F.col("structure").alias("b"), F.col("z").alias("zb")), ["specimen", "b"])
+    w = stored(w.select("specimen", "a", "b", (1 / F.col("deg")).alias("w"), (F.col("za") * F.col("zb") / F.col("deg")).alias("wzz")))
+    inner = w.groupBy("specimen").agg(F.sum("wzz").alias("wzz"), F.sum("w").alias("s0"))
     both = w.select("specimen", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("specimen", "a", "b").agg(F.sum("w").alias("w"))
     s1 = both.groupBy("specimen").agg(F.sum(F.col("w") * F.col("w")).alias("s1"))  # (w_ij + w_ji)^2, each pair twice, over 2
     ends = w.select("specimen", F.col("a").alias("v"), "w").union(w.select("specimen", "b", "w")).groupBy("specimen", "v").agg(F.sum("w").alias("w"))
@@ -176,56 +177,71 @@ def convex_hulls(cells: DataFrame) -> DataFrame:
     return corners.groupBy("specimen").applyInPandas(whole, "specimen long, hull array<double>")
 
 
-def ripley_f(cells: DataFrame, label: int = 1, steps: int = 100, simulations: int = 100, points: int = 1000, seed: int = 0) -> DataFrame:
+def ripley_f(cells: DataFrame, label: int | None = None, steps: int = 100, simulations: int = 100, points: int = 1000, seed: int = 0) -> DataFrame:
     """(specimen, radius, area): Ripley's F of a label's cells: how far random points of the hull are from them.
 
-    p of each distance is the share of patterns whose F is less than the observed, which counts as one of them; simulated patterns are
-    `points` uniform points in the hull each, and all are probed with the same random points as the cells. The summary radius is sum(p * distance) / sum(p), to one decimal. Seeded by specimen. Null without cells of the label or area.
-    A task holds one specimen's hull and its cells of the label; simulation is independent for each specimen.
+    F of a distance is the share of the distances from `points` random points to their two nearest cells that are no larger, among those up to a quarter of
+    sqrt(area / 2). p of a distance is the share of patterns whose F is less than the observed, which counts as one of them; a simulated pattern is
+    `points` uniform points of the hull, of which only the nearest to each of the same random points counts. The summary is
+    sum(p * distance) / sum(p), to one decimal. label None: the smallest that the specimen has. Null without two cells of the label or an area.
+
+    The cells meet the random points in grid bins, so a specimen of any size spreads; each simulation is a row of its own,
+    which holds two fixed numbers of points. Seeded by specimen and simulation.
     """
-    hulls = convex_hulls(cells)
-    own = cells.where(F.col("label") == label).select("specimen", "x", "y").groupBy("specimen").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("at"))
-    rows = hulls.join(own, "specimen", "left")
+    own = cells.where(F.col("label") == label) if label is not None else cells.join(cells.groupBy("specimen").agg(F.min("label").alias("least")), "specimen").where("label = least")
+    own = stored(own.select("specimen", "structure", "x", "y"))
+
+    @F.pandas_udf("double")
+    def area(hull: pd.Series) -> pd.Series:
+        return hull.map(lambda h: _area(np.reshape(h, (-1, 2)))).astype(float)
+
+    @F.pandas_udf("array<array<double>>")
+    def probes(specimen: pd.Series, hull: pd.Series) -> pd.Series:
+        return pd.Series([_uniform(np.reshape(h, (-1, 2)), points, [seed, int(s)]).tolist() for s, h in zip(specimen, hull, strict=True)])
+
+    hulls = stored(convex_hulls(cells).withColumn("area", area("hull")))
+    used = hulls.where("area > 0").join(own.groupBy("specimen").count().where("count > 1"), "specimen", "left_semi")
+    asked = used.select("specimen", F.posexplode(probes("specimen", "hull")).alias("at", "p")).select("specimen", (-1 - F.col("at")).cast("long").alias("structure"), F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    distances = nearest(own, 2, queries=asked).groupBy("specimen").agg(F.collect_list(F.sqrt("d2")).alias("d"))  # 2 * points of them
+
+    @F.pandas_udf("array<int>")
+    def below(specimen: pd.Series, hull: pd.Series, area: pd.Series, d: pd.Series, turn: pd.Series) -> pd.Series:
+        out = []
+        for s, h, a, own, t in zip(specimen, hull, area, d, turn, strict=True):
+            h, bins = np.reshape(h, (-1, 2)), np.linspace(0, math.sqrt(a / 2) / 4, steps)
+            asked, pattern = _uniform(h, points, [seed, int(s)]), _uniform(h, points, [seed, int(s), int(t) + 1])
+            near = [np.sqrt(((part[:, None] - pattern[None]) ** 2).sum(2).min(1)) for part in np.array_split(asked, max(1, points * points // 1_000_000))]
+            out.append((_f_curve(np.concatenate(near), bins) < _f_curve(np.asarray(own), bins)).astype(int).tolist())
+        return pd.Series(out)
+
+    rows = used.join(distances, "specimen").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1)))).repartition("specimen", "turn")
+    lower = rows.select("specimen", "area", F.posexplode(below("specimen", "hull", "area", "d", "turn")).alias("at", "hit")).groupBy("specimen", "area", "at").agg(F.sum("hit").alias("hits"))
+    p, distance = (1 + F.col("hits")) / (simulations + 1), F.col("at") * F.sqrt(F.col("area") / 2) / 4 / (steps - 1)
+    summary = lower.groupBy("specimen").agg(F.round(F.sum(p * distance) / F.sum(p), 1).alias("radius"))
+    return hulls.select("specimen", "area").join(summary, "specimen", "left").select("specimen", "radius", "area")
+
+
+def _area(h: np.ndarray) -> float:
+    x, y = h[:, 0], h[:, 1]
+    return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2 if len(h) > 2 else 0.0
 
-    @F.pandas_udf("struct<radius:double,area:double>")
-    def summarise(specimen: pd.Series, hull: pd.Series, at: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_summary_radius(int(s), h, a, steps, simulations, points, seed) for s, h, a in zip(specimen, hull, at, strict=True)], columns=["radius", "area"])
 
-    return rows.select("specimen", summarise("specimen", "hull", "at").alias("r")).select("specimen", "r.radius", "r.area")
+def _uniform(h: np.ndarray, n: int, seed: list[int]) -> np.ndarray:
+    """n uniform points of a convex polygon: of a triangle of its fan in proportion to area, then within it."""
+    rng = np.random.default_rng([abs(v) for v in seed])
+    one, two = h[1:-1] - h[0], h[2:] - h[0]
+    size = np.abs(one[:, 0] * two[:, 1] - one[:, 1] * two[:, 0])
+    t = rng.choice(len(size), n, p=size / size.sum())
+    u = rng.random((n, 2))
+    u = np.where(u.sum(1, keepdims=True) > 1, 1 - u, u)
+    return h[0] + one[t] * u[:, :1] + two[t] * u[:, 1:]
 
 
-def _summary_radius(specimen: int, hull, at, steps: int, simulations: int, points: int, seed: int) -> tuple:
-    h = np.asarray(hull, float).reshape(-1, 2)
-    if len(h) < 3:
-        return None, 0.0
-    x, y = h[:, 0], h[:, 1]
-    area = abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
-    if at is None or not len(at) or not area:
-        return None, area
-    own = np.array([[p["x"], p["y"]] for p in at], float)
-    rng = np.random.default_rng([seed, specimen])
-    fans = np.array([[h[0], h[i], h[i + 1]] for i in range(1, len(h) - 1)])
-    u_, v_ = fans[:, 1] - fans[:, 0], fans[:, 2] - fans[:, 0]
-    size = np.abs(u_[:, 0] * v_[:, 1] - u_[:, 1] * v_[:, 0]) / 2
-
-    def uniform(n: int) -> np.ndarray:
-        t = fans[rng.choice(len(fans), n, p=size / size.sum())]
-        u = np.sort(rng.random((n, 2)), axis=1)
-        return t[:, 0] * u[:, :1] + t[:, 1] * (u[:, 1:] - u[:, :1]) + t[:, 2] * (1 - u[:, 1:])
-
-    bins = np.linspace(0, math.sqrt(area / 2) / 4, steps)
-
-    def f(pattern: np.ndarray, probes: np.ndarray) -> np.ndarray:
-        d = np.concatenate([np.sqrt(((part[:, None] - pattern[None]) ** 2).sum(2).min(1)) for part in np.array_split(probes, max(1, len(probes) * len(pattern) // 2_000_000))])
-        return np.searchsorted(np.sort(d), bins, "right") / len(d)
-
-    probes = uniform(points)
-    observed = f(own, probes)
-    below = np.ones(steps)
-    for _ in range(simulations):
-        below += f(uniform(points), probes) < observed
-    p = below / (simulations + 1)
-    return (round(float((p * bins).sum() / p.sum()), 1) if p.sum() else None), area
+def _f_curve(distances: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """At each bin's edge the share of the distances in the bins that lie below it; 0 at the first; NaN if none lies in them."""
+    counts = np.histogram(distances, bins)[0]
+    with np.errstate(invalid="ignore"):
+        return np.concatenate([[0.0], np.cumsum(counts) / counts.sum()])
 
 
 def region_enrichment_counts(cells: DataFrame, region: Column, phenotype: Signature) -> DataFrame:

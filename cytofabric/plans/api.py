@@ -12,9 +12,9 @@ from ..operators import populations as P
 from ..operators import sampling as K
 from ..operators import spatial as S
 from ..operators.features import importance_enrichment
-from ..operators.neighbors import stored
+from ..operators.neighbors import new_folder, stored
 from ..sources.tables import CELLS, CHANNELS, cells, table
-from ..streaming.incremental import event_counts, signature_counts
+from ..streaming.incremental import event_counts, ingest_once, keep_features_up_to_date, signature_counts
 from .populations import SIGNATURES
 from .registry import query
 
@@ -88,6 +88,33 @@ def channel_annotations(members: DataFrame) -> DataFrame:
     return members.groupBy("group", "color").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
 
 
+def study_summary(studies: DataFrame, publications: DataFrame, strata: DataFrame, cells_: DataFrame, channels_: int, phenotypes: int, findings: DataFrame) -> DataFrame:
+    """One row for each study: study, institution, contact, assay, publications, specimens, cells, channels, phenotypes, cohorts, findings.
+
+    studies: (study, institution, contact, assay); publications (study, title); strata (study, specimen, stratum); cells_ (specimen); findings (study, id, txt).
+    publications and findings are sorted arrays, cohorts of structs (stratum, samples). Empty arrays and 0 where a study has none.
+    """
+    n = cells_.groupBy("specimen").agg(F.count("*").alias("n"))
+    sizes = strata.select("study", "specimen").distinct().join(n, "specimen", "left").groupBy("study").agg(F.count("*").alias("specimens"), F.coalesce(F.sum("n"), F.lit(0)).alias("cells"))
+    cohorts = strata.groupBy("study", "stratum").agg(F.count("*").alias("samples")).groupBy("study").agg(F.array_sort(F.collect_list(F.struct("stratum", "samples"))).alias("cohorts"))
+    titles = publications.groupBy("study").agg(F.array_sort(F.collect_set("title")).alias("publications"))
+    told = findings.groupBy("study").agg(F.array_sort(F.collect_list(F.struct("id", "txt"))).alias("told")).select("study", F.transform("told", lambda f: f.txt).alias("findings"))
+    x = studies
+    for part in (titles, sizes, cohorts, told):
+        x = x.join(part, "study", "left")
+    none = F.array().cast("array<string>")
+    return x.select(
+        "study", "institution", "contact", "assay", F.coalesce("publications", none).alias("publications"), F.coalesce("specimens", F.lit(0)).alias("specimens"), F.coalesce("cells", F.lit(0)).alias("cells"),
+        F.lit(channels_).cast("long").alias("channels"), F.lit(phenotypes).cast("long").alias("phenotypes"), F.coalesce("cohorts", F.array().cast("array<struct<stratum:string,samples:bigint>>")).alias("cohorts"), F.coalesce("findings", none).alias("findings"),
+    )
+
+
+def phenotype_criteria(composites: DataFrame, channels_: DataFrame, handles: DataFrame) -> DataFrame:
+    """(handle, positive_markers, negative_markers, known) of phenotype names, identifiers and channels: sorted arrays, empty for an unknown handle."""
+    found = P.resolve_handles(handles, composites, channels_)
+    return found.select("handle", F.array_sort("positive").alias("positive_markers"), F.array_sort("negative").alias("negative_markers"), "known")
+
+
 @query("m_study_names", "SELECT c_mktsegment || CASE WHEN c_nationkey % 5 = 0 THEN '' ELSE ' collection: t' || c_nationkey % 5 END AS handle, c_mktsegment AS display_name, CASE WHEN c_nationkey % 5 = 0 THEN '' ELSE 't' || c_nationkey % 5 END AS tag FROM customer WHERE c_nationkey % 5 IN (0, 2) GROUP BY ALL")
 def m_study_names(spark, d):
     suffix = F.when(F.col("c_nationkey") % 5 == 0, "").otherwise(F.concat(F.lit(" collection: t"), F.col("c_nationkey") % 5))
@@ -95,6 +122,38 @@ def m_study_names(spark, d):
     return study_names(studies, spark.createDataFrame([("t2",)], "tag string"))
 
 
+@query("m_study_summary", """WITH n AS (SELECT l_suppkey AS specimen, count(*) AS n FROM lineitem GROUP BY 1),
+strata AS (SELECT r_name AS study, s_suppkey AS specimen, n_name AS stratum FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+sizes AS (SELECT study, count(*) AS specimens, CAST(coalesce(sum(n), 0) AS BIGINT) AS cells FROM strata LEFT JOIN n USING (specimen) GROUP BY 1),
+cohorts AS (SELECT study, string_agg(stratum || ':' || samples, ';' ORDER BY stratum) AS cohorts FROM (SELECT study, stratum, count(*) AS samples FROM strata GROUP BY ALL) GROUP BY 1),
+told AS (SELECT r_name AS study, string_agg(DISTINCT c_mktsegment, ';' ORDER BY c_mktsegment) AS publications FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1),
+findings AS (SELECT r_name AS study, string_agg(n_name, ';' ORDER BY n_nationkey) AS findings FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0 GROUP BY 1)
+SELECT r_name AS study, 'I' || r_regionkey AS institution, coalesce(publications, '') AS publications, coalesce(specimens, 0) AS specimens, coalesce(cells, 0) AS cells, CAST(5 AS BIGINT) AS channels, CAST(4 AS BIGINT) AS phenotypes, coalesce(cohorts, '') AS cohorts, coalesce(findings, '') AS findings
+FROM region r LEFT JOIN sizes ON r_name = sizes.study LEFT JOIN cohorts ON r_name = cohorts.study LEFT JOIN told ON r_name = told.study LEFT JOIN findings ON r_name = findings.study""")
+def m_study_summary(spark, d):
+    region, nation = table(spark, d, "region"), table(spark, d, "nation")
+    of = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).withColumn("study", F.col("r_name"))
+    studies = region.select(F.col("r_name").alias("study"), F.concat(F.lit("I"), "r_regionkey").alias("institution"), F.lit("").alias("contact"), F.lit("").alias("assay"))
+    publications = table(spark, d, "customer").join(of, F.col("c_nationkey") == F.col("n_nationkey")).select("study", F.col("c_mktsegment").alias("title"))
+    strata = table(spark, d, "supplier").join(of, F.col("s_nationkey") == F.col("n_nationkey")).select("study", F.col("s_suppkey").alias("specimen"), F.col("n_name").alias("stratum"))
+    findings = of.where("n_nationkey % 2 = 0").select("study", F.col("n_nationkey").alias("id"), F.col("n_name").alias("txt"))
+    cells_ = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("specimen"))
+    x = study_summary(studies, publications, strata, cells_, len(CHANNELS), len(SIGNATURES), findings)
+    cohorts_ = F.array_join(F.transform("cohorts", lambda c: F.concat(c.stratum, F.lit(":"), c.samples)), ";")
+    return x.select("study", "institution", F.array_join("publications", ";").alias("publications"), "specimens", "cells", "channels", "phenotypes", cohorts_.alias("cohorts"), F.array_join("findings", ";").alias("findings"))
+
+
+@query("m_phenotype_criteria", """WITH p AS (SELECT p_brand AS name, min(p_type) AS low, max(p_type) AS high FROM part GROUP BY 1), t AS (SELECT DISTINCT p_type AS target FROM part), h AS (SELECT name AS handle FROM p UNION SELECT target FROM t UNION SELECT c_mktsegment FROM customer)
+SELECT handle, CASE WHEN p.name IS NOT NULL THEN low WHEN target IS NOT NULL THEN target ELSE '' END AS positive_markers, CASE WHEN p.name IS NOT NULL AND high <> low THEN high ELSE '' END AS negative_markers, p.name IS NOT NULL OR target IS NOT NULL AS known FROM h LEFT JOIN p ON handle = name LEFT JOIN t ON handle = target""")
+def m_phenotype_criteria(spark, d):
+    part = table(spark, d, "part")
+    p = part.groupBy(F.col("p_brand").alias("name")).agg(F.min("p_type").alias("low"), F.max("p_type").alias("high")).withColumn("identifier", F.hash("name"))
+    composites = p.select("identifier", "name", F.col("low").alias("marker"), F.lit("positive").alias("polarity")).union(p.where("high <> low").select("identifier", "name", "high", F.lit("negative")))
+    targets = part.select(F.col("p_type").alias("target")).distinct()
+    handles = p.select(F.col("name").alias("handle")).union(targets).union(table(spark, d, "customer").select("c_mktsegment")).distinct()
+    return phenotype_criteria(composites, targets, handles).select("handle", F.array_join("positive_markers", ";").alias("positive_markers"), F.array_join("negative_markers", ";").alias("negative_markers"), "known")
+
+
 @query("m_channels", "SELECT DISTINCT p_brand AS symbol FROM part")
 def m_channels(spark, d):
     return channels(table(spark, d, "part").select(F.col("p_brand").alias("symbol")))
@@ -142,3 +201,40 @@ def n02(spark, d):
 @query("n02_event_counts", "SELECT date_trunc('hour', ts) AS start, user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
 def n02_events(spark, d):
     return event_counts(table(spark, d, "events"))
+
+
+def _arrivals(spark, d):
+    """The events as files of one folder, as they would arrive."""
+    folder = new_folder(spark)
+    table(spark, d, "events").repartition(6, "user_id").write.parquet(f"{folder}/in")
+    return folder
+
+
+@query("n01_ingest_once", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+def n01(spark, d):
+    """Files of events are ingested, then the same and more again: each content is stored once."""
+    folder = _arrivals(spark, d)
+    of = "path string, modificationTime timestamp, length long, content binary"
+    load = lambda seen: seen.select("sha256", "path", "length")
+    for turn in range(2):
+        files = spark.readStream.format("binaryFile").schema(of).option("pathGlobFilter", "part-*").load(f"{folder}/in").select("path", "content", "length")
+        ingest_once(files, f"{folder}/store", load, f"{folder}/checkpoint{turn}").awaitTermination()
+    stored_files = spark.read.parquet(f"{folder}/store/rows").select(F.substring_index("path", "/", -1).alias("name"))
+    rows = spark.read.parquet(f"{folder}/in").select("user_id", F.col("_metadata.file_name").alias("name"))
+    return rows.join(stored_files, "name").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("n03_features_up_to_date", "SELECT event_type AS feature, user_id AS subject, count(*) AS value FROM events GROUP BY ALL")
+def n03(spark, d):
+    """Features are asked for in two streams; what the first has computed the second does not compute again."""
+    folder = _arrivals(spark, d)
+    events = spark.read.parquet(f"{folder}/in")
+    expected = events.select(F.col("event_type").alias("feature"), F.col("user_id").alias("subject")).distinct()
+    spark.createDataFrame([], "feature string, subject long, value long").write.parquet(f"{folder}/values")
+    compute = lambda due: due.join(events.groupBy(F.col("event_type").alias("feature"), F.col("user_id").alias("subject")).agg(F.count("*").alias("value")), ["feature", "subject"])
+    for turn in range(2):
+        requests = spark.readStream.schema(events.schema).parquet(f"{folder}/in").select(F.col("event_type").alias("feature"))
+        requests = requests.where("feature < 'm'") if turn == 0 else requests
+        append = lambda rows, number: rows.select("feature", F.col("subject").cast("long").alias("subject"), "value").write.mode("append").parquet(f"{folder}/values")
+        keep_features_up_to_date(requests, expected, lambda s: s.read.parquet(f"{folder}/values"), compute, append, f"{folder}/checkpoint{turn}").awaitTermination()
+    return spark.read.parquet(f"{folder}/values")

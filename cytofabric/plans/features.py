@@ -133,3 +133,21 @@ def i06(spark, d):
 def i07(spark, d):
     x = L.importance_enrichment(cells(spark, d), F.col("l_extendedprice") > 50000, P.matches(F.col("mask"), *SIGNATURES["bulk"]))
     return x.select("specimen", "a", "b", "c", "d", F.round("fraction", 9).alias("fraction"))
+
+
+_RUNS = "SELECT event_type AS plugin, event_id AS run, CAST(user_id % 3 AS VARCHAR) AS version, CASE WHEN user_id % 2 = 0 THEN 'cohort' ELSE 'outcome' END AS stratifier FROM events"
+
+
+@query("e06_latest_run_of", f"WITH r AS ({_RUNS}) SELECT plugin, CAST(max(run) AS BIGINT) AS run, '1' AS version, 'cohort' AS stratifier FROM r WHERE plugin = 'click' AND version = '1' AND stratifier = 'cohort' GROUP BY 1")
+def e06_of(spark, d):
+    runs = table(spark, d, "events").select(F.col("event_type").alias("plugin"), F.col("event_id").cast("long").alias("run"), (F.col("user_id") % 3).cast("string").alias("version"), F.when(F.col("user_id") % 2 == 0, "cohort").otherwise("outcome").alias("stratifier"))
+    return L.latest_run(runs, "click", version="1", stratifier="cohort")
+
+
+@query("l10_importance_features", f"""WITH cells AS ({CELLS}), s AS (SELECT CASE WHEN (mask & 1) = 1 THEN 'one' ELSE 'two' END AS plugin, CAST(structure % 2 AS VARCHAR) AS run, specimen, structure, l_extendedprice AS importance FROM cells),
+f AS (SELECT sha256('gnn importance score' || chr(31) || plugin || chr(30) || run || chr(30) || '1.0' || chr(30) || 'cohort' || chr(31)) AS feature, * FROM s)
+SELECT feature, structure AS subject, CAST(row_number() OVER (PARTITION BY feature, specimen ORDER BY importance DESC, structure) AS INT) AS value FROM f QUALIFY value <= 20""")
+def l10(spark, d):
+    c = cells(spark, d)
+    scores = c.select(F.when(F.col("mask").bitwiseAND(1) == 1, "one").otherwise("two").alias("plugin"), (F.col("structure") % 2).cast("string").alias("run"), F.lit("1.0").alias("version"), F.lit("cohort").alias("stratifier"), "specimen", "structure", F.col("l_extendedprice").alias("importance"))
+    return L.importance_features(scores, 20)[1]

@@ -117,11 +117,20 @@ def j10(spark, d):
     return R.roi_graphs(c, R.place_rois(c, _target(), 200), 5, 100)[1]
 
 
-@query("j11_split_datasets", "SELECT label, CAST(100 AS BIGINT) AS percent, count(*) AS specimens FROM (SELECT CAST(s_nationkey % 5 AS VARCHAR) AS label FROM supplier) GROUP BY 1")
+@query("j11_split_datasets", """WITH s AS (SELECT s_suppkey AS specimen, CAST(s_nationkey % 5 AS VARCHAR) AS label, s_suppkey % 4 + 1 AS rois FROM supplier),
+m AS (SELECT label, median(rois) AS med, sum(rois) AS everything, count(*) AS many FROM s GROUP BY 1),
+o AS (SELECT s.*, everything, many, row_number() OVER w AS place, sum(rois) OVER w AS so_far FROM s JOIN m USING (label) WINDOW w AS (PARTITION BY label ORDER BY rois < 10 * med, md5(specimen || '/0'), specimen ROWS UNBOUNDED PRECEDING))
+SELECT specimen, label, rois, CASE WHEN many = 2 THEN CASE WHEN place = 1 THEN 'train' ELSE 'test' END WHEN place = 1 THEN 'train' WHEN place = 2 THEN 'validation' WHEN place = 3 THEN 'test'
+  WHEN so_far / everything <= 0.7 THEN 'train' WHEN so_far / everything <= 0.85 THEN 'validation' ELSE 'test' END AS part FROM o""")
 def j11(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("specimen"), (F.col("s_nationkey") % 5).cast("string").alias("label"), (F.col("s_suppkey") % 4 + 1).alias("rois"))
-    out = R.split_datasets(s)
-    return out.groupBy("label").agg(F.round(100 * F.avg(F.col("set").isin("train", "validation", "test").cast("double"))).cast("long").alias("percent"), F.count("*").alias("specimens"))
+    return R.split_datasets(s).withColumnRenamed("set", "part")
+
+
+@query("b19_labelled_specimens", f"{_C} SELECT specimen, structure FROM cells JOIN supplier ON specimen = s_suppkey WHERE s_nationkey % 5 <> 0")
+def b19(spark, d):
+    labels = table(spark, d, "supplier").select(F.col("s_suppkey").alias("specimen"), F.when(F.col("s_nationkey") % 5 != 0, F.col("s_nationkey")).alias("label"))
+    return R.labelled_specimens(cells(spark, d), labels).select("specimen", "structure")
 
 
 @query("d21_stitched", "SELECT l_suppkey AS specimen, l_partkey AS structure, max(l_extendedprice) AS importance FROM lineitem GROUP BY ALL")

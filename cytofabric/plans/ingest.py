@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import ingest as A
-from ..sources.tables import table
+from ..operators.neighbors import new_folder
+from ..sources.tables import CELLS, cells, read_cells, store_cells, table
 from .registry import query
 
 
@@ -75,3 +76,26 @@ def d16(spark, d):
 @query("d28_single_value", "SELECT min(c_mktsegment) AS value, count(DISTINCT c_mktsegment) > 1 AS several FROM customer WHERE c_mktsegment <> 'AUTOMOBILE'")
 def d28(spark, d):
     return A.single_value(table(spark, d, "customer").select(F.when(F.col("c_mktsegment") == "AUTOMOBILE", "").otherwise(F.col("c_mktsegment")).alias("v")), "v")
+
+
+@query("a05_bundle_to_cells", """WITH f AS (SELECT DISTINCT l_suppkey % 4 AS file, l_partkey, l_suppkey, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS b, CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END AS t, l_tax FROM lineitem)
+SELECT file, count(*) AS cells, CAST(sum(b + 2 * t) AS BIGINT) AS masks, round(sum(l_partkey + 2.0), 6) AS xs, round(sum(l_suppkey + 1.0), 6) AS ys, round(sum(l_tax), 4) AS taxes FROM f GROUP BY 1""")
+def a05(spark, d):
+    """Cell files are written as a bundle has them, read back, and become cells."""
+    rows, folder = table(spark, d, "lineitem"), new_folder(spark)
+    bundle = rows.select(
+        (F.col("l_suppkey") % 4).alias("file"), F.col("l_partkey").alias("XMin"), (F.col("l_partkey") + 4).alias("XMax"), F.col("l_suppkey").alias("YMin"), (F.col("l_suppkey") + 2).alias("YMax"),
+        (F.col("l_quantity") > 25).cast("int").alias("BULK_Positive"), (F.col("l_tax") > 0.04).cast("int").alias("TAXED Positive"), F.col("l_tax").alias("TAXED Intensity"),
+    )
+    bundle.write.partitionBy("file").csv(folder, header=True)
+    read = A.cell_manifests(spark, folder).withColumn("source", F.col("file").cast("string")).dropDuplicates()  # a partitioned folder: its parts are one file
+    c = A.cells_of(read, ["TAXED", "BULK"])
+    return c.groupBy(F.col("source").cast("int").alias("file")).agg(F.count("*").alias("cells"), F.sum("mask").alias("masks"), F.round(F.sum("x"), 6).alias("xs"), F.round(F.sum("y"), 6).alias("ys"), F.round(F.sum(F.col("intensity")[1]), 4).alias("taxes"))
+
+
+@query("c03_stored_cells", f"WITH cells AS ({CELLS}) SELECT specimen, structure, mask FROM cells WHERE specimen IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def c03(spark, d):
+    """Cells are stored by specimen; those of some specimens are read, from their folders only."""
+    folder = new_folder(spark)
+    store_cells(cells(spark, d).select("specimen", "structure", "mask"), folder)
+    return read_cells(spark, folder, table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("specimen"))).select(F.col("specimen").cast("long").alias("specimen"), "structure", "mask")

@@ -27,15 +27,17 @@ def labelled(spark, d):
     return c.select("specimen", "structure", "x", "y", "mask", S.labels(F.col("mask"), [_BULK, _RET]).alias("label"))
 
 
-@query("c07_radius_pairs", f"{_C} SELECT a.specimen, a.structure AS a, b.structure AS b, {_D2} AS d2 FROM cells a JOIN cells b ON a.specimen = b.specimen AND {_W['ret'].format('a')} AND {_W['bulk'].format('b')} WHERE {_D2} <= 900")
+@query("c07_radius_pairs", f"""{_C}, l AS MATERIALIZED (SELECT specimen, structure, x, y, x // 30 AS i, y // 30 AS j FROM cells a WHERE {_W['ret'].format('a')}),
+r AS MATERIALIZED (SELECT specimen, structure, x, y, x // 30 + u AS i, y // 30 + v AS j FROM cells b, (VALUES (-1), (0), (1)) AS s(u), (VALUES (-1), (0), (1)) AS t(v) WHERE {_W['bulk'].format('b')})
+SELECT a.specimen, a.structure AS a, b.structure AS b, {_D2} AS d2 FROM l a JOIN r b ON a.specimen = b.specimen AND a.i = b.i AND a.j = b.j WHERE {_D2} <= 900""")
 def c07(spark, d):
     c = cells(spark, d)
-    return N.radius_pairs(c.where(S.matches(F.col("mask"), *_RET)), c.where(S.matches(F.col("mask"), *_BULK)), 30)
+    return N.radius_pairs(c.where(S.matches(F.col("mask"), *_RET)), c.where(S.matches(F.col("mask"), *_BULK)), 30).withColumn("d2", F.col("d2").cast("int"))
 
 
 @query("c08_nearest_six", f"{_NEAR} SELECT specimen, a, b, d2, rank FROM edges")
 def c08(spark, d):
-    return N.nearest(cells(spark, d), 6)
+    return N.nearest(cells(spark, d), 6).withColumn("d2", F.col("d2").cast("int"))
 
 
 @query("c09_one_to_one", f"""{_C}, l AS (SELECT * FROM cells WHERE {_W['ret'].format('cells')}), r AS (SELECT * FROM cells WHERE {_W['bulk'].format('cells')}),
@@ -44,7 +46,7 @@ best AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY d2,
 SELECT l.specimen, l.structure AS a, coalesce(b, -1) AS b, coalesce(d2, -1) AS d2, CASE WHEN b IS NULL THEN 'unmatched' WHEN count(*) OVER (PARTITION BY b) > 1 THEN 'duplicate' ELSE '' END AS problem FROM l LEFT JOIN best ON l.structure = best.a""")
 def c09(spark, d):
     c = cells(spark, d)
-    return N.match_one_to_one(c.where(S.matches(F.col("mask"), *_RET)), c.where(S.matches(F.col("mask"), *_BULK)), 10).fillna(-1, ["b", "d2"]).fillna("", ["problem"])
+    return N.match_one_to_one(c.where(S.matches(F.col("mask"), *_RET)), c.where(S.matches(F.col("mask"), *_BULK)), 10).withColumn("d2", F.col("d2").cast("int")).fillna(-1, ["b", "d2"]).fillna("", ["problem"])
 
 
 def _prox(name, a, b, r):
@@ -102,7 +104,7 @@ def j07(spark, d):
 
 @query("j08_ripley_f")
 def j08(spark, d):
-    return S.ripley_f(labelled(spark, d), label=1)
+    return S.ripley_f(labelled(spark, d))
 
 
 @query("i08_region_enrichment", f"{_C} SELECT specimen, count(*) FILTER (x < 500 AND (mask & 20) = 20 AND (mask & 1) = 0) AS a, count(*) FILTER (x < 500 AND NOT ((mask & 20) = 20 AND (mask & 1) = 0)) AS b, count(*) FILTER (x >= 500 AND (mask & 20) = 20 AND (mask & 1) = 0) AS c, count(*) FILTER (x >= 500 AND NOT ((mask & 20) = 20 AND (mask & 1) = 0)) AS d, TRUE AS p_in_range FROM cells GROUP BY 1")

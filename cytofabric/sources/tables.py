@@ -64,3 +64,15 @@ def interventions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, DIAGNOSES, "events")
+
+
+def store_cells(rows: DataFrame, path: str) -> None:
+    """Write cells in folders by specimen, so that a request for some specimens reads no others. Rows are dealt by specimen first, a
+    large one to several tasks, so that no folder gets a file of every task."""
+    rows.hint("rebalance", "specimen").write.mode("overwrite").partitionBy("specimen").parquet(path)
+
+
+def read_cells(spark: SparkSession, path: str, specimens: DataFrame | None = None) -> DataFrame:
+    """Cells that store_cells() wrote; specimens: those of this table (specimen) only, whose folders alone are read."""
+    rows = spark.read.parquet(path)
+    return rows if specimens is None else rows.join(specimens.select("specimen").distinct(), "specimen", "left_semi")

@@ -27,20 +27,19 @@ def event_counts(events: DataFrame, delay: str = "10 minutes", width: str = "1 h
 def ingest_once(files: DataFrame, store: str, load: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Append load(rows) of each new content to store, exactly once for each hash.
 
-    files: a stream (path, content) as from the binaryFile source. Each batch meets the hashes already stored by an anti-join; a batch
-    that is run again writes to its own folder again, so nothing is doubled.
+    files: a stream (path, content) as from the binaryFile source. Each batch meets the hashes already stored, which lie by themselves in
+    store/hashes, by an anti-join; a batch that is run again writes to its own folders again, so nothing is doubled. Rows are in store/rows.
     """
+    known_of = "sha256 string, batch long"
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         seen = batch.withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["sha256"])
-        try:
-            known = spark.read.parquet(store).where(F.col("batch") != number).select("sha256").distinct()
-            seen = seen.join(known, "sha256", "left_anti")
-        except Exception as problem:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
-                raise
-        load(seen).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        spark.createDataFrame([], known_of).write.mode("append").partitionBy("batch").parquet(f"{store}/hashes")  # makes the folder, no rows
+        known = spark.read.schema(known_of).parquet(f"{store}/hashes").where(F.col("batch") != number)
+        seen = seen.join(known.select("sha256"), "sha256", "left_anti")
+        load(seen).write.mode("overwrite").parquet(f"{store}/rows/batch={number}")
+        seen.select("sha256").write.mode("overwrite").parquet(f"{store}/hashes/batch={number}")
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
