@@ -41,6 +41,12 @@ def values_of(values: DataFrame, feature: str) -> DataFrame:
     return values.where(F.col("feature") == feature).select("subject", json_number(F.col("value")).alias("value")).orderBy("subject")
 
 
+def staged(values: DataFrame, n_specifiers: int) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) of values (specifiers, subject, value): accepted have n_specifiers specifiers, as their method says, none of them null."""
+    good = F.coalesce((F.size("specifiers") == n_specifiers) & ~F.exists("specifiers", lambda s: s.isNull()), F.lit(False))
+    return values.where(good), values.where(~good)
+
+
 def without_features(values: DataFrame, features: DataFrame) -> DataFrame:
     return values.join(features.select("feature"), "feature", "left_anti")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .neighbors import stored
 from .populations import Signature, matches
+from .sampling import at_most
 
 
 def segment_means(pixels: DataFrame, channels: Sequence[str]) -> DataFrame:
@@ -50,6 +51,11 @@ def discordance(cells: DataFrame, assigned: Mapping[str, str], signatures: Mappi
     return sums.select(by, "candidate", distance.alias("distance"))
 
 
+def gate_subsample(cells: DataFrame, most: int = 1000, by: str = "sample", key: str = "structure") -> DataFrame:
+    """Of each sample's cells at most `most`, chosen by seeded hash of key: what gate_search() needs look at of large samples."""
+    return at_most(cells, most, by=by, key=key)
+
+
 def gate_search(cells: DataFrame, assigned: Mapping[str, str], signatures: Mapping[str, tuple[Sequence[str], Sequence[str]]], channels: Sequence[str], steps: int = 16, rounds: int = 2, by: str = "sample") -> DataFrame:
     """(by, channel, final, single, mean): gates that agree best with assigned calls.
 

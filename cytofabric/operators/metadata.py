@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,23 @@ def json_annotations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"groups": groups, "aliases": rows.select(F.explode("j.aliases").alias("alias", "channel"))}
 
 
+def replaced(artifacts: DataFrame, new: DataFrame) -> DataFrame:
+    """artifacts with those of each study in new replaced by the new ones; other studies keep theirs. Both: (study, id, text)."""
+    return artifacts.join(new.select("study").distinct(), "study", "left_anti").select("study", "id", "text").union(new.select("study", "id", "text"))
+
+
+def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table_name, n)."""
+    return reduce(DataFrame.union, [t.agg(F.lit(name).alias("table_name"), F.count("*").alias("n")) for name, t in tables.items()])
+
+
+def count_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(table_name, n_before, n_after, change) of tables whose count an import has changed; a table that was not there had none."""
+    both = after.select("table_name", F.col("n").alias("n_after")).join(before.select("table_name", F.col("n").alias("n_before")), "table_name", "full")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return both.select("table_name", zero("n_before").alias("n_before"), zero("n_after").alias("n_after"), (zero("n_after") - zero("n_before")).alias("change")).where("change <> 0")
+
+
 def canonical_plugin(name: Column) -> Column:
     return F.coalesce(F.nullif(code(F.lower(name), PLUGINS), F.lit("")), name)
 

@@ -170,6 +170,20 @@ def phenotype_presence(calls: DataFrame, studies: Sequence[str]) -> DataFrame:
     return wide.withColumn("studies", reduce(lambda a, b: a + b, (F.col(f"`{s}`") for s in studies)).cast("long"))
 
 
+def study_channels(channels: DataFrame, merged: Mapping[str, Sequence[str]], computed: Sequence[str] = ()) -> DataFrame:
+    """Distinct (study, symbol) of channels (study, symbol, mechanism): names in merged become the several they stand for, mechanisms in computed go."""
+    kept = channels.where(~F.coalesce(F.col("mechanism").isin(*computed), F.lit(False))) if computed else channels
+    parts = F.array(F.col("symbol"))
+    for name, several in merged.items():
+        parts = F.when(F.col("symbol") == name, F.array(*map(F.lit, several))).otherwise(parts)
+    return kept.select("study", F.explode(parts).alias("symbol")).distinct()
+
+
+def in_one_study(presence: DataFrame) -> DataFrame:
+    """Channels of phenotype_presence() that a single study has."""
+    return presence.where("studies = 1")
+
+
 def in_every_file(headers: DataFrame) -> DataFrame:
     """(kind, channel) that all files have, from rows (file, header): X Positive, X Intensity, X Cell Intensity."""
     n = headers.agg(F.count_distinct("file").alias("files"))

@@ -151,3 +151,11 @@ def l10(spark, d):
     c = cells(spark, d)
     scores = c.select(F.when(F.col("mask").bitwiseAND(1) == 1, "one").otherwise("two").alias("plugin"), (F.col("structure") % 2).cast("string").alias("run"), F.lit("1.0").alias("version"), F.lit("cohort").alias("stratifier"), "specimen", "structure", F.col("l_extendedprice").alias("importance"))
     return L.importance_features(scores, 20)[1]
+
+
+@query("l02_staged_values", "SELECT o_orderstatus = 'F' AS accepted, count(*) AS n FROM orders GROUP BY 1")
+def l02(spark, d):
+    o = table(spark, d, "orders")
+    specifiers = F.when(F.col("o_orderstatus") == "F", F.array("o_orderpriority", "o_orderstatus")).when(F.col("o_orderstatus") == "O", F.array("o_orderstatus")).otherwise(F.array(F.lit(None), "o_orderstatus"))
+    good, bad = L.staged(o.select(specifiers.alias("specifiers"), F.col("o_orderkey").alias("subject"), F.lit(1.0).alias("value")), 2)
+    return good.select(F.lit(True).alias("accepted")).union(bad.select(F.lit(False))).groupBy("accepted").agg(F.count("*").alias("n"))

@@ -47,6 +47,12 @@ def i13(spark, d):
     return G.gate_search(_samples(spark, d), {n: n for n in _SIGS}, _SIGS, ["BULK", "TAXED"])
 
 
+@query("k06_gate_subsample", "SELECT l_suppkey AS sample, least(count(*), 40) AS n FROM lineitem GROUP BY 1")
+def k06(spark, d):
+    """How many cells of each sample the gate search would get, were 40 its limit (1000 by default)."""
+    return G.gate_subsample(cells(spark, d).select(F.col("specimen").alias("sample"), "structure"), 40).groupBy("sample").agg(F.count("*").alias("n"))
+
+
 def _standard(spark, d):
     c = cells(spark, d).select(F.col("specimen").alias("sample"), F.lit("price").alias("channel"), F.col("l_extendedprice").cast("double").alias("v"))
     m = c.groupBy("sample", "channel").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))

@@ -106,3 +106,11 @@ def l03(spark, d):
 def l06(spark, d):
     o = table(spark, d, "orders").select(F.lit("gnn importance score").alias("method"), F.array(F.when(F.col("o_orderpriority") == "1-URGENT", "CGGNN").otherwise(F.col("o_orderpriority"))).alias("specifiers"))
     return M.available_plugins(o).select(M.canonical_plugin(F.col("plugin")).alias("plugin"))
+
+
+@query("a12_replaced_artifacts", "SELECT o_orderstatus AS study, o_orderkey AS id, o_orderpriority AS text FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'F', l_orderkey * 8 + l_linenumber, l_linestatus FROM lineitem WHERE l_quantity > 49")
+def a12(spark, d):
+    """The artifacts of one study are synchronised with new ones."""
+    o, new = table(spark, d, "orders"), table(spark, d, "lineitem").where("l_quantity > 49")
+    old = o.select(F.col("o_orderstatus").alias("study"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"))
+    return M.replaced(old, new.select(F.lit("F").alias("study"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_linestatus").alias("text")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import metadata as M
 from ..operators import populations as P
 from ..sources.tables import CELLS, CHANNELS, cells, table
 from .registry import query
@@ -190,3 +191,17 @@ def h16(spark, d):
     positive = F.when(F.col("l_quantity") > 25, F.array(F.lit("BULK"))).otherwise(F.array().cast("array<string>"))
     rows = table(spark, d, "lineitem").select(P.phenotype_of(P.phenotype_text(positive, F.array(F.lit("RET")))).alias("p"))
     return rows.groupBy(P.display_name(F.col("p.positive"), F.col("p.negative")).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("d27_split_channels", "WITH c AS (SELECT l_returnflag AS study, l_shipmode AS symbol, l_linestatus AS mechanism FROM (SELECT l_returnflag, l_linestatus, 'm' || l_suppkey % 7 AS l_shipmode FROM lineitem)), s AS (SELECT study, unnest(CASE symbol WHEN 'm1' THEN ['m2', 'x'] WHEN 'm3' THEN ['y'] ELSE [symbol] END) AS symbol FROM c WHERE mechanism <> 'F') SELECT symbol, " + ", ".join(f"CAST(max(CASE WHEN study = '{f}' THEN 1 ELSE 0 END) AS INT) AS {f}" for f in "ANR") + ", count(DISTINCT study) AS studies FROM s GROUP BY 1 HAVING count(DISTINCT study) = 1")
+def d27_split(spark, d):
+    """The channels that only one study has, after merged names are split and computed ones dropped."""
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("study"), F.concat(F.lit("m"), F.col("l_suppkey") % 7).alias("symbol"), F.col("l_linestatus").alias("mechanism"))
+    return P.in_one_study(P.phenotype_presence(P.study_channels(rows, {"m1": ("m2", "x"), "m3": ("y",)}, ["F"]), list("ANR")))
+
+
+@query("d20_count_changes", "SELECT t AS table_name, b AS n_before, a AS n_after, a - b AS change FROM (SELECT 'orders' AS t, count(*) FILTER (o_orderstatus = 'F') AS b, count(*) AS a FROM orders UNION ALL SELECT 'events', count(*) FILTER (event_type = 'click'), count(*) FROM events) WHERE a <> b")
+def d20_changes(spark, d):
+    tables = {t: table(spark, d, t) for t in ("orders", "events", "nation")}
+    before = M.row_counts({"orders": tables["orders"].where("o_orderstatus = 'F'"), "events": tables["events"].where("event_type = 'click'"), "nation": tables["nation"]})
+    return M.count_changes(before, M.row_counts(tables))
