@@ -38,3 +38,33 @@ def test_pipeline_stages_keep_what_they_should(spark):
     assert once.columns == docs.columns
     out = corpus_pipeline.run(spark, SF).collect()
     assert 0 < len(out) <= len(kept) and {r.doc_id for r in out} <= set(before)
+
+
+def test_pipeline_is_brute_force(spark):
+    """The whole result of run(), from the classifier's verdicts on, against plain Python and the tokenizer library."""
+    import hashlib
+
+    import sentencepiece
+
+    from cytofabric.llm import piece_bpe, quality_fm
+
+    from .test_operators import naive_components
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = {r.doc_id for r in quality_fm.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("score >= 0.3").collect()}
+    last = {}
+    for r in docs.collect():
+        if r.doc_id in good:
+            last[r.text or ""] = max(last.get(r.text or "", -1), r.doc_id)
+    texts = {i: t for t, i in last.items()}
+    components = naive_components(texts, 5, 80)
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_bpe.default_model())
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = set()
+    for i, (_, component) in components.items():
+        if component == i:
+            ids = library.encode(texts[i])
+            want.add((i, len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids))))
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out} == want and len(out) == len(want) < len(texts)
+    assert len({r.position for r in out}) == len(out)
