@@ -20,8 +20,8 @@ LEADER_ROUNDS = 2
 SUB_PARTS = ((12, 4), (60, 3), (1 << 60, 2))
 #: Parts beyond those needed, as a share of k: how many weak ones a set may leave out. Least and most bins of a sketch.
 SLACK, LEAST_BINS, MOST_BINS = 0.15, 128, 1 << 16
-#: Members, and shingles of members, that one side of a comparison inside a task has.
-BLOCK, BLOCK_SHINGLES = 1024, 400_000
+#: Members, and shingles of members, that one side of a comparison of sets inside a task has; times as many where sketches are compared, of a byte or two for each shingle.
+BLOCK, BLOCK_SHINGLES, OF_SKETCHES = 1024, 400_000, 6
 _MANY = 65535  # a full bin of a sketch
 _C1, _C2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -301,9 +301,11 @@ def _between_components(buckets: DataFrame, known: DataFrame, sets: _Sets, perce
 def _compared(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
     """rows: (leader, cls, n, component, held), held: the set if exact, else its sketch. Returns links (a, b) if exact, else (leader, cls) as (a, b).
 
-    A group of more than BLOCK members or BLOCK_SHINGLES shingles is dealt to blocks by hash, each pair of which is compared by itself.
+    A group of more than BLOCK members or BLOCK_SHINGLES shingles (OF_SKETCHES times as many for sketches) is dealt to blocks by hash, each pair of which
+    is compared by itself; as each member goes to all pairs of its block, few blocks mean few rows.
     """
-    sized = rows.groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sides = 1 if exact else OF_SKETCHES
+    sized = rows.groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / (BLOCK * sides), F.sum("n") / (BLOCK_SHINGLES * sides))).cast("int").alias("blocks"))
     rows = rows.join(sized, "leader").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("leader", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", F.col("n").cast("long").alias("n"), "component", "held")
 

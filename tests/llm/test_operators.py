@@ -525,6 +525,7 @@ def test_repeated_ids_with_different_texts(spark):
 def test_groups_are_compared_in_blocks(spark, monkeypatch):
     """A chain and a crowd that no leader settles, in blocks of a few members: the links found join what brute force joins."""
     monkeypatch.setattr(partenum, "BLOCK", 4)
+    monkeypatch.setattr(partenum, "OF_SKETCHES", 1)
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64))
     sets = {i: np.unique(np.concatenate([base[: int(rng.integers(40, 60))], rng.integers(0, 1 << 63, int(rng.integers(1, 9))).astype(np.uint64)])) for i in range(40)}
