@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_tree, exact_dedup, license_scan, nn_descent, pack, partenum, pfair_mix, piece_bpe, quality_fm, url_reputation
+from . import chat_tree, exact_dedup, hash_tree, license_scan, nn_descent, pack, partenum, pfair_mix, piece_bpe, quality_fm, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pack_ids": pack.op8_pack_ids,
         "op9_partenum_join": partenum.op9_partenum_join,
         "op10_piece_bpe": piece_bpe.op10_piece_bpe,
+        "op13_hash_tree": hash_tree.op13_hash_tree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op5_url_reputation": url_reputation.ORACLE, "op6_chat_trees": chat_tree.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op5_url_reputation": url_reputation.ORACLE, "op6_chat_trees": chat_tree.ORACLE, "op13_hash_tree": hash_tree.ORACLE}
