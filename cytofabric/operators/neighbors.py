@@ -7,12 +7,18 @@ import tempfile
 import uuid
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-#: Cells in a bin above which it is split before neighbours are looked for, and cells it is then meant to have.
-CROWDED, WANTED_IN_BIN = 64, 16
+#: Cells in a leaf of the quadtree at most (where it can still be split), levels of the tree, and levels that one round of counting looks ahead.
+LEAF_CELLS, DEPTH, AHEAD = 1024, 18, 3
+#: Cells that one task compares with a leaf at a time in the second round.
+QUERIES = 1 << 15
+#: Slack of borders, in sides of the root: what rounding may do to a position's bin.
+SLACK = 1e-9
 #: Session setting under which Spark deletes a query's shuffle files when the query ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -66,65 +72,207 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, keep_left: tu
     return pairs.select("specimen", "a", "b", "d2", *keep_left, *keep_right)
 
 
-def _bin_sides(c: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
-    """(specimen, span, side): bins in which k neighbours are likely, yet no bin is crowded. span: the extent of cells and queries.
+def _k_nearest(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """(row, at, d2, rank, last): for each query of q = (id, x, y) its k nearest of c = (id, x, y) with other ids, by (d2, id), as positions in both; rank from 0.
+    last: for each query the k-th squared distance, infinite where there are fewer."""
+    by_id = np.argsort(c[0], kind="stable")
+    ids, x, y = (v[by_id] for v in c)
+    found: list[tuple] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int))]
+    last, begin, kth = np.full(len(q[0]), np.inf), 0, min(k, len(ids)) - 1
+    for part in np.array_split(np.arange(len(q[0])), max(1, len(q[0]) * len(ids) // 100_000)):  # so much as fits in a core's own memory
+        d, dy = q[1][part][:, None] - x, q[2][part][:, None] - y
+        d *= d
+        dy *= dy
+        d += dy
+        d[q[0][part][:, None] == ids] = np.inf
+        most = np.partition(d, kth, axis=1)[:, kth]
+        if kth == k - 1:
+            last[part] = most
+        row, at = np.nonzero(d <= np.minimum(most, np.finfo(float).max)[:, None])  # by id within a row; equal distances may be more than k
+        d2 = d[row, at]
+        order = np.lexsort((d2, row))
+        row, at, d2 = row[order], at[order], d2[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        own = rank < k
+        found.append((row[own] + begin, by_id[at[own]], d2[own], rank[own]))
+        begin += len(part)
+    return (*map(np.concatenate, zip(*found, strict=True)), last)
 
-    The side comes from the density of the bounding box; where cells stand closer, from the fullest bin, until no bin
-    of the specimen holds more than CROWDED cells or bins have side 1.
+
+def _squares(level: str, x: str = "x", y: str = "y") -> tuple[Column, Column]:
+    """Column and row of a position's square on a level of its specimen's quadtree (ox, oy, span)."""
+    scale = F.pow(F.lit(2.0), F.col(level))
+    inside = lambda v: F.greatest(F.lit(0), F.least(F.floor(v * scale), (scale - 1).cast("long"))).cast("int")
+    return inside((F.col(x) - F.col("ox")) / F.col("span")), inside((F.col(y) - F.col("oy")) / F.col("span"))
+
+
+def _quadtree(cells: DataFrame, extents: DataFrame, most: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(cells with level, i, j of their leaf; nodes (specimen, level, i, j, n, leaf); whether any specimen was split).
+
+    A square with more than `most` cells is split, so leaves follow the density from place to place: crowds get small ones, deserts large ones.
+    A round counts the squares AHEAD levels below those that are still crowded and settles all levels between, for the cells of these only.
+    """
+    small = extents.where(F.col("n") <= most)
+    place = lambda d: d.select(*cells.columns, "level", "i", "j")
+    root = {"level": F.lit(0), "i": F.lit(0), "j": F.lit(0)}
+    settled = [place(cells.join(small.select("specimen"), "specimen", "left_semi").withColumns(root))]
+    nodes = [extents.withColumns(root).select("specimen", "level", "i", "j", F.col("n"), (F.col("n") <= most).alias("leaf"))]
+    if not extents.where(F.col("n") > most).limit(1).count():
+        return place(cells.withColumns(root)), nodes[0], False
+    todo, level = cells.join(extents.where(F.col("n") > most).select("specimen", "ox", "oy", "span"), "specimen"), 0
+    while level < DEPTH and todo.limit(1).count():
+        deep = min(DEPTH, level + AHEAD)
+        i, j = _squares("deep")
+        todo = todo.withColumn("deep", F.lit(deep)).withColumns({"i": i, "j": j})
+        counts = stored(todo.groupBy("specimen", "i", "j").agg(F.count("*").alias("n")))
+        known = counts.select("specimen", F.col("i").alias("fi"), F.col("j").alias("fj"), F.lit(deep).alias("at"))
+        for up in range(deep - 1, level, -1):  # the leaf is the shallowest square that is not crowded
+            shift = deep - up
+            square = [F.shiftright("i", shift).alias("i"), F.shiftright("j", shift).alias("j")]
+            sums = counts.groupBy("specimen", *square).agg(F.sum("n").alias("n"))
+            known = known.withColumns({"i": F.shiftright("fi", shift), "j": F.shiftright("fj", shift)}).join(sums, ["specimen", "i", "j"])
+            known = known.withColumn("at", F.when(F.col("n") <= most, up).otherwise(F.col("at"))).drop("i", "j", "n")
+        known = known.join(counts.select("specimen", F.col("i").alias("fi"), F.col("j").alias("fj"), "n"), ["specimen", "fi", "fj"])
+        full = (F.col("at") == deep) & (F.col("n") > most) & F.lit(deep < DEPTH)
+        known = stored(known.withColumn("full", full))
+        for up in range(level + 1, deep + 1):
+            # squares on this level that hold a leaf below them or are one; those inside a leaf are none
+            here = known.where(F.col("at") >= up).groupBy("specimen", F.shiftright("fi", deep - up).alias("i"), F.shiftright("fj", deep - up).alias("j"))
+            nodes.append(here.agg(F.sum("n").alias("n"), F.bool_and((F.col("at") == up) & ~F.col("full")).alias("leaf")).select("specimen", F.lit(up).alias("level"), "i", "j", "n", "leaf"))
+        found = stored(todo.withColumnsRenamed({"i": "fi", "j": "fj"}).join(known.select("specimen", "fi", "fj", "at", "full"), ["specimen", "fi", "fj"]))
+        down = {"level": F.col("at"), "i": F.expr(f"shiftright(fi, {deep} - at)"), "j": F.expr(f"shiftright(fj, {deep} - at)")}
+        settled.append(place(found.where(~F.col("full")).withColumns(down)))
+        todo, level = found.where("full").select(*cells.columns, "ox", "oy", "span"), deep
+    return reduce(DataFrame.union, settled), stored(reduce(DataFrame.union, nodes)), True
+
+
+def _reached(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """queries (specimen, a, xa, ya, r2, ox, oy, span, ...) with level, i, j of each leaf that comes as near as r2.
+
+    A query's circle lies in at most four squares of the level on which a side is as long as its diameter. Below such a square lie the leaves that have it as an
+    ancestor; or it lies in one leaf, which is among its own ancestors. So both are equi-joins.
+    """
+    leaves = nodes.where("leaf").select("specimen", "level", "i", "j")
+    above = leaves.withColumn("top", F.explode(F.sequence(F.lit(0), "level"))).withColumns({"ti": F.expr("shiftright(i, level - top)"), "tj": F.expr("shiftright(j, level - top)")})
+    r = F.sqrt("r2") * (1 + SLACK) + F.col("span") * SLACK
+    wide = F.greatest(F.lit(0), F.least(F.lit(DEPTH), F.floor(F.log2(F.col("span") / (2 * r))))).cast("int")
+    q = queries.withColumn("r_", r).withColumn("top", F.when(F.col("r2") > 0, wide).otherwise(DEPTH))
+    corners = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 1) for dy in (-1, 1)))
+    q = q.withColumn("corner", F.explode(corners)).withColumns({"cx": F.col("xa") + F.col("corner.dx") * F.col("r_"), "cy": F.col("ya") + F.col("corner.dy") * F.col("r_")})
+    ti, tj = _squares("top", "cx", "cy")
+    q = q.withColumns({"ti": ti, "tj": tj}).drop("corner", "cx", "cy").dropDuplicates(["specimen", "a", "ti", "tj"])
+    below = q.join(above, ["specimen", "top", "ti", "tj"])
+    up = q.withColumn("level", F.explode(F.expr("filter(sequence(0, top), v -> v < top)"))).withColumns({"i": F.expr("shiftright(ti, top - level)"), "j": F.expr("shiftright(tj, top - level)")})
+    both = below.select(*queries.columns, "r_", "level", "i", "j").union(up.join(leaves, ["specimen", "level", "i", "j"]).select(*queries.columns, "r_", "level", "i", "j"))
+    side = F.col("span") / F.pow(F.lit(2.0), F.col("level"))
+    gap = lambda p, o, s: F.greatest(F.lit(0.0), F.col(o) + F.col(s) * side - F.col(p), F.col(p) - F.col(o) - (F.col(s) + 1) * side)
+    # a border square also holds what lies beyond it, as for queries' leaves
+    near = F.pow(gap("xa", "ox", "i"), 2) + F.pow(gap("ya", "oy", "j"), 2) <= F.col("r_") * F.col("r_")
+    return both.where(near).drop("r_").dropDuplicates(["specimen", "a", "level", "i", "j"])
+
+
+def _bounded(queries: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """queries (specimen, a, xa, ya, ox, oy, span) with r2, within which k cells lie for sure (or all): the least distance to the farthest corner of a leaf with more
+    than k cells, among those under the smallest square around the query with more than k; for a specimen with fewer cells the whole of it."""
+    i, j = _squares("level", "xa", "ya")
+    q = queries.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))).withColumns({"i": i, "j": j})
+    home = q.join(nodes.where(F.col("n") > k).select("specimen", "level", "i", "j"), ["specimen", "level", "i", "j"]).groupBy("specimen", "a").agg(F.max(F.struct("level", "i", "j")).alias("h")).select("specimen", "a", "h.*")
+    rich = nodes.where(F.col("leaf") & (F.col("n") > k)).select("specimen", F.col("level").alias("own"), F.col("i").alias("li"), F.col("j").alias("lj"))
+    under = rich.withColumn("level", F.explode(F.sequence(F.lit(0), "own"))).withColumns({"i": F.expr("shiftright(li, own - level)"), "j": F.expr("shiftright(lj, own - level)")})
+    side = F.col("span") / F.pow(F.lit(2.0), F.col("own"))
+    far = lambda p, o, s: F.greatest(F.abs(F.col(o) + F.col(s) * side - F.col(p)), F.abs(F.col(o) + (F.col(s) + 1) * side - F.col(p)))
+    r2 = F.pow(far("xa", "ox", "li"), 2) + F.pow(far("ya", "oy", "lj"), 2)
+    best = home.join(under, ["specimen", "level", "i", "j"]).join(queries, ["specimen", "a"]).groupBy("specimen", "a").agg(F.min(r2).alias("r2"))
+    return queries.join(best, ["specimen", "a"], "left").withColumn("r2", F.coalesce("r2", 8 * F.col("span") * F.col("span")))
+
+
+def _own_leaf(group: pd.DataFrame, k: int, keep: tuple) -> pd.DataFrame:
+    """(a, b, d2, rank, kept columns of both) of a leaf's cells whose neighbours all lie in it; for each other cell one row of rank 0 with its place (xa, ya) and d2
+    within which k cells lie (or nothing)."""
+    ids, x, y = (group[c].to_numpy() for c in ("structure", "x", "y"))
+    level, i, j, ox, oy, span = (group[c].iloc[0] for c in ("level", "i", "j", "ox", "oy", "span"))
+    side, end = span / 2.0**level, 2**level - 1
+    gaps = [np.inf if at == edge else sign * (p - (o + (at + (sign < 0)) * side)) for p, o, at in ((x, ox, i), (y, oy, j)) for edge, sign in ((0, 1), (end, -1))]
+    gap = np.maximum(0, np.min(np.broadcast_arrays(*gaps, np.full(len(x), np.inf)), axis=0) - span * SLACK)
+    row, near, d2, rank, last = _k_nearest((ids, x, y), (ids, x, y), k)
+    done = (last < gap * gap) | (level == 0)
+    own, rest = done[row], np.flatnonzero(~done)
+    at, to = np.concatenate([row[own], rest]), np.concatenate([near[own], rest])
+    bound = np.where(np.isfinite(last[rest]), last[rest], np.nan)
+    out = {"a": ids[at], "b": ids[to], "d2": np.concatenate([d2[own], bound]), "rank": np.concatenate([rank[own] + 1, np.zeros(len(rest), int)]), "xa": x[at], "ya": y[at]}
+    return pd.DataFrame(out | {f"a_{c}": group[c].to_numpy()[at] for c in keep} | {f"b_{c}": group[c].to_numpy()[to] for c in keep})
+
+
+def nearest(cells: DataFrame, k: int = 6, rank_ties: str = "structure", queries: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(specimen, a, b, d2, rank, a_<kept>..., b_<kept>...): the k nearest other cells of every cell, ties by the smaller id; all if there are fewer.
+
+    queries: points (specimen, structure, x, y) to find the nearest cells of, instead of the cells themselves. keep: columns (numbers, null where
+    there is none) of both ends that come along; of queries none. Cells without a position have no neighbours and are nobody's.
+
+    Cells are grouped by the leaves of a quadtree of each specimen, at most LEAF_CELLS in each, so specimens of any size and density spread over tasks. A first
+    round finds the nearest within the own leaf; a cell whose k-th neighbour is nearer than the leaf's border is done. The others, which stand near
+    borders or in leaves of k cells or fewer, know how far their neighbours can be at most; a second round asks the leaves that come so near. Two rounds do,
+    whatever the density. Of cells at one and the same place in a leaf that cannot be split only the k + 1 with the smallest ids can be anyone's neighbours.
     """
-    extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1)).cast("double")
-    sides = c.groupBy("specimen").agg(F.count("*").alias("n"), extent.alias("own"))
+
+    def place(d: DataFrame, kept: tuple = ()) -> DataFrame:
+        x, y = F.col("x").cast("double"), F.col("y").cast("double")
+        return d.where(x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select("specimen", F.col(rank_ties).alias("structure"), x.alias("x"), y.alias("y"), *(F.col(c).alias(f"keep_{c}") for c in kept))
+
+    c = stored(place(cells, keep))
+    asked = c if queries is None else stored(place(queries))
+    extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1.0))
+    points = c.select("specimen", "x", "y", F.lit(1).alias("n"))
+    points = points if queries is None else points.union(asked.select("specimen", "x", "y", F.lit(0)))
+    extents = stored(points.groupBy("specimen").agg(F.sum("n").alias("n"), F.min("x").alias("ox"), F.min("y").alias("oy"), extent.alias("span")).where("n > 0"))
+    frame = extents.select("specimen", "ox", "oy", "span")
+    most = max(LEAF_CELLS, 8 * (k + 1))
+    leafed, nodes, split = _quadtree(c, extents, most)
+    leaf, full = ["specimen", "level", "i", "j"], nodes.where(F.col("leaf") & (F.col("n") > most))
+    kinds = {f.name: f.dataType.simpleString() for f in c.schema}
+    kept = tuple(n for n in c.columns if n.startswith("keep_"))
+    ends = kept if queries is None else ()
+    pairs = f"specimen {kinds['specimen']}, a {kinds['structure']}, b {kinds['structure']}, d2 double"
+    both = [f"a_{n} {kinds[n]}" for n in ends] + [f"b_{n} {kinds[n]}" for n in kept]
+    out = ["specimen", "a", "b", "d2", "rank", *(F.col(f"a_{n}").alias(f"a_{n[5:]}") for n in ends), *(F.col(f"b_{n}").alias(f"b_{n[5:]}") for n in kept)]
+    whole = lambda d: d.select("specimen", F.col("structure").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.lit(None).cast("double").alias("r2"), *(F.col(n).alias(f"a_{n}") for n in ends))
+    done = []
     if queries is None:
-        sides = sides.withColumn("span", F.col("own"))
+        first = lambda key, group: _own_leaf(group, k, kept).assign(specimen=key[0])
+        some = leafed.join(full.select(*leaf), leaf, "left_anti") if split else leafed
+        own = stored(some.join(frame, "specimen").groupBy(*leaf).applyInPandas(first, ", ".join([pairs, "rank int, xa double, ya double", *both])))
+        done.append(own.where("rank > 0").select(*out))
+        if not split:  # every specimen is one leaf
+            return done[0]
+        rest = own.where("rank = 0").select("specimen", "a", "xa", "ya", F.nanvl("d2", F.lit(None).cast("double")).alias("r2"), *(f"a_{n}" for n in ends))
+        rest = rest.union(whole(leafed.join(full.select(*leaf), leaf, "left_semi")))
     else:
-        both = c.select("specimen", "x", "y").union(queries.select("specimen", "x", "y"))
-        sides = sides.join(both.groupBy("specimen").agg(extent.alias("span")), "specimen")
-    sides = stored(sides.select("specimen", "span", F.greatest(F.lit(1.0), F.sqrt(0.55 * (k + 2) * F.col("own") * F.col("own") / F.col("n"))).alias("side")))
-    todo, done = sides, []
-    while True:
-        bins = c.join(todo, "specimen").groupBy("specimen", F.floor(F.col("x") / F.col("side")).alias("bx"), F.floor(F.col("y") / F.col("side")).alias("by")).count()
-        full = stored(todo.join(bins.groupBy("specimen").agg(F.max("count").alias("most")), "specimen"))
-        crowded = (F.col("most") > CROWDED) & (F.col("side") > 1)
-        done.append(full.where(~crowded).drop("most"))
-        todo = full.where(crowded).select("specimen", "span", F.greatest(F.lit(1.0), F.col("side") * F.sqrt(WANTED_IN_BIN / F.col("most"))).alias("side"))
-        if not todo.limit(1).count():
-            return reduce(DataFrame.union, done)
-
-
-def nearest(cells: DataFrame, k: int = 6, rank_ties: str = "structure", queries: DataFrame | None = None) -> DataFrame:
-    """(specimen, a, b, d2, rank): the k nearest other cells of every cell, ties by the smaller id; all if there are fewer.
-
-    queries: points (specimen, structure, x, y) to find the nearest cells of, instead of the cells themselves. A cell that finds k within its bin's
-    side is done, as whatever it has not seen is farther. The others go on with bins of three times the side, until a bin holds the specimen.
-    So a cell meets about as many others as stand in nine bins of its neighbourhood's density.
-    """
-    place = lambda d: d.select("specimen", F.col(rank_ties).alias("structure"), "x", "y")
-    c = stored(place(cells))
-    todo = c if queries is None else stored(place(queries))
-    sides = _bin_sides(c, k, None if queries is None else todo)
-    everyone, done, factor = c, [], 1
-    while True:
-        with_side = sides.withColumn("side", F.col("side") * factor)
-        last = F.col("side") > F.col("span")
-
-        def binned(d: DataFrame, name: str, sides: DataFrame = with_side) -> DataFrame:
-            d = d.join(sides, "specimen")
-            return d.select("specimen", "side", last.alias("last"), F.col("structure").alias(name), F.col("x").alias(f"x{name}"), F.col("y").alias(f"y{name}"), F.floor(F.col("x") / F.col("side")).alias("bx"), F.floor(F.col("y") / F.col("side")).alias("by"))
-
-        right = _around(binned(everyone, "b").drop("side", "last"))
-        pairs = binned(todo, "a").join(right, ["specimen", "bx", "by"]).where("a <> b")
-        pairs = pairs.withColumn("d2", squared_distance("xa", "ya", "xb", "yb")).where(F.col("last") | (F.col("d2") <= F.col("side") * F.col("side")))
-        # the bins of a are part of the key, so the rows of a cell are already together
-        lists = pairs.groupBy("specimen", "bx", "by", "a").agg(F.any_value("last").alias("last"), F.slice(F.array_sort(F.collect_list(F.struct("d2", "b"))), 1, k).alias("l"))
-        found = stored(lists.where(F.col("last") | (F.size("l") >= k)).select("specimen", "a", "l"))
-        done.append(found)
-        todo = stored(todo.join(found.select("specimen", F.col("a").alias("structure")), ["specimen", "structure"], "left_anti").join(with_side.where(~last).select("specimen"), "specimen", "left_semi"))
-        if not todo.limit(1).count():
-            break
-        everyone = c.join(todo.select("specimen").distinct(), "specimen", "left_semi")
-        factor *= 3
-    lists = reduce(DataFrame.union, done)
-    return lists.select("specimen", "a", F.posexplode("l").alias("rank", "e")).select("specimen", "a", "e.b", "e.d2", (F.col("rank") + 1).alias("rank"))
+        rest = whole(asked)
+    rest = stored(rest.join(frame, "specimen"))
+    bounded = rest.where("r2 is not null").unionByName(_bounded(rest.where("r2 is null").drop("r2"), nodes, k))
+    hits = stored(_reached(bounded, nodes))
+    parts = stored(hits.groupBy(*leaf).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))
+    at_place = Window.partitionBy("specimen", "x", "y").orderBy("structure")
+    thinned = leafed.join(full.select(*leaf), leaf, "left_semi").withColumn("nth", F.row_number().over(at_place)).where(F.col("nth") <= k + 1).drop("nth")
+    there = leafed.join(full.select(*leaf), leaf, "left_anti").unionByName(thinned).join(parts, leaf)
+    there = there.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+    hits = hits.join(parts, leaf).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
+    names = ["specimen", "a", "b", "d2", *(p.split()[0] for p in both)]
+
+    def second(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=names)
+        row, at, d2, _, _ = _k_nearest(tuple(left[v].to_numpy() for v in ("a", "xa", "ya")), tuple(right[v].to_numpy() for v in ("structure", "x", "y")), k)
+        near = d2 <= left["r2"].to_numpy()[row] * (1 + SLACK)
+        row, at, d2 = row[near], at[near], d2[near]
+        found = {"specimen": key[0], "a": left["a"].to_numpy()[row], "b": right["structure"].to_numpy()[at], "d2": d2}
+        return pd.DataFrame(found | {f"a_{n}": left[f"a_{n}"].to_numpy()[row] for n in ends} | {f"b_{n}": right[n].to_numpy()[at] for n in kept}, columns=names)
+
+    found = hits.groupBy(*leaf, "part").cogroup(there.groupBy(*leaf, "part")).applyInPandas(second, ", ".join([pairs, *both]))
+    lists = found.groupBy("specimen", "a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "b", *names[4:]))), 1, k).alias("l"))
+    lists = lists.select("specimen", "a", F.posexplode("l").alias("at", "e")).select("specimen", "a", "e.*", (F.col("at") + 1).alias("rank"))
+    done.append(stored(lists.select(*out)))
+    return reduce(DataFrame.union, done)
 
 
 def match_one_to_one(left: DataFrame, right: DataFrame, radius: float = 10.0) -> DataFrame:

@@ -135,13 +135,11 @@ def test_uniform_points_lie_in_the_polygon():
 
 
 def test_nearest_of_a_crowd_beside_an_outlier(spark):
-    """20000 cells in a corner and one far away: pairs stay in proportion to the cells."""
+    """20000 cells in a corner and one far away."""
     rng = np.random.default_rng(5)
     at = np.unique(rng.integers(0, 1000, (21000, 2)), axis=0)
     rows = [(1, i, int(x), int(y)) for i, (x, y) in enumerate(at)] + [(1, 99999, 100_000, 100_000)]
     df = spark.createDataFrame(rows, "specimen long, structure long, x int, y int")
-    sides = neighbors._bin_sides(df, 3)
-    assert sides.first().side < 100
     out = {(r.a, r.rank): r.d2 for r in neighbors.nearest(df, 3).collect()}
     assert len(out) == 3 * len(rows)
     for i in rng.integers(0, len(at), 60):
@@ -149,6 +147,63 @@ def test_nearest_of_a_crowd_beside_an_outlier(spark):
         assert [out[i, r] for r in (1, 2, 3)] == d.tolist()
 
 
+def brute_nearest(asked, cells, k):
+    """{(specimen, a): [(d2, b), ...]} over rows (specimen, id, x, y)."""
+    out = {}
+    for s in {r[0] for r in asked}:
+        ids, at = np.array([r[1] for r in cells if r[0] == s]), np.array([r[2:4] for r in cells if r[0] == s], float).reshape(-1, 2)
+        for _, a, x, y in (r[:4] for r in asked if r[0] == s):
+            d = ((at - (x, y)) ** 2).sum(1)
+            order = np.lexsort((ids, d))
+            out[s, a] = [(d[i], ids[i]) for i in order if ids[i] != a][:k]
+    return {key: rows for key, rows in out.items() if rows}
+
+
+@pytest.mark.parametrize("leaf", [8, 40, 4096])
+def test_nearest_over_all_densities(spark, monkeypatch, leaf):
+    """Leaves of 32 cells (at least eight times k + 1) and more: crowds, deserts, lines, cells at one place, ties on borders, specimens of one cell, no positions."""
+    monkeypatch.setattr(neighbors, "LEAF_CELLS", leaf)
+    monkeypatch.setattr(neighbors, "QUERIES", 100)
+    rng = np.random.default_rng(4)
+    spots = {
+        1: rng.integers(0, 40, (500, 2)),  # ties
+        2: np.vstack([rng.integers(0, 64, (600, 2)), rng.integers(500, 4096, (5, 2)), [[4096, 4096]]]),  # a crowd and a desert
+        3: np.vstack([np.full((300, 2), 7), rng.integers(0, 100, (60, 2))]),  # more at one place than a leaf may hold
+        4: np.column_stack([np.arange(200), np.zeros(200)]), 5: np.array([[3, 3]]), 6: np.array([[0, 0], [5, 5], [5, 5]]),
+        7: np.round(rng.normal(size=(300, 2)) ** 5, 3), 8: np.array([(x, y) for x in range(16) for y in range(16)]),  # on the borders of squares
+    }
+    rows = [(s, int(i), float(x), float(y)) for s, at in spots.items() for i, (x, y) in zip(rng.permutation(len(at)) * 3, at, strict=True)]
+    df = spark.createDataFrame([*rows, (1, 9998, None, 1.0), (1, 9999, float("nan"), 1.0)], "specimen long, structure long, x double, y double").withColumn("mark", F.col("structure") * 2).repartition(3)
+    got = {}
+    for r in neighbors.nearest(df, 3, keep=("mark",)).orderBy("rank").collect():
+        assert (r.a_mark, r.b_mark) == (2 * r.a, 2 * r.b)
+        got.setdefault((r.specimen, r.a), []).append((r.d2, r.b))
+        assert r["rank"] == len(got[r.specimen, r.a])
+    assert got == brute_nearest(rows, rows, 3)
+    asked = [(s, -i - 1, float(x), float(y)) for s in spots for i, (x, y) in enumerate([*rng.integers(-50, 5000, (20, 2)), (7, 7), (3.5, 3.5)])]
+    frame = spark.createDataFrame(asked, "specimen long, structure long, x double, y double")
+    got = {}
+    for r in neighbors.nearest(df, 2, queries=frame, keep=("mark",)).orderBy("rank").collect():
+        assert r.b_mark == 2 * r.b
+        got.setdefault((r.specimen, r.a), []).append((r.d2, r.b))
+    assert got == brute_nearest(asked, rows, 2)
+
+
+def test_leaves_of_a_quadtree_share_out_the_cells(spark):
+    rng = np.random.default_rng(6)
+    at = np.vstack([rng.integers(0, 50, (3000, 2)), rng.integers(0, 5000, (400, 2))])
+    df = spark.createDataFrame([(1, i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [(2, 1, 0.0, 0.0)], "specimen long, structure long, x double, y double")
+    extents = df.groupBy("specimen").agg(F.count("*").alias("n"), F.min("x").alias("ox"), F.min("y").alias("oy"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1.0)).alias("span"))
+    leafed, nodes, split = neighbors._quadtree(df, extents, 100)
+    assert split and leafed.count() == 3401
+    n = {tuple(r)[:4]: r["count"] for r in leafed.groupBy("specimen", "level", "i", "j").count().collect()}
+    known = {tuple(r)[:4]: (r.n, r.leaf) for r in nodes.collect()}
+    assert n == {key: v for key, (v, leaf) in known.items() if leaf} and max(n.values()) <= 100 and max(k[1] for k in n) > 7
+    for (s, level, i, j), (v, leaf) in known.items():
+        below = [known[s, level + 1, 2 * i + u, 2 * j + w][0] for u in (0, 1) for w in (0, 1) if (s, level + 1, 2 * i + u, 2 * j + w) in known]
+        assert (sum(below) == v > 100) if not leaf else not below
+
+
 def test_nearest_cells_of_given_points(cells, spark):
     df, rows = cells
     asked = spark.createDataFrame([(1, -1, 3.5, 9.25), (1, -2, 500.0, 500.0), (2, -1, 0.0, 0.0)], "specimen long, structure long, x double, y double")
