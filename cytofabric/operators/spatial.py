@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.statistics import norm_cdf
-from .neighbors import nearest, radius_pairs, stored
+from .neighbors import nearest, radius_pairs, stored, unordered_pairs
 from .populations import Signature, matches
 
 
@@ -55,6 +56,79 @@ def neighbour_edges(cells: DataFrame, k: int = 6) -> DataFrame:
     return nearest(cells, k).select("specimen", "a", "b")
 
 
+class NeighbourGraph(NamedTuple):
+    """Edges (specimen, a, b, rank, a_<kept>..., b_<kept>...) from each cell to its nearest others, stored, and what every statistic of a specimen's graph needs of
+    it: moments (specimen, s0, rec, oo, ii, oi, degree), the numbers of edges and of those that go both ways, sums over cells of squared and mixed degrees, edges from a cell."""
+
+    edges: DataFrame
+    moments: DataFrame
+
+
+def neighbour_graph(cells: DataFrame, k: int = 6, keep: tuple[str, ...] = ("mask",)) -> NeighbourGraph:
+    """The graph of each specimen's k nearest neighbours with the columns `keep` of both ends, so that any number of labellings and channels
+    is read off one stored table, without joins. Cells (specimen, structure, x, y, kept) have distinct ids; each has as many neighbours as any other of its specimen."""
+    edges = nearest(cells, k, keep=keep)
+    one_way = edges.groupBy("specimen", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count("*").alias("m"))
+    mutual = one_way.groupBy("specimen").agg(F.sum(F.when(F.col("m") == 2, 2).otherwise(0)).cast("double").alias("rec"))
+    inward = edges.groupBy("specimen", "b").agg(F.count("*").cast("double").alias("i")).groupBy("specimen").agg(F.sum(F.col("i") * F.col("i")).alias("ii"))
+    own = edges.groupBy("specimen").agg(F.count("*").cast("double").alias("s0"), F.max("rank").cast("double").alias("degree"))
+    all_ = own.join(mutual, "specimen").join(inward, "specimen")
+    by_degree = (F.col("s0") * F.col("degree")).alias
+    return NeighbourGraph(edges, stored(all_.select("specimen", "s0", "rec", by_degree("oo"), "ii", by_degree("oi"), "degree")))
+
+
+def _long(wide: DataFrame, names: Sequence[str], fields: Mapping[str, Callable[[str], Column]], key: str) -> DataFrame:
+    """(specimen, key, <field>...): one row for each specimen and name."""
+    rows = F.array(*(F.struct(F.lit(n).alias(key), *(f(n).alias(c) for c, f in fields.items())) for n in names))
+    return wide.select("specimen", F.explode(rows).alias("r")).select("specimen", "r.*")
+
+
+def _two_labels(counts: Sequence[Column]) -> tuple[Column, Column]:
+    """Of labels 0, 1, 2 with these counts the two smallest that occur; null where there are fewer."""
+    have = F.filter(F.array(*(F.when(c > 0, i) for i, c in enumerate(counts))), lambda v: v.isNotNull())
+    return F.get(have, F.lit(0)), F.get(have, F.lit(1))
+
+
+def enrichment_batch(cells: DataFrame, graph: NeighbourGraph, requests: Mapping[str, tuple[Signature, Signature]]) -> DataFrame:
+    """(specimen, request, n, observed, z, enrichment) for many pairs of phenotypes over one graph that kept `mask`.
+
+    Cells of the first phenotype are labelled 1, those of the second among the rest 2, others 0; the two smallest labels that a specimen has are compared, as
+    enrichment() does by default. All requests are sums in one pass over the edges and one over the cells.
+    """
+    duos = [(0, 1), (0, 2), (1, 2)]
+    flag = lambda when: F.sum(F.when(when, 1).otherwise(0)).cast("double")
+    label = {e: {n: labels(F.col(f"{e}mask"), pq) for n, pq in requests.items()} for e in ("", "a_", "b_")}
+    sizes = cells.groupBy("specimen").agg(F.count("*").alias("n"), *(flag(label[""][n] == v).alias(f"c{v}_{n}") for n in requests for v in range(3)))
+    seen = graph.edges.groupBy("specimen").agg(*(flag((label["a_"][n] == u) & (label["b_"][n] == v)).alias(f"e{u}{v}_{n}") for n in requests for u, v in duos))
+    x = sizes.join(seen, "specimen", "left").join(graph.moments, "specimen", "left")
+    two = {n: _two_labels([F.col(f"c{v}_{n}") for v in range(3)]) for n in requests}
+    size = lambda n, end: F.get(F.array(*(F.col(f"c{v}_{n}") for v in range(3))), two[n][end])
+    edges = lambda n: F.coalesce(*(F.when((two[n][0] == u) & (two[n][1] == v), F.col(f"e{u}{v}_{n}")) for u, v in duos))
+    rows = _long(x.withColumn("graph", F.struct("n", *graph.moments.columns[1:])), list(requests), {"na": lambda n: size(n, 0), "nb": lambda n: size(n, 1), "observed": edges, "graph": lambda _: F.col("graph")}, "request")
+    out = _enriched(rows.select("specimen", "request", "na", "nb", "observed", "graph.*"))
+    return out.select("specimen", "request", "n", "observed", "z", norm_cdf("z").alias("enrichment"))
+
+
+def moran_batch(cells: DataFrame, graph: NeighbourGraph, channels: Mapping[str, Sequence[Signature]], values: Sequence[str] = (), impute_zero: bool = False) -> DataFrame:
+    """(specimen, channel, n, moran, p) for many channels over one graph that kept `mask` and the columns `values`.
+
+    A channel's value is the label (see labels()) that its signatures give a cell, 1 or 0 for one signature; a column of `values` is its own. p as in moran(); impute_zero: 0 where it is null. Means and
+    variances come from one pass over the cells, all sums of products of deviations from one over the edges.
+    """
+    of = {e: {n: labels(F.col(f"{e}mask"), s).cast("double") for n, s in channels.items()} | {v: F.col(f"{e}{v}").cast("double") for v in values} for e in ("", "a_", "b_")}
+    names = list(of[""])
+    stats = cells.groupBy("specimen").agg(F.count("*").cast("double").alias("n"), *(f(of[""][c]).alias(f"{k}_{c}") for c in names for k, f in (("m", F.avg), ("v", F.var_pop))))
+    stats = stored(stats)  # one row for each specimen
+    off = lambda e, c: of[e][c] - F.col(f"m_{c}")
+    sums = graph.edges.join(stats, "specimen").groupBy("specimen").agg(*(F.sum(off("a_", c) * off("b_", c)).alias(f"zz_{c}") for c in names))
+    x = stats.join(sums, "specimen", "left").join(graph.moments, "specimen", "left")
+    d = F.col("degree")
+    whole = {"n": F.col("n"), "s0": F.col("s0") / d, "s1": (F.col("s0") + F.col("rec")) / (d * d), "s2": (F.col("oo") + 2 * F.col("oi") + F.col("ii")) / (d * d)}
+    fields = {k: (lambda _, v=v: v) for k, v in whole.items()} | {"wzz": lambda c: F.col(f"zz_{c}") / d, "var": lambda c: F.col(f"v_{c}")}
+    out = _autocorrelated(_long(x, names, fields, "channel")).select("specimen", "channel", "n", "moran", "p")
+    return out.fillna(0.0, ["p"]) if impute_zero else out
+
+
 def _labelled_edges(cells: DataFrame, edges: DataFrame) -> DataFrame:
     own = cells.select("specimen", "structure", "label")
     a, b = (own.withColumnRenamed("structure", s).withColumnRenamed("label", f"l{s}") for s in "ab")
@@ -85,6 +159,11 @@ def enrichment(cells: DataFrame, edges: DataFrame, pair: tuple[int, int] | None
     degrees = degrees.groupBy("specimen", "v").agg(F.sum("o").cast("double").alias("o"), F.sum("i").cast("double").alias("i"))
     sums = degrees.groupBy("specimen").agg(F.sum(F.col("o") * F.col("o")).alias("oo"), F.sum(F.col("i") * F.col("i")).alias("ii"), F.sum(F.col("o") * F.col("i")).alias("oi"))
     x = per.join(observed, "specimen", "left").join(rec, "specimen", "left").join(sums, "specimen", "left").fillna(0, ["rec", "observed"])
+    return _enriched(x).select("specimen", "n", "observed", "z", norm_cdf("z").alias("enrichment"))
+
+
+def _enriched(x: DataFrame) -> DataFrame:
+    """x (n, na, nb, observed, s0, rec, oo, ii, oi, ...) with z: the exact mean and variance of the count of edges when labels are dealt anew."""
     n, a, b, s0, same = (F.col(c).cast("double") for c in ("n", "na", "nb", "s0", "s0"))
     out, inn, mixed = F.col("oo") - same, F.col("ii") - same, 2 * (F.col("oi") - F.col("rec"))
     rest = s0 * s0 - same - out - inn - mixed - F.col("rec")
@@ -92,8 +171,19 @@ def enrichment(cells: DataFrame, edges: DataFrame, pair: tuple[int, int] | None
     square = same * a * b / (n * (n - 1)) + out * a * b * (b - 1) / (n * (n - 1) * (n - 2)) + inn * a * (a - 1) * b / (n * (n - 1) * (n - 2)) + rest * a * (a - 1) * b * (b - 1) / (n * (n - 1) * (n - 2) * (n - 3))
     x = x.withColumns({"mean": F.when(n > 3, mean), "square": F.when(n > 3, square)})
     var = F.col("square") - F.col("mean") * F.col("mean")
-    x = x.withColumn("z", F.when(var > 1e-9, (F.col("observed") - F.col("mean")) / F.sqrt(var)))
-    return x.select("specimen", "n", "observed", "z", norm_cdf("z").alias("enrichment"))
+    return x.withColumn("z", F.when(var > 1e-9, (F.col("observed") - F.col("mean")) / F.sqrt(var)))
+
+
+def _pairs_of_labels(cells: DataFrame, radius: float, kept: Sequence[str]) -> DataFrame:
+    """(specimen, a_<kept>..., b_<kept>..., n): ordered pairs of cells 0 < d <= radius, counted by what their ends carry. Each unordered pair is met once."""
+    pairs = unordered_pairs(cells, radius, tuple(kept)).where("d2 > 0")
+    n = stored(pairs.groupBy("specimen", *(f"{e}_{c}" for e in "ab" for c in kept)).agg(F.count("*").alias("n")))
+    turned = n.select("specimen", *(F.col(f"{e}_{c}").alias(f"{o}_{c}") for e, o in ("ba", "ab") for c in kept), "n")
+    return n.unionByName(turned)
+
+
+def _ratio(both: Column, near: Column, second: Column, total: Column) -> Column:
+    return F.when((near > 0) & (second > 0), (both / near) / (second / total))
 
 
 def co_occurrence(cells: DataFrame, radius: float, pair: tuple[int, int] | None = None) -> DataFrame:
@@ -101,18 +191,28 @@ def co_occurrence(cells: DataFrame, radius: float, pair: tuple[int, int] | None
 
     pair: the two labels; None: the two smallest that the specimen has.
     """
-    pairs = radius_pairs(cells.withColumnRenamed("label", "la"), cells.withColumnRenamed("label", "lb"), radius, ("la",), ("lb",)).where("d2 > 0")
-    n = pairs.groupBy("specimen", "la", "lb").agg(F.count("*").alias("n"))
     if pair is None:
         have = cells.groupBy("specimen").agg(F.array_sort(F.collect_set("label")).alias("l")).select("specimen", F.get("l", F.lit(0)).alias("l1"), F.get("l", F.lit(1)).alias("l2"))
     else:
         have = cells.select("specimen").distinct().select("specimen", F.lit(pair[0]).alias("l1"), F.lit(pair[1]).alias("l2"))
-    n = n.join(have, "specimen")
-    one, two = F.col("la") == F.col("l1"), F.col("lb") == F.col("l2")
+    n = _pairs_of_labels(cells, radius, ("label",)).join(have, "specimen")
+    one, two = F.col("a_label") == F.col("l1"), F.col("b_label") == F.col("l2")
     total = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0))
     s = n.groupBy("specimen").agg(total(one & two).alias("both"), total(one).alias("near"), total(two).alias("second"), F.sum("n").alias("total"))
-    ratio = F.when((F.col("near") > 0) & (F.col("second") > 0), (F.col("both") / F.col("near")) / (F.col("second") / F.col("total")))
-    return have.select("specimen").join(s, "specimen", "left").select("specimen", ratio.alias("ratio"))
+    return have.select("specimen").join(s, "specimen", "left").select("specimen", _ratio(*map(F.col, ("both", "near", "second", "total"))).alias("ratio"))
+
+
+def co_occurrence_batch(cells: DataFrame, requests: Mapping[str, tuple[Signature, Signature]], radius: float) -> DataFrame:
+    """(specimen, request, ratio) for many pairs of phenotypes, labelled as in enrichment_batch(), by one join of cells: pairs are counted by the labels that all requests give their ends."""
+    rows = cells.select("specimen", "structure", "x", "y", *(labels(F.col("mask"), pq).alias(f"label_{n}") for n, pq in requests.items()))
+    sizes = rows.groupBy("specimen").agg(*(F.sum((F.col(f"label_{n}") == v).cast("long")).alias(f"c{v}_{n}") for n in requests for v in range(3)))
+    two = stored(sizes.select("specimen", *(c.alias(f"l{i}_{n}") for n in requests for i, c in enumerate(_two_labels([F.col(f"c{v}_{n}") for v in range(3)])))))
+    pairs = _pairs_of_labels(rows, radius, [f"label_{n}" for n in requests]).join(two, "specimen")
+    one, other = (lambda n: F.col(f"a_label_{n}") == F.col(f"l0_{n}")), (lambda n: F.col(f"b_label_{n}") == F.col(f"l1_{n}"))
+    total = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0))
+    sums = pairs.groupBy("specimen").agg(F.sum("n").alias("total"), *(x for n in requests for x in (total(one(n) & other(n)).alias(f"both_{n}"), total(one(n)).alias(f"near_{n}"), total(other(n)).alias(f"second_{n}"))))
+    wide = two.select("specimen").join(sums, "specimen", "left")
+    return _long(wide, list(requests), {"ratio": lambda n: _ratio(F.col(f"both_{n}"), F.col(f"near_{n}"), F.col(f"second_{n}"), F.col("total"))}, "request")
 
 
 def moran(cells: DataFrame, edges: DataFrame, value: str = "label") -> DataFrame:
@@ -132,6 +232,11 @@ def moran(cells: DataFrame, edges: DataFrame, value: str = "label") -> DataFrame
     ends = w.select("specimen", F.col("a").alias("v"), "w").union(w.select("specimen", "b", "w")).groupBy("specimen", "v").agg(F.sum("w").alias("w"))
     s2 = ends.groupBy("specimen").agg(F.sum(F.col("w") * F.col("w")).alias("s2"))
     x = mean.join(inner, "specimen", "left").join(s1, "specimen", "left").join(s2, "specimen", "left")
+    return _autocorrelated(x).select("specimen", F.col("n").cast("long").alias("n"), "moran", "p")
+
+
+def _autocorrelated(x: DataFrame) -> DataFrame:
+    """x (n, var, wzz, s0, s1, s2, ...) with Moran's I and its one-sided normal p under random values, cut to ten decimals; null where not a number or 0."""
     n, s0 = F.col("n"), F.col("s0")
     i = F.when((F.col("var") > 0) & (s0 > 0), F.col("wzz") / s0 / F.col("var"))
     expected = F.try_divide(F.lit(-1.0), n - 1)
@@ -139,7 +244,7 @@ def moran(cells: DataFrame, edges: DataFrame, value: str = "label") -> DataFrame
     x = x.withColumn("moran", i).withColumn("z", F.when((n > 2) & (var > 0), (i - expected) / F.sqrt(var)))
     p = F.when(F.col("z") > 0, 1 - norm_cdf("z")).otherwise(norm_cdf("z"))
     cut = F.floor(p * 1e10) / 1e10
-    return x.select("specimen", F.col("n").cast("long").alias("n"), "moran", F.when(cut > 0, cut).alias("p"))
+    return x.withColumns({"n": n.cast("long"), "p": F.when(cut > 0, cut)})
 
 
 def _hull(points: np.ndarray) -> np.ndarray:

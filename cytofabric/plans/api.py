@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,35 @@ def phenotype_counts(cells_: DataFrame, names: Sequence[str], phenotype: Phenoty
     return n.withColumn("percentage", P.percentage(F.col("n"), F.col("all_cells"))).orderBy(F.col("n").isNull(), "specimen")
 
 
+def batch_spatial_metrics(cells_: DataFrame, names: Sequence[str], requests: Mapping[str, tuple[Sequence[Phenotype], str, float]], impute_zero: bool = False) -> DataFrame:
+    """(request, specimen, value) of many requests name -> (phenotypes, metric, radius), as spatial_metrics() gives one; impute_zero: 0 for no value.
+
+    All proximities come from one join of cells, the co-occurrences of each radius from another; all enrichments and autocorrelations from one stored graph.
+    """
+    cells_ = stored(S.integer_positions(cells_).select("specimen", "structure", "x", "y", "mask"))
+    asked = {n: ([P.signature(*p, names) for p in phenotypes], metric, radius) for n, (phenotypes, metric, radius) in requests.items()}
+    of = lambda metric: {n: (s, r) for n, (s, m, r) in asked.items() if m == metric}
+    unknown = {m for _, m, _ in asked.values()} - {"proximity", "co-occurrence", "enrichment", "autocorrelation"}
+    if unknown:
+        raise ValueError(f"no metrics {sorted(unknown)} in batches")
+    parts = []
+    if own := of("proximity"):
+        wide = S.proximity(cells_, {f"v{i}": (*s[:2], r) for i, (s, r) in enumerate(own.values())})
+        parts.append(wide.select("specimen", F.explode(F.array(*(F.struct(F.lit(n).alias("request"), F.col(f"v{i}").alias("value")) for i, n in enumerate(own)))).alias("r")).select("r.request", "specimen", "r.value"))
+    own = of("co-occurrence")
+    for radius in sorted({r for _, r in own.values()}):
+        parts.append(S.co_occurrence_batch(cells_, {n: tuple(s[:2]) for n, (s, r) in own.items() if r == radius}, radius).select("request", "specimen", F.col("ratio").alias("value")))
+    pairs, single = of("enrichment"), of("autocorrelation")
+    if pairs or single:
+        graph = S.neighbour_graph(cells_)
+        if pairs:
+            parts.append(S.enrichment_batch(cells_, graph, {n: tuple(s[:2]) for n, (s, _) in pairs.items()}).select("request", "specimen", F.col("enrichment").alias("value")))
+        if single:
+            parts.append(S.moran_batch(cells_, graph, {n: s for n, (s, _) in single.items()}).select(F.col("channel").alias("request"), "specimen", F.col("p").alias("value")))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.fillna(0.0, ["value"]) if impute_zero else out
+
+
 def spatial_metrics(cells_: DataFrame, names: Sequence[str], phenotypes: Sequence[Phenotype], metric: str, radius: float = 30.0) -> DataFrame:
     """(specimen, value) of proximity, enrichment, co-occurrence or autocorrelation for the phenotypes (two, but one for the last)."""
     signatures = [P.signature(*p, names) for p in phenotypes]

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.statistics import fisher
 from ..operators import neighbors as N
+from ..operators import populations as P
 from ..operators import spatial as S
-from ..sources.tables import CELLS, cells
+from ..sources.tables import CELLS, CHANNELS, INTENSITIES, cells
 from .populations import SIGNATURES
 from .registry import query
 
@@ -83,8 +84,8 @@ m AS (SELECT specimen, n, observed, s0*a*b/(n*(n-1)) AS mean, s0*a*b/(n*(n-1)) +
   + (s0*s0 - s0 - (oo-s0) - (ii-s0) - 2*(oi-rec) - rec)*a*(a-1)*b*(b-1)/(n*(n-1)*(n-2)*(n-3)) AS square FROM n JOIN o USING (specimen) JOIN rec USING (specimen) JOIN s USING (specimen))
 SELECT specimen, CAST(n AS BIGINT) AS n, observed, round((observed - mean) / sqrt(square - mean*mean), 6) AS z FROM m""")
 def j05(spark, d):
-    c = labelled(spark, d)
-    return S.enrichment(c, N.stored(S.neighbour_edges(c)), (0, 1)).select("specimen", "n", "observed", F.round("z", 6).alias("z"))
+    c = N.stored(cells(spark, d).select("specimen", "structure", "x", "y", "mask"))
+    return S.enrichment_batch(c, S.neighbour_graph(c), {"": (_BULK, _RET)}).select("specimen", "n", "observed", F.round("z", 6).alias("z"))
 
 
 @query("j06_co_occurrence", f"""{_NEAR}, p AS (SELECT a.specimen, x.label AS la, y.label AS lb, count(*) AS n FROM cells a JOIN cells b ON a.specimen = b.specimen AND a.structure <> b.structure JOIN labelled x ON x.structure = a.structure JOIN labelled y ON y.structure = b.structure
@@ -98,8 +99,59 @@ def j06(spark, d):
 z AS (SELECT specimen, structure, label - m AS z FROM labelled JOIN m USING (specimen))
 SELECT e.specimen, any_value(n) AS n, round(sum(x.z * y.z / 6.0) / any_value(n) / any_value(v), 6) AS moran FROM edges e JOIN z x ON e.a = x.structure JOIN z y ON e.b = y.structure JOIN m ON m.specimen = e.specimen GROUP BY 1""")
 def j07(spark, d):
-    c = labelled(spark, d)
-    return S.moran(c, N.stored(S.neighbour_edges(c))).select("specimen", "n", F.round("moran", 6).alias("moran"))
+    c = N.stored(labelled(spark, d).drop("mask"))
+    return S.moran_batch(c, S.neighbour_graph(c, keep=("label",)), {}, ["label"]).select("specimen", "n", F.round("moran", 6).alias("moran"))
+
+
+_DISC = P.signature(["DISC"], ["OPEN"], CHANNELS)
+_PAIRS = {"bulk_ret": (_BULK, _RET), "ret_bulk": (_RET, _BULK), "disc_bulk": (_DISC, _BULK)}
+_TAKES = _W | {"disc": "({0}.mask & 8) = 8 AND ({0}.mask & 2) = 0"}
+_NAMES = "[" + ", ".join(f"'{n}'" for n in _PAIRS) + "]"
+_BATCH_LABELS = "[" + ", ".join(f"CASE WHEN {_TAKES[n.split('_')[0]].format('cells')} THEN 1 WHEN {_TAKES[n.split('_')[1]].format('cells')} THEN 2 ELSE 0 END" for n in _PAIRS) + "]"
+#: Each cell's label under every request as a list, which is unnested only after cells have met.
+_LONG = f"w AS MATERIALIZED (SELECT specimen, structure, x, y, {_BATCH_LABELS} AS ls FROM cells), l AS (SELECT unnest({_NAMES}) AS request, specimen, unnest(ls) AS label FROM w)"
+_SIZES = """per AS (SELECT request, specimen, label, count(*) AS c FROM l GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY request, specimen ORDER BY label) AS nth FROM per),
+two AS (SELECT request, specimen, CAST(sum(c) AS DOUBLE) AS n, max(label) FILTER (nth = 1) AS one, max(label) FILTER (nth = 2) AS two, CAST(max(c) FILTER (nth = 1) AS DOUBLE) AS a, CAST(max(c) FILTER (nth = 2) AS DOUBLE) AS b FROM c GROUP BY ALL)"""
+
+
+@query("m_batch_enrichment", f"""{_NEAR}, {_LONG}, {_SIZES},
+met AS MATERIALIZED (SELECT e.specimen, x.ls AS la, y.ls AS lb, count(*) AS m FROM edges e JOIN w x ON e.a = x.structure JOIN w y ON e.b = y.structure GROUP BY ALL),
+by_request AS (SELECT specimen, unnest({_NAMES}) AS request, unnest(la) AS la, unnest(lb) AS lb, m FROM met),
+o AS (SELECT request, specimen, CAST(sum(m) AS DOUBLE) AS s0, CAST(coalesce(sum(m) FILTER (la = one AND lb = two), 0) AS DOUBLE) AS observed FROM by_request JOIN two USING (request, specimen) GROUP BY ALL),
+rec AS (SELECT x.specimen, CAST(count(*) AS DOUBLE) AS rec FROM edges x JOIN edges y ON x.a = y.b AND x.b = y.a GROUP BY 1),
+deg AS (SELECT specimen, v, CAST(sum(o) AS DOUBLE) AS o, CAST(sum(i) AS DOUBLE) AS i FROM (SELECT specimen, a AS v, 1 AS o, 0 AS i FROM edges UNION ALL SELECT specimen, b, 0, 1 FROM edges) GROUP BY ALL),
+s AS (SELECT specimen, sum(o*o) AS oo, sum(i*i) AS ii, sum(o*i) AS oi FROM deg GROUP BY 1),
+m AS (SELECT request, specimen, n, observed, s0*a*b/(n*(n-1)) AS mean, s0*a*b/(n*(n-1)) + (oo-s0)*a*b*(b-1)/(n*(n-1)*(n-2)) + (ii-s0)*a*(a-1)*b/(n*(n-1)*(n-2))
+  + (s0*s0 - s0 - (oo-s0) - (ii-s0) - 2*(oi-rec) - rec)*a*(a-1)*b*(b-1)/(n*(n-1)*(n-2)*(n-3)) AS square FROM two JOIN o USING (request, specimen) JOIN rec USING (specimen) JOIN s USING (specimen))
+SELECT specimen, request, CAST(n AS BIGINT) AS n, observed, round((observed - mean) / sqrt(square - mean*mean), 6) AS z FROM m""")
+def batch_enrichment(spark, d):
+    """Three pairs of phenotypes over one stored graph."""
+    c = N.stored(cells(spark, d).select("specimen", "structure", "x", "y", "mask"))
+    return S.enrichment_batch(c, S.neighbour_graph(c), _PAIRS).select("specimen", "request", "n", "observed", F.round("z", 6).alias("z"))
+
+
+@query("m_batch_co_occurrence", f"""{_C}, {_LONG}, {_SIZES},
+met AS MATERIALIZED (SELECT a.specimen, a.ls AS la, b.ls AS lb, count(*) AS n FROM w a JOIN w b ON a.specimen = b.specimen AND a.structure <> b.structure WHERE {_D2} <= 2500 AND {_D2} > 0 GROUP BY ALL),
+p AS (SELECT specimen, unnest({_NAMES}) AS request, unnest(la) AS la, unnest(lb) AS lb, n FROM met)
+SELECT specimen, request, round((sum(p.n) FILTER (la = one AND lb = two) / sum(p.n) FILTER (la = one)) / (sum(p.n) FILTER (lb = two) / sum(p.n)), 6) AS ratio FROM p JOIN two USING (request, specimen) GROUP BY ALL""")
+def batch_co_occurrence(spark, d):
+    """Three pairs of phenotypes by one join of cells."""
+    return S.co_occurrence_batch(cells(spark, d), _PAIRS, 50).select("specimen", "request", F.round("ratio", 6).alias("ratio"))
+
+
+_ALL_CHANNELS = "[" + ", ".join(f"'{c}'" for c in (*CHANNELS, *INTENSITIES)) + "]"
+_CHANNEL_VALUES = "[" + ", ".join([f"CAST((mask >> {i}) & 1 AS DOUBLE)" for i in range(len(CHANNELS))] + [f"CAST({v} AS DOUBLE)" for v in INTENSITIES]) + "]"
+
+
+@query("m_batch_autocorrelation", f"""{_NEAR}, w AS MATERIALIZED (SELECT specimen, structure, {_CHANNEL_VALUES} AS vs FROM cells),
+m AS (SELECT channel, specimen, avg(v) AS m, var_pop(v) AS var, count(*) AS n FROM (SELECT unnest({_ALL_CHANNELS}) AS channel, specimen, unnest(vs) AS v FROM w) GROUP BY ALL),
+met AS (SELECT e.specimen, unnest({_ALL_CHANNELS}) AS channel, unnest(x.vs) AS va, unnest(y.vs) AS vb FROM edges e JOIN w x ON e.a = x.structure JOIN w y ON e.b = y.structure)
+SELECT specimen, channel, any_value(n) AS n, round(sum((va - m) * (vb - m) / 6.0) / any_value(n) / any_value(var), 6) AS moran FROM met JOIN m USING (channel, specimen) GROUP BY ALL""")
+def batch_autocorrelation(spark, d):
+    """Moran's I of every channel's calls and of every intensity over one stored graph."""
+    c = N.stored(cells(spark, d))
+    channels = {n: [P.signature([n], [], CHANNELS)] for n in CHANNELS}
+    return S.moran_batch(c, S.neighbour_graph(c, keep=("mask", *INTENSITIES)), channels, INTENSITIES).select("specimen", "channel", "n", F.round("moran", 6).alias("moran"))
 
 
 @query("j08_ripley_f")

@@ -105,6 +105,28 @@ def test_enrichment_moments_are_those_of_permutations(spark):
     assert r.z == pytest.approx((r.observed - np.mean(sims)) / np.std(sims), abs=0.15)
 
 
+def test_batches_of_metrics_are_the_single_ones(spark):
+    """Two labels and three, one label only, a specimen of two cells, one without neighbours of a kind."""
+    from cytofabric.plans import api
+
+    rng = np.random.default_rng(8)
+    rows = [(s, s * 1000 + i, int(x), int(y), int(m)) for s, n, top in ((1, 120, 8), (2, 90, 4), (3, 2, 8), (4, 30, 1)) for i, ((x, y), m) in enumerate(zip(rng.integers(0, 200, (n, 2)), rng.integers(0, top, n), strict=True))]
+    df = spark.createDataFrame(rows, "specimen long, structure long, x int, y int, mask long")
+    names = ["a", "b", "c"]
+    a, b, ac = (["a"], []), (["b"], ["a"]), (["a", "c"], [])
+    requests = {"p1": ([a, b], "proximity", 30.0), "p2": ([b, ac], "proximity", 50.0), "o1": ([a, b], "co-occurrence", 40.0), "o2": ([ac, b], "co-occurrence", 40.0), "e1": ([a, b], "enrichment", 0.0), "e2": ([ac, a], "enrichment", 0.0), "m1": ([a], "autocorrelation", 0.0), "m2": ([ac, b], "autocorrelation", 0.0)}
+    got = {(r.request, r.specimen): r.value for r in api.batch_spatial_metrics(df, names, requests).collect()}
+    assert len(got) == 4 * len(requests)
+    for n, (phenotypes, metric, radius) in requests.items():
+        for r in api.spatial_metrics(df, names, phenotypes, metric, radius).collect():
+            assert got[n, r.specimen] == (None if r.value is None else pytest.approx(r.value, abs=1e-9)), (n, r.specimen)
+    assert sum(v is None for v in got.values()) > 4
+    zero = {(r.request, r.specimen): r.value for r in api.batch_spatial_metrics(df, names, requests, impute_zero=True).collect()}
+    assert zero == {k: 0.0 if v is None else pytest.approx(v, abs=1e-9) for k, v in got.items()}
+    with pytest.raises(ValueError):
+        api.batch_spatial_metrics(df, names, {"x": ([a], "ripley", 1.0)})
+
+
 def test_ripley_is_the_plain_computation(spark):
     """Clustered, regular and random cells, against a numpy version over whole distance matrices."""
     rng = np.random.default_rng(2)
