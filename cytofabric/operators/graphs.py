@@ -86,23 +86,31 @@ def roi_graphs(cells: DataFrame, rois: DataFrame, k: int = 5, longest: float | N
     return nodes, edges.select(F.col("specimen").alias("graph"), F.col("a").alias("src"), F.col("b").alias("dst"), F.sqrt("d2").alias("distance"))
 
 
-def split_datasets(specimens: DataFrame, train: float = 0.7, validation: float = 0.15, seed: int = 0) -> DataFrame:
-    """specimens (specimen, label, rois) with set: train, validation, test by label; null for a null label.
+def split_datasets(specimens: DataFrame, validation: float = 0.15, test: float = 0.15, seed: int = 0) -> DataFrame:
+    """specimens (specimen, label, rois) with set: train, validation, test by label; null for a null label and for labels without boxes.
 
-    In a label, specimens with ten times the median number of boxes come first, the others in seeded order. The first is for training, the
-    second for validation (if wanted), the third for test; then each set fills up to its share of boxes in turn. Of two specimens one
-    trains and one tests. Rows are specimens, so windows by label are small.
+    In a label, specimens with ten times the median number of boxes or more come first, the others in seeded order. The first trains. Of two, the second goes
+    to the one other set that is wanted, by seeded coin if both are, and trains if none is. Of more, the next one is for validation and the next for test, where
+    wanted; the rest, in order, train until their boxes reach training's share of all boxes less what it has, then validate until they reach validation's added
+    to that, and the others are tests. A specimen counts after it is placed. Rows are specimens, so windows by label are small.
     """
-    median = specimens.where("label is not null").groupBy("label").agg(F.percentile("rois", F.lit(0.5)).alias("median_"), F.sum("rois").alias("all_"), F.count("*").alias("many_"))
-    x = specimens.join(median, "label", "left")
-    order = Window.partitionBy("label").orderBy((F.col("rois") < 10 * F.col("median_")), F.md5(F.concat_ws("/", "specimen", F.lit(seed)).cast("binary")), "specimen")
-    x = x.withColumns({"at_": F.row_number().over(order), "sum_": F.sum("rois").over(order)})
-    share = F.col("sum_") / F.col("all_")
-    third = 3 if validation > 0 else 2
-    rest = F.when(share <= train, "train").when(share <= train + validation, "validation").otherwise("test")
-    chosen = F.when(F.col("many_") == 2, F.when(F.col("at_") == 1, "train").otherwise("test")).when(F.col("at_") == 1, "train")
-    chosen = chosen.when((F.col("at_") == 2) & F.lit(validation > 0), "validation").when(F.col("at_") == third, "test").otherwise(rest)
-    return x.select("specimen", "label", "rois", F.when(F.col("label").isNotNull(), chosen).alias("set"))
+    train = 1 - validation - test
+    sizes = specimens.where("label is not null").groupBy("label").agg(F.percentile("rois", F.lit(0.5)).alias("median_"), F.sum("rois").alias("all_"), F.count("*").alias("many_"))
+    x = specimens.join(sizes, "label", "left")
+    draw = lambda *of: F.md5(F.concat_ws("/", *of, F.lit(seed)).cast("binary"))
+    order = Window.partitionBy("label").orderBy((F.col("rois") < 10 * F.col("median_")), draw("specimen"), "specimen")
+    x = x.withColumn("at_", F.row_number().over(order))
+    second, third = int(validation > 0), int(validation > 0) + int(test > 0)  # specimens placed beside the first
+    placed = lambda n: F.coalesce(F.sum(F.when(F.col("at_") == n, F.col("rois"))).over(Window.partitionBy("label")), F.lit(0))
+    x = x.withColumns({"train_": F.col("all_") * F.lit(train) - placed(1), "valid_": F.col("all_") * F.lit(validation) - (placed(2) if second else F.lit(0))})
+    rest = Window.partitionBy("label").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)
+    used = F.coalesce(F.sum(F.when(F.col("at_") > 1 + third, F.col("rois"))).over(rest), F.lit(0))
+    filled = F.when(used < F.col("train_"), "train").when(used < F.col("train_") + F.col("valid_"), "validation").otherwise("test")
+    coin = F.when(F.substring(draw("label"), 1, 1) < "8", "validation").otherwise("test")
+    other = coin if validation > 0 and test > 0 else F.lit("validation" if validation > 0 else "test" if test > 0 else "train")
+    chosen = F.when(F.col("at_") == 1, "train").when(F.col("many_") == 2, other)
+    chosen = chosen.when((F.col("at_") == 2) & F.lit(bool(second)), "validation").when((F.col("at_") == 1 + third) & F.lit(test > 0), "test").otherwise(filled)
+    return x.select("specimen", "label", "rois", F.when(F.col("label").isNotNull() & (F.col("all_") > 0), chosen).alias("set"))
 
 
 def labelled_specimens(cells: DataFrame, labels: DataFrame) -> DataFrame:

@@ -72,18 +72,19 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, keep_left: tu
     return pairs.select("specimen", "a", "b", "d2", *keep_left, *keep_right)
 
 
-def unordered_pairs(cells: DataFrame, radius: float, keep: tuple = ()) -> DataFrame:
+def unordered_pairs(cells: DataFrame, radius: float | str, keep: tuple = ()) -> DataFrame:
     """(specimen, a, b, d2, a_<kept>..., b_<kept>...): each pair of different cells of a specimen at distance <= radius once, in either order.
 
-    As radius_pairs(), but a cell is repeated five times only: for its own bin and for four of the eight around it.
+    radius: a number, or the name of a column with one for each specimen. As radius_pairs(), but a cell is repeated five times only: for its own bin and for four
+    of the eight around it.
     """
-    side = float(radius)
-    rows = stored(cells.select("specimen", "structure", "x", "y", *keep))  # read twice
-    name = lambda e: rows.select("specimen", F.col("structure").alias(e), F.col("x").alias(f"x{e}"), F.col("y").alias(f"y{e}"), *(F.col(c).alias(f"{e}_{c}") for c in keep), F.floor(F.col("x") / side).alias("bx"), F.floor(F.col("y") / side).alias("by"))
+    rows = stored(cells.select("specimen", "structure", "x", "y", (F.col(radius) if isinstance(radius, str) else F.lit(float(radius))).alias("side_"), *keep))  # read twice
+    side = F.col("side_")
+    name = lambda e: rows.select("specimen", F.col("structure").alias(e), F.col("x").alias(f"x{e}"), F.col("y").alias(f"y{e}"), *(F.col(c).alias(f"{e}_{c}") for c in keep), F.floor(F.col("x") / side).alias("bx"), F.floor(F.col("y") / side).alias("by"), *(["side_"] if e == "a" else []))
     step = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)))))
     right = name("b").withColumn("s_", step).withColumns({"bx": F.col("bx") + F.col("s_.i"), "by": F.col("by") + F.col("s_.j"), "own_": (F.col("s_.i") == 0) & (F.col("s_.j") == 0)}).drop("s_")
     pairs = name("a").join(right, ["specimen", "bx", "by"]).where(~F.col("own_") | (F.col("a") < F.col("b")))
-    pairs = pairs.withColumn("d2", squared_distance("xa", "ya", "xb", "yb")).where(F.col("d2") <= radius * radius)
+    pairs = pairs.withColumn("d2", squared_distance("xa", "ya", "xb", "yb")).where(F.col("d2") <= side * side)
     return pairs.select("specimen", "a", "b", "d2", *(f"{e}_{c}" for e in "ab" for c in keep))
 
 

@@ -326,6 +326,115 @@ def ripley_f(cells: DataFrame, label: int | None = None, steps: int = 100, simul
     return hulls.select("specimen", "area").join(summary, "specimen", "left").select("specimen", "radius", "area")
 
 
+def pair_distance_counts(cells: DataFrame, width: float | str, bins: int) -> DataFrame:
+    """(specimen, bin, pairs): unordered pairs of a specimen's cells whose distance lies in [bin, bin + 1) widths, for bins from 0.
+
+    width: a number, or the name of a column with one for each specimen. Pairs are counted where the join makes them; none is kept. Their number is what grows with the
+    square of the density: that is the statistic.
+    """
+    sized = cells.select("specimen", "structure", "x", "y", (F.col(width) if isinstance(width, str) else F.lit(float(width))).alias("width_")).withColumn("reach_", F.col("width_") * bins)
+    pairs = unordered_pairs(sized, "reach_", ("width_",)).select("specimen", F.floor(F.sqrt("d2") / F.col("a_width_")).cast("int").alias("bin"))
+    return pairs.where(F.col("bin") < bins).groupBy("specimen", "bin").agg(F.count("*").alias("pairs"))
+
+
+def ripley_gl(cells: DataFrame, mode: str, label: int | None = None, steps: int = 100, simulations: int = 100, points: int = 1000, seed: int = 0) -> DataFrame:
+    """(specimen, at, distance, observed, p): Ripley's G or L of a label's cells at `steps` distances up to a quarter of sqrt(area / 2), at from 0.
+
+    G: the share, among the distances of all other cells to their two nearest cells of the label that lie in that range, of those below a distance. L: sqrt(K / pi),
+    K = 2 * pairs of the label's cells nearer than the distance * area / n^2, n all cells of the specimen. A simulated pattern is `points` uniform points of the hull: for G the
+    distances are those of all cells to its nearest point, for L those among its points. p: as in ripley_f(). label None: the smallest that the specimen has.
+    Specimens without an area, two cells of the label or (G) another cell give no rows.
+
+    Observed distances come from the joins of the neighbour search and of pairs; only counts by distance travel. Simulations are dealt to tasks by specimen and
+    turn (L) or by cells (G), whose counts are added up.
+    """
+    if mode not in ("G", "L"):
+        raise ValueError(f"no mode {mode!r}")
+    least = cells.groupBy("specimen").agg(F.min("label").alias("least"), F.count("*").alias("n"))
+    marked = stored(cells.join(least, "specimen").select("specimen", "structure", "x", "y", (F.col("label") == (F.lit(label) if label is not None else F.col("least"))).alias("own"), "n"))
+
+    @F.pandas_udf("double")
+    def area(hull: pd.Series) -> pd.Series:
+        return hull.map(lambda h: _area(np.reshape(h, (-1, 2)))).astype(float)
+
+    some = marked.groupBy("specimen").agg(F.sum(F.col("own").cast("int")).alias("mine"), F.max("n").alias("n"))
+    some = some.where("mine > 1 and mine < n" if mode == "G" else "mine > 1")
+    frame = convex_hulls(cells).withColumn("area", area("hull")).where("area > 0").join(some.select("specimen", "n"), "specimen")
+    frame = stored(frame.withColumn("width", F.sqrt(F.col("area") / 2) / 4 / (steps - 1)))
+    bins = steps - 1
+    own = marked.where("own").join(frame.select("specimen", "width"), "specimen")
+    last = lambda b, d, w: F.when((b == bins) & (d <= w * bins), bins - 1).otherwise(b)  # noqa: E731  the last bin is closed
+    if mode == "L":
+        counts = pair_distance_counts(own, "width", bins).withColumnRenamed("pairs", "c")
+    else:
+        others = marked.where(~F.col("own")).join(frame.select("specimen"), "specimen", "left_semi")
+        near = nearest(own, 2, queries=others).join(frame.select("specimen", "width"), "specimen")
+        d = F.sqrt("d2")
+        counts = near.select("specimen", last(F.floor(d / F.col("width")).cast("int"), d, F.col("width")).alias("bin")).where(F.col("bin") < bins).groupBy("specimen", "bin").agg(F.count("*").alias("c"))
+    observed = frame.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(bins)))).join(counts.withColumnRenamed("bin", "at_"), "specimen", "left")
+    below = F.sum(F.when(F.col("at_") < F.col("at"), F.col("c")).otherwise(0)).cast("double")
+    observed = observed.groupBy("specimen", "at", "n", "area", "width").agg(below.alias("below"), F.coalesce(F.sum("c"), F.lit(0)).cast("double").alias("all"))
+    value = F.sqrt(2 * F.col("below") / F.col("n") / F.col("n") * F.col("area") / math.pi) if mode == "L" else F.try_divide("below", "all")
+    observed = stored(observed.select("specimen", "at", (F.col("at") * F.col("width")).alias("distance"), value.alias("observed")))
+
+    @F.pandas_udf("array<double>")
+    def among(specimen: pd.Series, hull: pd.Series, n: pd.Series, area: pd.Series, turn: pd.Series) -> pd.Series:
+        out = []
+        for s, h, m, a, t in zip(specimen, hull, n, area, turn, strict=True):
+            pattern, edges = _uniform(np.reshape(h, (-1, 2)), points, [seed, int(s), int(t) + 1]), np.linspace(0, math.sqrt(a / 2) / 4, steps)
+            total = np.zeros(bins, int)
+            for i in range(0, points, 200):  # each pair once
+                d = np.sqrt(((pattern[i : i + 200, None] - pattern[None, i:]) ** 2).sum(2))
+                d = d[np.triu_indices(len(d), 1, d.shape[1])]
+                total += np.histogram(d[d < edges[-1]], edges)[0]
+            out.append(np.sqrt(2 * np.concatenate([[0], np.cumsum(total)]) / m / m * a / math.pi).tolist())
+        return pd.Series(out)
+
+    def around(batches):
+        for batch in batches:
+            for s, g in batch.groupby("specimen"):
+                hull, reach = np.reshape(g["hull"].iloc[0], (-1, 2)), g["width"].iloc[0] * bins
+                at, edges = g[["x", "y"]].to_numpy(float), np.linspace(0, reach, steps)
+                counts = [np.histogram(_to_nearest(at, _uniform(hull, points, [seed, int(s), t + 1]), reach / 4), edges)[0] for t in range(simulations)]
+                turn, own_bin = np.divmod(np.arange(simulations * bins), bins)
+                c = np.concatenate(counts)
+                yield pd.DataFrame({"specimen": s, "turn": turn[c > 0], "bin": own_bin[c > 0], "c": c[c > 0]})
+
+    if mode == "L":
+        turns = frame.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1)))).repartition("specimen", "turn")
+        simulated = turns.select("specimen", F.posexplode(among("specimen", "hull", "n", "area", "turn")).alias("at", "value"))
+    else:
+        spread = marked.select("specimen", "structure", "x", "y").repartitionByRange("specimen", "structure").sortWithinPartitions("specimen")
+        c = spread.join(frame.select("specimen", "hull", "width"), "specimen").mapInPandas(around, "specimen long, turn int, bin int, c long")
+        c = stored(c.groupBy("specimen", "turn", "bin").agg(F.sum("c").alias("c")))
+        grown = c.groupBy("specimen", "turn").agg(F.array_sort(F.collect_list(F.struct("bin", "c"))).alias("l"), F.sum("c").alias("all"))  # at most `bins` of each
+        grown = grown.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(bins))))
+        simulated = grown.select("specimen", "at", (F.aggregate(F.filter("l", lambda e: e.bin < F.col("at")), F.lit(0).cast("long"), lambda t, e: t + e.c) / F.col("all")).alias("value"))
+    lower = observed.join(simulated, ["specimen", "at"], "left").groupBy("specimen", "at", "distance", "observed")
+    return lower.agg(((1 + F.sum(F.when(F.col("value") < F.col("observed"), 1).otherwise(0))) / (simulations + 1)).alias("p"))
+
+
+def ripley_summary(curves: DataFrame) -> DataFrame:
+    """(specimen, radius) of ripley_gl(): the distances' mean weighted by p, to one decimal."""
+    return curves.groupBy("specimen").agg(F.round(F.sum(F.col("p") * F.col("distance")) / F.sum("p"), 1).alias("radius"))
+
+
+def _to_nearest(at: np.ndarray, pattern: np.ndarray, reach: float) -> np.ndarray:
+    """The distance of each point to the nearest of the pattern. Points that stand close in x meet the part of the pattern within `reach` in x of them; those
+    with none so near meet the whole."""
+    order, pattern = np.argsort(at[:, 0], kind="stable"), pattern[np.argsort(pattern[:, 0], kind="stable")]
+    out = np.full(len(at), np.inf)
+    for part in np.array_split(order, max(1, len(at) // 256)):
+        q = at[part]
+        low, high = np.searchsorted(pattern[:, 0], [q[0, 0] - reach, q[-1, 0] + reach])
+        if high > low:
+            out[part] = ((q[:, None] - pattern[None, low:high]) ** 2).sum(2).min(1)
+    for part in np.array_split(far := np.flatnonzero(out > reach * reach), max(1, len(far) // 256)):
+        if len(part):
+            out[part] = ((at[part][:, None] - pattern[None]) ** 2).sum(2).min(1)
+    return np.sqrt(out)
+
+
 def _area(h: np.ndarray) -> float:
     x, y = h[:, 0], h[:, 1]
     return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2 if len(h) > 2 else 0.0

@@ -125,9 +125,12 @@ def j10(spark, d):
 
 @query("j11_split_datasets", """WITH s AS (SELECT s_suppkey AS specimen, CAST(s_nationkey % 5 AS VARCHAR) AS label, s_suppkey % 4 + 1 AS rois FROM supplier),
 m AS (SELECT label, median(rois) AS med, sum(rois) AS everything, count(*) AS many FROM s GROUP BY 1),
-o AS (SELECT s.*, everything, many, row_number() OVER w AS place, sum(rois) OVER w AS so_far FROM s JOIN m USING (label) WINDOW w AS (PARTITION BY label ORDER BY rois < 10 * med, md5(specimen || '/0'), specimen ROWS UNBOUNDED PRECEDING))
-SELECT specimen, label, rois, CASE WHEN many = 2 THEN CASE WHEN place = 1 THEN 'train' ELSE 'test' END WHEN place = 1 THEN 'train' WHEN place = 2 THEN 'validation' WHEN place = 3 THEN 'test'
-  WHEN so_far / everything <= 0.7 THEN 'train' WHEN so_far / everything <= 0.85 THEN 'validation' ELSE 'test' END AS part FROM o""")
+o AS (SELECT s.*, everything, many, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN rois >= 10 * med THEN 0 ELSE 1 END, md5(specimen || '/0'), specimen) AS place FROM s JOIN m USING (label)),
+given AS (SELECT label, max(rois) FILTER (place = 1) AS to_train, max(rois) FILTER (place = 2) AS to_validation FROM o GROUP BY 1),
+remainder AS (SELECT label, specimen, sum(rois) OVER (PARTITION BY label ORDER BY place) - rois AS used FROM o WHERE place > 3),
+target AS (SELECT DISTINCT o.label, everything * CAST(0.7 AS DOUBLE) - to_train AS train, everything * CAST(0.15 AS DOUBLE) - to_validation AS validation FROM o JOIN given USING (label))
+SELECT specimen, label, rois, CASE WHEN place = 1 THEN 'train' WHEN many = 2 THEN CASE WHEN left(md5(label || '/0'), 1) < '8' THEN 'validation' ELSE 'test' END WHEN place = 2 THEN 'validation' WHEN place = 3 THEN 'test'
+  WHEN used < train THEN 'train' WHEN used < train + validation THEN 'validation' ELSE 'test' END AS part FROM o JOIN target USING (label) LEFT JOIN remainder USING (label, specimen)""")
 def j11(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("specimen"), (F.col("s_nationkey") % 5).cast("string").alias("label"), (F.col("s_suppkey") % 4 + 1).alias("rois"))
     return R.split_datasets(s).withColumnRenamed("set", "part")

@@ -159,6 +159,23 @@ def j08(spark, d):
     return S.ripley_f(labelled(spark, d))
 
 
+@query("j08_pair_counts", f"""{_C}, l AS (SELECT * FROM cells WHERE {_W['bulk'].format('cells')})
+SELECT a.specimen, CAST(floor(sqrt({_D2}) / 7) AS INT) AS bin, count(*) AS pairs FROM l a JOIN l b ON a.specimen = b.specimen AND a.structure < b.structure WHERE sqrt({_D2}) < 140 GROUP BY ALL""")
+def j08_pairs(spark, d):
+    """What Ripley's L counts: pairs of one phenotype's cells by distance."""
+    return S.pair_distance_counts(cells(spark, d).where(S.matches(F.col("mask"), *_BULK)), 7.0, 20)
+
+
+@query("j08_ripley_l")
+def j08_l(spark, d):
+    return S.ripley_summary(S.ripley_gl(labelled(spark, d), "L", 1))
+
+
+@query("j08_ripley_g")
+def j08_g(spark, d):
+    return S.ripley_summary(S.ripley_gl(labelled(spark, d), "G", 1))
+
+
 @query("i08_region_enrichment", f"{_C} SELECT specimen, count(*) FILTER (x < 500 AND (mask & 20) = 20 AND (mask & 1) = 0) AS a, count(*) FILTER (x < 500 AND NOT ((mask & 20) = 20 AND (mask & 1) = 0)) AS b, count(*) FILTER (x >= 500 AND (mask & 20) = 20 AND (mask & 1) = 0) AS c, count(*) FILTER (x >= 500 AND NOT ((mask & 20) = 20 AND (mask & 1) = 0)) AS d, TRUE AS p_in_range FROM cells GROUP BY 1")
 def i08(spark, d):
     n = S.region_enrichment_counts(cells(spark, d), F.col("x") < 500, _BULK)

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import duckdb
@@ -149,6 +150,44 @@ def test_ripley_is_the_plain_computation(spark):
         assert got[s].radius == pytest.approx((p * bins).sum() / p.sum(), abs=0.06)
 
 
+@pytest.mark.parametrize("mode", ["G", "L"])
+def test_ripley_g_and_l_are_the_plain_computation(spark, mode):
+    rng = np.random.default_rng(12)
+    corners = [(0, 0), (0, 1000), (1000, 0), (1000, 1000)]
+    own = {1: rng.integers(0, 60, (40, 2)), 2: np.array([(x, y) for x in range(25, 1000, 90) for y in range(25, 1000, 90)]), 3: rng.integers(0, 1000, (120, 2)), 4: rng.integers(0, 1000, (1, 2))}
+    other = {s: np.vstack([corners, rng.integers(0, 1000, (60, 2))]) for s in own}
+    rows = [(s, s * 1000 + i, int(x), int(y), 1) for s, at in own.items() for i, (x, y) in enumerate(at)] + [(s, s * 1000 + 900 + i, int(x), int(y), 2) for s in own for i, (x, y) in enumerate(other[s])]
+    rows += [(5, 5000 + i, i, i, 1) for i in range(9)]  # no area
+    df = spark.createDataFrame(rows, "specimen long, structure long, x int, y int, label int").repartition(3)
+    curves = spatial.ripley_gl(df, mode, 1, simulations=6, points=150)
+    got = {}
+    for r in curves.orderBy("at").collect():
+        got.setdefault(r.specimen, []).append((r.distance, r.observed, r.p))
+    assert set(got) == {1, 2, 3} and all(len(v) == 100 for v in got.values())
+    hull, bins = np.array([(0, 0), (1000, 0), (1000, 1000), (0, 1000)], float), np.linspace(0, math.sqrt(1e6 / 2) / 4, 100)
+    far = lambda a, b, k: np.sort(np.sqrt(((np.asarray(a)[:, None] - np.asarray(b)[None]) ** 2).sum(2)), axis=1)[:, :k].ravel()
+    share = lambda d: np.array([0, *(np.cumsum(np.histogram(d, bins)[0]) / np.histogram(d, bins)[0].sum())])
+    for s in (1, 2, 3):
+        every = np.vstack([own[s], other[s]])
+
+        def level(at, n=len(every)):
+            d = far(at, at, len(at)).reshape(len(at), -1)
+            pairs = np.array([((d < b).sum() - (len(at) if b > 0 else 0)) / 2 for b in bins])
+            return np.sqrt(2 * pairs / n / (n / 1e6) / math.pi)
+
+        p = np.ones(100)
+        want = share(far(other[s], own[s], 2)) if mode == "G" else level(own[s].astype(float))
+        for t in range(6):
+            pattern = spatial._uniform(hull, 150, [0, s, t + 1])
+            p += (share(far(every, pattern, 1)) if mode == "G" else level(pattern)) < want
+        assert np.allclose([v[0] for v in got[s]], bins) and np.allclose([v[1] for v in got[s]], want, atol=1e-6)
+        assert np.mean(np.abs(np.array([v[2] for v in got[s]]) - p / 7) > 1e-9) < 0.05  # equal curves may differ in their last bits
+    radius = {r.specimen: r.radius for r in spatial.ripley_summary(curves).collect()}
+    assert radius[2] == pytest.approx(sum(d * p for d, _, p in got[2]) / sum(p for _, _, p in got[2]), abs=0.06)
+    with pytest.raises(ValueError):
+        spatial.ripley_gl(df, "F")
+
+
 def test_uniform_points_lie_in_the_polygon():
     h = np.array([(0, 0), (10, 0), (10, 5), (4, 9)], float)
     p = spatial._uniform(h, 2000, [1])
@@ -383,6 +422,42 @@ def test_split_gives_every_set_a_share(spark):
     assert out[None, None] == 1 and all(out[x, "train"] >= 10 and out[x, "validation"] >= 1 and out[x, "test"] >= 1 for x in "ab")
 
 
+def naive_split(rows, validation, test):
+    """Specimens of one label [(specimen, boxes)] in the order in which they are allotted."""
+    sets = {rows[0][0]: "train"}
+    if len(rows) == 2:
+        sets[rows[1][0]] = ("validation", "test") if validation and test else "validation" if validation else "test" if test else "train"
+        return sets
+    at, have = 1, {"validation": 0, "test": 0}
+    for name, p in (("validation", validation), ("test", test)):
+        if p > 0 and at < len(rows):
+            sets[rows[at][0]], have[name] = name, rows[at][1]
+            at += 1
+    boxes = sum(n for _, n in rows)
+    train, valid, used = boxes * (1 - validation - test) - rows[0][1], boxes * validation - have["validation"], 0
+    for specimen, n in rows[at:]:
+        sets[specimen] = "train" if used < train else "validation" if used < train + valid else "test"
+        used += n
+    return sets
+
+
+@pytest.mark.parametrize(("validation", "test"), [(0.15, 0.15), (0.2, 0.0), (0.0, 0.3), (0.0, 0.0), (0.4, 0.4)])
+def test_data_sets_fill_up_in_turn(spark, validation, test):
+    rng = np.random.default_rng(9)
+    many = {"ten": [1] * 10, "two": [3, 4], "one": [5], "mixed": rng.integers(1, 9, 23).tolist(), "big": [2, 2, 2, 40, 2, 2, 2], "three": [1, 2, 3]}
+    rows = [(f"{label}{i}", label, n) for label, ns in many.items() for i, n in enumerate(ns)] + [("x", None, 4), ("z0", "empty", 0), ("z1", "empty", 0)]
+    got = {r.specimen: r.set for r in graphs.split_datasets(spark.createDataFrame(rows, "specimen string, label string, rois int"), validation, test, seed=3).collect()}
+    assert got["x"] is got["z0"] is got["z1"] is None
+    for label, ns in many.items():
+        own = sorted(((f"{label}{i}", n) for i, n in enumerate(ns)), key=lambda r: (r[1] < 10 * np.median(ns), hashlib.md5(f"{r[0]}/3".encode()).hexdigest()))
+        for specimen, want in naive_split(own, validation, test).items():
+            assert got[specimen] in ([want] if isinstance(want, str) else want)
+    if (validation, test) == (0.15, 0.15):
+        sets = [got[f"ten{i}"] for i in range(10)]
+        assert (sets.count("train"), sets.count("validation"), sets.count("test")) == (7, 2, 1)
+    assert (validation, test) != (0.2, 0.0) or "test" not in {got[f"ten{i}"] for i in range(10)} | {got["two0"], got["two1"]}
+
+
 def test_feature_store(spark):
     v = spark.createDataFrame([("f", 1, 1.0), ("f", 2, None), ("g", 1, float("nan"))], "feature string, subject long, value double")
     assert [(r.subject, r.value) for r in features.values_of(v, "f").collect()] == [(1, 1.0), (2, None)]
