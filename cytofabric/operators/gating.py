@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .neighbors import stored
@@ -56,35 +57,63 @@ def gate_subsample(cells: DataFrame, most: int = 1000, by: str = "sample", key:
     return at_most(cells, most, by=by, key=key)
 
 
+def gate_cube(cells: DataFrame, assigned: Mapping[str, str], channels: Sequence[str], means: DataFrame, steps: int, by: str = "sample") -> DataFrame:
+    """(by, n_<channel>, u_<channel>..., was_<signature>..., n): cells counted by how many of each channel's candidate gates their value exceeds, whether it exceeds the
+    channel's mean, and their assigned calls.
+
+    A channel's candidates are 2 * mean * i / (steps - 1), i from 0 to steps - 1; means: (by, m_<channel>...). They are in order, so how many a value exceeds tells which:
+    the table holds all that any choice among them makes of the cells. A null value exceeds none.
+    """
+    rows = cells.join(means, by)
+    level = lambda c: sum((F.when(F.col(c) > F.col(f"m_{c}") * 2 * i / (steps - 1), 1).otherwise(0) for i in range(steps)), F.lit(0))
+    mean = lambda c: F.coalesce(F.col(c) > F.col(f"m_{c}"), F.lit(False))
+    keys = [x for c in channels for x in (level(c).alias(f"n_{c}"), mean(c).alias(f"u_{c}"))]
+    keys += [F.coalesce(F.col(a) == 1, F.lit(False)).alias(f"was_{n}") for n, a in assigned.items()]
+    return rows.select(by, *keys).groupBy(by, *(f"{k}_{c}" for c in channels for k in "nu"), *(f"was_{n}" for n in assigned)).agg(F.count("*").alias("n"))
+
+
 def gate_search(cells: DataFrame, assigned: Mapping[str, str], signatures: Mapping[str, tuple[Sequence[str], Sequence[str]]], channels: Sequence[str], steps: int = 16, rounds: int = 2, by: str = "sample") -> DataFrame:
     """(by, channel, final, single, mean): gates that agree best with assigned calls.
 
-    Each channel's own signature first: the best of `steps` gates on [0, 2 mean]. Then rounds of one channel at a time, others held, for the
-    least mean distance over all signatures. Every candidate of every sample is counted in one aggregation a step.
+    Each channel's own signature first: the best of `steps` gates on [0, 2 mean]; the mean for channels without one. Then rounds of one channel at a time, others held, for
+    the least mean distance over all signatures. Of equally good gates the first wins; one that is held is given up for a better one only.
+
+    The cells are read once for means and once for a cube of counts (gate_cube()), whatever steps and rounds are. For a channel's turn the cube is added up over
+    all but that channel's levels and what the others, held, make of each signature; every candidate then is a sum over those few rows.
     """
-    cells = stored(cells.select(*dict.fromkeys([by, *channels, *assigned.values()])))
-    means = stored(cells.groupBy(by).agg(*(F.avg(c).alias(c) for c in channels)))
-    share = F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))
-    at = lambda c: F.col(f"m_{c}") * 2 * F.col("candidate") / (steps - 1)
-    plain = means.select(by, *(F.col(c).alias(f"m_{c}") for c in channels))
-    least = lambda d: d.groupBy(by).agg(F.min(F.struct("distance", "candidate")).alias("b")).select(by, F.col("b.candidate").alias("candidate"))
-    now = plain
+    means = stored(cells.groupBy(by).agg(*(F.avg(c).alias(f"m_{c}") for c in channels)))
+    cube = stored(gate_cube(cells, assigned, channels, means, steps, by))
+
+    def above(c: str, gate: Column) -> Column:
+        """Whether a value exceeds the gate-th candidate; the mean for -1. Candidates of a negative mean run downwards."""
+        over = F.when(F.col(f"m_{c}") < 0, gate >= steps - F.col(f"n_{c}")).otherwise(gate < F.col(f"n_{c}"))
+        return F.when(gate < 0, F.col(f"u_{c}")).otherwise(over)
+
+    def best(state: DataFrame, c: str, some: Mapping[str, tuple[Sequence[str], Sequence[str]]], first: int) -> DataFrame:
+        """state with g_<c> changed to the best candidate from `first` on; candidate -1 is the gate held now."""
+        held = lambda n: reduce(lambda a, b: a & b, [*(above(x, F.col(f"g_{x}")) for x in some[n][0] if x != c), *(~above(x, F.col(f"g_{x}")) for x in some[n][1] if x != c)], F.lit(True))
+        rows = cube.join(state, by).select(by, f"n_{c}", f"u_{c}", f"m_{c}", f"g_{c}", *(held(n).alias(f"held_{n}") for n in some), *(f"was_{n}" for n in some), "n")
+        rows = rows.groupBy(*(x for x in rows.columns if x != "n")).agg(F.sum("n").alias("n")).withColumn("candidate", F.explode(F.sequence(F.lit(first), F.lit(steps - 1))))
+        own = above(c, F.when(F.col("candidate") < 0, F.col(f"g_{c}")).otherwise(F.col("candidate")))
+        parts = []
+        for n, (positive, negative) in some.items():
+            made = F.col(f"held_{n}") & (own if c in positive else F.lit(True)) & (~own if c in negative else F.lit(True))
+            parts += [F.sum(F.when(made & F.col(f"was_{n}"), F.col("n")).otherwise(0)).alias(f"i_{n}"), F.sum(F.when(made | F.col(f"was_{n}"), F.col("n")).otherwise(0)).alias(f"u_{n}")]
+        sums = rows.groupBy(by, "candidate").agg(*parts)
+        distance = sum((F.when(F.col(f"u_{n}") > 0, 1 - F.col(f"i_{n}") / F.col(f"u_{n}")).otherwise(0.0) for n in some), F.lit(0.0)) / len(some)
+        chosen = sums.select(by, F.struct(distance.alias("distance"), "candidate").alias("b")).groupBy(by).agg(F.min("b").alias("b")).select(by, F.col("b.candidate").alias("candidate"))
+        return stored(state.join(chosen, by).withColumn(f"g_{c}", F.when(F.col("candidate") >= 0, F.col("candidate")).otherwise(F.col(f"g_{c}"))).drop("candidate"))
+
+    now = means.withColumns({f"g_{c}": F.lit(-1) for c in channels})
     for c in channels:
-        own = {n: s for n, s in signatures.items() if list(s[0]) == [c] and not s[1]}
-        if own:
-            tried = plain.withColumn("candidate", share).select(by, "candidate", at(c).alias(c))
-            best = least(discordance(cells, assigned, own, tried, by))
-            now = now.join(plain.join(best, by).select(by, at(c).alias(f"single_{c}")), by)
-        else:
-            now = now.withColumn(f"single_{c}", F.col(f"m_{c}"))
-    now = stored(now.select("*", *(F.col(f"single_{c}").alias(f"g_{c}") for c in channels)))
+        if own := {n: s for n, s in signatures.items() if list(s[0]) == [c] and not s[1]}:
+            now = best(now, c, own, 0)
+    now = stored(now.withColumns({f"s_{c}": F.col(f"g_{c}") for c in channels}))
     for _ in range(rounds):
         for c in channels:
-            tried = now.withColumn("candidate", F.explode(F.sequence(F.lit(-1), F.lit(steps - 1))))
-            tried = tried.select(by, "candidate", *(F.when(F.col("candidate") < 0, F.col(f"g_{x}")).otherwise(at(x)).alias(x) if x == c else F.col(f"g_{x}").alias(x) for x in channels))
-            best = least(discordance(cells, assigned, signatures, tried, by))
-            now = stored(now.join(best, by).withColumn(f"g_{c}", F.when(F.col("candidate") < 0, F.col(f"g_{c}")).otherwise(at(c))).drop("candidate"))
-    rows = F.array(*(F.struct(F.lit(c).alias("channel"), F.col(f"g_{c}").alias("final"), F.col(f"single_{c}").alias("single"), F.col(f"m_{c}").alias("mean")) for c in channels))
+            now = best(now, c, signatures, -1)
+    gate = lambda c, at: F.when(F.col(at) < 0, F.col(f"m_{c}")).otherwise(F.col(f"m_{c}") * 2 * F.col(at) / (steps - 1))
+    rows = F.array(*(F.struct(F.lit(c).alias("channel"), gate(c, f"g_{c}").alias("final"), gate(c, f"s_{c}").alias("single"), F.col(f"m_{c}").alias("mean")) for c in channels))
     return now.select(by, F.explode(rows).alias("r")).select(by, "r.*")
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,23 +18,24 @@ def roi_side(cells: DataFrame, target: int) -> int:
     return int(round((target / median) ** 0.5)) if median else 0
 
 
-def place_rois(cells: DataFrame, target: Column, side: int, k: int = 5, most_targets: int = 100_000) -> DataFrame:
+def place_rois(cells: DataFrame, target: Column, side: int, k: int = 5, most_targets: int | None = None) -> DataFrame:
     """(specimen, roi, x_min, x_max, y_min, y_max, targets): boxes round target cells, the one with most target cells within side // 2 first.
 
     The number of boxes of a specimen is its share of target cells times its bounding box's area over a box's, rounded; one if that is
     over a tenth of a box but rounds to none. After each box its target cells go; ties go to the smaller id. A box with k cells
-    of any kind or fewer ends the specimen. targets: those left when the box was placed. At most most_targets target cells of a specimen take part (the
-    feature's limit), chosen by hash.
+    of any kind or fewer ends the specimen. targets: those left when the box was placed. most_targets: so many target cells of a specimen at most take part, chosen by hash.
 
-    Counts come from grid joins that spread over tasks. The boxes of a specimen follow from each other, so one task places them, from the
-    coordinates and counts of its target cells only.
+    Boxes are placed in rounds, many at a time: a cell whose count leads all that are left within two halves of it (judged by the best cell of each grid bin) comes
+    before whatever could take cells from it, so it gets its box with just this count. Counts only fall, so the order of the boxes is that of their counts. A round
+    joins boxes with cells and what they took with their neighbours, by grid bins; a specimen of any size spreads over tasks. Over all rounds each pair of near cells is met once.
     """
     half = side // 2
     box = cells.groupBy("specimen").agg(F.count("*").alias("n"), F.sum(target.cast("long")).alias("hits"), ((F.max("x") - F.min("x")).cast("double") * (F.max("y") - F.min("y"))).alias("area"))
     share = F.col("hits") / F.col("n") * F.col("area") / float(side * side)
     wanted = F.when((F.rint(share) == 0) & (share > 0.1), 1).otherwise(F.rint(share)).cast("int")
-    box = box.select("specimen", wanted.alias("wanted")).where("wanted > 0")
-    aims = stored(at_most(cells.where(target).join(box.select("specimen"), "specimen", "left_semi").select("specimen", "structure", "x", "y"), most_targets))
+    box = stored(box.select("specimen", wanted.alias("wanted")).where("wanted > 0"))
+    aims = cells.where(target).join(box.select("specimen"), "specimen", "left_semi").select("specimen", "structure", "x", "y")
+    aims = stored(aims if most_targets is None else at_most(aims, most_targets))
     place = aims.select("specimen", "structure", "x", "y", F.col("x").alias("px"), F.col("y").alias("py"))
 
     def in_box(pairs: DataFrame) -> Column:
@@ -47,27 +48,32 @@ def place_rois(cells: DataFrame, target: Column, side: int, k: int = 5, most_tar
     thin = counts.where(F.col("boxed") <= k).select("specimen", F.col("a").alias("structure"), "x", "y", F.col("x").alias("px"), F.col("y").alias("py"))
     around = radius_pairs(thin, cells.select("specimen", "structure", "x", "y", F.col("x").alias("qx"), F.col("y").alias("qy")), half * 2**0.5, ("px", "py"), ("qx", "qy"))
     around = around.where(in_box(around)).groupBy("specimen", "a").agg(F.count("*").alias("all_"))
-    rows = counts.join(around, ["specimen", "a"], "left").join(box, "specimen").select("specimen", "a", "x", "y", "near", (F.coalesce("all_", F.lit(k + 1)) > k).alias("enough"), "wanted")
-
-    def greedy(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("a")
-        x, y, near, enough = (group[c].to_numpy() for c in ("x", "y", "near", "enough"))
-        near, left, out = near.copy(), np.ones(len(x), bool), []
-        for i in range(int(group["wanted"].iloc[0])):
-            if not left.any():
-                break
-            at = int(np.where(left, near, -1).argmax())
-            if not enough[at]:
-                break
-            inside = left & (np.abs(x - x[at]) <= half) & (np.abs(y - y[at]) <= half)
-            out.append((key[0], i, x[at] - half, x[at] + half, y[at] - half, y[at] + half, inside.sum()))
-            left &= ~inside
-            gone, other = np.flatnonzero(inside), np.flatnonzero(left & (np.abs(x - x[at]) <= 2 * half) & (np.abs(y - y[at]) <= 2 * half))
-            for part in np.array_split(gone, max(1, len(gone) * len(other) // 4_000_000)):
-                near[other] -= ((x[part][:, None] - x[other]) ** 2 + (y[part][:, None] - y[other]) ** 2 <= half * half).sum(0)
-        return pd.DataFrame(out, columns=["specimen", "roi", "x_min", "x_max", "y_min", "y_max", "targets"])
-
-    return rows.groupBy("specimen").applyInPandas(greedy, "specimen long, roi int, x_min long, x_max long, y_min long, y_max long, targets long")
+    left = counts.join(around, ["specimen", "a"], "left").select("specimen", "a", "x", "y", "near", (F.coalesce("all_", F.lit(k + 1)) > k).alias("enough"))
+
+    bins = lambda d: d.withColumns({"bx": F.floor(F.col("x") / half), "by": F.floor(F.col("y") / half)})
+    around_by = lambda d, far: d.withColumn("i_", F.explode(F.sequence(F.lit(-far), F.lit(far)))).withColumn("j_", F.explode(F.sequence(F.lit(-far), F.lit(far)))).withColumns({"bx": F.col("bx") + F.col("i_"), "by": F.col("by") + F.col("j_")}).drop("i_", "j_")
+    square, placed = ["specimen", "bx", "by"], []
+    left = stored(bins(left))
+    while True:
+        best = stored(left.groupBy(*square).agg(F.min(F.struct((-F.col("near")).alias("m"), "a", "x", "y", "enough")).alias("b")))
+        leads = around_by(best.select(*square, F.struct("b.m", "b.a").alias("o")), 2).groupBy(*square).agg(F.min("o").alias("o"))
+        boxes = stored(best.join(leads, square).where(F.struct("b.m", "b.a") == F.col("o")).select(*square, F.col("b.a").alias("centre"), F.col("b.x").alias("cx"), F.col("b.y").alias("cy"), (-F.col("b.m")).alias("near_"), F.col("b.enough").alias("enough_")))
+        if not boxes.limit(1).count():
+            break
+        # boxes of one round stand more than two halves apart, so a cell is in one at most
+        inside = (F.abs(F.col("x") - F.col("cx")) <= half) & (F.abs(F.col("y") - F.col("cy")) <= half)
+        taken = stored(left.join(around_by(boxes, 1), square).where(inside).select("specimen", "a", "x", "y", "centre", "cx", "cy", "near_", "enough_"))
+        placed.append(stored(taken.groupBy("specimen", "centre", "cx", "cy", "near_", "enough_").agg(F.count("*").alias("targets"))))
+        rest = left.join(taken.select("specimen", "a"), ["specimen", "a"], "left_anti")
+        lost = radius_pairs(rest.withColumnRenamed("a", "structure"), taken.withColumnRenamed("a", "structure"), half).groupBy("specimen", "a").agg(F.count("*").alias("lost"))
+        left = stored(rest.join(lost, ["specimen", "a"], "left").select(*square, "a", "x", "y", (F.col("near") - F.coalesce("lost", F.lit(0))).alias("near"), "enough"))
+    if not placed:
+        placed = [stored(left.limit(0).select("specimen", F.col("a").alias("centre"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("near").alias("near_"), F.col("enough").alias("enough_"), F.lit(0).cast("long").alias("targets")))]
+    order = Window.partitionBy("specimen").orderBy(F.desc("near_"), "centre")  # a specimen's boxes
+    rows = reduce(DataFrame.union, placed).withColumns({"roi": F.row_number().over(order) - 1, "thin_": F.max((~F.col("enough_")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    rows = rows.join(box, "specimen").where((F.col("roi") < F.col("wanted")) & (F.col("thin_") == 0))
+    edge = lambda c, d, name: (F.col(c) + d).cast("long").alias(name)
+    return rows.select("specimen", F.col("roi").cast("int").alias("roi"), edge("cx", -half, "x_min"), edge("cx", half, "x_max"), edge("cy", -half, "y_min"), edge("cy", half, "y_max"), "targets")
 
 
 def roi_cells(cells: DataFrame, rois: DataFrame) -> DataFrame:

@@ -42,9 +42,27 @@ def d15(spark, d):
     return G.discordance(c, {n: n for n in _SIGS}, _SIGS, gates).withColumn("distance", F.round("distance", 6))
 
 
-@query("i13_gate_search")
+def _gate_search_sql() -> str:
+    """Two channels, 16 gates, two rounds, each turn spelled out over all cells."""
+    distance = lambda n, made: f"CASE WHEN count(*) FILTER ({n} OR ({made})) > 0 THEN 1 - count(*) FILTER ({n} AND ({made})) / count(*) FILTER ({n} OR ({made})) ELSE 0 END"
+    text = f"""{_C}, s AS MATERIALIZED (SELECT specimen AS sample, CAST(l_quantity AS DOUBLE) AS b, CAST(l_tax AS DOUBLE) AS t, (mask & 4) = 4 AS is_bulk, (mask & 20) = 20 AS is_both FROM cells),
+m AS MATERIALIZED (SELECT sample, avg(b) AS mb, avg(t) AS mt FROM s GROUP BY 1),
+first AS (SELECT sample, candidate, {distance("is_bulk", "b > mb * 2 * candidate / 15")} AS d FROM s JOIN m USING (sample), range(16) r(candidate) GROUP BY ALL),
+g0 AS MATERIALIZED (SELECT sample, mb, mt, mb * 2 * candidate / 15 AS gb, mt AS gt, mb * 2 * candidate / 15 AS sb FROM first JOIN m USING (sample) QUALIFY row_number() OVER (PARTITION BY sample ORDER BY d, candidate) = 1)"""
+    for turn, c in enumerate("btbt"):
+        gate = f"CASE WHEN candidate < 0 THEN g{c} ELSE m{c} * 2 * candidate / 15 END"
+        b, t = (f"b > {gate}", "t > gt") if c == "b" else ("b > gb", f"t > {gate}")
+        text += f""",
+t{turn} AS (SELECT sample, candidate, ({distance("is_bulk", b)} + {distance("is_both", f"{b} AND {t}")}) / 2 AS d FROM s JOIN g{turn} USING (sample), range(-1, 16) r(candidate) GROUP BY ALL),
+g{turn + 1} AS MATERIALIZED (SELECT sample, mb, mt, sb, {gate if c == "b" else "gb"} AS gb, {gate if c == "t" else "gt"} AS gt FROM t{turn} JOIN g{turn} USING (sample) QUALIFY row_number() OVER (PARTITION BY sample ORDER BY d, candidate) = 1)"""
+    return text + """
+SELECT sample, 'BULK' AS channel, round(gb, 6) AS final, round(sb, 6) AS single, round(mb, 6) AS mean FROM g4 UNION ALL SELECT sample, 'TAXED', round(gt, 6), round(mt, 6), round(mt, 6) FROM g4"""
+
+
+@query("i13_gate_search", _gate_search_sql())
 def i13(spark, d):
-    return G.gate_search(_samples(spark, d), {n: n for n in _SIGS}, _SIGS, ["BULK", "TAXED"])
+    found = G.gate_search(_samples(spark, d), {n: n for n in _SIGS}, _SIGS, ["BULK", "TAXED"])
+    return found.select("sample", "channel", *(F.round(c, 6).alias(c) for c in ("final", "single", "mean")))
 
 
 @query("k06_gate_subsample", "SELECT l_suppkey AS sample, least(count(*), 40) AS n FROM lineitem GROUP BY 1")

@@ -503,7 +503,7 @@ def test_gating_queries_do_the_operators_whole_job(spark, monkeypatch):
             bound = of.bind(*a, **b)
             bound.apply_defaults()
             given[name] = bound.arguments
-            return spark.createDataFrame([(1, 0.0, 0.0)], "vec_id long, x double, y double")
+            return spark.createDataFrame([(1, 0.0, 0.0, 1, "c", 0.0, 0.0, 0.0)], "vec_id long, x double, y double, sample int, channel string, final double, single double, mean double")
 
         monkeypatch.setattr(module, name, keep)
     monkeypatch.setattr(plans.G, "bimodality", lambda d: d)
@@ -512,6 +512,52 @@ def test_gating_queries_do_the_operators_whole_job(spark, monkeypatch):
     assert (given["gate_search"]["steps"], given["gate_search"]["rounds"]) == (16, 2)
 
 
+def naive_gate_search(values, was, signatures, channels, steps, rounds):
+    """One sample: values channel -> array, was signature -> array of bool."""
+    means = {c: v.mean() for c, v in values.items()}
+    gates = {c: [means[c] * 2 * i / (steps - 1) for i in range(steps)] for c in channels}
+
+    def distance(now, some):
+        total = 0.0
+        for n, (positive, negative) in some.items():
+            made = np.ones(len(was[n]), bool)
+            for c in positive:
+                made &= values[c] > now[c]
+            for c in negative:
+                made &= ~(values[c] > now[c])
+            total += 1 - (made & was[n]).sum() / (made | was[n]).sum() if (made | was[n]).any() else 0.0
+        return total / len(some)
+
+    single = {}
+    for c in channels:
+        own = {n: s for n, s in signatures.items() if list(s[0]) == [c] and not s[1]}
+        single[c] = min(gates[c], key=lambda g: distance({c: g}, own)) if own else means[c]  # noqa: B023
+    now = dict(single)
+    for _ in range(rounds):
+        for c in channels:
+            now[c] = min([now[c], *gates[c]], key=lambda g: distance({**now, c: g}, signatures))  # noqa: B023
+    return {c: (now[c], single[c], means[c]) for c in channels}
+
+
+@pytest.mark.parametrize(("steps", "rounds"), [(16, 2), (5, 1), (2, 3)])
+def test_gate_search_is_the_plain_one(spark, steps, rounds):
+    """Positive, negative and zero means, values on gates, a channel without a signature of its own, an empty signature."""
+    rng = np.random.default_rng(10)
+    signatures = {"A": (["a"], []), "B": (["b"], []), "AnotB": (["a", "c"], ["b"]), "C": (["c"], ["a"]), "none": (["b"], ["a", "c"])}
+    samples = {1: (lambda n: rng.exponential(2, n)), 2: (lambda n: -rng.integers(0, 9, n).astype(float)), 3: (lambda n: rng.integers(-1, 2, n).astype(float)), 4: (lambda n: np.zeros(n))}
+    rows, want = [], {}
+    for s, draw in samples.items():
+        values = {c: draw(150) for c in "abc"}
+        was = {n: (rng.random(150) < 0.3) & (n != "none") for n in signatures}
+        want |= {(s, c): v for c, v in naive_gate_search(values, was, signatures, "abc", steps, rounds).items()}
+        rows += [(s, *(float(values[c][i]) for c in "abc"), *(int(was[n][i]) for n in signatures)) for i in range(150)]
+    df = spark.createDataFrame(rows, "sample int, a double, b double, c double, " + ", ".join(f"is_{n} int" for n in signatures))
+    got = {(r.sample, r.channel): (r.final, r.single, r["mean"]) for r in gating.gate_search(df, {n: f"is_{n}" for n in signatures}, signatures, list("abc"), steps, rounds).collect()}
+    assert got.keys() == want.keys()
+    for key, v in want.items():
+        assert got[key] == pytest.approx(v, abs=1e-9), key
+
+
 def _t_p(t, df):
     """Two-sided p by Simpson's rule over the density of t."""
     c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
