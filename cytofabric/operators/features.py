@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import feature_hash, json_number
 from ..functions.statistics import fisher, t_tail
+from .neighbors import stored
 
 
 def specifications(requests: DataFrame) -> DataFrame:
@@ -158,6 +159,29 @@ def auc(values: DataFrame) -> DataFrame:
     return s.where("pos > 0 and neg > 0").select("feature", F.greatest(area, 1 - area).alias("auc"))
 
 
+def roc_points(values: DataFrame) -> DataFrame:
+    """(feature, place, positives, negatives): the ROC curve of value for label 1 against 0, a point for each row in order of (value, label), place from 1, after (0, 1) at place 0.
+
+    positives: the share of label 1 up to there; negatives: the share of label 0 after it. Features without both labels give no points; null values and labels are left out.
+
+    Rows are sorted in ranges, so a feature of any size spreads over tasks: sums within a range follow its rows, and the sums of the ranges before, one small row
+    for each feature and range, are added.
+    """
+    keys = ["feature", "value", "label"]
+    rows = values.where("value is not null and label in (0, 1)").select("feature", "value", F.col("label").cast("long").alias("label"))
+    rows = stored(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("range", F.shiftright("at", 33))
+    inner = Window.partitionBy("feature", "range").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.groupBy("feature", "range").agg(F.count("*").alias("n"), F.sum("label").alias("ones"))
+    before, whole = Window.partitionBy("feature").orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("feature")
+    parts = parts.select("feature", "range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "ones")), F.sum("ones").over(whole).alias("pos"), (F.sum("n").over(whole) - F.sum("ones").over(whole)).alias("neg"))
+    parts = stored(parts.where("pos > 0 and neg > 0"))
+    sums = rows.select("feature", "range", F.row_number().over(Window.partitionBy("feature", "range").orderBy("at")).alias("n"), F.sum("label").over(inner).alias("ones"))
+    x = sums.join(parts, ["feature", "range"]).withColumns({"place": F.col("n") + F.col("n_before"), "up": F.col("ones") + F.col("ones_before")})
+    points = x.select("feature", "place", (F.col("up") / F.col("pos")).alias("positives"), ((F.col("neg") - F.col("place") + F.col("up")) / F.col("neg")).alias("negatives"))
+    return points.union(parts.select("feature").distinct().select("feature", F.lit(0).cast("long"), F.lit(0.0), F.lit(1.0)))
+
+
 def fractions_by_cohort(values: DataFrame, omit_zeros: bool = False) -> DataFrame:
     """(feature, cohort, n, mean, omitted)."""
     use = (F.col("value") != 0) if omit_zeros else F.lit(True)

@@ -123,6 +123,14 @@ def i05(spark, d):
     return L.auc(v).withColumn("auc", F.round("auc", 6))
 
 
+@query("e09_roc_curve", f"""{_V}, l AS (SELECT feature, value, CAST(cohort > 2 AS INT) AS label FROM vals WHERE value IS NOT NULL),
+n AS (SELECT feature, sum(label) AS pos, sum(1 - label) AS neg FROM l GROUP BY 1), r AS (SELECT feature, row_number() OVER w AS place, sum(label) OVER w AS ones FROM l WINDOW w AS (PARTITION BY feature ORDER BY value, label ROWS UNBOUNDED PRECEDING))
+SELECT feature, place, round(ones / pos, 9) AS positives, round((neg - place + ones) / neg, 9) AS negatives FROM r JOIN n USING (feature) UNION ALL SELECT feature, 0, 0.0, 1.0 FROM n""")
+def e09(spark, d):
+    v = shares(spark, d).select("feature", "value", (F.col("cohort") > 2).cast("int").alias("label"))
+    return L.roc_points(v).select("feature", "place", F.round("positives", 9).alias("positives"), F.round("negatives", 9).alias("negatives"))
+
+
 @query("i06_fractions_by_cohort", f"{_V} SELECT feature, cohort, count(*) FILTER (value <> 0) AS n, round(avg(value) FILTER (value <> 0), 9) AS mean, count(*) FILTER (value = 0) AS omitted FROM vals WHERE value IS NOT NULL GROUP BY ALL")
 def i06(spark, d):
     return L.fractions_by_cohort(shares(spark, d).where("value is not null"), True).withColumn("mean", F.round("mean", 9))

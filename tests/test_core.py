@@ -558,6 +558,24 @@ def test_gate_search_is_the_plain_one(spark, steps, rounds):
         assert got[key] == pytest.approx(v, abs=1e-9), key
 
 
+def test_roc_points_are_the_running_shares(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f, float(v), int(x)) for f, n in (("f", 300), ("g", 7)) for v, x in zip(rng.integers(0, 40, n), rng.integers(0, 2, n), strict=True)]
+    odd = [("one", 1.0, 1), ("one", 2.0, 1), ("f", None, 1), ("f", 2.0, None)]
+    got = {}
+    for r in features.roc_points(spark.createDataFrame(rows + odd, "feature string, value double, label int").repartition(4)).orderBy("place").collect():
+        got.setdefault(r.feature, []).append((r.place, r.positives, r.negatives))
+    want = {}
+    for f in "fg":
+        own = sorted((v, x) for g, v, x in rows if g == f)
+        pos = sum(x for _, x in own)
+        at, want[f] = (0, len(own) - pos), [(0, 0.0, 1.0)]
+        for i, (_, x) in enumerate(own):
+            at = (at[0] + x, at[1] - (1 - x))
+            want[f].append((i + 1, at[0] / pos, at[1] / (len(own) - pos)))
+    assert got.keys() == want.keys() and all(np.allclose(got[f], want[f]) for f in want)
+
+
 def _t_p(t, df):
     """Two-sided p by Simpson's rule over the density of t."""
     c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
