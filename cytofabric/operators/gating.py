@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import dequantise, quantise
 from .neighbors import stored
 from .populations import Signature, matches
-from .sampling import at_most
+from .sampling import allocation, at_most, representative
 
 
 def segment_means(pixels: DataFrame, channels: Sequence[str]) -> DataFrame:
@@ -31,6 +32,34 @@ def gates_from_calls(cells: DataFrame, channels: Mapping[str, Signature], intens
     return wide.select("specimen", F.explode(rows).alias("r")).select("specimen", "r.*")
 
 
+def gate_bytes(cells: DataFrame, channels: Mapping[str, Signature], intensity: Mapping[str, str]) -> DataFrame:
+    """(specimen, channel, gate): gates_from_calls() over intensities as their one-byte codes hold them, as a code itself; 0 becomes 1.
+
+    intensity: channel -> a column of values in 0..1. Null where a specimen has no value of the channel.
+    """
+    held = cells.withColumns({f"held_{c}": dequantise(quantise(F.col(intensity[c]).cast("double"))) for c in channels})
+    gates = gates_from_calls(held, channels, {c: f"held_{c}" for c in channels})
+    byte = F.when(F.col("gate").isNotNull(), F.greatest(quantise(F.col("gate")), F.lit(1)))
+    return gates.select("specimen", "channel", byte.cast("smallint").alias("gate"))
+
+
+def subsample_metadata(cells: DataFrame, channels: Mapping[str, Signature], intensity: Mapping[str, str], most: int = 1_000_000) -> DataFrame:
+    """(specimen, count, thresholds): the cells that representative() takes of each specimen, and its gate bytes in the order of channels.
+
+    Gates are those of all of a specimen's cells, not of its sample. One row for each specimen; sums and extremes are pre-aggregated.
+    """
+    sizes = allocation(cells.groupBy("specimen").agg(F.count("*").alias("n")), most)
+    gates = gate_bytes(cells, channels, intensity).groupBy("specimen").agg(F.map_from_entries(F.collect_list(F.struct("channel", "gate"))).alias("gates_"))
+    of = F.array(*(F.element_at("gates_", F.lit(c)) for c in channels))
+    return sizes.join(gates, "specimen").select("specimen", F.col("take").alias("count"), of.alias("thresholds"))
+
+
+def subsample_bytes(cells: DataFrame, channels: Sequence[str], intensity: Mapping[str, str], most: int = 1_000_000, seed: int = 10001) -> DataFrame:
+    """(specimen, structure, codes): representative() cells with one byte for each channel, in order; a missing value is byte 0."""
+    codes = F.concat(*(F.unhex(F.lpad(F.hex(F.coalesce(quantise(F.col(intensity[c]).cast("double")), F.lit(0)).cast("long")), 2, "0")) for c in channels))
+    return representative(cells, most, seed).select("specimen", "structure", codes.alias("codes"))
+
+
 def discordance(cells: DataFrame, assigned: Mapping[str, str], signatures: Mapping[str, tuple[Sequence[str], Sequence[str]]], gates: DataFrame, by: str = "sample") -> DataFrame:
     """(by, candidate, distance): mean Jaccard distance between assigned calls and those that gates make, over signatures.
 

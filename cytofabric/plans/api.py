@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import collection_tag, without_tag
+from ..operators import gating as G
 from ..operators import populations as P
 from ..operators import sampling as K
 from ..operators import spatial as S
 from ..operators.features import importance_enrichment
 from ..operators.neighbors import new_folder, stored
 from ..sources.tables import CELLS, CHANNELS, cells, table
-from ..streaming.incremental import event_counts, ingest_once, keep_features_up_to_date, signature_counts
+from ..streaming.incremental import event_counts, ingest_cells, ingest_once, keep_counts, keep_features_up_to_date, read_counts, signature_counts
 from .populations import SIGNATURES
 from .registry import query
 
@@ -218,11 +219,70 @@ def m_channel_annotations(spark, d):
     return channel_annotations(p).withColumn("channels", F.array_join("channels", ","))
 
 
+def whole_study_subsample(cells_: DataFrame, names: Mapping[str, P.Signature], intensity: Mapping[str, str], most: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(metadata, cells): the sample's description as whole_study_metadata() gives it, and its cells' bytes as subsample_bytes() does."""
+    return whole_study_metadata(cells_, names, intensity, most), G.subsample_bytes(cells_, list(names), intensity, most)
+
+
+def whole_study_metadata(cells_: DataFrame, names: Mapping[str, P.Signature], intensity: Mapping[str, str], most: int = 1_000_000) -> DataFrame:
+    """One row (metadata): JSON of each specimen's count and thresholds, in the order of specimens, and of the order of channels."""
+    rows = G.subsample_metadata(cells_, names, intensity, most)
+    counts = F.array_sort(F.collect_list(F.struct("specimen", "count", "thresholds"))).alias("subsample_counts")  # a row for each specimen
+    return rows.agg(counts).select(F.to_json(F.struct("subsample_counts", F.array(*map(F.lit, names)).alias("channel_order"))).alias("metadata"))
+
+
 @query("m_whole_study_subsample")
 def m_subsample(spark, d):
     return K.representative(cells(spark, d), 10_000).select("specimen", "structure", "mask", "l_quantity", "l_tax")
 
 
+_GATED = {"BULK": (4, 0), "DISC": (8, 0), "TAXED": (16, 0)}
+_LEVELS = {"BULK": "bulk", "DISC": "disc", "TAXED": "taxed"}
+_MOST = 5000
+
+
+def _levels(spark, d):
+    """Cells with three intensities in 0..1."""
+    c = cells(spark, d)
+    return c.select("specimen", "structure", "mask", (F.col("l_quantity").cast("double") / 50).alias("bulk"), (F.col("l_discount").cast("double") * 10).alias("disc"), (F.col("l_tax").cast("double") * 10).alias("taxed"))
+
+
+def _subsample_sql() -> str:
+    """Counts by largest whole shares, the remainder one each in order; gates between decoded extremes of calls, coded by their power of two."""
+    high = (1 + 31 / 32) * 2**7 - 1
+    power = lambda v: "+".join(f"CAST({v} >= {2**i} AS INT)" for i in range(1, 8))
+    coded = lambda v: f"least(255, 32 * ({power(v)}) + CAST(floor(32 * ({v} / pow(2.0, {power(v)}) - 1)) AS INT))"
+    held = lambda b: f"((1 + {b} % 32 / 32.0::DOUBLE) * pow(2.0, {b} // 32) - 1) / {high}"
+    values = {"BULK": "CAST(l_quantity AS DOUBLE) / 50", "DISC": "CAST(l_discount AS DOUBLE) * 10", "TAXED": "CAST(l_tax AS DOUBLE) * 10"}
+    rows = " UNION ALL ".join(f"SELECT specimen, {i} AS i, (mask & {s[0]}) = {s[0]} AS hit, 1 + {values[c]} * {high} AS v FROM cells" for i, (c, s) in enumerate(_GATED.items()))
+    return f"""WITH cells AS MATERIALIZED ({CELLS}), x AS MATERIALIZED (SELECT specimen, i, hit, {coded("v")} AS b FROM ({rows})),
+e AS (SELECT specimen, i, max(b) FILTER (NOT hit) AS low, min(b) FILTER (hit) AS high FROM x GROUP BY ALL),
+h AS (SELECT specimen, i, {held("low")} AS low, {held("high")} AS high FROM e),
+g AS (SELECT specimen, i, 1 + coalesce((low + high) / 2, low, high) * {high} AS v FROM h),
+t AS (SELECT specimen, array_to_string(list(greatest(1, {coded("v")}) ORDER BY i), ',') AS thresholds FROM g GROUP BY 1),
+n AS (SELECT specimen, count(*) AS n FROM cells GROUP BY 1),
+f AS (SELECT *, sum(n) OVER () AS total, CAST(floor(n * {_MOST}.0::DOUBLE / sum(n) OVER ()) AS BIGINT) AS share, row_number() OVER (ORDER BY specimen) AS turn FROM n)
+SELECT specimen, CAST(CASE WHEN total <= {_MOST} THEN n ELSE share + CAST(turn <= {_MOST} - sum(share) OVER () AS INT) END AS BIGINT) AS "count", thresholds FROM f JOIN t USING (specimen)"""
+
+
+@query("k02_subsample_metadata", _subsample_sql())
+def k02_metadata(spark, d):
+    return G.subsample_metadata(_levels(spark, d), _GATED, _LEVELS, _MOST).withColumn("thresholds", F.array_join(F.col("thresholds").cast("array<string>"), ","))
+
+
+@query("m_whole_study_metadata", _subsample_sql())
+def m_whole_study_metadata(spark, d):
+    """The JSON that a user gets, read back."""
+    rows = whole_study_metadata(_levels(spark, d), _GATED, _LEVELS, _MOST)
+    read = F.from_json("metadata", "subsample_counts array<struct<specimen: long, count: long, thresholds: array<string>>>, channel_order array<string>")
+    return rows.select(F.explode(read["subsample_counts"]).alias("r")).select("r.specimen", "r.count", F.array_join("r.thresholds", ",").alias("thresholds"))
+
+
+@query("m_whole_study_bytes")
+def m_whole_study_bytes(spark, d):
+    return whole_study_subsample(_levels(spark, d), _GATED, _LEVELS, _MOST)[1].withColumn("codes", F.hex("codes"))
+
+
 @query("n02_signature_counts", f"WITH cells AS ({CELLS}) SELECT specimen, count(*) FILTER ((mask & 1) = 1 AND (mask & 2) = 0) AS returned, count(*) FILTER ((mask & 4) = 4) AS bulk, count(*) AS all_cells FROM cells GROUP BY 1")
 def n02(spark, d):
     return signature_counts(cells(spark, d), {k: SIGNATURES[k] for k in ("returned", "bulk")})
@@ -254,6 +314,53 @@ def n01(spark, d):
     return rows.join(stored_files, "name").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+@query("n01_cells_from_files", """WITH f AS (SELECT DISTINCT l_partkey, l_suppkey, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS b, CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END AS t, l_tax FROM lineitem)
+SELECT CAST(b + 2 * t AS BIGINT) AS mask, count(*) AS cells, round(sum(l_partkey + 2.0), 6) AS xs, round(sum(l_suppkey + 1.0), 6) AS ys, round(sum(l_tax), 4) AS taxes FROM f GROUP BY 1""")
+def n01_cells(spark, d):
+    """Cell files arrive in two loads, the second with the first's contents under other names; each content becomes cells once."""
+    folder, rows = new_folder(spark), table(spark, d, "lineitem")
+    box = {"XMin": F.col("l_partkey"), "XMax": F.col("l_partkey") + 4, "YMin": F.col("l_suppkey"), "YMax": F.col("l_suppkey") + 2}
+    calls = {"TAXED Positive": (F.col("l_tax") > 0.04).cast("int"), "BULK_Positive": (F.col("l_quantity") > 25).cast("int"), "TAXED Intensity": F.col("l_tax")}
+    half = lambda i: rows.where(F.col("l_suppkey") % 2 == i).repartition(3, "l_suppkey")
+
+    def arrive(load: str, i: int, columns: dict) -> None:
+        files = half(i).select(*(c.alias(n) for n, c in columns.items()))
+        files.sortWithinPartitions(*columns).write.csv(f"{folder}/in/{load}", header=True)
+
+    arrive("a", 0, box | calls)
+    ingest_cells(spark, f"{folder}/in/*", f"{folder}/store", ["TAXED", "BULK"], f"{folder}/checkpoint", 2).awaitTermination()
+    arrive("b", 0, box | calls)
+    arrive("c", 1, calls | box)  # other order of columns
+    ingest_cells(spark, f"{folder}/in/*", f"{folder}/store", ["TAXED", "BULK"], f"{folder}/checkpoint", 2).awaitTermination()
+    c = spark.read.parquet(f"{folder}/store/rows")
+    return c.groupBy("mask").agg(F.count("*").alias("cells"), F.round(F.sum("x"), 6).alias("xs"), F.round(F.sum("y"), 6).alias("ys"), F.round(F.sum(F.col("intensity")[1]), 4).alias("taxes"))
+
+
+@query("n02_signature_stream", f"WITH cells AS ({CELLS}) SELECT specimen, count(*) FILTER ((mask & 1) = 1 AND (mask & 2) = 0) AS returned, count(*) FILTER ((mask & 4) = 4) AS bulk, count(*) AS all_cells FROM cells GROUP BY 1")
+def n02_signature_stream(spark, d):
+    """Cells arrive in two loads; the stream ends after each and starts again from its checkpoint."""
+    folder, rows = new_folder(spark), stored(cells(spark, d).select("specimen", "structure", "mask"))
+    for i in range(2):
+        rows.where(F.col("structure") % 2 == i).write.parquet(f"{folder}/in/{i}")
+        counts = signature_counts(spark.readStream.schema(rows.schema).parquet(f"{folder}/in/*"), {k: SIGNATURES[k] for k in ("returned", "bulk")})
+        keep_counts(counts, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    return read_counts(spark, f"{folder}/counts", counts, ["specimen"])
+
+
+@query("n02_event_stream", "SELECT date_trunc('hour', ts) AS start, user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
+def n02_event_stream(spark, d):
+    """Events arrive in order of time in three loads, the stream starting again from its checkpoint for each. The last load repeats the first, whose
+    windows the watermark has closed: its events are too late and change nothing."""
+    folder, rows = new_folder(spark), table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))  # streams need a time with a zone
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    cut = first + (last - first) / 3 if first else None
+    for i, load in enumerate((F.col("ts") < cut, F.col("ts") >= cut, F.col("ts") < cut)):
+        rows.where(load).write.parquet(f"{folder}/in/{i}")
+        counts = event_counts(spark.readStream.schema(rows.schema).parquet(f"{folder}/in/*"))
+        keep_counts(counts, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    return read_counts(spark, f"{folder}/counts", counts, ["start", "user_id", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("n03_features_up_to_date", "SELECT event_type AS feature, user_id AS subject, count(*) AS value FROM events GROUP BY ALL")
 def n03(spark, d):
     """Features are asked for in two streams; what the first has computed the second does not compute again."""

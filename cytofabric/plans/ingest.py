@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import ingest as A
 from ..operators.neighbors import new_folder
-from ..sources.tables import CELLS, cells, read_cells, store_cells, table
+from ..sources.tables import CELLS, cells, read_cells, read_range, serial_ranges, store_cells, table
 from .registry import query
 
 
@@ -99,3 +102,15 @@ def c03(spark, d):
     folder = new_folder(spark)
     store_cells(cells(spark, d).select("specimen", "structure", "mask"), folder)
     return read_cells(spark, folder, table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("specimen"))).select(F.col("specimen").cast("long").alias("specimen"), "structure", "mask")
+
+
+@query("c03_serial_range", f"""WITH cells AS MATERIALIZED ({CELLS}), r AS (SELECT specimen, min(structure) AS lowest, count(*) AS n FROM cells GROUP BY 1 ORDER BY n DESC, specimen LIMIT 3)
+SELECT specimen, structure, mask FROM cells JOIN r USING (specimen) WHERE structure BETWEEN lowest + n // 4 AND lowest + n // 2""")
+def c03_range(spark, d):
+    """The second quarter of each of the three largest specimens, read from the stored cells by ranges of structures."""
+    folder = new_folder(spark)
+    store_cells(cells(spark, d).select("specimen", "structure", "mask"), folder)
+    largest = serial_ranges(read_cells(spark, folder)).orderBy(F.desc("n"), "specimen").limit(3).collect()  # three rows
+    parts = [read_range(spark, folder, r.specimen, r.lowest + r.n // 4, r.lowest + r.n // 2) for r in largest]
+    rows = reduce(DataFrame.union, parts) if parts else read_cells(spark, folder)
+    return rows.select(F.col("specimen").cast("long").alias("specimen"), "structure", "mask")

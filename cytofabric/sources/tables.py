@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Names of the mask's bits, lowest first, and the columns with their intensities (the first two share theirs with the next).
 CHANNELS = ("RET", "OPEN", "BULK", "DISC", "TAXED")
@@ -66,13 +69,38 @@ def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, DIAGNOSES, "events")
 
 
-def store_cells(rows: DataFrame, path: str) -> None:
-    """Write cells in folders by specimen, so that a request for some specimens reads no others. Rows are dealt by specimen first, a
-    large one to several tasks, so that no folder gets a file of every task."""
-    rows.hint("rebalance", "specimen").write.mode("overwrite").partitionBy("specimen").parquet(path)
+def store_cells(rows: DataFrame, path: str, group_bytes: int = 16 << 20) -> None:
+    """Write cells in folders by specimen, and within these in files of disjoint ranges of structure, sorted by it.
+
+    A request for some specimens reads no other folder, one for a range of structures the row groups (of group_bytes at most) and pages that it
+    meets. Tasks have ranges of (specimen, structure) over all rows: a large specimen spreads over several, a small one lies in a file or two, and
+    no folder gets a file of every task. The ranges come from a sample, for which rows is computed once more. Null structures come first.
+    """
+    ordered = rows.repartitionByRange("specimen", "structure").sortWithinPartitions("specimen", "structure")
+    ordered.write.mode("overwrite").partitionBy("specimen").option("parquet.block.size", group_bytes).parquet(path)
 
 
 def read_cells(spark: SparkSession, path: str, specimens: DataFrame | None = None) -> DataFrame:
     """Cells that store_cells() wrote; specimens: those of this table (specimen) only, whose folders alone are read."""
     rows = spark.read.parquet(path)
     return rows if specimens is None else rows.join(specimens.select("specimen").distinct(), "specimen", "left_semi")
+
+
+def serial_ranges(rows: DataFrame) -> DataFrame:
+    """(specimen, lowest, highest, n): the range of structures of each specimen, and its cells."""
+    return rows.groupBy("specimen").agg(F.min("structure").alias("lowest"), F.max("structure").alias("highest"), F.count("*").alias("n"))
+
+
+def read_range(spark: SparkSession, path: str, specimen: object, lowest: int | None = None, highest: int | None = None, structures: Sequence[int] | None = None) -> DataFrame:
+    """One specimen's cells with structures from lowest to highest (None: no bound), of these only those named, if any are.
+
+    Bounds reach the scan, so a range costs what it meets of the specimen's files. Null structures are in no range with a bound. structures
+    is a request's list, whose span is pushed down too; an empty one gives no cells.
+    """
+    rows = spark.read.parquet(path).where(F.col("specimen") == F.lit(specimen))
+    if structures is not None:
+        lowest = max([min(structures, default=0), *([] if lowest is None else [lowest])])
+        highest = min([max(structures, default=-1), *([] if highest is None else [highest])])
+        rows = rows.where(F.col("structure").isin(list(structures)))
+    rows = rows if lowest is None else rows.where(F.col("structure") >= lowest)
+    return rows if highest is None else rows.where(F.col("structure") <= highest)

@@ -638,3 +638,92 @@ def test_stored_cells_are_read_by_folder(spark, tmp_path):
     assert sorted(r.structure for r in out.collect()) == [i for i in range(100) if i % 5 in (2, 3)]
     plan = out._jdf.queryExecution().toString()
     assert "dynamicpruning" in plan.lower() or "PartitionFilters" in plan
+
+
+def test_a_range_of_structures_reads_little(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from cytofabric.sources import tables
+
+    path = tmp_path / "cells"
+    rows = spark.range(200_000).select(F.when(F.col("id") % 10 < 7, 1).otherwise(2).alias("specimen"), F.xxhash64("id").alias("structure"), F.col("id").alias("mask"))
+    tables.store_cells(rows.repartition(9), str(path), group_bytes=64 << 10)
+    held = [pq.ParquetFile(f).metadata for f in sorted((path / "specimen=1").glob("*.parquet"))]
+    spans = sorted((g.column(0).statistics.min, g.column(0).statistics.max) for m in held for g in (m.row_group(i) for i in range(m.num_row_groups)))
+    assert len(held) > 1 and len(spans) > 4 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))  # a large specimen: several files, no overlap
+
+    def read(*how, **more):
+        out = tables.read_range(spark, str(path), *how, **more)
+        got = sorted((r.structure, r.mask) for r in out.collect())
+        leaf = out._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return got, leaf.metrics().apply("numOutputRows").value()
+
+    want = sorted((r.structure, r.mask) for r in rows.where("specimen = 1").collect())
+    got, scanned = read(1, want[5000][0], want[5999][0])
+    assert got == want[5000:6000] and scanned < len(want) / 4
+    assert read(1)[0] == want and read(3)[0] == [] and read(1, highest=want[9][0])[0] == want[:10] and read(1, want[-10][0])[0] == want[-10:]
+    some = [want[i][0] for i in (3, 700, 701)]
+    assert read(1, structures=[*some, 5])[0] == [want[i] for i in (3, 700, 701)]
+    assert read(1, want[4][0], structures=some)[0] == [want[700], want[701]] and read(1, structures=[])[0] == []
+    assert {(r.specimen, r.n) for r in tables.serial_ranges(rows).collect()} == {(1, 140_000), (2, 60_000)}
+
+
+def test_cells_of_files_with_any_header(spark):
+    from cytofabric.streaming import incremental
+
+    files = {
+        "a": "XMin,XMax,YMin,YMax,A_Positive,B Positive,B Intensity\n0,4,0,2,1,0,0.5\n0,4,0,2,1,0,0.5\n-2,2,6,8,0,1,1.5\n",
+        "b": "B Positive,A Positive,YMin,YMax,XMin,XMax\r\n1,1,0,2,0,4\r\n", "c": "", "d": "XMin,XMax\n",
+    }
+    df = spark.createDataFrame([(k, v.encode()) for k, v in files.items()], "sha256 string, content binary")
+    out = sorted((r.sha256, r.structure, r.x, r.y, r.mask, r.intensity) for r in incremental.cells_in(df, ["B", "A"]).collect())
+    assert out == [("a", 0, 2.0, 1.0, 1, [None, 0.5]), ("a", 1, 0.0, 7.0, 2, [None, 1.5]), ("b", 0, 2.0, 1.0, 3, [None, None])]
+    assert incremental.cells_in(df.where("sha256 > 'b'"), ["A"]).count() == 0
+
+
+def test_counts_go_on_after_a_restart_and_late_events_are_left(spark, tmp_path):
+    from datetime import datetime
+
+    from cytofabric.streaming import incremental
+
+    at = lambda h, m: datetime(2024, 1, 1, h, m)
+    loads = [[(at(1, 5), 7, "a"), (at(1, 50), 7, "a")], [(at(1, 55), 7, "a"), (at(3, 0), 7, "a")], [(at(1, 10), 7, "a"), (at(2, 55), 8, "a")]]
+    seen = []
+    for i, load in enumerate(loads):
+        spark.createDataFrame(load, "ts timestamp, user_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+        counts = incremental.event_counts(spark.readStream.schema("ts timestamp, user_id long, event_type string").parquet(f"{tmp_path}/in/*"))
+        incremental.keep_counts(counts, str(tmp_path / "store"), str(tmp_path / "checkpoint")).awaitTermination(120)
+        seen.append(sorted((r.start.hour, r.user_id, r.n) for r in incremental.read_counts(spark, str(tmp_path / "store"), counts, ["start", "user_id", "event_type"]).collect()))
+    # 1:55 joins a window left by the first run; 1:10 comes after the watermark of 2:50, 2:55 lies in a window still open
+    assert seen == [[(1, 7, 2)], [(1, 7, 3), (3, 7, 1)], [(1, 7, 3), (2, 8, 1), (3, 7, 1)]]
+
+
+def test_subsample_bytes_and_gates(spark):
+    import json
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for s, n in (("x", 50), ("y", 30), ("z", 3)):
+        for i, (v, w) in enumerate(rng.random((n, 2))):
+            rows.append((s, len(rows), int(v > 0.3) + (2 if s == "y" else 0), float(v), None if s == "z" else float(w) * 1e-5))
+    df = spark.createDataFrame(rows, "specimen string, structure long, mask long, a double, b double")
+    names, where = {"A": (1, 0), "B": (2, 0)}, {"A": "a", "B": "b"}
+    high = (1 + 31 / 32) * 2**7 - 1
+
+    def code(v):
+        m, e = math.frexp(1 + v * high)
+        return min(255, 32 * (e - 1) + math.floor(32 * (2 * m - 1)))
+
+    value = lambda b: ((1 + b % 32 / 32) * 2.0 ** (b // 32) - 1) / high
+    found = {r.specimen: (r["count"], list(r.thresholds)) for r in gating.subsample_metadata(df, names, where, 40).collect()}
+    assert {s: f[0] for s, f in found.items()} == {"x": 25, "y": 14, "z": 1}
+    for s in "xyz":
+        low, hit = ([value(code(r[3])) for r in rows if r[0] == s and r[2] % 2 == i] for i in (0, 1))
+        want = (max(low) + min(hit)) / 2 if low and hit else max(low) if low else min(hit)
+        assert found[s][1][0] == max(1, code(want))
+    assert found["x"][1][1] == 1 and found["y"][1][1] == 1 and found["z"][1][1] is None  # byte 0 becomes 1; no value at all
+    metadata, sample = api.whole_study_subsample(df, names, where, 40)
+    read = json.loads(metadata.first().metadata)
+    assert read["channel_order"] == ["A", "B"] and [c["specimen"] for c in read["subsample_counts"]] == ["x", "y", "z"]
+    codes = {r.structure: bytes(r.codes) for r in sample.collect()}
+    assert len(codes) == 40 and all(c == bytes((code(rows[i][3]), code(rows[i][4] or 0))) for i, c in codes.items())
