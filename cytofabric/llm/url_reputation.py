@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,6 @@ from .common import cut, table
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: Public suffixes of two labels: a category under a country's code; others have one label. A pattern for the last two labels.
 TWO_LABEL_SUFFIX = r"^(ac|co|com|edu|go|gob|gov|gouv|id|ltd|me|mil|ne|net|nhs|nom|or|org|plc|sch)\.[a-z]{2}$"
-MOST_RULES = 500
 #: A page is blocked if the bad share of its host is above LIMIT even at the lower bound, Z standard deviations down.
 LIMIT, Z = 0.5, 1.0
 
@@ -27,36 +27,73 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, upper, upper.lower()), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """The longest rule that fits, as struct (rule, verdict), else null. At most MOST_RULES: they are one expression."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} fit into one expression")
-    found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for rule, verdict in sorted(rules, key=lambda x: (len(x[0]), x[0])):  # the longest ends outermost
-        name, at = rule.split("/", 1)
-        fits = ((host == name) | F.endswith(host, F.lit("." + name))) & F.startswith(path, F.lit("/" + at))
-        found = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
-    return found
+def listed(spark: SparkSession, rows: DataFrame | Sequence[Sequence[str]], columns: Sequence[str]) -> DataFrame:
+    """A list of text rows as a table; a table as it is, its columns in this order."""
+    if isinstance(rows, DataFrame):
+        return rows.select(*columns)
+    text = json.dumps([dict(zip(columns, row, strict=True)) for row in rows])
+    kind = f"array<struct<{','.join(f'{c}:string' for c in columns)}>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
 
 
-def domain_and_suffix(host: Column, two_labels: str = TWO_LABEL_SUFFIX, more: Sequence[str] = ()) -> tuple[Column, Column]:
+def _ends(host: Column, most: int | Column) -> Column:
+    """The host's last label, last two, ... up to `most` labels, joined again."""
+    parts = F.split(host, "[.]")
+    n = F.size(parts)
+    return F.transform(F.sequence(F.lit(1), F.least(n, F.greatest(F.lit(most), F.lit(1)))), lambda k: F.array_join(F.slice(parts, n - k + 1, k), "."))
+
+
+def _most_labels(names: DataFrame, name: str) -> int:
+    return names.agg(F.max(F.size(F.split(name, "[.]")))).first()[0] or 0
+
+
+def rules_of(hosts: DataFrame, rules: DataFrame | Sequence[tuple[str, str]]) -> DataFrame:
+    """(host, rules_) of those distinct hosts that a rule's host fits, itself or a parent: array of (length, rule, verdict, at), at the path's start.
+
+    rules: (rule, verdict), as a list or a table, any number. Hosts meet them by equi-joins on their last labels, as many as the longest rule has; a rule
+    without a slash or verdict is none. What is kept for a host is the rules that fit it.
+    """
+    table_of = listed(hosts.sparkSession, rules, ("rule", "verdict")).where("instr(rule, '/') > 0 and verdict is not null").dropDuplicates()
+    names = cut(table_of.select(F.substring_index("rule", "/", 1).alias("end_"), F.struct(F.length("rule").alias("length"), "rule", "verdict", F.expr("substr(rule, instr(rule, '/'))").alias("at")).alias("r")))
+    ends = hosts.select("host", F.explode(_ends(F.col("host"), _most_labels(names, "end_"))).alias("end_"))
+    return ends.join(names, "end_").groupBy("host").agg(F.collect_list("r").alias("rules_"))
+
+
+def longest_rule(path: Column, rules: Column) -> Column:
+    """Of a host's rules the longest whose path the url's path starts with (of equal length the later text, then verdict), else null."""
+    return F.array_max(F.filter(rules, lambda r: F.startswith(path, r["at"])))
+
+
+def domain_and_suffix(host: Column, two_labels: str = TWO_LABEL_SUFFIX, listed_labels: Column | None = None) -> tuple[Column, Column]:
     """The registered domain and the public suffix of a host, without user and port; a host of one label or of numbers is both itself.
 
-    more: public suffixes of any number of labels beyond the pattern for two, as a public suffix list has them; the longest counts. They
-    are one expression, so of a bounded number (MOST_RULES).
+    listed_labels: labels of the suffix that a list gives the host (see suffix_labels()), which counts before the pattern; null: none.
     """
-    if len(more) > MOST_RULES:
-        raise ValueError(f"{len(more)} suffixes; at most {MOST_RULES} fit into one expression")
-    host = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    host = bare(host)
     labels = F.when(F.substring_index(host, ".", -2).rlike(two_labels), 2).otherwise(1)
-    for suffix in sorted(more, key=lambda x: x.count(".")):
-        labels = F.when((host == suffix) | F.endswith(host, F.lit("." + suffix)), suffix.count(".") + 1).otherwise(labels)
+    labels = labels if listed_labels is None else F.coalesce(listed_labels, labels)
     parts = F.split(host, "[.]")
     last = lambda n: F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), n), ".")
     whole = host.rlike(r"^[0-9.]+$|^\[.*\]$") | (F.instr(host, ".") == 0)
     return F.when(whole, host).otherwise(last(labels + 1)), F.when(whole, host).otherwise(last(labels))
 
 
+def bare(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def suffix_labels(hosts: DataFrame, suffixes: DataFrame | Sequence[str]) -> DataFrame:
+    """(host, labels_): labels of the longest public suffix that each host ends in, for distinct hosts that end in one.
+
+    suffixes: a list, or a table (suffix), any number of any number of labels, as a public suffix list has them.
+    """
+    rows = suffixes if isinstance(suffixes, DataFrame) else [(x,) for x in suffixes]
+    names = cut(listed(hosts.sparkSession, rows, ("suffix",)).where("suffix is not null").select(F.col("suffix").alias("end_")).distinct())
+    ends = hosts.select("host", F.explode(_ends(bare(F.col("host")), _most_labels(names, "end_"))).alias("end_"))
+    return ends.join(names, "end_").groupBy("host").agg(F.max(F.size(F.split("end_", "[.]"))).alias("labels_"))
+
+
 def _strength(rows: DataFrame, n: str, bad: str, mean: str) -> Column:
     """Pseudo-count of a beta prior by moments: how much groups scatter round their parents' mean beyond chance.
 
@@ -69,14 +106,17 @@ def _strength(rows: DataFrame, n: str, bad: str, mean: str) -> Column:
     return F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(1000.0), ratio)), F.lit(1000.0)).alias("strength")
 
 
-def host_reputation(hosts: DataFrame) -> DataFrame:
-    """hosts: one row (host, n, bad) for each host, n labelled pages of which bad are bad; n may be 0.
+def host_reputation(hosts: DataFrame, suffixes: DataFrame | Sequence[str] | None = None) -> DataFrame:
+    """hosts: one row (host, n, bad) for each host, n labelled pages of which bad are bad; n may be 0. suffixes: public suffixes
+    beyond the pattern for two labels, as suffix_labels() takes them.
 
     Returns (host, mean, sd) of the posterior beta distribution. The bad share of all pages is the prior mean of each
     suffix, a suffix's posterior mean that of its domains, a domain's that of its hosts; each level's weight is
     fitted by moments. Sums run over host rows, never pages, and are pre-aggregated; one row holds all weights.
     """
-    domain, suffix = domain_and_suffix(F.col("host"))
+    if suffixes is not None:
+        hosts = hosts.join(suffix_labels(hosts, suffixes), "host", "left")
+    domain, suffix = domain_and_suffix(F.col("host"), listed_labels=None if suffixes is None else F.col("labels_"))
     hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n_d"), F.sum("bad").alias("bad_d"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n_d").alias("n_s"), F.sum("bad_d").alias("bad_s"))
@@ -93,20 +133,20 @@ def host_reputation(hosts: DataFrame) -> DataFrame:
     return both.select("host", (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("sd"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", limit: float = LIMIT, z: float = Z) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: DataFrame | Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", limit: float = LIMIT, z: float = Z, suffixes: DataFrame | Sequence[str] | None = None) -> DataFrame:
     """One row per row of pages: id_col, host, path, rule, verdict, bad_share (the host's posterior mean).
 
     outcomes: (host, bad), a row for each labelled page, bad 0 or 1. Null urls and urls without :// have empty host and
     path; the empty host has a reputation like any other. Repeated rows each count. Without labelled pages no host is blocked by its
-    reputation. The verdict is the rule's, else block where mean - z sd > limit: the posterior's lower bound in normal approximation.
+    reputation. rules: (rule, verdict), a list or a table of any size. The verdict is the rule's, else block where mean - z sd > limit: the posterior's lower bound in normal approximation.
     """
     host, path = host_and_path(F.col(url_col))
     seen = pages.select(F.col(id_col).alias("id_"), host.alias("host"), path.alias("path"))
     labelled = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("double")).alias("bad"))
     counts = seen.groupBy("host").agg(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("bad"))
     counts = cut(counts.union(labelled).groupBy("host").agg(F.sum("n").cast("double").alias("n"), F.sum("bad").alias("bad")))
-    known = cut(host_reputation(counts))
-    rule = rule_of(F.col("host"), F.col("path"), rules)
+    known = cut(host_reputation(counts, suffixes).join(rules_of(counts.select("host"), rules), "host", "left"))
+    rule = longest_rule(F.col("path"), F.col("rules_"))
     verdict = F.when(F.col("mean") - z * F.col("sd") > limit, F.lit("block")).otherwise(F.lit("allow"))
     return seen.join(known, "host", "left").select(
         F.col("id_").alias(id_col), "host", "path", rule["rule"].alias("rule"), F.coalesce(rule["verdict"], verdict).alias("verdict"), F.round("mean", 6).alias("bad_share")

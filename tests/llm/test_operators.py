@@ -239,8 +239,10 @@ def test_a_batch_run_again_gives_the_same(spark):
 
 def test_domains_and_suffixes(spark):
     hosts = ["www.a.co.uk", "a.com", "b.a.com:8080", "me@b.a.com", "localhost", "10.0.0.1:80", "x.y.city.kobe.jp", "co.uk", ""]
-    d, s = url_reputation.domain_and_suffix(F.col("h"), more=("city.kobe.jp",))
-    assert [tuple(r) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select(d, s).collect()] == [
+    df = spark.createDataFrame(list(enumerate(hosts)), "i long, host string")
+    df = df.join(url_reputation.suffix_labels(df, ["city.kobe.jp", "kobe.jp", "jp", "none.such.suffix.at.all"]), "host", "left")
+    d, s = url_reputation.domain_and_suffix(F.col("host"), listed_labels=F.col("labels_"))
+    assert [tuple(r) for r in df.orderBy("i").select(d, s).collect()] == [
         ("a.co.uk", "co.uk"), ("a.com", "com"), ("a.com", "com"), ("a.com", "com"), ("localhost", "localhost"), ("10.0.0.1", "10.0.0.1"), ("y.city.kobe.jp", "city.kobe.jp"), ("co.uk", "co.uk"), ("", ""),
     ]
 
@@ -263,6 +265,26 @@ def test_hosts_and_rules(spark):
     assert url_reputation.filter_urls(pages.limit(0), none).count() == 0
 
 
+def test_many_rules_are_the_plain_search(spark):
+    """Thousands of rules and suffixes, a list or a table, against a loop over all of them; hosts with many dots, empty labels and clashing columns."""
+    rng = random.Random(8)
+    label = lambda: rng.choice(["a", "b", "c", "de", "org", "co", ""])
+    name = lambda n: ".".join(label() for _ in range(rng.randint(1, n)))
+    path = lambda: "/" + "/".join(rng.choice("xyz") for _ in range(rng.randint(0, 3)))
+    rules = list({name(3) + path(): rng.choice(["allow", "block"]) for _ in range(4000)}.items())
+    urls = [f"https://{name(5)}{path()}" for _ in range(300)] + ["https://" + "a." * 20_000 + "org/x", "https://a", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "rules_", "end_", "labels_")})
+    none = spark.createDataFrame([], "host string, bad int")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_reputation.filter_urls(pages, none, rules, suffixes=["co.org", "b"]).collect()}
+    assert found == {r.page_id: (r.rule, r.verdict) for r in url_reputation.filter_urls(pages, none, spark.createDataFrame(rules, "rule string, verdict string")).collect()}
+    for i, url in enumerate(urls):
+        host, _, rest = (url or "://").split("://")[1].partition("/")
+        fit = [r for r in rules for n, _, at in [r[0].partition("/")] if (host == n or host.endswith("." + n)) and (("/" + rest) if url and "/" in url[8:] else "").startswith("/" + at)]
+        best = max(fit, key=lambda r: (len(r[0]), r[0]), default=(None, "allow"))
+        assert found[i] == best, url
+    assert {v for _, v in url_reputation.filter_urls(pages, none, []).select("rule", "verdict").collect()} == {"allow"}
+
+
 def test_reputation_shrinks_and_blocks(spark):
     hosts = [("bad.spam.net", 40, 39), ("new.spam.net", 0, 0), ("www.good.net", 500, 5), ("few.good.net", 1, 1), ("x.other.org", 30, 1)]
     out = {r.host: r for r in url_reputation.host_reputation(spark.createDataFrame([(h, float(n), float(b)) for h, n, b in hosts], "host string, n double, bad double")).collect()}
