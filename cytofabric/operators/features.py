@@ -32,6 +32,14 @@ def missing(expected: DataFrame, values: DataFrame) -> DataFrame:
     return expected.join(values.select("feature", "subject"), ["feature", "subject"], "left_anti")
 
 
+def progress(expected: DataFrame, values: DataFrame) -> DataFrame:
+    """(feature, expected, computed, pending) of each feature that expected (feature, subject) names: pending until it has just as many values."""
+    wanted = expected.groupBy("feature").agg(F.count("*").alias("expected"))
+    there = values.groupBy("feature").agg(F.count("*").alias("computed"))
+    n = wanted.join(there, "feature", "left").withColumn("computed", F.coalesce("computed", F.lit(0)))
+    return n.withColumn("pending", F.col("computed") != F.col("expected"))
+
+
 def zero_filled(values: DataFrame, subjects: DataFrame) -> DataFrame:
     """values (feature, subject, value) with 0 for each feature's missing subjects."""
     every = values.select("feature").distinct().crossJoin(subjects.select("subject").distinct())  # the result: a row for each feature and sample

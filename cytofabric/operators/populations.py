@@ -191,3 +191,11 @@ def in_every_file(headers: DataFrame) -> DataFrame:
     kind = F.when(F.col("header").rlike("Positive$"), "Positive").otherwise("Intensity")
     rows = headers.select("file", kind.alias("kind"), name.alias("channel")).where("channel <> ''").where(~F.col("channel").rlike("(Nucleus|Cytoplasm|Membrane)$"))
     return rows.groupBy("kind", "channel").agg(F.count_distinct("file").alias("files_with")).crossJoin(F.broadcast(n)).where("files_with = files").select("kind", "channel")
+
+
+def channel_coverage(expression: DataFrame) -> DataFrame:
+    """(channel, structures, complete): how many structures have each channel, and whether all structures do. expression: (structure, channel)."""
+    each = expression.select("structure", "channel").distinct()
+    everyone = each.agg(F.count_distinct("structure").alias("everyone_"))
+    n = each.groupBy("channel").agg(F.count("structure").alias("structures"))
+    return n.crossJoin(F.broadcast(everyone)).select("channel", "structures", (F.col("structures") == F.col("everyone_")).alias("complete"))  # one row

@@ -110,6 +110,16 @@ def set_status(findings: DataFrame, finding: int, status: str) -> DataFrame:
     return findings.withColumns({"status": F.when(own, status).otherwise(F.col("status")), "published_at": F.when(first, F.current_timestamp()).otherwise(F.col("published_at"))})
 
 
+def review(findings: DataFrame, decisions: DataFrame, now: Column | None = None) -> DataFrame:
+    """Findings with the status that decisions (id, status) give them, others as they are; the time of publication is set once. The last
+    of several decisions on one finding in the order of text counts."""
+    one = decisions.groupBy("id").agg(F.max("status").alias("decided_"))
+    x = findings.join(one, "id", "left")
+    first = (F.col("decided_") == "published") & F.col("published_at").isNull()
+    when = F.current_timestamp() if now is None else now
+    return x.withColumns({"status": F.coalesce("decided_", "status"), "published_at": F.when(first, when).otherwise(F.col("published_at"))}).drop("decided_").select(*findings.columns)
+
+
 def published_findings(findings: DataFrame, study: str, most: int = 100) -> DataFrame:
     return findings.where((F.col("study") == study) & (F.col("status") == "published")).orderBy("id").limit(min(most, 100))
 
@@ -213,6 +223,21 @@ def m_findings(spark, d):
     return published_findings(rows, "s0", 500).select("id", "background")
 
 
+@query("b23_finding_life", """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' OR (o_orderstatus = 'F' AND o_orderkey % 2 = 0) THEN 'pending_review' ELSE 'published' END AS status,
+CASE o_orderstatus WHEN 'F' THEN '2024-01-01' WHEN 'O' THEN '2024-02-01' END AS published FROM orders""")
+def b23(spark, d):
+    """Findings are sent in, some published, half of these taken back, then others published with those that are out already."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("background"), "o_orderstatus")
+    decided = lambda where, status: o.where(where).select("id", F.lit(status).alias("status"))
+    day = lambda text: F.lit(text).cast("timestamp")
+    none = spark.createDataFrame([], "id long, background string, status string, published_at timestamp")
+    f = create_finding(none, o.select("id", "background"))
+    f = review(f, decided("o_orderstatus = 'F'", "published"), day("2024-01-01"))
+    f = review(f, decided("o_orderstatus = 'F' and id % 2 = 0", "pending_review"))
+    f = review(f, decided("o_orderstatus = 'O' or (o_orderstatus = 'F' and id % 2 = 1)", "published"), day("2024-02-01"))
+    return f.select("id", "status", F.date_format("published_at", "yyyy-MM-dd").alias("published"))
+
+
 @query("m_channel_annotations", "SELECT p_type AS \"group\", 'c' || p_size % 2 AS color, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS channels FROM part GROUP BY ALL")
 def m_channel_annotations(spark, d):
     p = table(spark, d, "part").select(F.col("p_type").alias("group"), F.concat(F.lit("c"), F.col("p_size") % 2).alias("color"), F.col("p_brand").alias("channel"))

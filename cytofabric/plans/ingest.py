@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import ingest as A
 from ..operators.neighbors import new_folder
-from ..sources.tables import CELLS, cells, read_cells, read_range, serial_ranges, store_cells, table
+from ..sources.tables import CELLS, DIAGNOSES, INTERVENTIONS, cells, diagnoses, interventions, read_cells, read_range, serial_ranges, store_cells, table
 from .registry import query
 
 
@@ -52,8 +52,8 @@ def a08(spark, d):
 
 @query("b24_nonblank_assessments", "SELECT c_custkey, c_mktsegment AS assay FROM customer WHERE c_nationkey <> 3 AND c_mktsegment <> 'BUILDING'")
 def b24(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("assay"), F.when(F.col("c_nationkey") == 3, "").otherwise("x").alias("assessment"))
-    return c.where("assay <> '' and assessment <> ''").select("c_custkey", "assay")
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment")).alias("Assay"), F.when(F.col("c_nationkey") == 3, "").otherwise("x").alias("Assessment"))
+    return A.assessed(c).select("c_custkey", F.col("Assay").alias("assay"))
 
 
 @query("c18_unknown_markers", "SELECT p_partkey, marker FROM (SELECT p_partkey, unnest([p_type, p_brand]) AS marker FROM part) WHERE marker NOT IN (SELECT p_type FROM part WHERE p_type <> 'PROMO')")
@@ -114,3 +114,61 @@ def c03_range(spark, d):
     parts = [read_range(spark, folder, r.specimen, r.lowest + r.n // 4, r.lowest + r.n // 2) for r in largest]
     rows = reduce(DataFrame.union, parts) if parts else read_cells(spark, folder)
     return rows.select(F.col("specimen").cast("long").alias("specimen"), "structure", "mask")
+
+
+@query("a04_bundle_tables", f"""WITH d AS ({DIAGNOSES}), i AS ({INTERVENTIONS}),
+s AS (SELECT s_nationkey AS subject, count(*) AS samples, count(*) FILTER (s_suppkey % 7 > 0 AND s_suppkey % 5 > 0) AS assessed FROM supplier GROUP BY 1),
+x AS (SELECT subject, count(*) AS diagnoses, min(event_date) AS first_diagnosis FROM d GROUP BY 1), y AS (SELECT subject, count(*) AS interventions FROM i GROUP BY 1)
+SELECT CAST(n_nationkey AS VARCHAR) AS subject, coalesce(samples, 0) AS samples, coalesce(assessed, 0) AS assessed, coalesce(diagnoses, 0) AS diagnoses, first_diagnosis, coalesce(interventions, 0) AS interventions
+FROM nation LEFT JOIN s ON s.subject = n_nationkey LEFT JOIN x ON x.subject = n_nationkey LEFT JOIN y ON y.subject = n_nationkey""")
+def a04(spark, d):
+    """Subjects, samples, diagnoses and interventions are written as a bundle's TSV files, read back as text, and put together."""
+    folder = new_folder(spark)
+    given = {
+        "subjects": (A.SUBJECTS, table(spark, d, "nation").select(F.col("n_nationkey").alias("Subject ID"))),
+        "samples": (A.SAMPLES, table(spark, d, "supplier").select(F.col("s_suppkey").alias("Sample ID"), F.col("s_nationkey").alias("Source subject"), F.when(F.col("s_suppkey") % 7 > 0, "assay").alias("Assay"), F.when(F.col("s_suppkey") % 5 > 0, "assessed").otherwise("").alias("Assessment"))),
+        "diagnoses": (A.DIAGNOSES, diagnoses(spark, d).select(F.col("subject").alias("Subject of diagnosis"), F.col("condition").alias("Diagnosed condition"), F.col("result").alias("Diagnosis"), F.col("event_date").alias("Date of diagnosis"))),
+        "interventions": (A.INTERVENTIONS, interventions(spark, d).select(F.col("subject").alias("Subject of intervention"), F.lit("purchase").alias("Intervention"), F.col("event_date").alias("Date of intervention"))),
+    }
+    read = {}
+    for name, (columns, rows) in given.items():
+        rows.select(*((F.col(c) if c in rows.columns else F.lit("")).alias(c) for c in columns)).write.csv(f"{folder}/{name}", sep="\t", header=True)
+        read[name] = A.text_table(spark, f"{folder}/{name}", columns)
+    by = lambda rows, key, *sums: rows.groupBy(F.col(key).alias("subject")).agg(*sums)
+    out = read["subjects"].select(F.col("Subject ID").alias("subject")).join(by(read["samples"], "Source subject", F.count("*").alias("samples")), "subject", "left")
+    out = out.join(by(A.assessed(read["samples"]), "Source subject", F.count("*").alias("assessed")), "subject", "left")
+    out = out.join(by(read["diagnoses"], "Subject of diagnosis", F.count("*").alias("diagnoses"), F.min("Date of diagnosis").alias("first_diagnosis")), "subject", "left")
+    out = out.join(by(read["interventions"], "Subject of intervention", F.count("*").alias("interventions")), "subject", "left")
+    return out.fillna(0).select("subject", "samples", "assessed", "diagnoses", "first_diagnosis", "interventions")
+
+
+@query("a05_study_authors", """SELECT p_brand AS study, 'of ' || p_brand AS institution, p_type AS title, CAST(row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size) - 1 AS INTEGER) AS ordinality, 'author ' || p_size AS author
+FROM (SELECT DISTINCT p_brand, p_type, p_size FROM part)""")
+def a05_authors(spark, d):
+    """Studies with publications are written as JSON, read back, and their authors listed in order."""
+    folder, part = new_folder(spark), table(spark, d, "part")
+    papers = part.groupBy("p_brand", "p_type").agg(F.transform(F.array_sort(F.collect_set("p_size")), lambda n: F.concat(F.lit("author "), n)).alias("authors"))
+    studies = papers.groupBy("p_brand").agg(F.collect_list(F.struct(F.col("p_type").alias("Title"), F.col("authors").alias("Authors"))).alias("Publications"))
+    studies.select(
+        F.col("p_brand").alias("Study name"), F.concat(F.lit("of "), "p_brand").alias("Institution"), F.struct(F.lit("someone").alias("Name")).alias("Study contact person"), "Publications"
+    ).repartition("Study name").write.option("maxRecordsPerFile", 1).json(folder)
+    found = A.study_tables(spark, folder)
+    return found["study"].join(found["authors"], "study").select("study", F.col("Institution").alias("institution"), "title", "ordinality", "author")
+
+
+@query("a10_export", """WITH t AS (SELECT 'sample' AS name, 0 AS kind, count(*) AS n, sum(s_suppkey) AS keys FROM supplier UNION ALL SELECT 'subject', 0, count(*), sum(n_nationkey) FROM nation
+UNION ALL SELECT 'quantitative_feature_value', 1, count(*), sum(o_orderkey) FROM orders UNION ALL SELECT 'feature_specification', 2, count(*), sum(p_partkey) FROM part UNION ALL SELECT 'feature_specifier', 2, count(*), sum(p_size) FROM part)
+SELECT v AS feature_values, s AS feature_specifications, name, n, CAST(keys AS BIGINT) AS keys FROM t, (VALUES (true), (false)) AS a(v), (VALUES (true), (false)) AS b(s) WHERE (v OR kind <> 1) AND (s OR kind <> 2)""")
+def a10(spark, d):
+    """A study's tables are exported with each choice of options; what was written is read back."""
+    folder = new_folder(spark)
+    keys = {"sample": ("supplier", "s_suppkey"), "subject": ("nation", "n_nationkey"), "quantitative_feature_value": ("orders", "o_orderkey"), "feature_specification": ("part", "p_partkey"), "feature_specifier": ("part", "p_size"), "expression_quantification": ("lineitem", "l_orderkey")}
+    tables = {name: table(spark, d, source).select(F.col(key).cast("long").alias("key")) for name, (source, key) in keys.items()}
+    parts = []
+    for values in (True, False):
+        for specifications in (True, False):
+            path = f"{folder}/{values}-{specifications}"
+            for name in A.export_tables(tables, path, values, specifications):
+                read = spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
+                parts.append(read.select(F.lit(values).alias("feature_values"), F.lit(specifications).alias("feature_specifications"), F.lit(name).alias("name"), "n", "keys"))
+    return reduce(DataFrame.union, parts)

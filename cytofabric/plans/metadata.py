@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import features as FS
 from ..operators import graphs, metadata as M
 from ..sources.tables import CELLS, SAMPLES, cells, samples, table
 from .features import _V, shares
@@ -102,6 +103,14 @@ def l03(spark, d):
     return out.select("feature", "subject", F.round(F.coalesce("value", F.lit(-1.0)), 9).alias("value"))
 
 
+@query("l03_pending", f"""{_V}, e AS (SELECT feature, count(*) AS expected FROM samples, (VALUES ('bulk'), ('bulk_taxed'), ('none')) AS f(feature) GROUP BY 1)
+SELECT feature, expected, count(vals.subject) AS computed, count(vals.subject) <> expected AS pending FROM e LEFT JOIN vals USING (feature) GROUP BY feature, expected""")
+def l03_pending(spark, d):
+    wanted = spark.createDataFrame([("bulk",), ("bulk_taxed",), ("none",)], "feature string")
+    expected = samples(spark, d).select(F.col("specimen").alias("subject")).crossJoin(F.broadcast(wanted))
+    return FS.progress(expected, shares(spark, d))
+
+
 @query("l06_available_plugins", "SELECT DISTINCT CASE o_orderpriority WHEN '1-URGENT' THEN 'cg-gnn' ELSE o_orderpriority END AS plugin FROM orders")
 def l06(spark, d):
     o = table(spark, d, "orders").select(F.lit("gnn importance score").alias("method"), F.array(F.when(F.col("o_orderpriority") == "1-URGENT", "CGGNN").otherwise(F.col("o_orderpriority"))).alias("specifiers"))

@@ -149,10 +149,7 @@ def d11(spark, d):
 
 @query("d12_same_channels", "SELECT l_returnflag AS channel, count(DISTINCT l_suppkey) AS structures, count(DISTINCT l_suppkey) = (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS complete FROM lineitem GROUP BY 1")
 def d12(spark, d):
-    rows = table(spark, d, "lineitem")
-    all_of = rows.agg(F.count_distinct("l_suppkey").alias("everyone"))
-    n = rows.groupBy(F.col("l_returnflag").alias("channel")).agg(F.count_distinct("l_suppkey").alias("structures"))
-    return n.crossJoin(F.broadcast(all_of)).select("channel", "structures", (F.col("structures") == F.col("everyone")).alias("complete"))
+    return P.channel_coverage(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("structure"), F.col("l_returnflag").alias("channel")))
 
 
 @query("d13_feature_matrix", _C + 'SELECT specimen, structure, x, y, ' + ", ".join(f'CAST((mask >> {i}) & 1 AS INT) AS "C {c}"' for i, c in enumerate(CHANNELS)) + ", " + ", ".join(f'CAST({w} AS INT) AS "P {k}"' for k, w in _WHEN.items()) + ', l_tax AS "I l_tax" FROM cells')

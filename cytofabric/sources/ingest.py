@@ -19,6 +19,10 @@ DIAGNOSES = ("Subject of diagnosis", "Diagnosed condition", "Diagnosis", "Date o
 INTERVENTIONS = ("Subject of intervention", "Intervention", "Date of intervention")
 IMPORTANCES = "histological_structure BIGINT, importance DOUBLE"
 CELL_MANIFEST_TYPE = "Tabular cell manifest"
+#: Fixed names of a study's tables by size: those of cells, never exported; computed values; and what the values' features are.
+BIG_TABLES = ("histological_structure", "shape_file", "histological_structure_identification", "expression_quantification")
+VALUE_TABLES = ("quantitative_feature_value",)
+SPECIFICATION_TABLES = ("feature_specification", "feature_specifier")
 
 
 def text_table(spark: SparkSession, path: str, columns: Sequence[str], sep: str = "\t") -> DataFrame:
@@ -157,6 +161,11 @@ def common_mechanism(channels: DataFrame) -> DataFrame:
     return n.agg(F.min_by("mechanism", rank).alias("mechanism"))
 
 
+def assessed(samples: DataFrame) -> DataFrame:
+    """The samples with an assay and an assessment, both not blank."""
+    return samples.where((F.col("Assay") != "") & (F.col("Assessment") != ""))
+
+
 def unknown_markers(phenotypes: DataFrame, channels: DataFrame) -> DataFrame:
     """(Name, marker) of phenotypes' markers that are no channel."""
     parts = F.filter(F.transform(F.split(F.concat_ws(";", "Positive markers", "Negative markers"), ";"), lambda m: F.trim(m)), lambda m: m != "")
@@ -167,8 +176,13 @@ def export_partitioned(rows: DataFrame, path: str, by: str = "specimen") -> None
     rows.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-def export_tables(tables: dict[str, DataFrame], path: str, leave_out: Sequence[str] = ("expression_quantification",)) -> None:
-    """Write a study's metadata tables, each a folder; the big ones are left out."""
-    for name, rows in tables.items():
-        if name not in leave_out:
-            rows.write.mode("overwrite").parquet(f"{path}/{name}")
+def export_tables(tables: dict[str, DataFrame], path: str, feature_values: bool = True, feature_specifications: bool = True) -> list[str]:
+    """Write a study's metadata tables, each a folder of path; the names of those written, in order.
+
+    BIG_TABLES are always left out, VALUE_TABLES and SPECIFICATION_TABLES on request, each by itself.
+    """
+    out = {*BIG_TABLES, *(() if feature_values else VALUE_TABLES), *(() if feature_specifications else SPECIFICATION_TABLES)}
+    names = sorted(n for n in tables if n not in out)
+    for name in names:
+        tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
+    return names

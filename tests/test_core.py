@@ -472,6 +472,29 @@ def test_findings(spark):
     assert [r.id for r in api.published_findings(f, "s").collect()] == [1]
 
 
+def test_review_sets_the_time_once(spark):
+    rows = [(1, "s", "x", "pending_review", None), (2, "s", "y", "pending_review", None)]
+    f = spark.createDataFrame(rows, "id int, study string, background string, status string, published_at timestamp")
+    decide = lambda *d: spark.createDataFrame(list(d), "id int, status string")
+    for day, d in (("2024-01-01", [(1, "published"), (1, "published"), (9, "published")]), ("2024-02-01", [(1, "rejected")]), ("2024-03-01", [(1, "published"), (2, "published")])):
+        f = api.review(f, decide(*d), F.lit(day).cast("timestamp"))
+    assert f.columns == ["id", "study", "background", "status", "published_at"]
+    assert sorted((r.id, r.status, str(r.published_at.date())) for r in f.collect()) == [(1, "published", "2024-01-01"), (2, "published", "2024-03-01")]
+
+
+def test_a_feature_is_pending_until_it_has_just_its_values(spark):
+    expected = spark.createDataFrame([(f, i) for f in "abcd" for i in range(2)], "feature string, subject int")
+    values = spark.createDataFrame([("a", 0, 1.0), ("a", 1, None), ("b", 0, 1.0), ("d", 0, 1.0), ("d", 1, 1.0), ("d", 1, 2.0), ("e", 0, 1.0)], "feature string, subject int, value double")
+    assert sorted(tuple(r) for r in features.progress(expected, values).collect()) == [("a", 2, 2, False), ("b", 2, 1, True), ("c", 2, 0, True), ("d", 2, 3, True)]
+
+
+def test_exports_leave_out_what_is_asked(spark, tmp_path):
+    t = {n: spark.range(2) for n in ("sample", "expression_quantification", "quantitative_feature_value", "feature_specifier")}
+    assert ingest.export_tables(t, str(tmp_path / "a")) == ["feature_specifier", "quantitative_feature_value", "sample"]
+    assert ingest.export_tables(t, str(tmp_path / "b"), feature_values=False) == ["feature_specifier", "sample"]
+    assert ingest.export_tables(t, str(tmp_path / "c"), False, False) == ["sample"] == [p.name for p in (tmp_path / "c").iterdir()]
+
+
 def test_json_artifacts_and_annotations(spark, tmp_path):
     from cytofabric.operators import metadata
 
