@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,33 +16,102 @@ from .common import cut
 HEAVY_PARTS = 4096
 
 
+#: Recent batches are merged into the settled table once they hold more than one in so many of its rows.
+MERGE_SHARE = 8
+#: Session setting under which a scan of buckets of one sorted file each counts as sorted, so that a sort-merge join reads it as it lies.
+_SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Buckets are read in their order while this lasts."""
+    before = spark.conf.get(_SORTED, None)
+    spark.conf.set(_SORTED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_SORTED) if before is None else spark.conf.set(_SORTED, before)
+
+
 class DigestIndex:
-    """A table (digest, keep_id, copies, batch), one row for each text ever added.
+    """Two tables (digest, keep_id, copies, batch), together one row for each text ever added.
 
-    It lies in the warehouse in buckets by digest, each sorted, so that a batch meets it by a sort-merge join that
-    moves the batch only. Under a lasting catalogue the name finds it again in later sessions.
+    Both lie in the warehouse in buckets by digest. The settled one has one sorted file for each bucket, so that a batch meets it by a sort-merge
+    join that neither moves nor sorts it. Batches are appended to the recent one, whose buckets have several files and are sorted by
+    each join; settle() merges them when they hold more than one in MERGE_SHARE of the settled rows, so that a row is written anew a bounded number
+    of times for each doubling. Under a lasting catalogue the name finds the index again in later sessions.
+
+    One writer at a time: two batches that are added at once may both bring a text.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
         self.spark, self.name = spark, name or f"digest_index_{uuid.uuid4().hex}"
+        self.recent, self.coming = f"{self.name}_recent", f"{self.name}_coming"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, copies BIGINT, batch STRING) "
+        self._recover()
+        for table in (self.name, self.recent):
+            self._create(table)
+
+    def _create(self, table: str) -> None:
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} (digest BINARY, keep_id BIGINT, copies BIGINT, batch STRING) "
             f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
         )
 
+    def _recover(self) -> None:
+        """End a merge that broke off. Only a whole merged table bears the mark of one; the tables it was made of then go, if they are still there."""
+        if self.spark.catalog.tableExists(self.coming):
+            marked = self.spark.sql(f"SHOW TBLPROPERTIES {self.coming}").where("key = 'whole'").count()
+            if marked:
+                self._swap()
+            else:
+                self.spark.sql(f"DROP TABLE {self.coming}")
+
+    def _swap(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.recent}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.spark.sql(f"ALTER TABLE {self.coming} RENAME TO {self.name}")
+        self.spark.sql(f"ALTER TABLE {self.name} UNSET TBLPROPERTIES IF EXISTS ('whole')")
+
+    def levels(self) -> list[DataFrame]:
+        """The settled table and the recent one."""
+        return [self.spark.table(self.name), self.spark.table(self.recent)]
+
     def read(self) -> DataFrame:
-        return self.spark.table(self.name)
+        settled, recent = self.levels()
+        return settled.union(recent)
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for table in (self.name, self.recent):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+    def met(self, groups: DataFrame, how: str) -> list[DataFrame]:
+        """groups joined on the digest with each level, always by sort-merge, under sorted_scans() without a sort of the settled one.
+
+        left_anti: a list of one, what no level has; inner: one for each level.
+        """
+        if how != "left_anti":
+            return [groups.join(level.hint("merge"), "digest", how) for level in self.levels()]
+        for level in self.levels():
+            groups = groups.join(level.select("digest").hint("merge"), "digest", how)
+        return [groups]
 
     def add(self, groups: DataFrame, batch: str) -> None:
         """Append the groups (digest, largest, copies) whose digest the index has not seen. A batch added again, after a failure
         half-way too, appends only what is not there yet."""
-        fresh = groups.join(self.read().select("digest"), "digest", "left_anti")
-        fresh = fresh.select("digest", F.col("largest").alias("keep_id"), "copies", F.lit(batch).alias("batch"))
-        fresh.repartition(self.buckets, "digest").write.insertInto(self.name)
+        with sorted_scans(self.spark):
+            fresh = self.met(groups, "left_anti")[0].select("digest", F.col("largest").alias("keep_id"), "copies", F.lit(batch).alias("batch"))
+            fresh.repartition(self.buckets, "digest").write.insertInto(self.recent)
+
+    def settle(self, always: bool = False) -> None:
+        """Merge the recent table into the settled one, if it has grown enough or always."""
+        settled, recent = (level.count() for level in self.levels())  # from the files' footers
+        if recent and (always or recent * MERGE_SHARE > settled):
+            self._create(self.coming)
+            self.read().repartition(self.buckets, "digest").write.insertInto(self.coming)
+            self.spark.sql(f"ALTER TABLE {self.coming} SET TBLPROPERTIES ('whole' = 'true')")
+            self._swap()
+            self._create(self.recent)
 
 
 def digest_of(text: str):
@@ -69,14 +141,15 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str |
     groups = cut(rows.groupBy("digest").agg(F.max("id_").alias("largest"), F.count("*").alias("copies")))
     total = groups.agg(F.sum("copies")).first()[0] or 0
     index.add(groups, batch)
-    known = index.read().select("digest", "keep_id", F.col("copies").alias("entered"), (F.col("batch") == batch).alias("own"))
-    found = groups.join(known, "digest").select(
-        "digest", "copies", F.when(F.col("own"), F.col("largest")).otherwise(F.col("keep_id")).alias("keep_id"), "own",
-        F.when(F.col("own"), F.col("copies")).otherwise(F.col("copies") + F.col("entered")).alias("group_size"),
+    groups = groups.withColumnRenamed("copies", "new")
+    known = reduce(DataFrame.union, index.met(groups, "inner")).withColumn("own", F.col("batch") == batch)
+    found = known.select(
+        "digest", F.col("new").alias("copies"), F.when(F.col("own"), F.col("largest")).otherwise(F.col("keep_id")).alias("keep_id"), "own",
+        F.when(F.col("own"), F.col("new")).otherwise(F.col("new") + F.col("copies")).alias("group_size"),
     )
-    found = cut(found)
-    if given is None:
-        index.drop()
+    with sorted_scans(spark):
+        found = cut(found)
+    index.drop() if given is None else index.settle()
     heavy = found.where(F.col("copies") >= max(2, total / HEAVY_PARTS)).select(
         F.col("digest").alias("heavy"), F.struct("keep_id", "group_size", "own").alias("h")
     )

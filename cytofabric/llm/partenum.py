@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 from .common import Remembered, blank_words, cut, only, release, slices, table
 from .components import connected_components
 
-#: Rounds in which the members of a bucket are compared with one of them, before all that is left is.
-LEADER_ROUNDS = 2
-#: Sub-parts of a part, by the most differences k of two similar sets: more where k is small, as then a signature of few parts says little.
-SUB_PARTS = ((12, 4), (60, 3), (1 << 60, 2))
+#: Rounds at least in which the members of a bucket are compared with one of them, before all that is left is; more follow while each settles
+#: this share of the members that are left.
+LEADER_ROUNDS, SETTLING = 2, 0.25
+#: Sub-parts of a part, by the most differences k of two similar sets: more where k is small, as then a signature of few parts says little;
+#: never fewer than three, so that a signature combines two or more.
+SUB_PARTS = ((12, 4), (1 << 60, 3))
 #: Parts beyond those needed, as a share of k: how many weak ones a set may leave out. Least and most bins of a sketch.
 SLACK, LEAST_BINS, MOST_BINS = 0.15, 128, 1 << 16
 #: Members, and shingles of members, that one side of a comparison of sets inside a task has; times as many where sketches are compared, of a byte or two for each shingle.
@@ -169,7 +172,8 @@ def jaccard_components(docs: DataFrame, words_each: int = 5, percent: int = 80,
     if no row in it has one.
 
     Members of a bucket of one signature are first compared with a leader of it, so a group of near copies costs rows in proportion to
-    its size. Buckets that still hold several components are then compared whole, inside tasks (_between_components).
+    its size; another leader follows as long as that settles many. Buckets that still hold several components are then compared whole, inside
+    tasks (_between_components).
     Each pair's similarity is counted from the whole sets; none is left out. Links stay in Spark throughout.
     """
     described = docs.select(F.col(id_col).cast("long").alias("id_"), _described(F.col(text_col), words_each, percent).alias("d"))
@@ -185,16 +189,19 @@ def jaccard_components(docs: DataFrame, words_each: int = 5, percent: int = 80,
     texts = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
     sets = _Sets(texts, known, words_each)
 
-    links, labels = None, None
-    for turn in range(LEADER_ROUNDS):
+    links, turn, before = None, 0, None
+    while True:
         found = _links(_with_leader(buckets, turn, percent), known, sets, percent)
         links = found if links is None else links.union(found)
         labels = connected_components(links, "a", "b")
         buckets = _unsettled(buckets.select("sig", "cls", "n"), labels)  # settled once, settled for good
-        if not buckets.limit(1).count():
+        left, turn = buckets.select("cls").distinct().count(), turn + 1
+        if not left:
             break
-    else:
-        labels = connected_components(links.union(_between_components(buckets, known, sets, percent)), "a", "b")
+        if turn >= LEADER_ROUNDS and left > (1 - SETTLING) * before:
+            labels = connected_components(links.union(_between_components(buckets, known, sets, percent)), "a", "b")
+            break
+        before = left
     placed = names.join(labels.select(F.col("id").alias("cls"), "component"), "cls", "left").select("set_key", "rep", F.coalesce("component", "cls").alias("component"))
     placed = cut(placed)
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -287,8 +294,9 @@ def _between_components(buckets: DataFrame, known: DataFrame, sets: _Sets, perce
 
     Buckets of one smallest member become one group, as near copies meet in many buckets. In a group all members of different
     components are compared: by sketches first, of which only members that may have a link come back, then these by their whole
-    sets, of which no more links come back than join the components. So arithmetic grows with the square of a group that does not
-    settle, but no rows do; and blocks of it are spread over tasks.
+    sets, of which no more links come back than join the components. Blocks of a large group are spread over tasks; only those whose
+    sizes leave room for a link meet. What comes back grows with the members; arithmetic, and rows that go out, with the square of the members
+    of about one size in a group that does not settle.
     """
     leaders = buckets.groupBy("sig").agg(F.min("cls").alias("leader"))
     rows = cut(buckets.join(leaders, "sig").select("leader", "cls", "n", "component").distinct())
@@ -301,13 +309,11 @@ def _between_components(buckets: DataFrame, known: DataFrame, sets: _Sets, perce
 def _compared(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
     """rows: (leader, cls, n, component, held), held: the set if exact, else its sketch. Returns links (a, b) if exact, else (leader, cls) as (a, b).
 
-    A group of more than BLOCK members or BLOCK_SHINGLES shingles (OF_SKETCHES times as many for sketches) is dealt to blocks by hash, each pair of which
-    is compared by itself; as each member goes to all pairs of its block, few blocks mean few rows.
+    A group of more than BLOCK members or BLOCK_SHINGLES shingles (OF_SKETCHES times as many for sketches) falls into bins by size, as wide as two
+    similar sets may differ, and each bin into blocks by hash. Each pair of blocks of one bin or of neighbours is compared by itself; a member goes to
+    the pairs of its block, so few blocks mean few rows, and other sizes cost none.
     """
-    sides = 1 if exact else OF_SKETCHES
-    sized = rows.groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / (BLOCK * sides), F.sum("n") / (BLOCK_SHINGLES * sides))).cast("int").alias("blocks"))
-    rows = rows.join(sized, "leader").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("leader", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", F.col("n").cast("long").alias("n"), "component", "held")
+    rows = _dealt(rows, percent, 1 if exact else OF_SKETCHES)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -336,6 +342,27 @@ def _compared(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def _dealt(rows: DataFrame, percent: int, sides: int) -> DataFrame:
+    """rows of _compared(), each once for each pair (lo, hi) of blocks that its own one takes part in. A block's name is its bin and its number there.
+
+    A group's bins, of which there are few whatever the sizes, come as a map of blocks for each.
+    """
+    width = math.log(100 / percent) + 1e-9  # a little more, so that rounding never puts similar sizes two bins apart
+    rows = rows.withColumn("bin", F.floor(F.log("n") / width))
+    blocks = F.ceil(F.greatest(F.col("members") / (BLOCK * sides), F.col("shingles") / (BLOCK_SHINGLES * sides))).cast("long")
+    binned = rows.groupBy("leader", "bin").agg(F.count("*").alias("members"), F.sum(F.col("n").cast("long")).alias("shingles"))
+    groups = binned.withColumn("blocks", blocks).groupBy("leader").agg(
+        F.sum("members").alias("members"), F.sum("shingles").alias("shingles"), F.map_from_entries(F.collect_list(F.struct("bin", "blocks"))).alias("bins")
+    )
+    groups = groups.select("leader", "bins", (blocks == 1).alias("whole"))
+    rows = rows.join(groups, "leader").withColumn("block", F.when(F.col("whole"), F.lit(0)).otherwise(F.pmod(F.xxhash64("cls"), F.element_at("bins", F.col("bin")))))
+    name = lambda bin_, block: bin_ * (1 << 24) + block
+    met = F.flatten(F.transform(F.array(*(F.col("bin") + d for d in (-1, 0, 1))), lambda b: F.when(F.map_contains_key("bins", b), F.transform(F.sequence(F.lit(0).cast("long"), F.element_at("bins", b) - 1), lambda i: name(b, i))).otherwise(F.array().cast("array<bigint>"))))
+    rows = rows.withColumn("own", F.when(F.col("whole"), F.lit(0)).otherwise(name(F.col("bin"), F.col("block"))).cast("long"))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(met)))
+    return rows.select("leader", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", F.col("n").cast("long").alias("n"), "component", "held")
+
+
 def _pairs_of(held: pa.Array, own: np.ndarray | None, n: np.ndarray, component: np.ndarray, percent: int, exact: bool) -> list[tuple[int, int]]:
     """Pairs (i, j) of a group's members of different components, and of different `own` if given, that link (exact) or may.
 

@@ -149,11 +149,34 @@ def test_audit_of_rare_links_is_no_guess(spark, rare_pairs):
     assert nn_descent.audit_recall(points, links, full, 0.9, 0) == 1.0
 
 
-def test_unknown_recall(spark, rare_pairs, monkeypatch):
+def test_recall_is_always_measured(spark, rare_pairs, monkeypatch):
+    """The first vectors audited have no link: the audit goes on until it has met one, or all vectors."""
     monkeypatch.setattr(nn_descent, "AUDIT", 10)
-    monkeypatch.setattr(nn_descent, "AUDIT_LEAST", 10, raising=False)
-    _, points = nn_descent.classes_of(rare_pairs.where("vec_id between 100 and 400"), "vec_id", "embedding")
-    assert nn_descent.audit_recall(points, spark.createDataFrame([], "id long, other long"), spark.createDataFrame([], "rep long"), 0.9, 0) is None
+    monkeypatch.setattr(nn_descent, "AUDIT_LEAST", 10)
+    links, full = spark.createDataFrame([], "id long, other long"), spark.createDataFrame([], "rep long")
+    for few, want in ((rare_pairs.where("vec_id between 100 and 200"), 1.0), (rare_pairs.where("vec_id = 3 or vec_id = 3991 or vec_id between 100 and 200"), 0.0)):
+        _, points = nn_descent.classes_of(few, "vec_id", "embedding")
+        assert nn_descent.audit_recall(points, links, full, 0.9, 0) == want
+
+
+def test_dense_groups_beyond_the_longest_list(spark):
+    """Groups of more linked vectors than a list holds, loose ones and a bridge: every count and component is that of brute force."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(5, 12))
+    base = np.vstack([rng.normal(size=(1200, 12)), *(c + rng.normal(scale=s, size=(m, 12)) for c, m, s in zip(centres, (400, 300, 200, 90, 60), (0.05, 0.15, 0.25, 0.3, 0.1), strict=True)), centres[:1] + centres[1:2]])
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    link = unit @ unit.T >= 0.9
+    np.fill_diagonal(link, False)
+    least = np.arange(len(base))
+    while True:
+        lower = np.minimum(least, np.where(link, least[None, :], len(base)).min(1))
+        if (lower == least).all():
+            break
+        least = lower
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>").repartition(5)
+    out = nn_descent.near_duplicates(df).collect()
+    assert link.sum(1).max() > 3 * nn_descent.LAST_K and out[0].recall >= 0.98
+    assert [(r.vec_id, r.n_links, r.component_id) for r in out if (r.n_links, r.component_id) != (link[r.vec_id].sum(), least[r.vec_id])] == []
 
 
 @pytest.mark.parametrize("rounds", [24, 2])
@@ -234,6 +257,42 @@ def test_a_batch_run_again_gives_the_same(spark):
     assert len(spark.catalog.listTables()) == len(before)
 
 
+def test_the_index_is_read_in_its_order(spark):
+    """Settled buckets are one sorted file each: the join sorts the batch only, and never broadcasts."""
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 300).cast("string").alias("text"))
+    exact_dedup.exact_dedup(docs, index).collect()
+    settled, recent = (level.count() for level in index.levels())
+    assert (settled, recent) == (300, 0)
+    batch = docs.select(exact_dedup.digest_of("text").alias("digest"), F.col("doc_id").alias("largest"), F.lit(1).alias("copies"))
+    with exact_dedup.sorted_scans(spark):
+        plan = batch.join(index.levels()[0].select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+        anti = index.met(batch, "left_anti")[0]
+        assert anti.count() == 0
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Sort [") == 1 and plan.count("Exchange") == 1 and "Broadcast" not in plan
+
+
+def test_the_index_in_a_later_session(spark):
+    name = "digest_index_kept"
+    one = spark.createDataFrame([(5, "a"), (6, "a"), (7, "b")], "doc_id long, text string")
+    exact_dedup.exact_dedup(one, exact_dedup.DigestIndex(spark, name)).collect()
+    later = spark.newSession()
+    index = exact_dedup.DigestIndex(later, name)
+    two = later.createDataFrame([(90, "a"), (91, "c")], "doc_id long, text string")
+    assert rows(exact_dedup.exact_dedup(two, index), "doc_id", "keep_id", "group_size", "kept") == [(90, 6, 3, False), (91, 91, 1, True)]
+    index.settle(always=True)
+    assert rows(exact_dedup.exact_dedup(two, index), "doc_id", "keep_id", "group_size", "kept") == [(90, 6, 3, False), (91, 91, 2, False)]
+    index._create(index.coming)  # a merge that broke off before it was whole leaves the index as it was
+    assert exact_dedup.DigestIndex(later, name).read().count() == 3 and not later.catalog.tableExists(index.coming)
+    index._create(index.coming)
+    index.read().write.insertInto(index.coming)
+    later.sql(f"ALTER TABLE {index.coming} SET TBLPROPERTIES ('whole' = 'true')")
+    index.spark.sql(f"DROP TABLE {index.recent}")  # one that broke off afterwards is ended
+    again = exact_dedup.DigestIndex(later, name)
+    assert again.read().count() == 3 and not later.catalog.tableExists(again.coming)
+    again.drop()
+
+
 # 5 URL reputation
 
 
@@ -449,7 +508,7 @@ def test_similar_sets_share_a_signature():
 def test_signatures_combine_sub_parts():
     """One shingle more is in one sub-part of one part: it changes all signatures of that part but the one that leaves it out."""
     rng = np.random.default_rng(4)
-    for size in (30, 60, 100, 250):
+    for size in (30, 60, 100, 250, 300, 1000, 5000):
         base = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
         n1, n2 = partenum.parts_of((partenum.band_starts(85)[int(np.searchsorted(partenum.band_starts(85), size, "right"))] - 1) * 15 // 85)
         assert n2 > 2
@@ -458,6 +517,29 @@ def test_signatures_combine_sub_parts():
         assert len(a) <= 2 * n1 * n2 and 1 <= len(np.setdiff1d(a, b)) <= len(a) - len(np.intersect1d(a, b)) and len(np.intersect1d(a, b))
 
 
+def test_long_sets_share_a_signature():
+    rng = np.random.default_rng(6)
+    for size in (300, 1000, 5000):
+        for _ in range(20):
+            base = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+            most = int(0.15 * len(base))  # as many shingles as may go at 85 %
+            other = base[np.sort(rng.permutation(len(base))[most:])]
+            assert 100 * len(other) >= 85 * len(base) and len(np.intersect1d(partenum.signatures(base, 85), partenum.signatures(other, 85)))
+
+
+def test_other_sizes_cost_no_rows(spark):
+    """Members meet blocks of their own size and its neighbours only: of sizes spread as those of texts are, rows grow far less than by the square."""
+    held = F.lit(b"").alias("held")
+    counts = {}
+    for m in (10_000, 40_000):
+        rows = spark.range(m).select(F.lit(0).cast("long").alias("leader"), F.col("id").alias("cls"), F.floor(F.pow(F.lit(10.0), 1.5 + 2 * (F.col("id") % 997) / 997)).cast("int").alias("n"), F.col("id").alias("component"), held)
+        counts[m] = partenum._dealt(rows, 85, partenum.OF_SKETCHES).count()
+    assert counts[40_000] < 6 * counts[10_000] and counts[40_000] < 4 * 40_000
+    rows = spark.createDataFrame([(0, i, n, i, b"") for i, n in enumerate([1, 85, 100, 117, 118, 1000] * 9)], "leader long, cls long, n int, component long, held binary")
+    dealt = partenum._dealt(rows.union(rows.withColumn("leader", F.lit(1).cast("long")).where("cls < 9")), 85, 1)
+    assert dealt.count() == 54 + 9 and dealt.agg(F.max("hi")).first()[0] == 0
+
+
 def test_full_bins_of_sketches_leave_room():
     full = np.full(partenum.LEAST_BINS, 65535, np.uint16)
     assert partenum.most_common(full, full) > 1 << 30
@@ -498,6 +580,24 @@ def test_jaccard_join_is_brute_force(spark):
         assert out == naive_components(texts, words_each, percent)
 
 
+def test_jaccard_join_of_long_texts_is_brute_force(spark):
+    """Texts of some 300 to 1200 shingles, with changes on both sides of the threshold, passages that many share, and chains that one leader does not settle."""
+    rng = random.Random(21)
+    passage, texts = sentence(999, 250), {}
+    for i in range(60):
+        if i % 6 == 0:
+            texts[i] = sentence(i, rng.randint(300, 1200)) + (" " + passage if i % 4 == 0 else "")
+        else:
+            w = texts[i - 1 if i % 2 else i - i % 6].split()
+            for _ in range(rng.randint(0, len(w) // 20)):
+                w[rng.randrange(len(w))] = rng.choice("abcdefgh")
+            texts[i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.jaccard_components(docs, 4, 85).collect()}
+    want = naive_components(texts, 4, 85)
+    assert out == want and 10 < len({c for _, c in want.values()}) < 55 and min(n for n, _ in want.values()) > 277
+
+
 def test_jaccard_join_of_odd_rows(odd_documents, no_documents):
     out = rows(partenum.jaccard_components(odd_documents), "doc_id", "n_shingles", "component_id")
     by = {d: (n, c) for d, n, c in out}
