@@ -79,12 +79,14 @@ def selection_criteria(strata: DataFrame, known: DataFrame) -> DataFrame:
     return one.select("stratum", F.concat_ws("_", "condition", "position").alias("criterion")).join(known.select("stratum"), "stratum", "left_anti")
 
 
-def labelled_strata(strata: DataFrame, chosen: Sequence[int], columns: Sequence[str]) -> DataFrame:
-    """(specimen, label): of the chosen strata (two or more), the values of the columns that differ, as '(a, b)'; blank: null."""
+def labelled_strata(strata: DataFrame, chosen: Sequence[int], columns: Sequence[str], differing: bool = True) -> DataFrame:
+    """(specimen, label): of the chosen strata (two or more), the values of the columns, as '(a, b)'; blank: null. differing: of the columns that differ among them only."""
     if len(set(chosen)) < 2:
         raise ValueError("at least two strata are compared")
     rows = strata.where(F.col("stratum").isin(*chosen))
-    n = rows.agg(*(F.count_distinct(c).alias(c) for c in columns)).first()
-    used = [c for c in columns if n[c] > 1]
+    used = list(columns)
+    if differing:
+        n = rows.agg(*(F.count_distinct(c).alias(c) for c in columns)).first()
+        used = [c for c in columns if n[c] > 1]
     text = F.concat_ws(", ", *(F.when(F.col(c) != "", F.col(c)) for c in used)) if used else F.lit("")
     return rows.select("specimen", F.when(text != "", F.concat(F.lit("("), text, F.lit(")"))).alias("label"))
