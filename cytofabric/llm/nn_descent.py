@@ -20,6 +20,8 @@ BLOCK, PROJECTIONS, FIRST_K, LAST_K, MOST_ROUNDS = 256, 8, 12, 48, 24
 #: Recall of links that the audit asks for; vectors that go to all tasks at once; true links that make a measurement; the least vectors and the
 #: least share of all (one in so many) that are audited before fewer links make one.
 WANTED_RECALL, AUDIT, ENOUGH_LINKS, AUDIT_LEAST, AUDIT_SHARE = 0.98, 4096, 200, 16384, 64
+#: Slack of angles between pivots, in radians: near 0 the arc cosine of a rounded cosine is wrong by some 1e-8, and three of them are added up.
+ANGLE_SLACK = 1e-6
 #: Neighbours that meet in one local join; a longer list is dealt into several.
 LOCAL = 96
 _GRAPH = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("sim", pa.float64())])
@@ -267,7 +269,7 @@ def _between_dense(points: DataFrame, dense: DataFrame, threshold: float, per_bl
     shares = own.sparkSession.createDataFrame([(p, c) for p, c in parts.items()], "pivot int, shares int")
     placed = placed.join(F.broadcast(shares), "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int"))
     placed = cut(placed.select("rep", "copies", "v", "pivot", "block"))
-    reach = np.arccos(threshold) + 1e-9
+    reach = np.arccos(threshold) + ANGLE_SLACK
     order = np.array([r["pivot"] for r in radii], np.int64)
     radius = np.array([r["radius"] for r in radii])
 
