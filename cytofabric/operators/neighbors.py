@@ -265,8 +265,11 @@ def nearest(cells: DataFrame, k: int = 6, rank_ties: str = "structure", queries:
     else:
         rest = whole(asked)
     rest = stored(rest.join(frame, "specimen"))
+    root = extents.where(F.col("n") <= most).select("specimen")  # specimens of one leaf, which all their queries reach
+    reached = rest.join(root, "specimen", "left_semi").withColumns({"r2": 8 * F.col("span") * F.col("span"), "level": F.lit(0), "i": F.lit(0), "j": F.lit(0)})
+    rest = rest.join(root, "specimen", "left_anti")
     bounded = rest.where("r2 is not null").unionByName(_bounded(rest.where("r2 is null").drop("r2"), nodes, k))
-    hits = stored(_reached(bounded, nodes))
+    hits = stored((_reached(bounded, nodes).unionByName(reached) if split else reached))
     parts = stored(hits.groupBy(*leaf).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))
     at_place = Window.partitionBy("specimen", "x", "y").orderBy("structure")
     thinned = leafed.join(full.select(*leaf), leaf, "left_semi").withColumn("nth", F.row_number().over(at_place)).where(F.col("nth") <= k + 1).drop("nth")

@@ -16,6 +16,10 @@ from .neighbors import nearest, radius_pairs, stored, unordered_pairs
 from .populations import Signature, matches
 
 
+#: Simulations of a row, and cells that meet a specimen's simulations in one task.
+TURNS, SHARE = 25, 8192
+
+
 def integer_positions(cells: DataFrame) -> DataFrame:
     """x, y shifted to begin at 1 where either begins at 1 or less, then cut to integers; extents are joined, not windowed."""
     low = cells.groupBy("specimen").agg(F.min("x").alias("mx"), F.min("y").alias("my"))
@@ -290,9 +294,10 @@ def ripley_f(cells: DataFrame, label: int | None = None, steps: int = 100, simul
     `points` uniform points of the hull, of which only the nearest to each of the same random points counts. The summary is
     sum(p * distance) / sum(p), to one decimal. label None: the smallest that the specimen has. Null without two cells of the label or an area.
 
-    The cells meet the random points in grid bins, so a specimen of any size spreads; each simulation is a row of its own,
+    The cells meet the random points in grid bins, so a specimen of any size spreads; TURNS simulations are a row,
     which holds two fixed numbers of points. Seeded by specimen and simulation.
     """
+    cells = stored(cells.select("specimen", "structure", "x", "y", "label"))
     own = cells.where(F.col("label") == label) if label is not None else cells.join(cells.groupBy("specimen").agg(F.min("label").alias("least")), "specimen").where("label = least")
     own = stored(own.select("specimen", "structure", "x", "y"))
 
@@ -309,18 +314,27 @@ def ripley_f(cells: DataFrame, label: int | None = None, steps: int = 100, simul
     asked = used.select("specimen", F.posexplode(probes("specimen", "hull")).alias("at", "p")).select("specimen", (-1 - F.col("at")).cast("long").alias("structure"), F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
     distances = nearest(own, 2, queries=asked).groupBy("specimen").agg(F.collect_list(F.sqrt("d2")).alias("d"))  # 2 * points of them
 
+    @F.pandas_udf("array<double>")
+    def curve(area: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([_f_curve(np.asarray(own), np.linspace(0, math.sqrt(a / 2) / 4, steps)).tolist() for a, own in zip(area, d, strict=True)])
+
     @F.pandas_udf("array<int>")
-    def below(specimen: pd.Series, hull: pd.Series, area: pd.Series, d: pd.Series, turn: pd.Series) -> pd.Series:
+    def below(specimen: pd.Series, hull: pd.Series, area: pd.Series, observed: pd.Series, first: pd.Series) -> pd.Series:
         out = []
-        for s, h, a, own, t in zip(specimen, hull, area, d, turn, strict=True):
-            h, bins = np.reshape(h, (-1, 2)), np.linspace(0, math.sqrt(a / 2) / 4, steps)
-            asked, pattern = _uniform(h, points, [seed, int(s)]), _uniform(h, points, [seed, int(s), int(t) + 1])
-            near = [np.sqrt(((part[:, None] - pattern[None]) ** 2).sum(2).min(1)) for part in np.array_split(asked, max(1, points * points // 1_000_000))]
-            out.append((_f_curve(np.concatenate(near), bins) < _f_curve(np.asarray(own), bins)).astype(int).tolist())
+        for s, h, a, own, at in zip(specimen, hull, area, observed, first, strict=True):
+            h, bins, hits = np.reshape(h, (-1, 2)), np.linspace(0, math.sqrt(a / 2) / 4, steps), np.zeros(steps, int)
+            asked = _uniform(h, points, [seed, int(s)])
+            for t in range(int(at), min(int(at) + TURNS, simulations)):
+                pattern = _uniform(h, points, [seed, int(s), t + 1])
+                hits += _f_curve(_to_nearest(asked, pattern, 1.5 * math.sqrt(a / points)), bins) < own
+            out.append(hits.tolist())
         return pd.Series(out)
 
-    rows = used.join(distances, "specimen").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1)))).repartition("specimen", "turn")
-    lower = rows.select("specimen", "area", F.posexplode(below("specimen", "hull", "area", "d", "turn")).alias("at", "hit")).groupBy("specimen", "area", "at").agg(F.sum("hit").alias("hits"))
+    used = stored(used.join(distances, "specimen").select("specimen", "hull", "area", curve("area", "d").alias("observed")))
+    rows = used.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1), F.lit(TURNS))))
+    rows = _spread(rows, used.count() * -(-simulations // TURNS), "specimen", "first")
+    hits = rows.select("specimen", "area", below("specimen", "hull", "area", "observed", "first").alias("hit")).groupBy("specimen", "area").agg(_sums("hit", steps).alias("hit"))
+    lower = hits.select("specimen", "area", F.posexplode("hit").alias("at", "hits"))
     p, distance = (1 + F.col("hits")) / (simulations + 1), F.col("at") * F.sqrt(F.col("area") / 2) / 4 / (steps - 1)
     summary = lower.groupBy("specimen").agg(F.round(F.sum(p * distance) / F.sum(p), 1).alias("radius"))
     return hulls.select("specimen", "area").join(summary, "specimen", "left").select("specimen", "radius", "area")
@@ -346,10 +360,11 @@ def ripley_gl(cells: DataFrame, mode: str, label: int | None = None, steps: int
     Specimens without an area, two cells of the label or (G) another cell give no rows.
 
     Observed distances come from the joins of the neighbour search and of pairs; only counts by distance travel. Simulations are dealt to tasks by specimen and
-    turn (L) or by cells (G), whose counts are added up.
+    TURNS turns (L) or by SHARE cells at most (G), whose counts are added up; they meet the observed curve as arrays, one for each turn (G) or TURNS turns (L).
     """
     if mode not in ("G", "L"):
         raise ValueError(f"no mode {mode!r}")
+    cells = stored(cells.select("specimen", "structure", "x", "y", "label"))
     least = cells.groupBy("specimen").agg(F.min("label").alias("least"), F.count("*").alias("n"))
     marked = stored(cells.join(least, "specimen").select("specimen", "structure", "x", "y", (F.col("label") == (F.lit(label) if label is not None else F.col("least"))).alias("own"), "n"))
 
@@ -377,44 +392,52 @@ def ripley_gl(cells: DataFrame, mode: str, label: int | None = None, steps: int
     value = F.sqrt(2 * F.col("below") / F.col("n") / F.col("n") * F.col("area") / math.pi) if mode == "L" else F.try_divide("below", "all")
     observed = stored(observed.select("specimen", "at", (F.col("at") * F.col("width")).alias("distance"), value.alias("observed")))
 
-    @F.pandas_udf("array<double>")
-    def among(specimen: pd.Series, hull: pd.Series, n: pd.Series, area: pd.Series, turn: pd.Series) -> pd.Series:
+    curves = observed.groupBy("specimen").agg(F.array_sort(F.collect_list(F.struct("at", "observed"))).alias("l")).select("specimen", F.col("l.observed").alias("observed"))
+
+    @F.pandas_udf("array<int>")
+    def among(specimen: pd.Series, hull: pd.Series, n: pd.Series, area: pd.Series, observed: pd.Series, first: pd.Series) -> pd.Series:
         out = []
-        for s, h, m, a, t in zip(specimen, hull, n, area, turn, strict=True):
-            pattern, edges = _uniform(np.reshape(h, (-1, 2)), points, [seed, int(s), int(t) + 1]), np.linspace(0, math.sqrt(a / 2) / 4, steps)
-            total, reach = np.zeros(bins), edges[-1]
-            for i in range(0, points, 200):  # each pair once: twice within a block, so half there
-                for later, weight in ((pattern[i : i + 200], 0.5), (pattern[i + 200 :], 1.0)):
-                    d2 = _squares_between(pattern[i : i + 200], later)
-                    if weight < 1:
-                        np.fill_diagonal(d2, np.inf)
-                    at = (np.sqrt(d2[d2 < reach * reach]) * (bins / reach)).astype(int)
-                    total += np.bincount(np.minimum(at, bins - 1), minlength=bins) * weight
-            out.append(np.sqrt(2 * np.concatenate([[0], np.cumsum(total)]) / m / m * a / math.pi).tolist())
+        for s, h, m, a, own, at in zip(specimen, hull, n, area, observed, first, strict=True):
+            h, reach, hits = np.reshape(h, (-1, 2)), math.sqrt(a / 2) / 4, np.zeros(steps, int)
+            for t in range(int(at), min(int(at) + TURNS, simulations)):
+                pairs = _pairs_by_distance(_uniform(h, points, [seed, int(s), t + 1]), reach, bins)
+                hits += np.sqrt(2 * np.concatenate([[0], np.cumsum(pairs)]) / m / m * a / math.pi) < own
+            out.append(hits.tolist())
         return pd.Series(out)
 
-    def around(batches):
-        for batch in batches:
-            for s, g in batch.groupby("specimen"):
-                hull, reach = np.reshape(g["hull"].iloc[0], (-1, 2)), g["width"].iloc[0] * bins
-                at, edges = g[["x", "y"]].to_numpy(float), np.linspace(0, reach, steps)
-                counts = [np.histogram(_to_nearest(at, _uniform(hull, points, [seed, int(s), t + 1]), reach / 4), edges)[0] for t in range(simulations)]
-                turn, own_bin = np.divmod(np.arange(simulations * bins), bins)
-                c = np.concatenate(counts)
-                yield pd.DataFrame({"specimen": s, "turn": turn[c > 0], "bin": own_bin[c > 0], "c": c[c > 0]})
+    def around(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=["specimen", "turn", "c"])
+        s, reach = right["specimen"].iloc[0], right["width"].iloc[0] * bins
+        hull, edges, at = np.reshape(right["hull"].iloc[0], (-1, 2)), np.linspace(0, reach, steps), left[["x", "y"]].to_numpy(float)
+        near = 1.5 * math.sqrt(right["area"].iloc[0] / points)
+        counts = [np.histogram(_to_nearest(at, _uniform(hull, points, [seed, int(s), t + 1]), near), edges)[0] for t in range(simulations)]
+        return pd.DataFrame({"specimen": s, "turn": range(simulations), "c": counts})
+
+    @F.pandas_udf("array<int>")
+    def grown(counts: pd.Series, observed: pd.Series) -> pd.Series:
+        if not len(counts):
+            return pd.Series([], dtype=object)
+        below = np.cumsum(np.vstack(counts), axis=1)
+        with np.errstate(invalid="ignore"):
+            hits = np.pad(below, ((0, 0), (1, 0))) / below[:, -1:] < np.vstack(observed).astype(float)
+        return pd.Series(list(hits.astype(np.int32)))
 
     if mode == "L":
-        turns = frame.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1)))).repartition("specimen", "turn")
-        simulated = turns.select("specimen", F.posexplode(among("specimen", "hull", "n", "area", "turn")).alias("at", "value"))
+        turns = frame.join(curves, "specimen").withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1), F.lit(TURNS))))
+        turns = _spread(turns, frame.count() * -(-simulations // TURNS), "specimen", "first")
+        hits = turns.select("specimen", among("specimen", "hull", "n", "area", "observed", "first").alias("hit"))
     else:
-        spread = marked.select("specimen", "structure", "x", "y").repartitionByRange("specimen", "structure").sortWithinPartitions("specimen")
-        c = spread.join(frame.select("specimen", "hull", "width"), "specimen").mapInPandas(around, "specimen long, turn int, bin int, c long")
-        c = stored(c.groupBy("specimen", "turn", "bin").agg(F.sum("c").alias("c")))
-        grown = c.groupBy("specimen", "turn").agg(F.array_sort(F.collect_list(F.struct("bin", "c"))).alias("l"), F.sum("c").alias("all"))  # at most `bins` of each
-        grown = grown.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(bins))))
-        simulated = grown.select("specimen", "at", (F.aggregate(F.filter("l", lambda e: e.bin < F.col("at")), F.lit(0).cast("long"), lambda t, e: t + e.c) / F.col("all")).alias("value"))
-    lower = observed.join(simulated, ["specimen", "at"], "left").groupBy("specimen", "at", "distance", "observed")
-    return lower.agg(((1 + F.sum(F.when(F.col("value") < F.col("observed"), 1).otherwise(0))) / (simulations + 1)).alias("p"))
+        shares = F.ceil(F.col("n") / SHARE).cast("int")
+        spread = marked.select("specimen", "x", "y", F.pmod(F.xxhash64("structure"), shares).cast("int").alias("share"))
+        frames = frame.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).select("specimen", "share", "hull", "area", "width")
+        n = frames.count()
+        spread, frames = (_spread(d, n, "specimen", "share") for d in (spread, frames))
+        c = spread.groupBy("specimen", "share").cogroup(frames.groupBy("specimen", "share")).applyInPandas(around, "specimen long, turn int, c array<long>")
+        c = c.groupBy("specimen", "turn").agg(_sums("c", bins).alias("c"))
+        hits = c.join(curves, "specimen").select("specimen", grown("c", "observed").alias("hit"))
+    hits = hits.groupBy("specimen").agg(_sums("hit", steps).alias("hit")).select("specimen", F.posexplode("hit").alias("at", "hits"))
+    return observed.join(hits, ["specimen", "at"], "left").select("specimen", "at", "distance", "observed", ((1 + F.coalesce("hits", F.lit(0))) / (simulations + 1)).alias("p"))
 
 
 def ripley_summary(curves: DataFrame) -> DataFrame:
@@ -422,6 +445,16 @@ def ripley_summary(curves: DataFrame) -> DataFrame:
     return curves.groupBy("specimen").agg(F.round(F.sum(F.col("p") * F.col("distance")) / F.sum("p"), 1).alias("radius"))
 
 
+def _spread(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows dealt by their keys, of which there are n: a key's work is long and its rows are few bytes, so the number of tasks follows the keys and the cores, not bytes."""
+    return rows.repartition(max(1, min(-(-n // 4), 16 * rows.sparkSession.sparkContext.defaultParallelism)), *keys)
+
+
+def _sums(column: str, n: int) -> Column:
+    """The sums of each of the n elements of an array column."""
+    return F.array(*(F.sum(F.get(column, F.lit(i))) for i in range(n)))
+
+
 def _squares_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d, dy = a[:, :1] - b[:, 0], a[:, 1:] - b[:, 1]
     d *= d
@@ -430,6 +463,19 @@ def _squares_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
+def _pairs_by_distance(pattern: np.ndarray, reach: float, bins: int) -> np.ndarray:
+    """Pairs of points nearer than `reach`, counted in equal bins of distance. Points that stand close in x meet those after them in x within reach."""
+    pattern, total = pattern[np.argsort(pattern[:, 0], kind="stable")], np.zeros(bins, int)
+    for i in range(0, len(pattern), 64):
+        block = pattern[i : i + 64]
+        last = np.searchsorted(pattern[:, 0], block[-1, 0] + reach * (1 + 1e-9), side="right")
+        d2 = _squares_between(block, pattern[i:last])
+        d2[:, : len(block)][np.tri(len(block), dtype=bool)] = np.inf  # each pair of the block once
+        at = (np.sqrt(d2[d2 < reach * reach]) * (bins / reach)).astype(int)
+        total += np.bincount(np.minimum(at, bins - 1), minlength=bins)
+    return total
+
+
 def _to_nearest(at: np.ndarray, pattern: np.ndarray, reach: float) -> np.ndarray:
     """The distance of each point to the nearest of the pattern. Points that stand close in x meet the part of the pattern within `reach` in x of them; those
     with none so near meet the whole."""

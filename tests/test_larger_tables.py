@@ -1,8 +1,10 @@
 """Results on tables that are larger, or of another kind, than those of test_core.py."""
 
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
-from cytofabric.operators import cohorts
+from cytofabric.operators import cohorts, spatial
 from cytofabric.plans import registry
 
 SF = "/root/testdata/sf0.1"
@@ -18,3 +20,18 @@ def test_labels_of_strata_keep_columns_that_do_not_differ(spark):
     rows = spark.createDataFrame([(1, 1, "p", "c", ""), (2, 2, "p", "d", ""), (3, 3, "p", "e", "")], "specimen long, stratum int, position string, condition string, result string")
     label = lambda **how: sorted(r.label for r in cohorts.labelled_strata(rows, [1, 2], ["position", "condition", "result"], **how).collect())
     assert label() == ["(c)", "(d)"] and label(differing=False) == ["(p, c)", "(p, d)"]
+
+
+def test_simulations_of_ripley_meet_a_part_of_the_pattern(spark, monkeypatch):
+    """Pairs by distance as over the whole matrix, from fewer distances; and few bytes of long work are dealt to several tasks."""
+    rng, met = np.random.default_rng(3), []
+    plain = spatial._squares_between
+    monkeypatch.setattr(spatial, "_squares_between", lambda a, b: met.append(len(a) * len(b)) or plain(a, b))
+    for at in (rng.random((1000, 2)) * 1000, rng.integers(0, 40, (500, 2)).astype(float) * 25, np.zeros((70, 2))):
+        met.clear()
+        d2 = ((at[:, None] - at[None]) ** 2).sum(2)[np.triu_indices(len(at), 1)]
+        want = np.bincount((np.sqrt(d2[d2 < 177.0**2]) * (99 / 177.0)).astype(int), minlength=99)
+        assert (spatial._pairs_by_distance(at, 177.0, 99) == want).all()
+        assert at.max() == 0 or sum(met) < 0.4 * len(at) ** 2
+    keys = spark.range(64).withColumnsRenamed({"id": "specimen"})
+    assert len(set(r[0] for r in spatial._spread(keys, 64, "specimen").select(F.spark_partition_id()).distinct().collect())) > 8
