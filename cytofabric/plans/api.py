@@ -339,24 +339,32 @@ def n01(spark, d):
     return rows.join(stored_files, "name").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+#: Cells of a file that arrives, on average at most.
+_FILE_CELLS = 250_000
+
+
 @query("n01_cells_from_files", """WITH f AS (SELECT DISTINCT l_partkey, l_suppkey, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS b, CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END AS t, l_tax FROM lineitem)
 SELECT CAST(b + 2 * t AS BIGINT) AS mask, count(*) AS cells, round(sum(l_partkey + 2.0), 6) AS xs, round(sum(l_suppkey + 1.0), 6) AS ys, round(sum(l_tax), 4) AS taxes FROM f GROUP BY 1""")
 def n01_cells(spark, d):
-    """Cell files arrive in two loads, the second with the first's contents under other names; each content becomes cells once."""
+    """Cell files arrive in two loads, the second with the first's contents under other names; each content becomes cells once.
+
+    A load's files grow in number, not in size: three, or as many as hold _FILE_CELLS on average; a batch takes half a load's, from 2 to 64."""
     folder, rows = new_folder(spark), table(spark, d, "lineitem")
+    files = max(3, -(-rows.count() // (2 * _FILE_CELLS)))
+    most_files = max(2, min(64, files // 2))
     box = {"XMin": F.col("l_partkey"), "XMax": F.col("l_partkey") + 4, "YMin": F.col("l_suppkey"), "YMax": F.col("l_suppkey") + 2}
     calls = {"TAXED Positive": (F.col("l_tax") > 0.04).cast("int"), "BULK_Positive": (F.col("l_quantity") > 25).cast("int"), "TAXED Intensity": F.col("l_tax")}
-    half = lambda i: rows.where(F.col("l_suppkey") % 2 == i).repartition(3, "l_suppkey")
+    half = lambda i: rows.where(F.col("l_suppkey") % 2 == i).repartition(files, "l_suppkey")
 
     def arrive(load: str, i: int, columns: dict) -> None:
-        files = half(i).select(*(c.alias(n) for n, c in columns.items()))
-        files.sortWithinPartitions(*columns).write.csv(f"{folder}/in/{load}", header=True)
+        load_rows = half(i).select(*(c.alias(n) for n, c in columns.items()))
+        load_rows.sortWithinPartitions(*columns).write.csv(f"{folder}/in/{load}", header=True)
 
     arrive("a", 0, box | calls)
-    ingest_cells(spark, f"{folder}/in/*", f"{folder}/store", ["TAXED", "BULK"], f"{folder}/checkpoint", 2).awaitTermination()
+    ingest_cells(spark, f"{folder}/in/*", f"{folder}/store", ["TAXED", "BULK"], f"{folder}/checkpoint", most_files).awaitTermination()
     arrive("b", 0, box | calls)
     arrive("c", 1, calls | box)  # other order of columns
-    ingest_cells(spark, f"{folder}/in/*", f"{folder}/store", ["TAXED", "BULK"], f"{folder}/checkpoint", 2).awaitTermination()
+    ingest_cells(spark, f"{folder}/in/*", f"{folder}/store", ["TAXED", "BULK"], f"{folder}/checkpoint", most_files).awaitTermination()
     c = spark.read.parquet(f"{folder}/store/rows")
     return c.groupBy("mask").agg(F.count("*").alias("cells"), F.round(F.sum("x"), 6).alias("xs"), F.round(F.sum("y"), 6).alias("ys"), F.round(F.sum(F.col("intensity")[1]), 4).alias("taxes"))
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.features import missing
+from ..operators.neighbors import stored
 from ..operators.populations import Signature, matches
 from ..sources.ingest import cells_of
 
@@ -61,11 +62,11 @@ def ingest_once(files: DataFrame, store: str, load: Callable[[DataFrame], DataFr
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen = batch.withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["sha256"])
+        seen = batch.select("path", F.sha2("content", 256).alias("sha256")).groupBy("sha256").agg(F.min("path").alias("path"))
         spark.createDataFrame([], known_of).write.mode("append").partitionBy("batch").parquet(f"{store}/hashes")  # makes the folder, no rows
         known = spark.read.schema(known_of).parquet(f"{store}/hashes").where(F.col("batch") != number)
-        seen = seen.join(known.select("sha256"), "sha256", "left_anti")
-        load(seen).write.mode("overwrite").parquet(f"{store}/rows/batch={number}")
+        seen = stored(seen.join(known.select("sha256"), "sha256", "left_anti"))  # a row for each file; contents are read again where they lie, and never shuffled
+        load(batch.join(F.broadcast(seen), "path")).write.mode("overwrite").parquet(f"{store}/rows/batch={number}")
         seen.select("sha256").write.mode("overwrite").parquet(f"{store}/hashes/batch={number}")
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -35,3 +35,18 @@ def test_simulations_of_ripley_meet_a_part_of_the_pattern(spark, monkeypatch):
         assert at.max() == 0 or sum(met) < 0.4 * len(at) ** 2
     keys = spark.range(64).withColumnsRenamed({"id": "specimen"})
     assert len(set(r[0] for r in spatial._spread(keys, 64, "specimen").select(F.spark_partition_id()).distinct().collect())) > 8
+
+
+def test_files_that_arrive_grow_in_number(spark, monkeypatch, tmp_path):
+    """Each file of cells is numbered in one task, so it is bounded; contents are not shuffled to find those that are known."""
+    from cytofabric.plans import api
+
+    seen, plain = [], api.ingest_cells
+    monkeypatch.setattr(api, "_FILE_CELLS", 250)
+    monkeypatch.setattr(api, "ingest_cells", lambda s, folder, *more: seen.append((len(list(__import__("pathlib").Path(folder[:-2].removeprefix("file://")).rglob("*.csv"))), more[-1])) or plain(s, folder, *more))
+    small = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"create view lineitem as select * from '{small}/lineitem.parquet'")
+    got = sorted(tuple(r) for r in registry.queries()["n01_cells_from_files"](spark, small).collect())
+    assert got == sorted(db.execute(registry.oracle_sql()["n01_cells_from_files"]).fetchall())
+    assert seen[0][0] > 3 and seen[1][0] == 3 * seen[0][0] and seen[0][1] > 2
