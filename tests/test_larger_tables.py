@@ -37,6 +37,19 @@ def test_simulations_of_ripley_meet_a_part_of_the_pattern(spark, monkeypatch):
     assert len(set(r[0] for r in spatial._spread(keys, 64, "specimen").select(F.spark_partition_id()).distinct().collect())) > 8
 
 
+def test_folders_of_stored_cells_follow_cells_not_specimens(spark, tmp_path):
+    from cytofabric.sources import tables
+
+    path = str(tmp_path / "cells")
+    rows = spark.range(20_000).select(F.when(F.col("id") < 19_000, F.col("id") % 1000).otherwise(None).alias("specimen"), F.col("id").alias("structure"), (F.col("id") * 3).alias("mask"))
+    tables.store_cells(rows, path)
+    assert len(list((tmp_path / "cells").rglob("*=*"))) <= tables.SHARED
+    assert sorted(map(tuple, tables.read_cells(spark, path).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    wanted = spark.createDataFrame([(7,), (999,), (5000,)], "specimen int")
+    assert sorted(r.structure for r in tables.read_cells(spark, path, wanted).collect()) == [i for i in range(19_000) if i % 1000 in (7, 999)]
+    assert sorted(r.mask for r in tables.read_range(spark, path, 7, 3000, 6000).collect()) == [3 * i for i in (3007, 4007, 5007)]
+
+
 def test_files_that_arrive_grow_in_number(spark, monkeypatch, tmp_path):
     """Each file of cells is numbered in one task, so it is bounded; contents are not shuffled to find those that are known."""
     from cytofabric.plans import api
