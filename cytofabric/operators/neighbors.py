@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 LEAF_CELLS, DEPTH, AHEAD = 1024, 18, 3
 #: Cells that one task compares with a leaf at a time in the second round.
 QUERIES = 1 << 15
+#: Cells whose leaves a task takes in at a time in the first round, and cells in a square of a leaf's grid, both about.
+BUNDLE, FILL = 1 << 15, 4
 #: Slack of borders, in sides of the root: what rounding may do to a position's bin.
 SLACK = 1e-9
 #: Session setting under which Spark deletes a query's shuffle files when the query ends.
@@ -202,20 +204,86 @@ def _bounded(queries: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return queries.join(best, ["specimen", "a"], "left").withColumn("r2", F.coalesce("r2", 8 * F.col("span") * F.col("span")))
 
 
-def _own_leaf(group: pd.DataFrame, k: int, keep: tuple) -> pd.DataFrame:
-    """(a, b, d2, rank, kept columns of both) of a leaf's cells whose neighbours all lie in it; for each other cell one row of rank 0 with its place (xa, ya) and d2
-    within which k cells lie (or nothing)."""
-    ids, x, y = (group[c].to_numpy() for c in ("structure", "x", "y"))
-    level, i, j, ox, oy, span = (group[c].iloc[0] for c in ("level", "i", "j", "ox", "oy", "span"))
+def _k_nearest_each(leaf: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """As _k_nearest() of points among themselves, for many leaves at once: a point's neighbours are of its own leaf (numbers from 0, without gaps).
+
+    A leaf has a grid with about FILL points in a square; a point meets the squares around its own, then wider blocks of them, until its k-th neighbour is nearer than the
+    block's border or the block is the leaf. So work goes with the points, not with the square of a leaf's.
+    """
+    code = np.unique(ids, return_inverse=True)[1]
+    n = np.bincount(leaf)
+    bounds = [np.full(len(n), v) for v in (np.inf, -np.inf, np.inf, -np.inf)]
+    for bound, least, v in zip(bounds, (True, False) * 2, (x, x, y, y), strict=True):
+        (np.minimum if least else np.maximum).at(bound, leaf, v)
+    lx, ly, w, h = bounds[0], bounds[2], bounds[1] - bounds[0], bounds[3] - bounds[2]
+    side = np.maximum(np.sqrt(w * h * FILL / n), np.maximum(w, h) * FILL / n)
+    side[side == 0] = 1.0
+    mx, my = ((v / side).astype(int) + 1 for v in (w, h))
+    base = np.concatenate([[0], np.cumsum(mx * my)])
+    cx, cy = (np.minimum(((v - low[leaf]) / side[leaf]).astype(int), m[leaf] - 1) for v, low, m in ((x, lx, mx), (y, ly, my)))
+    square = base[leaf] + cy * mx[leaf] + cx
+    by_square = np.argsort(square, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(square, minlength=base[-1]))])
+    found: list[tuple] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int))]
+    last, todo, ring = np.full(len(x), np.inf), by_square, 1
+    while len(todo):
+        again = []
+        most = np.minimum(2 * ring + 1, my[leaf[todo]]) * np.minimum(2 * ring + 1, mx[leaf[todo]])  # squares, for the size of parts only
+        for p in np.array_split(todo, max(1, int(most.sum()) * FILL // 500_000)):
+            s, m = leaf[p], mx[leaf[p]]
+            rows = cy[p][:, None] + np.arange(-min(ring, int(my.max())), min(ring, int(my.max())) + 1)
+            there = (rows >= 0) & (rows < my[s][:, None])
+            row = base[s][:, None] + np.where(there, rows, 0) * m[:, None]
+            first, stop = starts[row + np.maximum(cx[p] - ring, 0)[:, None]], starts[row + np.minimum(cx[p] + ring, m - 1)[:, None] + 1]
+            size = np.where(there, stop - first, 0)
+            each, ends = size.sum(1), np.cumsum(size)
+            at = by_square[np.arange(ends[-1]) + np.repeat((first - (ends.reshape(size.shape) - size)).ravel(), size.ravel())]
+            of = np.repeat(np.arange(len(p)), each)
+            d2 = np.square(x[at] - x[p][of]) + np.square(y[at] - y[p][of])
+            d2[code[at] == code[p][of]] = np.inf
+            wide = np.full((len(p), max(k, int(each.max()))), np.inf)
+            wide[of, np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)] = d2
+            kth = np.partition(wide, k - 1, axis=1)[:, k - 1]
+            gap = np.full(len(p), np.inf)
+            for v, low, c, count in ((x[p], lx[s], cx[p], m), (y[p], ly[s], cy[p], my[s])):
+                gap = np.minimum(gap, np.where(c - ring > 0, v - (low + (c - ring) * side[s]), np.inf))
+                gap = np.minimum(gap, np.where(c + ring < count - 1, low + (c + ring + 1) * side[s] - v, np.inf))
+            gap = np.maximum(0, gap - np.maximum(w, h)[s] * SLACK)
+            done = np.isinf(gap) | (kth < gap * gap)
+            again.append(p[~done])
+            last[p[done]] = kth[done]
+            near = np.flatnonzero((d2 <= np.minimum(kth, np.finfo(float).max)[of]) & done[of])  # equal distances may be more than k
+            of, at, d2 = of[near], at[near], d2[near]
+            count = np.bincount(of, minlength=len(p))
+            place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            d, c, i = np.full((len(p), max(1, int(count.max()))), np.inf), np.zeros((len(p), max(1, int(count.max()))), int), np.zeros((len(p), max(1, int(count.max()))), int)
+            d[of, place], c[of, place], i[of, place] = d2, code[at], at
+            order = np.lexsort((c, d), axis=-1)[:, :k]
+            d, i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+            own, rank = np.nonzero(np.isfinite(d))
+            found.append((p[own], i[own, rank], d[own, rank], rank))
+        todo, ring = np.concatenate(again), 3 * ring
+    return (*map(np.concatenate, zip(*found, strict=True)), last)
+
+
+def _own_leaves(group: pd.DataFrame, k: int, keep: tuple) -> pd.DataFrame:
+    """(specimen, a, b, d2, rank, kept columns of both) of the cells of some leaves whose neighbours all lie in their own one; for each other cell one row of rank 0 with
+    its place (xa, ya) and d2 within which k cells lie (or nothing)."""
+    leaf = group.groupby(["specimen", "level", "i", "j"], sort=False, dropna=False).ngroup().to_numpy()
+    ids, x, y, level, i, j, ox, oy, span = (group[c].to_numpy() for c in ("structure", "x", "y", "level", "i", "j", "ox", "oy", "span"))
     side, end = span / 2.0**level, 2**level - 1
-    gaps = [np.inf if at == edge else sign * (p - (o + (at + (sign < 0)) * side)) for p, o, at in ((x, ox, i), (y, oy, j)) for edge, sign in ((0, 1), (end, -1))]
-    gap = np.maximum(0, np.min(np.broadcast_arrays(*gaps, np.full(len(x), np.inf)), axis=0) - span * SLACK)
-    row, near, d2, rank, last = _k_nearest((ids, x, y), (ids, x, y), k)
+    gap = np.full(len(x), np.inf)
+    for p, o, at in ((x, ox, i), (y, oy, j)):
+        gap = np.minimum(gap, np.where(at == 0, np.inf, p - (o + at * side)))
+        gap = np.minimum(gap, np.where(at == end, np.inf, o + (at + 1) * side - p))
+    gap = np.maximum(0, gap - span * SLACK)
+    row, near, d2, rank, last = _k_nearest_each(leaf, ids, x, y, k)
     done = (last < gap * gap) | (level == 0)
     own, rest = done[row], np.flatnonzero(~done)
     at, to = np.concatenate([row[own], rest]), np.concatenate([near[own], rest])
     bound = np.where(np.isfinite(last[rest]), last[rest], np.nan)
-    out = {"a": ids[at], "b": ids[to], "d2": np.concatenate([d2[own], bound]), "rank": np.concatenate([rank[own] + 1, np.zeros(len(rest), int)]), "xa": x[at], "ya": y[at]}
+    place = lambda v: np.concatenate([np.full(own.sum(), np.nan), v[rest]])  # noqa: E731  those that are done need none
+    out = {"specimen": group["specimen"].to_numpy()[at], "a": ids[at], "b": ids[to], "d2": np.concatenate([d2[own], bound]), "rank": np.concatenate([rank[own] + 1, np.zeros(len(rest), int)]), "xa": place(x), "ya": place(y)}
     return pd.DataFrame(out | {f"a_{c}": group[c].to_numpy()[at] for c in keep} | {f"b_{c}": group[c].to_numpy()[to] for c in keep})
 
 
@@ -226,7 +294,7 @@ def nearest(cells: DataFrame, k: int = 6, rank_ties: str = "structure", queries:
     there is none) of both ends that come along; of queries none. Cells without a position have no neighbours and are nobody's.
 
     Cells are grouped by the leaves of a quadtree of each specimen, at most LEAF_CELLS in each, so specimens of any size and density spread over tasks. A first
-    round finds the nearest within the own leaf; a cell whose k-th neighbour is nearer than the leaf's border is done. The others, which stand near
+    round takes bundles of leaves, about BUNDLE cells in each, and finds the nearest within the own leaf; a cell whose k-th neighbour is nearer than the leaf's border is done. The others, which stand near
     borders or in leaves of k cells or fewer, know how far their neighbours can be at most; a second round asks the leaves that come so near. Two rounds do,
     whatever the density. Of cells at one and the same place in a leaf that cannot be split only the k + 1 with the smallest ids can be anyone's neighbours.
     """
@@ -254,9 +322,11 @@ def nearest(cells: DataFrame, k: int = 6, rank_ties: str = "structure", queries:
     whole = lambda d: d.select("specimen", F.col("structure").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.lit(None).cast("double").alias("r2"), *(F.col(n).alias(f"a_{n}") for n in ends))
     done = []
     if queries is None:
-        first = lambda key, group: _own_leaf(group, k, kept).assign(specimen=key[0])
-        some = leafed.join(full.select(*leaf), leaf, "left_anti") if split else leafed
-        own = stored(some.join(frame, "specimen").groupBy(*leaf).applyInPandas(first, ", ".join([pairs, "rank int, xa double, ya double", *both])))
+        first = lambda group: _own_leaves(group, k, kept)
+        some = (leafed.join(full.select(*leaf), leaf, "left_anti") if split else leafed).join(frame, "specimen")
+        bundles = -(-(extents.agg(F.sum("n")).first()[0] or 1) // BUNDLE)
+        some = some.withColumn("bundle", F.pmod(F.xxhash64(*leaf), F.lit(bundles)))
+        own = stored(some.groupBy("bundle").applyInPandas(first, ", ".join([pairs, "rank int, xa double, ya double", *both])))
         done.append(own.where("rank > 0").select(*out))
         if not split:  # every specimen is one leaf
             return done[0]

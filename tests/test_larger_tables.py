@@ -37,6 +37,24 @@ def test_simulations_of_ripley_meet_a_part_of_the_pattern(spark, monkeypatch):
     assert len(set(r[0] for r in spatial._spread(keys, 64, "specimen").select(F.spark_partition_id()).distinct().collect())) > 8
 
 
+def test_nearest_of_many_leaves_meet_a_part_of_their_leaf(monkeypatch):
+    """Neighbours within leaves, taken many at once, as by comparing all of a leaf with all; on spread positions from few distances."""
+    rng, met, plain = np.random.default_rng(5), [], np.square
+    leaf, x, y = np.repeat(np.arange(6), 500), rng.random(3000) * 1000, rng.random(3000) * 1000
+    ids, thick = rng.permutation(3000) + (1 << 32), rng.random(3000) < 0.9
+    monkeypatch.setattr(neighbors.np, "square", lambda v: met.append(len(v)) or plain(v))
+    for k, at, to in ((6, x, y), (6, x // 50, y // 50), (3, x, 0 * y), (2, np.where(thick, x / 1e4, x), np.where(thick, y / 1e4, y)), (1, 0 * x, 0 * y - 3), (600, x, y)):
+        met.clear()
+        row, near, d2, rank, last = neighbors._k_nearest_each(leaf, ids, at, to, k)
+        if at is x and k == 6:
+            assert sum(met) / 2 < 0.2 * 6 * 500**2
+        for own in (np.flatnonzero(leaf == i) for i in range(6)):
+            q = (ids[own], at[own], to[own])
+            r, n, d, place, most = neighbors._k_nearest(q, q, k)
+            here = np.isin(row, own)
+            assert sorted(zip(row[here], rank[here], near[here], d2[here])) == sorted(zip(own[r], place, own[n], d)) and (last[own] == most).all()
+
+
 def test_folders_of_stored_cells_follow_cells_not_specimens(spark, tmp_path):
     from cytofabric.sources import tables
 
