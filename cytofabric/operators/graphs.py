@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbors import nearest, radius_pairs, stored
+from .neighbors import nearest, squared_distance, stored
 from .sampling import at_most
 
 
@@ -18,6 +18,21 @@ def roi_side(cells: DataFrame, target: int) -> int:
     return int(round((target / median) ** 0.5)) if median else 0
 
 
+def _spanned(c: str, reach: float, side: float) -> Column:
+    """The places, on a grid of this side, that c - reach to c + reach meet."""
+    return F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side))
+
+
+def _leading(best: DataFrame) -> DataFrame:
+    """Of best (specimen, bx, by, b) the rows whose b comes first by (m, a) within two bins around. Bins travel in tiles of 8 by 8 with what borders on them, and are compared there."""
+    tiled = best.withColumn("tx", F.explode(_spanned("bx", 2, 8))).withColumn("ty", F.explode(_spanned("by", 2, 8))).repartition("specimen", "tx", "ty")
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)))
+    met = tiled.withColumn("s_", F.explode(steps)).withColumns({"own_": F.when((F.col("s_.i") == 0) & (F.col("s_.j") == 0), F.col("b")), "bx": F.col("bx") + F.col("s_.i"), "by": F.col("by") + F.col("s_.j")})
+    met = met.where((F.floor(F.col("bx") / 8) == F.col("tx")) & (F.floor(F.col("by") / 8) == F.col("ty")))
+    first = met.groupBy("specimen", "tx", "ty", "bx", "by").agg(F.min(F.struct("b.m", "b.a")).alias("o"), F.min("own_").alias("b"))
+    return first.where(F.struct("b.m", "b.a") == F.col("o")).select("specimen", "bx", "by", "b")
+
+
 def place_rois(cells: DataFrame, target: Column, side: int, k: int = 5, most_targets: int | None = None) -> DataFrame:
     """(specimen, roi, x_min, x_max, y_min, y_max, targets): boxes round target cells, the one with most target cells within side // 2 first.
 
@@ -28,6 +43,7 @@ def place_rois(cells: DataFrame, target: Column, side: int, k: int = 5, most_tar
     Boxes are placed in rounds, many at a time: a cell whose count leads all that are left within two halves of it (judged by the best cell of each grid bin) comes
     before whatever could take cells from it, so it gets its box with just this count. Counts only fall, so the order of the boxes is that of their counts. A round
     joins boxes with cells and what they took with their neighbours, by grid bins; a specimen of any size spreads over tasks. Over all rounds each pair of near cells is met once.
+    A specimen leaves the rounds when the boxes that it can get are known.
     """
     half = side // 2
     box = cells.groupBy("specimen").agg(F.count("*").alias("n"), F.sum(target.cast("long")).alias("hits"), ((F.max("x") - F.min("x")).cast("double") * (F.max("y") - F.min("y"))).alias("area"))
@@ -36,18 +52,17 @@ def place_rois(cells: DataFrame, target: Column, side: int, k: int = 5, most_tar
     box = stored(box.select("specimen", wanted.alias("wanted")).where("wanted > 0"))
     aims = cells.where(target).join(box.select("specimen"), "specimen", "left_semi").select("specimen", "structure", "x", "y")
     aims = stored(aims if most_targets is None else at_most(aims, most_targets))
-    place = aims.select("specimen", "structure", "x", "y", F.col("x").alias("px"), F.col("y").alias("py"))
-
-    def in_box(pairs: DataFrame) -> Column:
-        return (F.abs(F.col("px") - F.col("qx")) <= half) & (F.abs(F.col("py") - F.col("qy")) <= half)
-
-    near = radius_pairs(place, aims.select("specimen", "structure", "x", "y", F.col("x").alias("qx"), F.col("y").alias("qy")), half * 2**0.5, ("px", "py"), ("qx", "qy"))
-    counts = near.groupBy("specimen", "a", F.col("px").alias("x"), F.col("py").alias("y")).agg(F.sum((F.col("d2") <= half * half).cast("long")).alias("near"), F.sum(in_box(near).cast("long")).alias("boxed"))
-    counts = stored(counts)
-    # a box with more than k target cells to begin with has as many cells; only the others are counted
-    thin = counts.where(F.col("boxed") <= k).select("specimen", F.col("a").alias("structure"), "x", "y", F.col("x").alias("px"), F.col("y").alias("py"))
-    around = radius_pairs(thin, cells.select("specimen", "structure", "x", "y", F.col("x").alias("qx"), F.col("y").alias("qy")), half * 2**0.5, ("px", "py"), ("qx", "qy"))
-    around = around.where(in_box(around)).groupBy("specimen", "a").agg(F.count("*").alias("all_"))
+    tile = float(3 * half)
+    own_tile = lambda d: d.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
+    near_tiles = lambda d, x, y: d.withColumn("tx", F.explode(_spanned(x, half, tile))).withColumn("ty", F.explode(_spanned(y, half, tile)))
+    in_box = (F.abs(F.col("x") - F.col("qx")) <= half) & (F.abs(F.col("y") - F.col("qy")) <= half)
+    near = own_tile(aims).join(near_tiles(aims.select("specimen", F.col("x").alias("qx"), F.col("y").alias("qy")), "qx", "qy"), ["specimen", "tx", "ty"]).where(in_box)
+    counts = near.groupBy("specimen", "tx", "ty", F.col("structure").alias("a"), "x", "y").agg(F.sum((squared_distance("x", "y", "qx", "qy") <= half * half).cast("long")).alias("near"), F.count("*").alias("boxed"))
+    counts = stored(counts.drop("tx", "ty"))
+    # a box with more than k target cells to begin with has as many cells; only the others, few, are repeated and counted
+    thin = counts.where(F.col("boxed") <= k).select("specimen", "a", F.col("x").alias("qx"), F.col("y").alias("qy"))
+    around = near_tiles(thin, "qx", "qy").join(own_tile(cells.select("specimen", "x", "y")), ["specimen", "tx", "ty"])
+    around = around.where(in_box).groupBy("specimen", "a").agg(F.count("*").alias("all_"))
     left = counts.join(around, ["specimen", "a"], "left").select("specimen", "a", "x", "y", "near", (F.coalesce("all_", F.lit(k + 1)) > k).alias("enough"))
 
     bins = lambda d: d.withColumns({"bx": F.floor(F.col("x") / half), "by": F.floor(F.col("y") / half)})
@@ -55,18 +70,24 @@ def place_rois(cells: DataFrame, target: Column, side: int, k: int = 5, most_tar
     square, placed = ["specimen", "bx", "by"], []
     left = stored(bins(left))
     while True:
-        best = stored(left.groupBy(*square).agg(F.min(F.struct((-F.col("near")).alias("m"), "a", "x", "y", "enough")).alias("b")))
-        leads = around_by(best.select(*square, F.struct("b.m", "b.a").alias("o")), 2).groupBy(*square).agg(F.min("o").alias("o"))
-        boxes = stored(best.join(leads, square).where(F.struct("b.m", "b.a") == F.col("o")).select(*square, F.col("b.a").alias("centre"), F.col("b.x").alias("cx"), F.col("b.y").alias("cy"), (-F.col("b.m")).alias("near_"), F.col("b.enough").alias("enough_")))
+        best = left.groupBy(*square).agg(F.min(F.struct((-F.col("near")).alias("m"), "a", "x", "y", "enough")).alias("b"))
+        boxes = stored(_leading(best).select(*square, F.col("b.a").alias("centre"), F.col("b.x").alias("cx"), F.col("b.y").alias("cy"), (-F.col("b.m")).alias("near_"), F.col("b.enough").alias("enough_")))
         if not boxes.limit(1).count():
             break
-        # boxes of one round stand more than two halves apart, so a cell is in one at most
-        inside = (F.abs(F.col("x") - F.col("cx")) <= half) & (F.abs(F.col("y") - F.col("cy")) <= half)
-        taken = stored(left.join(around_by(boxes, 1), square).where(inside).select("specimen", "a", "x", "y", "centre", "cx", "cy", "near_", "enough_"))
-        placed.append(stored(taken.groupBy("specimen", "centre", "cx", "cy", "near_", "enough_").agg(F.count("*").alias("targets"))))
-        rest = left.join(taken.select("specimen", "a"), ["specimen", "a"], "left_anti")
-        lost = radius_pairs(rest.withColumnRenamed("a", "structure"), taken.withColumnRenamed("a", "structure"), half).groupBy("specimen", "a").agg(F.count("*").alias("lost"))
-        left = stored(rest.join(lost, ["specimen", "a"], "left").select(*square, "a", "x", "y", (F.col("near") - F.coalesce("lost", F.lit(0))).alias("near"), "enough"))
+        # boxes of one round stand more than two halves apart, so a cell is in one at most, and few are near a bin
+        near_boxes = around_by(boxes, 1).groupBy(*square).agg(F.collect_list(F.struct("centre", "cx", "cy", "near_", "enough_")).alias("l_"))
+        inside = F.filter("l_", lambda s: (F.abs(F.col("x") - s.cx) <= half) & (F.abs(F.col("y") - s.cy) <= half))
+        marked = stored(left.join(near_boxes, square, "left").withColumn("box_", F.get(inside, F.lit(0))).drop("l_"))
+        taken = marked.where("box_ is not null")
+        placed.append(stored(taken.select("specimen", "box_.*").groupBy("specimen", "centre", "cx", "cy", "near_", "enough_").agg(F.count("*").alias("targets"))))
+        gone = around_by(taken.select(*square, F.col("x").alias("qx"), F.col("y").alias("qy")), 1)
+        lost = F.sum(F.when(squared_distance("x", "y", "qx", "qy") <= half * half, 1).otherwise(0))
+        rest = marked.where("box_ is null").drop("box_").join(gone, square, "left").groupBy(*square, "a", "x", "y", "near", "enough").agg(lost.alias("lost"))
+        left = stored(rest.select(*square, "a", "x", "y", (F.col("near") - F.col("lost")).alias("near"), "enough"))
+        # later boxes count no more than the best cell left now: a specimen with as many before it as wanted is done
+        most_left = left.groupBy("specimen").agg(F.max("near").alias("most_"))
+        ahead = reduce(DataFrame.union, placed).join(most_left, "specimen").where(F.col("near_") > F.col("most_")).groupBy("specimen").agg(F.count("*").alias("ahead_"))
+        left = left.join(stored(ahead.join(box, "specimen").where(F.col("ahead_") >= F.col("wanted")).select("specimen")), "specimen", "left_anti")
     if not placed:
         placed = [stored(left.limit(0).select("specimen", F.col("a").alias("centre"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("near").alias("near_"), F.col("enough").alias("enough_"), F.lit(0).cast("long").alias("targets")))]
     order = Window.partitionBy("specimen").orderBy(F.desc("near_"), "centre")  # a specimen's boxes

@@ -81,3 +81,29 @@ def test_files_that_arrive_grow_in_number(spark, monkeypatch, tmp_path):
     got = sorted(tuple(r) for r in registry.queries()["n01_cells_from_files"](spark, small).collect())
     assert got == sorted(db.execute(registry.oracle_sql()["n01_cells_from_files"]).fetchall())
     assert seen[0][0] > 3 and seen[1][0] == 3 * seen[0][0] and seen[0][1] > 2
+
+
+def test_leading_bins_and_boxes_of_a_dense_specimen(spark):
+    """Bins that lead within two around, as by looking at all; boxes as one by one, of specimens that are done early and of one that is not."""
+    from cytofabric.operators import graphs
+
+    rng = np.random.default_rng(11)
+    bins = [(s, int(i), int(j), int(rng.integers(0, 4))) for s in (1, 2) for i, j in {(i, j) for i, j in rng.integers(-12, 12, (200, 2))}]
+    best = spark.createDataFrame([(s, i, j, (-n, at, 0)) for at, (s, i, j, n) in enumerate(bins)], "specimen long, bx long, by long, b struct<m: long, a: long, x: int>")
+    key = {(s, i, j): (-n, at) for at, (s, i, j, n) in enumerate(bins)}
+    want = {k for k, v in key.items() if all(v <= key.get((k[0], k[1] + u, k[2] + w), v) for u in range(-2, 3) for w in range(-2, 3))}
+    assert {(r.specimen, r.bx, r.by) for r in graphs._leading(best).collect()} == want
+    at = [(s, 1000 * s + i, int(x), int(y), bool(t)) for s, wide in ((1, 1000), (2, 300)) for i, (x, y, t) in enumerate(zip(rng.integers(-50, wide, 400), rng.integers(0, wide, 400), rng.random(400) < 0.3, strict=True))]
+    cells = spark.createDataFrame(at, "specimen long, structure long, x int, y int, hit boolean")
+    got, half = {}, 60
+    for r in graphs.place_rois(cells, F.col("hit"), 2 * half).collect():
+        got.setdefault(r.specimen, {})[r.roi] = (r.x_min, r.y_min, r.targets)
+    for s in (1, 2):
+        left, found = {c[1]: c[2:4] for c in at if c[0] == s and c[4]}, []
+        while left and len(found) < len(got[s]):
+            near = {a: sum((x - u) ** 2 + (y - v) ** 2 <= half**2 for u, v in left.values()) for a, (x, y) in left.items()}
+            x, y = left[min(left, key=lambda a: (-near[a], a))]
+            inside = [a for a, (u, v) in left.items() if abs(u - x) <= half and abs(v - y) <= half]
+            found.append((x - half, y - half, len(inside)))
+            left = {a: p for a, p in left.items() if a not in inside}
+        assert [got[s][i] for i in range(len(got[s]))] == found and len(found) > 1
