@@ -81,11 +81,11 @@ def spatial_metrics(cells_: DataFrame, names: Sequence[str], phenotypes: Sequenc
         return S.co_occurrence(marked, radius).withColumnRenamed("ratio", "value")
     if metric == "ripley":
         return S.ripley_f(marked).select("specimen", F.col("radius").alias("value"))
-    edges = stored(S.neighbour_edges(marked))
+    marked = stored(marked)
     if metric == "enrichment":
-        return S.enrichment(marked, edges).select("specimen", F.col("enrichment").alias("value"))
+        return S.enrichment(marked, stored(S.neighbour_edges(marked))).select("specimen", F.col("enrichment").alias("value"))
     if metric == "autocorrelation":
-        return S.moran(marked, edges).select("specimen", F.col("p").alias("value"))
+        return S.moran_batch(marked, S.neighbour_graph(marked, keep=("label",)), {}, ["label"]).select("specimen", F.col("p").alias("value"))
     raise ValueError(f"no metric {metric!r}")
 
 

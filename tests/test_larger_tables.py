@@ -107,3 +107,18 @@ def test_leading_bins_and_boxes_of_a_dense_specimen(spark):
             found.append((x - half, y - half, len(inside)))
             left = {a: p for a, p in left.items() if a not in inside}
         assert [got[s][i] for i in range(len(got[s]))] == found and len(found) > 1
+
+
+def test_autocorrelation_is_read_off_one_graph(spark, monkeypatch):
+    from cytofabric.plans import api
+
+    rows = spark.range(120).select((F.col("id") % 3).alias("specimen"), F.col("id").alias("structure"), (F.col("id") * 7919 % 100 + 2).alias("x"), (F.col("id") * 104729 % 97 + 2).alias("y"), (F.col("id") * 31 % 5 % 2).alias("mask"))
+    marked = rows.withColumn("label", F.col("mask"))
+    want = {r.specimen: r.p for r in spatial.moran(marked, spatial.neighbour_edges(marked)).collect()}
+
+    def absent(*_):
+        raise AssertionError("joins of edges and cells")
+
+    monkeypatch.setattr(spatial, "moran", absent)
+    got = {r.specimen: r.value for r in api.spatial_metrics(rows, ["A"], [(["A"], [])], "autocorrelation").collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 for s in want)
