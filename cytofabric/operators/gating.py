@@ -22,11 +22,19 @@ def segment_means(pixels: DataFrame, channels: Sequence[str]) -> DataFrame:
 
 def gates_from_calls(cells: DataFrame, channels: Mapping[str, Signature], intensity: Mapping[str, str]) -> DataFrame:
     """(specimen, channel, gate): midway between the highest intensity of negative cells and the lowest of positive ones; one if the other is absent."""
+    return _gates(cells.groupBy("specimen").agg(*_extremes(channels, {c: F.col(intensity[c]) for c in channels})), channels)
+
+
+def _extremes(channels: Mapping[str, Signature], value: Mapping[str, Column]) -> list[Column]:
+    """Aggregates low_<channel> and high_<channel>: the highest value of a channel's negative cells and the lowest of its positive ones."""
     both = []
     for c, s in channels.items():
         hit = matches(F.col("mask"), *s)
-        both += [F.max(F.when(~hit, F.col(intensity[c]))).alias(f"low_{c}"), F.min(F.when(hit, F.col(intensity[c]))).alias(f"high_{c}")]
-    wide = cells.groupBy("specimen").agg(*both)
+        both += [F.max(F.when(~hit, value[c])).alias(f"low_{c}"), F.min(F.when(hit, value[c])).alias(f"high_{c}")]
+    return both
+
+
+def _gates(wide: DataFrame, channels: Mapping[str, Signature]) -> DataFrame:
     gate = lambda c: F.coalesce((F.col(f"low_{c}") + F.col(f"high_{c}")) / 2, F.col(f"low_{c}"), F.col(f"high_{c}"))
     rows = F.array(*(F.struct(F.lit(c).alias("channel"), gate(c).cast("double").alias("gate")) for c in channels))
     return wide.select("specimen", F.explode(rows).alias("r")).select("specimen", "r.*")
@@ -37,8 +45,16 @@ def gate_bytes(cells: DataFrame, channels: Mapping[str, Signature], intensity: M
 
     intensity: channel -> a column of values in 0..1. Null where a specimen has no value of the channel.
     """
-    held = cells.withColumns({f"held_{c}": dequantise(quantise(F.col(intensity[c]).cast("double"))) for c in channels})
-    gates = gates_from_calls(held, channels, {c: f"held_{c}" for c in channels})
+    return _bytes(cells.groupBy("specimen").agg(*_held_extremes(channels, intensity)), channels)
+
+
+def _held_extremes(channels: Mapping[str, Signature], intensity: Mapping[str, str]) -> list[Column]:
+    """_extremes() of codes; a value's code does not fall as the value grows, so each specimen's extremes are decoded by _bytes(), not each cell."""
+    return _extremes(channels, {c: quantise(F.col(intensity[c]).cast("double")) for c in channels})
+
+
+def _bytes(wide: DataFrame, channels: Mapping[str, Signature]) -> DataFrame:
+    gates = _gates(wide.withColumns({f"{end}_{c}": dequantise(F.col(f"{end}_{c}")) for c in channels for end in ("low", "high")}), channels)
     byte = F.when(F.col("gate").isNotNull(), F.greatest(quantise(F.col("gate")), F.lit(1)))
     return gates.select("specimen", "channel", byte.cast("smallint").alias("gate"))
 
@@ -46,10 +62,11 @@ def gate_bytes(cells: DataFrame, channels: Mapping[str, Signature], intensity: M
 def subsample_metadata(cells: DataFrame, channels: Mapping[str, Signature], intensity: Mapping[str, str], most: int = 1_000_000) -> DataFrame:
     """(specimen, count, thresholds): the cells that representative() takes of each specimen, and its gate bytes in the order of channels.
 
-    Gates are those of all of a specimen's cells, not of its sample. One row for each specimen; sums and extremes are pre-aggregated.
+    Gates are those of all of a specimen's cells, not of its sample. One row for each specimen; sums and extremes are pre-aggregated, in one pass over the cells.
     """
-    sizes = allocation(cells.groupBy("specimen").agg(F.count("*").alias("n")), most)
-    gates = gate_bytes(cells, channels, intensity).groupBy("specimen").agg(F.map_from_entries(F.collect_list(F.struct("channel", "gate"))).alias("gates_"))
+    wide = stored(cells.groupBy("specimen").agg(F.count("*").alias("n"), *_held_extremes(channels, intensity)))
+    sizes = allocation(wide.select("specimen", "n"), most)
+    gates = _bytes(wide, channels).groupBy("specimen").agg(F.map_from_entries(F.collect_list(F.struct("channel", "gate"))).alias("gates_"))
     of = F.array(*(F.element_at("gates_", F.lit(c)) for c in channels))
     return sizes.join(gates, "specimen").select("specimen", F.col("take").alias("count"), of.alias("thresholds"))
 

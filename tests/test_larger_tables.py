@@ -83,6 +83,23 @@ def test_files_that_arrive_grow_in_number(spark, monkeypatch, tmp_path):
     assert seen[0][0] > 3 and seen[1][0] == 3 * seen[0][0] and seen[0][1] > 2
 
 
+def test_subsample_metadata_reads_cells_once(spark):
+    from cytofabric.operators import gating
+
+    rows = spark.range(2000).select((F.col("id") % 7).alias("specimen"), F.col("id").alias("structure"), (F.col("id") % 3).alias("mask"), ((F.col("id") * 37 % 1000) / 1000).alias("v"))
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    names, where = {"A": (1, 0)}, {"A": "v"}
+    got = {r.specimen: (r["count"], list(r.thresholds)) for r in gating.subsample_metadata(rows.mapInPandas(count, rows.schema), names, where, 70).collect()}
+    gates = {r.specimen: [r.gate] for r in gating.gate_bytes(rows, names, where).collect()}
+    assert read.value == 2000 and {s: t for s, (_, t) in got.items()} == gates and sum(n for n, _ in got.values()) == 70
+
+
 def test_leading_bins_and_boxes_of_a_dense_specimen(spark):
     """Bins that lead within two around, as by looking at all; boxes as one by one, of specimens that are done early and of one that is not."""
     from cytofabric.operators import graphs
