@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from functools import cache
@@ -22,6 +23,36 @@ _LATIN = "A-Za-zÀ-ɏ"
 UNIT = re.compile(f"{MARK}*[{_LATIN}]+|{MARK}*[^{MARK}{_LATIN}]+|{MARK}+")
 
 
+class Pairs(Remembered):
+    """last -> {piece: make(last, piece)}, so that a piece's row is looked up once for all that may follow it. At `most` rows and pairs together all go."""
+
+    class Row(dict):
+        def __init__(self, pairs: Pairs, last: str):
+            super().__init__()
+            self.pairs, self.last = pairs, last
+
+        def __missing__(self, piece: str):
+            self.pairs.count()
+            value = self[piece] = self.pairs.make(self.last, piece)
+            return value
+
+    held = 0
+
+    def count(self) -> None:
+        if self.held >= self.most:
+            self.clear()
+        self.held += 1
+
+    def __missing__(self, last: str) -> Pairs.Row:
+        self.count()
+        row = self[last] = Pairs.Row(self, last)
+        return row
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+
 class PieceBPE:
     """The vocabulary of a BPE model with byte fallback and an identity normalizer, and its encoder."""
 
@@ -38,15 +69,20 @@ class PieceBPE:
             raise ValueError("the model needs byte fallback, and no piece that crosses units")
         # a piece that its own text does not merge to can stand in no encoding
         self.reached = {p for p in self.id if len(p) == 1 or self.merge(p) == [p]}
-        self.letters = frozenset(p for p in self.id if len(p) == 1)
+        self.packed = {p: array("i", [i]).tobytes() for p, i in self.id.items()}
         self.find = ahocorasick.Automaton()
         self.shorter: dict[str, str] = {}  # the next shorter piece that a piece begins with
         for p in self.reached:
-            if len(p) > 1:  # each letter is found anyway
-                self.find.add_word(p, (p, len(p) - 1))
+            self.find.add_word(p, len(p))
             self.shorter[p] = next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.reached), "")
         self.find.make_automaton()
-        self.fits = Remembered(lambda pair: self.merge(pair[0] + pair[1]) == [*pair], 100_000)
+        self.span = max(map(len, self.reached), default=1)
+        self.begun: dict[str, str] = {}  # the longest piece that the text at a node of the automaton begins with
+        for p in sorted(self.reached, key=len):
+            for k in range(1, len(p) + 1):
+                self.begun[p[:k]] = p if k == len(p) else self.begun.get(p[:k]) or self.begun.get(p[: k - 1], "")
+        self.edges = Remembered(self.merged_edges, 40_000)
+        self.fits = Pairs(self.may_follow, 200_000)
         self.units = Remembered(self.unit_ids, 200_000)
         self.text = [p if p in self.id else chr(self.value[i]) if i in self.value else " \u2047 " if model.is_unknown(i) else "" for i, p in enumerate(self.pieces)]
         self.high = np.array([self.value.get(i, 0) >= 128 for i in n])
@@ -64,25 +100,62 @@ class PieceBPE:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def merged_edges(self, piece: str) -> list[tuple[float, str, str]]:
+        """(score, first part, last part) of each merge of merge(piece) in turn, with the parts there are after it; at first its letters."""
+        parts, out = list(piece), [(0.0, piece[0], piece[-1])]
+        while len(parts) > 1:
+            score, at = max((self.score.get(a + b, -math.inf), -i) for i, (a, b) in enumerate(pairwise(parts)))
+            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+            out.append((score, parts[0], parts[-1]))
+        return out
+
+    def may_follow(self, last: str, piece: str) -> bool:
+        """merge(last + piece) == [last, piece] of two reached pieces: each merges as it does alone, unless a merge across their border comes first."""
+        left, right = self.edges[last], self.edges[piece]
+        i, j, score = 0, 0, self.score.get
+        while True:
+            across = score(left[i][2] + right[j][1])
+            ours = left[i + 1][0] if i + 1 < len(left) else None
+            theirs = right[j + 1][0] if j + 1 < len(right) else None
+            if across is not None and (ours is None or across > ours) and (theirs is None or across >= theirs):
+                return False
+            if ours is None and theirs is None:
+                return True
+            if theirs is None or ours is not None and ours >= theirs:  # of equal ones the leftmost
+                i += 1
+            else:
+                j += 1
+
     def known_pieces(self, text: str) -> list[str]:
-        """Of a text all of whose characters are pieces."""
+        """Of a text all of whose characters are pieces; raises a KeyError or IndexError where one is not."""
         fits, shorter = self.fits, self.shorter  # may a piece follow another: their text merges to these two again
-        n, longest = len(text), list(text)
-        for end, (p, back) in self.find.iter(text):  # matches by their end, so the last one with a start is its longest
-            longest[end - back] = p
-        failed, out, at, last, p = 0, [], 0, "", longest[0]  # failed: bitfield of positions from which no way goes on
+        walk, begun, span = self.find.longest_prefix, self.begun, self.span
+        n, p = len(text), begun[text[: walk(text[:span])]]
+        failed, out, at = 0, [p], len(p)  # failed: bitfield of positions from which no way goes on
         while at < n:
-            while p and (failed and failed >> (at + len(p)) & 1 or last and not fits[last, p]):
-                p = shorter[p]
-            if p:
-                out.append(p)
-                at, last = at + len(p), p
-                p = longest[at] if at < n else ""
-            else:  # nothing that may follow leads on from here: the piece before gives way to a shorter one
+            ahead = text[at : at + span]
+            p = begun[ahead[: walk(ahead)]]
+            if out:
+                may = fits[out[-1]]
+                if failed:
+                    while p and (failed >> (at + len(p)) & 1 or not may[p]):
+                        p = shorter[p]
+                else:
+                    while p and not may[p]:
+                        p = shorter[p]
+            else:
+                while p and failed >> len(p) & 1:
+                    p = shorter[p]
+            while not p:  # nothing that may follow leads on from here: the piece before gives way to a shorter one
                 failed |= 1 << at
                 p = out.pop()
                 at -= len(p)
-                last = out[-1] if out else ""
+                may = fits[out[-1]] if out else None
+                p = shorter[p]
+                while p and (failed >> (at + len(p)) & 1 or may is not None and not may[p]):
+                    p = shorter[p]
+            out.append(p)
+            at += len(p)
         return out
 
     def unit_pieces(self, unit: str) -> list[str]:
@@ -96,14 +169,14 @@ class PieceBPE:
         return out + (self.known_pieces(unit[at:]) if at < len(unit) else [])
 
     def unit_ids(self, unit: str) -> bytes:
-        if unit in self.reached:
-            return array("i", [self.id[unit]]).tobytes()
-        if self.letters.issuperset(unit):
-            return array("i", map(self.id.__getitem__, self.known_pieces(unit))).tobytes()
-        ids: list[int] = []
-        for p in self.unit_pieces(unit):
-            ids += [self.id[p]] if p in self.id else [self.byte[b] for b in p.encode()]
-        return array("i", ids).tobytes()
+        packed = self.packed
+        try:
+            return b"".join(map(packed.__getitem__, self.known_pieces(unit)))
+        except (KeyError, IndexError):  # of a character outside the vocabulary
+            return b"".join(packed[p] if p in packed else self.bytes_of(p) for p in self.unit_pieces(unit))
+
+    def bytes_of(self, text: str) -> bytes:
+        return array("i", map(self.byte.__getitem__, text.encode())).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers: a space before the text, spaces as marks, no begin or end."""
@@ -164,7 +237,7 @@ def encode(text: Column, model: str | None = None) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         bpe = load(path)
-        only(bpe.units, bpe.fits)
+        only(bpe.units, bpe.fits, bpe.edges)
         parts = [id_lists([bpe.encode(t) for t in part.to_pylist()]) for part in slices(texts)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
