@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from array import array
 from functools import cache
@@ -81,8 +80,7 @@ class PieceBPE:
         for p in sorted(self.reached, key=len):
             for k in range(1, len(p) + 1):
                 self.begun[p[:k]] = p if k == len(p) else self.begun.get(p[:k]) or self.begun.get(p[: k - 1], "")
-        self.edges = Remembered(self.merged_edges, 40_000)
-        self.fits = Pairs(self.may_follow, 200_000)
+        self.fits = Pairs(self.may_follow, 150_000)
         self.units = Remembered(self.unit_ids, 200_000)
         self.text = [p if p in self.id else chr(self.value[i]) if i in self.value else " \u2047 " if model.is_unknown(i) else "" for i, p in enumerate(self.pieces)]
         self.high = np.array([self.value.get(i, 0) >= 128 for i in n])
@@ -100,31 +98,8 @@ class PieceBPE:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def merged_edges(self, piece: str) -> list[tuple[float, str, str]]:
-        """(score, first part, last part) of each merge of merge(piece) in turn, with the parts there are after it; at first its letters."""
-        parts, out = list(piece), [(0.0, piece[0], piece[-1])]
-        while len(parts) > 1:
-            score, at = max((self.score.get(a + b, -math.inf), -i) for i, (a, b) in enumerate(pairwise(parts)))
-            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
-            out.append((score, parts[0], parts[-1]))
-        return out
-
     def may_follow(self, last: str, piece: str) -> bool:
-        """merge(last + piece) == [last, piece] of two reached pieces: each merges as it does alone, unless a merge across their border comes first."""
-        left, right = self.edges[last], self.edges[piece]
-        i, j, score = 0, 0, self.score.get
-        while True:
-            across = score(left[i][2] + right[j][1])
-            ours = left[i + 1][0] if i + 1 < len(left) else None
-            theirs = right[j + 1][0] if j + 1 < len(right) else None
-            if across is not None and (ours is None or across > ours) and (theirs is None or across >= theirs):
-                return False
-            if ours is None and theirs is None:
-                return True
-            if theirs is None or ours is not None and ours >= theirs:  # of equal ones the leftmost
-                i += 1
-            else:
-                j += 1
+        return self.merge(last + piece) == [last, piece]
 
     def known_pieces(self, text: str) -> list[str]:
         """Of a text all of whose characters are pieces; raises a KeyError or IndexError where one is not."""
@@ -237,7 +212,7 @@ def encode(text: Column, model: str | None = None) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         bpe = load(path)
-        only(bpe.units, bpe.fits, bpe.edges)
+        only(bpe.units, bpe.fits)
         parts = [id_lists([bpe.encode(t) for t in part.to_pylist()]) for part in slices(texts)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
