@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ SUB_PARTS = ((12, 4), (1 << 60, 3))
 SLACK, LEAST_BINS, MOST_BINS = 0.15, 128, 1 << 16
 #: Members, and shingles of members, that one side of a comparison of sets inside a task has; times as many where sketches are compared, of a byte or two for each shingle.
 BLOCK, BLOCK_SHINGLES, OF_SKETCHES = 1024, 400_000, 6
+#: Parts, by hash, in which described sets become classes, and signatures find those that share them: only one part at a time is in shuffle files.
+CLASS_PARTS, SIGNATURE_PARTS = 4, 2
 _MANY = 65535  # a full bin of a sketch
 _C1, _C2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -179,8 +181,7 @@ def jaccard_components(docs: DataFrame, words_each: int = 5, percent: int = 80,
     described = docs.select(F.col(id_col).cast("long").alias("id_"), _described(F.col(text_col), words_each, percent).alias("d"))
     described = cut(described.select("id_", "d.n", "d.set_key", "d.sigs", "d.sketch"))
     members = cut(described.select("id_", "n", "set_key"))
-    classes = described.where("n > 0").groupBy("set_key").agg(F.min("id_").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", "sigs", "sketch")))
-    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
+    classes = _classes(described)
     release(described)
     buckets = _buckets(classes)
     known = cut(classes.select("cls", "set_key", "rep", "n", "sketch").join(buckets.select("cls").distinct(), "cls", "left_semi"))
@@ -211,14 +212,30 @@ def jaccard_components(docs: DataFrame, words_each: int = 5, percent: int = 80,
     )
 
 
+def _classes(described: DataFrame) -> DataFrame:
+    """(set_key, rep, n, sigs, sketch, cls): each distinct set that is not empty, with the smallest id that has it."""
+    out = []
+    for i in range(CLASS_PARTS):
+        part = described.where((F.col("n") > 0) & (F.pmod(F.xxhash64("set_key"), F.lit(CLASS_PARTS)) == i))
+        part = part.groupBy("set_key").agg(F.min("id_").alias("rep"), *(F.any_value(c).alias(c) for c in ("n", "sigs", "sketch")))
+        out.append(cut(part.withColumn("cls", F.monotonically_increasing_id() * CLASS_PARTS + i)))
+    return reduce(DataFrame.union, out)
+
+
 def _buckets(classes: DataFrame) -> DataFrame:
     """(sig, cls, n): signatures that several classes have, with these. Counts are pre-aggregated, and a frequent signature's rows
     meet their count by a join, which adaptive execution can split."""
-    sigs = classes.select(F.explode("sigs").alias("sig"), "cls")
-    shared = sigs.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1").select("sig")
-    shared = cut(shared)
-    rows = cut(sigs.join(shared, "sig"))
-    return cut(rows.join(classes.select("cls", F.col("n").cast("int").alias("n")), "cls").select("sig", "cls", "n"))
+    out = []
+    for i in range(SIGNATURE_PARTS):
+        sigs = classes.select(F.explode("sigs").alias("sig"), "cls").where(F.pmod("sig", F.lit(SIGNATURE_PARTS)) == i)
+        shared = sigs.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1").select("sig")
+        shared = cut(shared)
+        out.append(cut(sigs.join(shared, "sig")))
+        release(shared)
+    rows = reduce(DataFrame.union, out)
+    found = cut(rows.join(classes.select("cls", F.col("n").cast("int").alias("n")), "cls").select("sig", "cls", "n"))
+    release(rows)
+    return found
 
 
 def _fit(a: str, b: str, percent: int) -> Column:
