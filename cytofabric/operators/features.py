@@ -100,14 +100,16 @@ def importance_features(scores: DataFrame, most: int) -> tuple[DataFrame, DataFr
 
     Each (plugin, run, version, stratifier) is a feature, with these four as its specifiers in order; its values are the ranks, from 1, of the `most`
     important cells of each specimen: (feature, subject, value). Ties go to the smaller id. Scores that a cell has from overlapping regions count once, the largest.
+    Features get their long names when ranks are known, so rows that are grouped and sorted are short.
     """
+    method = F.lit("gnn importance score")
     keys = ["plugin", "run", "version", "stratifier"]
     named = scores.withColumn("specifiers", F.array(*(F.col(c).cast("string") for c in keys)))
-    named = named.withColumn("feature", feature_hash(F.lit("gnn importance score"), F.array_join("specifiers", "\u001e")))
-    known = specifications(named.select(F.lit("gnn importance score").alias("method"), "specifiers"))
-    best = named.groupBy("feature", "specimen", "structure").agg(F.max("importance").alias("importance"))
-    w = Window.partitionBy("feature", "specimen").orderBy(F.desc("importance"), "structure")
-    return known, best.withColumn("value", F.row_number().over(w)).where(F.col("value") <= most).select("feature", F.col("structure").alias("subject"), "value")
+    known = specifications(named.select(method.alias("method"), "specifiers"))
+    best = named.groupBy(F.array_join("specifiers", "\u001e").alias("joined"), "specimen", "structure").agg(F.max("importance").alias("importance"))
+    w = Window.partitionBy("joined", "specimen").orderBy(F.desc("importance"), "structure")
+    ranked = best.withColumn("value", F.row_number().over(w)).where(F.col("value") <= most)
+    return known, ranked.select(feature_hash(method, F.col("joined")).alias("feature"), F.col("structure").alias("subject"), "value")
 
 
 def outdated(measured: DataFrame, derived: DataFrame) -> DataFrame:
