@@ -153,9 +153,15 @@ def restrict(cells: DataFrame, ids: DataFrame, key: str = "structure") -> DataFr
 
 
 def mismatched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that only one side has: the check that two extracts describe the same cells."""
-    a, b = (d.select(*keys).distinct().withColumn(n, F.lit(1)) for d, n in ((left, "in_left"), (right, "in_right")))
-    return a.join(b, list(keys), "full_outer").where("in_left is null or in_right is null")
+    """Keys that only one side has: the check that two extracts describe the same cells. Keys with a null match none.
+
+    Both sides are grouped at once, so a task holds one table of keys, and no sorted sides of a join.
+    """
+    none = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+    sides = [d.select(*keys, F.when(none, s).alias("side_"), F.when(F.lit(s == 0), 1).alias("in_left"), F.when(F.lit(s == 1), 1).alias("in_right")) for s, d in enumerate((left, right))]
+    dealt = sides[0].union(sides[1]).repartition(*keys)  # keys are all but distinct: grouping them before they move would hold them twice
+    found = dealt.groupBy(*keys, "side_").agg(F.max("in_left").alias("in_left"), F.max("in_right").alias("in_right"))
+    return found.where("in_left is null or in_right is null").drop("side_")
 
 
 def drop_discrete(table: DataFrame, columns: Sequence[str], most: int = 2) -> DataFrame:
