@@ -213,7 +213,7 @@ def encode(text: Column, model: str | None = None) -> Column:
     def ids(texts: pa.Array) -> pa.Array:
         bpe = load(path)
         only(bpe.units, bpe.fits)
-        parts = [id_lists([bpe.encode(t) for t in part.to_pylist()]) for part in slices(texts)]
+        parts = [_encoded(bpe, part) for part in slices(texts)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return ids(text)
@@ -225,20 +225,44 @@ def decode(ids: Column, model: str | None = None) -> Column:
 
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
-        bpe, out = load(path), []
-        for part in slices(lists):
-            flat, at = part.values.to_numpy(zero_copy_only=False), part.offsets.to_numpy()
-            null = part.is_null().to_numpy(zero_copy_only=False)
-            out += ["" if null[i] else bpe.decode(flat[at[i] : at[i + 1]]) for i in range(len(part))]
-        return pa.array(out, pa.string())
+        bpe = load(path)
+        parts = [_decoded(bpe, part) for part in slices(lists)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return texts(ids)
 
 
+def round_trip(text: Column, model: str | None = None) -> Column:
+    """struct(ids, decoded): encode() of a text, and decode() of these ids. Where both are wanted, decode(encode(text)) beside encode(text)
+    would encode each text twice, as Spark hands Python the inner call once for each of them."""
+    path = model or default_model()
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(texts: pa.Array) -> pa.Array:
+        bpe = load(path)
+        only(bpe.units, bpe.fits)
+        parts = []
+        for part in slices(texts):
+            ids = _encoded(bpe, part)
+            parts.append(pa.StructArray.from_arrays([ids, _decoded(bpe, ids)], names=["ids", "decoded"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())]))
+
+    return both(text)
+
+
+def _encoded(bpe: PieceBPE, texts: pa.Array) -> pa.ListArray:
+    return id_lists([bpe.encode(t) for t in texts.to_pylist()])
+
+
+def _decoded(bpe: PieceBPE, lists: pa.ListArray) -> pa.StringArray:
+    flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    null = lists.is_null().to_numpy(zero_copy_only=False)
+    return pa.array(["" if null[i] else bpe.decode(flat[at[i] : at[i + 1]]) for i in range(len(lists))], pa.string())
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id_col, the columns in keep, ids, decoded. Repeated rows and null ids stay; other columns are not read."""
-    ids = docs.select(F.col(id_col), *keep, encode(F.col(text_col), model).alias("ids"))
-    return ids.withColumn("decoded", decode(F.col("ids"), model))
+    return docs.select(F.col(id_col), *keep, round_trip(F.col(text_col), model).alias("trip_")).select(id_col, *keep, "trip_.ids", "trip_.decoded")
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
