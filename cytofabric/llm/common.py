@@ -114,4 +114,9 @@ def alnum_words(text: str | None) -> list[bytes]:
 
 def blank_words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) runs of anything but space, tab, line feed, vertical tab, form feed, carriage return."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return lowered(text).split()
+
+
+def lowered(text: str | None) -> bytes:
+    """The text in UTF-8, A-Z lower-cased; null counts as empty."""
+    return (text or "").encode("utf-8", "surrogatepass").lower()

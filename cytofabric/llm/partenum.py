@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, blank_words, cut, only, release, slices, table
+from .common import cut, lowered, only, release, slices, table
 from .components import connected_components
 
 #: Rounds at least in which the members of a bucket are compared with one of them, before all that is left is; more follow while each settles
@@ -37,21 +38,52 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_hashes = Remembered(lambda word: int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"), 60_000)
+#: Bytes that part words, masks of the lowest bytes of eight, and the bytes of the longest words that are hashed eight bytes at a time.
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_LOWEST, LONG_WORD = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64), 64
+
+
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start, and a 64-bit hash of each: its length and its bytes, eight by eight, so words of eight bytes or fewer and of one length never
+    share one. Of longer words than LONG_WORD a digest. raw: lower-cased, with a blank before and eight after it."""
+    blank = _BLANK[np.frombuffer(raw, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # from each byte on
+    hashes = _mix(_mix(sizes.astype(np.uint64) + _P) ^ (eight[starts] & _LOWEST[np.minimum(sizes, 8)]))
+    done, more = 8, np.flatnonzero((sizes > 8) & (sizes <= LONG_WORD))
+    while len(more):
+        hashes[more] = _mix(hashes[more] ^ (eight[starts[more] + done] & _LOWEST[np.minimum(sizes[more] - done, 8)]))
+        done += 8
+        more = more[sizes[more] > done]
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : starts[i] + sizes[i]], digest_size=8).digest(), "little")
+    return starts, hashes
+
+
+def shingle_sets(texts: list[str | None], words_each: int) -> list[np.ndarray]:
+    """For each text, sorted distinct 64-bit hashes of the runs of words_each words; of fewer words, the whole as one; none if none."""
+    raw = [lowered(t) for t in texts]
+    starts, words = _word_hashes(b"".join([b" ", *(part for r in raw for part in (r, b" ")), bytes(b" " * 7)]))
+    ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw])).tolist()
+    runs, out = _runs(words, words_each), []
+    for a, b in zip([0, *ends], ends, strict=False):
+        found = runs[a : b - words_each + 1] if b - a >= words_each else _runs(words[a:b], b - a) if b > a else words[:0]
+        found = np.sort(found)
+        out.append(found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found)
+    return out
+
+
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of each run of so many words."""
+    out = np.full(max(0, len(words) - size + 1), size, np.uint64)
+    for i in range(size if len(out) else 0):
+        out = out * _P + words[i : len(words) - size + 1 + i]
+    return _mix(out)
 
 
 def shingle_set(text: str | None, words_each: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of words_each words; of fewer words, the whole as one; none if none."""
-    words = blank_words(text)
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
-    size = min(words_each, n)
-    out = np.full(n - size + 1, size, np.uint64)
-    for i in range(size):
-        out = out * _P + h[i : n - size + 1 + i]
-    return np.unique(_mix(out))
+    return shingle_sets([text], words_each)[0]
 
 
 @cache
@@ -70,6 +102,14 @@ def parts_of(k: int) -> tuple[int, int]:
     return k // 2 + 2 + int(SLACK * k), next(n2 for most, n2 in SUB_PARTS if k <= most)
 
 
+@lru_cache(64)
+def _instance(i: int, k: int) -> tuple[int, int, np.uint64, np.ndarray]:
+    """(n1, n2) of a band's instance, its salt, and a number for each of its sub-parts."""
+    n1, n2 = parts_of(k)
+    salt = _mix(np.array([i + 1], np.uint64))[0] | np.uint64(1)
+    return n1, n2, salt, np.arange(n1 * n2, dtype=np.uint64).reshape(n1, n2) * _C1 + salt
+
+
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of which two different sets with 100 |A & B| >= percent |A | B| have one in common at least.
 
@@ -85,21 +125,19 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     starts = band_starts(percent)
-    band = int(np.searchsorted(starts, n, "right")) - 1
+    band = bisect_right(starts, n) - 1
     for i in (band, band - 1):
         k = (starts[i + 1] - 1) * (100 - percent) // percent if i >= 0 else 0
         if k == 0 or (i < band and n * percent > 100 * (starts[band] - 1)):
             continue
-        n1, n2 = parts_of(k)
-        salt = _mix(np.array([i + 1], np.uint64))[0] | np.uint64(1)
-        part = (((shingles * salt) >> np.uint64(33)) % np.uint64(n1 * n2)).astype(np.int64)
+        n1, n2, salt, name = _instance(i, k)
+        part = (((shingles * salt) >> np.uint64(33)) % np.uint64(n1 * n2)).astype(np.uint16 if n1 * n2 <= 1 << 16 else np.int64)  # short ones are sorted faster
         sizes, order = np.bincount(part, minlength=n1 * n2), np.argsort(part, kind="stable")
         ends, sums = np.cumsum(sizes), np.concatenate([[np.uint64(0)], np.cumsum(_mix(shingles[order] ^ salt))])
         hashed, sizes = (sums[ends] - sums[ends - sizes]).reshape(n1, n2), sizes.reshape(n1, n2)
         kept, weight = hashed.sum(1)[:, None] - hashed, sizes.sum(1)[:, None] - sizes  # of all sub-parts but one
         c = np.partition(weight.min(1), n1 - k // 2 - 1)[n1 - k // 2 - 1]
-        name = np.arange(n1 * n2, dtype=np.uint64).reshape(n1, n2)
-        out.append(_mix((kept * _P + name * _C1 + salt)[weight >= c]))
+        out.append(_mix((kept * _P + name)[weight >= c]))
     return np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
@@ -137,10 +175,10 @@ _DESCRIBED = pa.struct([("n", pa.int64()), ("set_key", pa.binary()), ("sigs", pa
 def _described(text: Column, words_each: int, percent: int) -> Column:
     @F.arrow_udf("struct<n:bigint,set_key:binary,sigs:array<bigint>,sketch:binary>")
     def describe(texts: pa.Array) -> pa.Array:
-        only(_hashes)
+        only()
         parts = []
-        for part in slices(texts):
-            sets = [shingle_set(t, words_each) for t in part.to_pylist()]
+        for part in slices(texts, 500, 4 << 20):
+            sets = shingle_sets(part.to_pylist(), words_each)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             columns = [pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), _lists([signatures(s, percent) for s in sets]), pa.array(map(sketch, sets), pa.binary())]
             parts.append(pa.StructArray.from_arrays(columns, fields=list(_DESCRIBED)))
@@ -154,10 +192,10 @@ def _sets(text: Column, words_each: int) -> Column:
 
     @F.arrow_udf("struct<set_key:binary,set:array<bigint>>")
     def sets(texts: pa.Array) -> pa.Array:
-        only(_hashes)
+        only()
         parts = []
-        for part in slices(texts):
-            found = [shingle_set(t, words_each) for t in part.to_pylist()]
+        for part in slices(texts, 500, 4 << 20):
+            found = shingle_sets(part.to_pylist(), words_each)
             keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary())
             parts.append(pa.StructArray.from_arrays([keys, _lists(found)], names=["set_key", "set"]))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("set_key", pa.binary()), ("set", pa.list_(pa.int64()))]))
