@@ -16,8 +16,8 @@ from .neighbors import nearest, radius_pairs, stored, unordered_pairs
 from .populations import Signature, matches
 
 
-#: Simulations of a row, and cells that meet a specimen's simulations in one task.
-TURNS, SHARE = 25, 8192
+#: Simulations taken at once, and cells of a specimen that meet its simulations in one group.
+TURNS, SHARE = 50, 8192
 
 
 def integer_positions(cells: DataFrame) -> DataFrame:
@@ -251,9 +251,23 @@ def _autocorrelated(x: DataFrame) -> DataFrame:
     return x.withColumns({"n": n.cast("long"), "p": F.when(cut > 0, cut)})
 
 
+def _inside(p: np.ndarray) -> np.ndarray:
+    """Whether each point lies well within the polygon of those that are farthest in sixteen directions, so that it is no corner of the hull."""
+    turn = np.arange(16) * (math.pi / 8)
+    far = (np.outer(np.cos(turn), p[:, 0]) + np.outer(np.sin(turn), p[:, 1])).argmax(1)
+    a = p[far[far != np.roll(far, 1)]]
+    if len(a) < 3:
+        return np.zeros(len(p), bool)
+    e = np.roll(a, -1, axis=0) - a
+    left = e[:, :1] * (p[:, 1] - a[:, 1:]) - e[:, 1:] * (p[:, 0] - a[:, :1])
+    return (left > 1e-9 * np.ptp(p, axis=0).max() ** 2).all(0)
+
+
 def _hull(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull, in order (monotone chain)."""
     p = np.unique(points, axis=0)
+    if len(p) > 64:
+        p = p[~_inside(p)]
     if len(p) < 3:
         return p
 
@@ -294,10 +308,67 @@ def ripley_f(cells: DataFrame, label: int | None = None, steps: int = 100, simul
     `points` uniform points of the hull, of which only the nearest to each of the same random points counts. The summary is
     sum(p * distance) / sum(p), to one decimal. label None: the smallest that the specimen has. Null without two cells of the label or an area.
 
-    The cells meet the random points in grid bins, so a specimen of any size spreads; TURNS simulations are a row,
-    which holds two fixed numbers of points. Seeded by specimen and simulation.
+    A specimen of SHARE cells at most is one group, which does all; the cells of larger ones meet the random points in grid bins, so a specimen of any size
+    spreads, and TURNS simulations are a row, which holds two fixed numbers of points. Seeded by specimen and simulation.
     """
-    cells = stored(cells.select("specimen", "structure", "x", "y", "label"))
+    cells, few, some = _by_size(cells)
+    found = _ripley_few(few, some, "F", label, steps, simulations, points, seed).select("specimen", "area", "hit")
+    found = found if cells is None else found.union(_f_of_many(cells, label, steps, simulations, points, seed))
+    lower = found.select("specimen", "area", F.posexplode("hit").alias("at", "hits"))
+    p, distance = (1 + F.col("hits")) / (simulations + 1), F.col("at") * F.sqrt(F.col("area") / 2) / 4 / (steps - 1)
+    summary = lower.groupBy("specimen").agg(F.round(F.sum(p * distance) / F.sum(p), 1).alias("radius"))
+    return found.select("specimen", "area").join(summary, "specimen", "left").select("specimen", "radius", "area")
+
+
+def _by_size(cells: DataFrame) -> tuple[DataFrame | None, DataFrame, int]:
+    """(cells of specimens of more than SHARE cells, or None; the other cells; the other specimens' number), of specimen, structure, x, y, label. Structures are numbered
+    anew: what is asked of them is only that they differ."""
+    cells = stored(cells.where("specimen is not null").select("specimen", F.monotonically_increasing_id().alias("structure"), "x", "y", "label"))
+    sizes = stored(cells.groupBy("specimen").agg((F.count("*") > SHARE).alias("many")))
+    some, many = sizes.where("not many").count(), sizes.where("many").select("specimen")
+    if not many.limit(1).count():
+        return None, cells, some
+    return stored(cells.join(many, "specimen", "left_semi")), cells.join(many, "specimen", "left_anti"), some
+
+
+def _ripley_few(cells: DataFrame, n: int, mode: str, label: int | None, steps: int, simulations: int, points: int, seed: int) -> DataFrame:
+    """(specimen, area, observed, hit): of each of n specimens, a group each, the observed curve of Ripley's F and at each of its distances the number of simulated
+    patterns with a lower one. Both are null without an area or enough cells."""
+
+    def observed(at: np.ndarray, mine: np.ndarray, other: np.ndarray, asked: np.ndarray, area: float, edges: np.ndarray) -> np.ndarray:
+        if mode == "F":
+            return _f_curve(_to_nearest(asked, at[mine], 2 * math.sqrt(area / mine.sum()), 2), edges)
+        raise ValueError(f"no mode {mode!r}")
+
+    def whole(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        at, labels = group[["x", "y"]].to_numpy(float), group["label"]
+        hull = _hull(at)
+        area, mine = _area(hull), (labels == (labels.min() if label is None else label)).to_numpy(bool)
+        other, curve, hit = ~(mine | labels.isna().to_numpy()), None, None
+        if area > 0 and mine.sum() > 1 and (mode != "G" or mine.sum() < len(at)):
+            edges = np.linspace(0, math.sqrt(area / 2) / 4, steps)
+            asked = _uniform(hull, points, [seed, int(key[0])]) if mode == "F" else at
+            curve = observed(at, mine, other, asked, area, edges)
+            hit = _lower(mode, int(key[0]), hull, area, asked, len(at), curve, range(simulations), points, seed).tolist()
+            curve = [None if math.isnan(v) else v for v in curve.tolist()]
+        return pd.DataFrame({"specimen": [key[0]], "area": [area], "observed": [curve], "hit": [hit]})
+
+    rows = _spread(cells.select("specimen", "x", "y", "label"), n, "specimen")
+    return stored(rows.groupBy("specimen").applyInPandas(whole, "specimen long, area double, observed array<double>, hit array<int>"))
+
+
+def _lower(mode: str, specimen: int, hull: np.ndarray, area: float, at: np.ndarray, n: int, curve: np.ndarray, turns: range, points: int, seed: int) -> np.ndarray:
+    """At each distance of a curve of Ripley's F the number of a specimen's simulated patterns, of these turns, with a lower one."""
+    grid, reach, hits = _Grid.of(hull, area, points), math.sqrt(area / 2) / 4, np.zeros(len(curve), int)
+    at_once = max(1, min(TURNS, (1 << 16) // max(points, len(at))))
+    for first in range(turns.start, turns.stop, at_once):
+        x, y = _uniform_each(hull, points, [[seed, specimen, t + 1] for t in range(first, min(first + at_once, turns.stop))])
+        hits += _lower_shares(at, x, y, area, grid, np.linspace(0, reach, len(curve)), curve)
+    return hits
+
+
+def _f_of_many(cells: DataFrame, label: int | None, steps: int, simulations: int, points: int, seed: int) -> DataFrame:
+    """(specimen, area, hit) as _ripley_few() has it for F, of specimens of any size."""
     own = cells.where(F.col("label") == label) if label is not None else cells.join(cells.groupBy("specimen").agg(F.min("label").alias("least")), "specimen").where("label = least")
     own = stored(own.select("specimen", "structure", "x", "y"))
 
@@ -322,22 +393,15 @@ def ripley_f(cells: DataFrame, label: int | None = None, steps: int = 100, simul
     def below(specimen: pd.Series, hull: pd.Series, area: pd.Series, observed: pd.Series, first: pd.Series) -> pd.Series:
         out = []
         for s, h, a, own, at in zip(specimen, hull, area, observed, first, strict=True):
-            h, bins, hits = np.reshape(h, (-1, 2)), np.linspace(0, math.sqrt(a / 2) / 4, steps), np.zeros(steps, int)
-            asked = _uniform(h, points, [seed, int(s)])
-            for t in range(int(at), min(int(at) + TURNS, simulations)):
-                pattern = _uniform(h, points, [seed, int(s), t + 1])
-                hits += _f_curve(_to_nearest(asked, pattern, 1.5 * math.sqrt(a / points)), bins) < own
-            out.append(hits.tolist())
+            h = np.reshape(h, (-1, 2))
+            out.append(_lower("F", int(s), h, a, _uniform(h, points, [seed, int(s)]), 0, own, range(int(at), min(int(at) + TURNS, simulations)), points, seed).tolist())
         return pd.Series(out)
 
     used = stored(used.join(distances, "specimen").select("specimen", "hull", "area", curve("area", "d").alias("observed")))
     rows = used.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1), F.lit(TURNS))))
     rows = _spread(rows, used.count() * -(-simulations // TURNS), "specimen", "first")
     hits = rows.select("specimen", "area", below("specimen", "hull", "area", "observed", "first").alias("hit")).groupBy("specimen", "area").agg(_sums("hit", steps).alias("hit"))
-    lower = hits.select("specimen", "area", F.posexplode("hit").alias("at", "hits"))
-    p, distance = (1 + F.col("hits")) / (simulations + 1), F.col("at") * F.sqrt(F.col("area") / 2) / 4 / (steps - 1)
-    summary = lower.groupBy("specimen").agg(F.round(F.sum(p * distance) / F.sum(p), 1).alias("radius"))
-    return hulls.select("specimen", "area").join(summary, "specimen", "left").select("specimen", "radius", "area")
+    return stored(hulls.select("specimen", "area").join(hits.drop("area"), "specimen", "left"))
 
 
 def pair_distance_counts(cells: DataFrame, width: float | str, bins: int) -> DataFrame:
@@ -476,19 +540,124 @@ def _pairs_by_distance(pattern: np.ndarray, reach: float, bins: int) -> np.ndarr
     return total
 
 
-def _to_nearest(at: np.ndarray, pattern: np.ndarray, reach: float) -> np.ndarray:
-    """The distance of each point to the nearest of the pattern. Points that stand close in x meet the part of the pattern within `reach` in x of them; those
-    with none so near meet the whole."""
+def _to_nearest(at: np.ndarray, pattern: np.ndarray, reach: float, k: int = 1) -> np.ndarray:
+    """The distance of each point to the nearest of the pattern (k > 1: to the k nearest, a column each, infinite where there are fewer). Points that stand close in x
+    meet the part of the pattern within `reach` in x of them; those with fewer than k so near meet the whole."""
     order, pattern = np.argsort(at[:, 0], kind="stable"), pattern[np.argsort(pattern[:, 0], kind="stable")]
-    out = np.full(len(at), np.inf)
+    out = np.full((len(at), k), np.inf)
+
+    def least(part: np.ndarray, among: np.ndarray) -> np.ndarray:
+        d2 = _squares_between(at[part], among)
+        if k == 1:
+            return d2.min(1, keepdims=True)
+        n = min(k, len(among))
+        return np.pad(np.partition(d2, n - 1, axis=1)[:, :n], ((0, 0), (0, k - n)), constant_values=np.inf)
+
     for part in np.array_split(order, max(1, len(at) // 64)):
         low, high = np.searchsorted(pattern[:, 0], [at[part[0], 0] - reach, at[part[-1], 0] + reach])
         if high > low:
-            out[part] = _squares_between(at[part], pattern[low:high]).min(1)
-    for part in np.array_split(far := np.flatnonzero(out > reach * reach), max(1, len(far) // 64)):
+            out[part] = least(part, pattern[low:high])
+    far = np.flatnonzero(out.max(1) > reach * reach)
+    for part in np.array_split(far, max(1, len(far) // 64)):
         if len(part):
-            out[part] = _squares_between(at[part], pattern).min(1)
-    return np.sqrt(out)
+            out[part] = least(part, pattern)
+    return np.sqrt(out[:, 0] if k == 1 else out)
+
+
+#: Squares of a grid in either direction at most, so that a byte numbers them all, and points that a square of the grid has on the mean.
+ACROSS, WITHIN = 15, 9
+
+
+class _Grid(NamedTuple):
+    """Squares of a frame, of WITHIN of the frame's points each if these are spread over its area."""
+
+    low: np.ndarray
+    side: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, hull: np.ndarray, area: float, points: int) -> _Grid:
+        low, extent = hull.min(0), np.ptp(hull, axis=0)
+        count = np.clip(extent / math.sqrt(area * WITHIN / points), 1, ACROSS).astype(int)
+        return cls(low, extent / count, count)
+
+    def square(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        i, j = (np.clip(((v - self.low[c]) / self.side[c]).astype(np.int16), 0, self.count[c] - 1) for c, v in enumerate((x, y)))
+        return (i * np.int16(self.count[1]) + j).astype(np.uint8)  # sorted by counting
+
+
+def _near_some(at: np.ndarray, x: np.ndarray, y: np.ndarray, grid: _Grid) -> np.ndarray:
+    """For each pattern, a row of x and of y, the distance of each point to the nearest of the pattern's in its own square: no less than to the nearest of all. Infinite
+    where there is none."""
+    turns, (kinds, own) = len(x), np.unique(grid.square(at[:, 0], at[:, 1]), return_inverse=True)
+    known = np.full(grid.count.prod(), len(kinds), np.uint8)  # squares without any of `at` come last
+    known[kinds] = np.arange(len(kinds))
+    square = known[grid.square(x, y)]
+    first = np.arange(0, x.size, x.shape[1])[:, None]
+    order = (np.argsort(square, axis=1, kind="stable") + first).ravel()
+    square, turn = square.ravel()[order], np.repeat(np.arange(turns), x.shape[1])
+    count = np.bincount(square + turn * (len(kinds) + 1), minlength=turns * (len(kinds) + 1)).reshape(turns, -1)
+    depth = count.max(0)
+    ends, base = np.cumsum(count, axis=1), np.cumsum(depth) - depth
+    to = ((base - ends + count - first)[turn, square] + np.arange(x.size)) * turns + turn
+    px, py = (np.full(int(depth.sum()) * turns, np.inf) for _ in "xy")
+    px[to], py[to] = x.ravel()[order], y.ravel()[order]
+    px, py = px.reshape(-1, 1, turns), py.reshape(-1, 1, turns)
+    out = np.full((len(at), turns), np.inf)
+    for b, n, mine in zip(base, depth, np.split(np.argsort(own, kind="stable"), np.cumsum(np.bincount(own))[:-1])):
+        step = max(1, (1 << 16) // max(1, int(n) * turns))
+        for part in (mine[i : i + step] for i in range(0, len(mine) if n else 0, step)):
+            d, dy = px[b : b + n] - at[part, :1], py[b : b + n] - at[part, 1:]
+            d *= d
+            dy *= dy
+            d += dy
+            out[part] = d.min(0)
+    return np.sqrt(out).T
+
+
+def _bins(d: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The bin of each distance as np.histogram() has it, whose last is closed; the number of bins for those beyond. edges are equally wide, from 0."""
+    n = len(edges) - 1
+    at = np.minimum(d * (n / edges[-1]), n).astype(int)  # at most one off
+    at -= d < edges[at]
+    at += (at < n) & (d >= edges[np.minimum(at + 1, n)])
+    return at - (d == edges[n])
+
+
+def _lower_shares(at: np.ndarray, x: np.ndarray, y: np.ndarray, area: float, grid: _Grid, edges: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """At each edge the number of patterns (rows of x and y) for which _f_curve() of the distances from `at` to their nearest point is lower than `own`.
+
+    Distances to the nearest point of the same square are upper bounds, which give least shares. Where such a share is not lower than own, the share is not
+    either; from the first other edge on, the distances that are not surely below it are found as they are.
+    """
+    above, bins = _near_some(at, x, y, grid), len(edges) - 1
+    bin_ = _bins(above, edges)
+    rows = np.arange(len(x))[:, None] * len(edges)
+    counts = np.bincount((bin_ + rows).ravel(), minlength=len(x) * len(edges)).reshape(len(x), -1)
+    below = lambda c: np.pad(np.cumsum(c[:, :bins], axis=1), ((0, 0), (1, 0)))
+    unsure = below(counts) / len(at) < own
+    unsure[:, -1] = False  # all of the distances within the edges: 1
+    some = np.flatnonzero(unsure.any(1))
+    if not len(some):
+        return np.zeros(len(edges), int)
+    first, near = unsure[some].argmax(1), 1.5 * math.sqrt(area / x.shape[1])
+    turn, point = np.nonzero(bin_[some] >= first[:, None])
+    exact, few = np.empty(len(turn)), np.bincount(turn, minlength=len(some)) < 32
+    for t in np.flatnonzero(~few):
+        exact[turn == t] = _to_nearest(at[point[turn == t]], np.stack([x[some[t]], y[some[t]]], 1), near)
+    for part in np.array_split(few_ := np.flatnonzero(few[turn]), len(few_) // 64 + 1):
+        d, dy = x[some[turn[part]]] - at[point[part], :1], y[some[turn[part]]] - at[point[part], 1:]
+        d *= d
+        dy *= dy
+        d += dy
+        exact[part] = np.sqrt(d.min(1))
+    c = counts[some]
+    np.subtract.at(c, (turn, bin_[some[turn], point]), 1)
+    np.add.at(c, (turn, _bins(exact, edges)), 1)
+    c = below(c)
+    with np.errstate(invalid="ignore"):
+        lower = c / c[:, -1:] < own
+    return (lower & (np.arange(len(edges)) >= first[:, None])).sum(0)
 
 
 def _area(h: np.ndarray) -> float:
@@ -498,13 +667,32 @@ def _area(h: np.ndarray) -> float:
 
 def _uniform(h: np.ndarray, n: int, seed: list[int]) -> np.ndarray:
     """n uniform points of a convex polygon: of a triangle of its fan in proportion to area, then within it."""
-    rng = np.random.default_rng([abs(v) for v in seed])
+    return np.stack([v[0] for v in _uniform_each(h, n, [seed])], 1)
+
+
+def _uniform_each(h: np.ndarray, n: int, seeds: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """x and y of _uniform() for each seed, a row each."""
     one, two = h[1:-1] - h[0], h[2:] - h[0]
     size = np.abs(one[:, 0] * two[:, 1] - one[:, 1] * two[:, 0])
-    t = rng.choice(len(size), n, p=size / size.sum())
-    u = rng.random((n, 2))
-    u = np.where(u.sum(1, keepdims=True) > 1, 1 - u, u)
-    return h[0] + one[t] * u[:, :1] + two[t] * u[:, 1:]
+    upto = np.cumsum(size / size.sum())
+    upto /= upto[-1]
+    drawn = np.empty((len(seeds), 3 * n))
+    for seed, row in zip(seeds, drawn, strict=True):
+        np.random.default_rng([abs(v) for v in seed]).random(out=row)
+    t = upto.searchsorted(drawn[:, :n], side="right")
+    u, v = drawn[:, n::2].copy(), drawn[:, n + 1 :: 2].copy()
+    turned = u + v > 1
+    for w in (u, v):
+        np.subtract(1, w, out=w, where=turned)
+    out = []
+    for at, a, b in zip(h[0], one.T, two.T, strict=True):
+        to, add = a.take(t), b.take(t)
+        to *= u
+        to += at
+        add *= v
+        to += add
+        out.append(to)
+    return tuple(out)
 
 
 def _f_curve(distances: np.ndarray, bins: np.ndarray) -> np.ndarray:
