@@ -332,12 +332,19 @@ def _by_size(cells: DataFrame) -> tuple[DataFrame | None, DataFrame, int]:
 
 
 def _ripley_few(cells: DataFrame, n: int, mode: str, label: int | None, steps: int, simulations: int, points: int, seed: int) -> DataFrame:
-    """(specimen, area, observed, hit): of each of n specimens, a group each, the observed curve of Ripley's F and at each of its distances the number of simulated
+    """(specimen, area, observed, hit): of each of n specimens, a group each, the observed curve of Ripley's F or G and at each of its distances the number of simulated
     patterns with a lower one. Both are null without an area or enough cells."""
 
     def observed(at: np.ndarray, mine: np.ndarray, other: np.ndarray, asked: np.ndarray, area: float, edges: np.ndarray) -> np.ndarray:
         if mode == "F":
             return _f_curve(_to_nearest(asked, at[mine], 2 * math.sqrt(area / mine.sum()), 2), edges)
+        bins, width = steps - 1, math.sqrt(area / 2) / 4 / (steps - 1)
+        if mode == "G":
+            d = _to_nearest(at[other], at[mine], 2 * math.sqrt(area / mine.sum()), 2) if other.any() else np.zeros((0, 2))
+            bin_ = np.floor(d / width)
+            bin_[(bin_ == bins) & (d <= width * bins)] = bins - 1  # the last bin is closed
+            below = np.cumsum(np.bincount(bin_[bin_ < bins].astype(int), minlength=bins))
+            return np.concatenate([[0], below]) / (below[-1] or math.nan)
         raise ValueError(f"no mode {mode!r}")
 
     def whole(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -358,7 +365,7 @@ def _ripley_few(cells: DataFrame, n: int, mode: str, label: int | None, steps: i
 
 
 def _lower(mode: str, specimen: int, hull: np.ndarray, area: float, at: np.ndarray, n: int, curve: np.ndarray, turns: range, points: int, seed: int) -> np.ndarray:
-    """At each distance of a curve of Ripley's F the number of a specimen's simulated patterns, of these turns, with a lower one."""
+    """At each distance of a curve of Ripley's F or G the number of a specimen's simulated patterns, of these turns, with a lower one."""
     grid, reach, hits = _Grid.of(hull, area, points), math.sqrt(area / 2) / 4, np.zeros(len(curve), int)
     at_once = max(1, min(TURNS, (1 << 16) // max(points, len(at))))
     for first in range(turns.start, turns.stop, at_once):
@@ -423,12 +430,23 @@ def ripley_gl(cells: DataFrame, mode: str, label: int | None = None, steps: int
     distances are those of all cells to its nearest point, for L those among its points. p: as in ripley_f(). label None: the smallest that the specimen has.
     Specimens without an area, two cells of the label or (G) another cell give no rows.
 
-    Observed distances come from the joins of the neighbour search and of pairs; only counts by distance travel. Simulations are dealt to tasks by specimen and
-    TURNS turns (L) or by SHARE cells at most (G), whose counts are added up; they meet the observed curve as arrays, one for each turn (G) or TURNS turns (L).
+    For G a specimen of SHARE cells at most is one group, which does all. Of larger ones (L: of all) the observed distances come from the joins of the neighbour search and of pairs; only
+    counts by distance travel. Their simulations are dealt to tasks by specimen and TURNS turns (L) or by SHARE cells at most (G), whose counts are added up; they meet
+    the observed curve as arrays, one for each turn (G) or TURNS turns (L).
     """
     if mode not in ("G", "L"):
         raise ValueError(f"no mode {mode!r}")
-    cells = stored(cells.select("specimen", "structure", "x", "y", "label"))
+    if mode == "L":
+        return _gl_of_many(stored(cells.select("specimen", "structure", "x", "y", "label")), mode, label, steps, simulations, points, seed)
+    cells, few, some = _by_size(cells)
+    found = _ripley_few(few, some, mode, label, steps, simulations, points, seed).select("specimen", "area", F.posexplode(F.arrays_zip("observed", "hit")).alias("at", "e"))
+    width = F.sqrt(F.col("area") / 2) / 4 / (steps - 1)
+    found = found.select("specimen", "at", (F.col("at") * width).alias("distance"), "e.observed", ((1 + F.col("e.hit")) / (simulations + 1)).alias("p"))
+    return found if cells is None else found.union(_gl_of_many(cells, mode, label, steps, simulations, points, seed))
+
+
+def _gl_of_many(cells: DataFrame, mode: str, label: int | None, steps: int, simulations: int, points: int, seed: int) -> DataFrame:
+    """ripley_gl() of specimens of any size."""
     least = cells.groupBy("specimen").agg(F.min("label").alias("least"), F.count("*").alias("n"))
     marked = stored(cells.join(least, "specimen").select("specimen", "structure", "x", "y", (F.col("label") == (F.lit(label) if label is not None else F.col("least"))).alias("own"), "n"))
 

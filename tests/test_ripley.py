@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from cytofabric.operators import spatial
 
@@ -60,3 +61,33 @@ def test_corners_of_a_hull_are_those_of_all_points(monkeypatch):
     got = [spatial._hull(p.astype(float)) for p in shapes]
     monkeypatch.setattr(spatial, "_inside", lambda p: np.zeros(len(p), bool))
     assert all(np.array_equal(g, spatial._hull(p.astype(float))) for g, p in zip(got, shapes, strict=True))
+
+
+@pytest.mark.parametrize("mode", ["G"])
+def test_ripley_curves_of_small_specimens_need_no_join(spark, monkeypatch, mode):
+    df = _specimens(spark)
+    for label in (None, 2):
+        rows = lambda: {(r.specimen, r.at): (r.distance, r.observed, r.p) for r in spatial.ripley_gl(df, mode, label, simulations=9, points=150).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(spatial, "SHARE", 100)
+            want = rows()
+        with monkeypatch.context() as m:
+            m.setattr(spatial, "nearest", _joined)
+            m.setattr(spatial, "pair_distance_counts", _joined)
+            got = rows()
+        assert got.keys() == want.keys() and {s for s, _ in got} == ({1, 2, 3, 5} if (mode, label) == ("G", 2) or (mode, label) == ("L", 2) else {1, 2, 3})
+        for k, (distance, observed, p) in want.items():
+            assert got[k][0] == pytest.approx(distance, abs=1e-9) and got[k][1] == (observed if observed is None else pytest.approx(observed, abs=1e-12)) and got[k][2] == pytest.approx(p, abs=1e-12)
+
+
+def test_g_of_simulations_is_compared_as_far_as_it_is_unsure(monkeypatch):
+    plain, met = spatial._squares_between, []
+    monkeypatch.setattr(spatial, "_squares_between", lambda a, b: met.append(len(a) * len(b)) or plain(a, b))
+    for at, hull, patterns, area in _patterns():
+        edges = np.linspace(0, math.sqrt(area / 2) / 4, 100)
+        far = lambda a, b, k: np.sort(np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)), axis=1)[:, :k].ravel()
+        own = spatial._f_curve(far(at[::2], at[1::2], 2), edges)
+        want = sum((spatial._f_curve(far(at, p, 1), edges) < own).astype(int) for p in patterns)
+        met.clear()
+        assert (spatial._lower("G", 5, hull, area, at, len(at), own, range(12), 1000, 0) == want).all()
+        assert len(at) != 120 or sum(met) < 0.01 * 12 * 120 * 1000
