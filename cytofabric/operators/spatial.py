@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -332,7 +332,7 @@ def _by_size(cells: DataFrame) -> tuple[DataFrame | None, DataFrame, int]:
 
 
 def _ripley_few(cells: DataFrame, n: int, mode: str, label: int | None, steps: int, simulations: int, points: int, seed: int) -> DataFrame:
-    """(specimen, area, observed, hit): of each of n specimens, a group each, the observed curve of Ripley's F or G and at each of its distances the number of simulated
+    """(specimen, area, observed, hit): of each of n specimens, a group each, the observed curve of Ripley's F, G or L and at each of its distances the number of simulated
     patterns with a lower one. Both are null without an area or enough cells."""
 
     def observed(at: np.ndarray, mine: np.ndarray, other: np.ndarray, asked: np.ndarray, area: float, edges: np.ndarray) -> np.ndarray:
@@ -345,7 +345,11 @@ def _ripley_few(cells: DataFrame, n: int, mode: str, label: int | None, steps: i
             bin_[(bin_ == bins) & (d <= width * bins)] = bins - 1  # the last bin is closed
             below = np.cumsum(np.bincount(bin_[bin_ < bins].astype(int), minlength=bins))
             return np.concatenate([[0], below]) / (below[-1] or math.nan)
-        raise ValueError(f"no mode {mode!r}")
+        counts = np.zeros(bins, int)
+        for d2 in _pairs_within(at[mine], width * bins):
+            bin_ = np.floor(np.sqrt(d2) / width)
+            counts += np.bincount(bin_[bin_ < bins].astype(int), minlength=bins)
+        return _levels(np.concatenate([[0], np.cumsum(counts)]), len(at), area)
 
     def whole(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         at, labels = group[["x", "y"]].to_numpy(float), group["label"]
@@ -354,7 +358,7 @@ def _ripley_few(cells: DataFrame, n: int, mode: str, label: int | None, steps: i
         other, curve, hit = ~(mine | labels.isna().to_numpy()), None, None
         if area > 0 and mine.sum() > 1 and (mode != "G" or mine.sum() < len(at)):
             edges = np.linspace(0, math.sqrt(area / 2) / 4, steps)
-            asked = _uniform(hull, points, [seed, int(key[0])]) if mode == "F" else at
+            asked = {"F": lambda: _uniform(hull, points, [seed, int(key[0])]), "G": lambda: at, "L": lambda: at[:0]}[mode]()
             curve = observed(at, mine, other, asked, area, edges)
             hit = _lower(mode, int(key[0]), hull, area, asked, len(at), curve, range(simulations), points, seed).tolist()
             curve = [None if math.isnan(v) else v for v in curve.tolist()]
@@ -365,15 +369,23 @@ def _ripley_few(cells: DataFrame, n: int, mode: str, label: int | None, steps: i
 
 
 def _lower(mode: str, specimen: int, hull: np.ndarray, area: float, at: np.ndarray, n: int, curve: np.ndarray, turns: range, points: int, seed: int) -> np.ndarray:
-    """At each distance of a curve of Ripley's F or G the number of a specimen's simulated patterns, of these turns, with a lower one."""
+    """At each distance of a curve of Ripley's F, G or L the number of a specimen's simulated patterns, of these turns, with a lower one."""
     grid, reach, hits = _Grid.of(hull, area, points), math.sqrt(area / 2) / 4, np.zeros(len(curve), int)
     at_once = max(1, min(TURNS, (1 << 16) // max(points, len(at))))
     for first in range(turns.start, turns.stop, at_once):
         x, y = _uniform_each(hull, points, [[seed, specimen, t + 1] for t in range(first, min(first + at_once, turns.stop))])
-        hits += _lower_shares(at, x, y, area, grid, np.linspace(0, reach, len(curve)), curve)
+        if mode == "L":
+            hits += _lower_levels(x, y, grid, reach, len(curve) - 1, lambda pairs: _levels(pairs, n, area), curve)
+        else:
+            hits += _lower_shares(at, x, y, area, grid, np.linspace(0, reach, len(curve)), curve)
     return hits
 
 
+def _levels(pairs: np.ndarray, n: int, area: float) -> np.ndarray:
+    """Ripley's L of pairs by distance in a specimen of n cells."""
+    return np.sqrt(2 * pairs / n / n * area / math.pi)
+
+
 def _f_of_many(cells: DataFrame, label: int | None, steps: int, simulations: int, points: int, seed: int) -> DataFrame:
     """(specimen, area, hit) as _ripley_few() has it for F, of specimens of any size."""
     own = cells.where(F.col("label") == label) if label is not None else cells.join(cells.groupBy("specimen").agg(F.min("label").alias("least")), "specimen").where("label = least")
@@ -430,14 +442,12 @@ def ripley_gl(cells: DataFrame, mode: str, label: int | None = None, steps: int
     distances are those of all cells to its nearest point, for L those among its points. p: as in ripley_f(). label None: the smallest that the specimen has.
     Specimens without an area, two cells of the label or (G) another cell give no rows.
 
-    For G a specimen of SHARE cells at most is one group, which does all. Of larger ones (L: of all) the observed distances come from the joins of the neighbour search and of pairs; only
+    A specimen of SHARE cells at most is one group, which does all. Of larger ones the observed distances come from the joins of the neighbour search and of pairs; only
     counts by distance travel. Their simulations are dealt to tasks by specimen and TURNS turns (L) or by SHARE cells at most (G), whose counts are added up; they meet
     the observed curve as arrays, one for each turn (G) or TURNS turns (L).
     """
     if mode not in ("G", "L"):
         raise ValueError(f"no mode {mode!r}")
-    if mode == "L":
-        return _gl_of_many(stored(cells.select("specimen", "structure", "x", "y", "label")), mode, label, steps, simulations, points, seed)
     cells, few, some = _by_size(cells)
     found = _ripley_few(few, some, mode, label, steps, simulations, points, seed).select("specimen", "area", F.posexplode(F.arrays_zip("observed", "hit")).alias("at", "e"))
     width = F.sqrt(F.col("area") / 2) / 4 / (steps - 1)
@@ -480,11 +490,8 @@ def _gl_of_many(cells: DataFrame, mode: str, label: int | None, steps: int, simu
     def among(specimen: pd.Series, hull: pd.Series, n: pd.Series, area: pd.Series, observed: pd.Series, first: pd.Series) -> pd.Series:
         out = []
         for s, h, m, a, own, at in zip(specimen, hull, n, area, observed, first, strict=True):
-            h, reach, hits = np.reshape(h, (-1, 2)), math.sqrt(a / 2) / 4, np.zeros(steps, int)
-            for t in range(int(at), min(int(at) + TURNS, simulations)):
-                pairs = _pairs_by_distance(_uniform(h, points, [seed, int(s), t + 1]), reach, bins)
-                hits += np.sqrt(2 * np.concatenate([[0], np.cumsum(pairs)]) / m / m * a / math.pi) < own
-            out.append(hits.tolist())
+            turns = range(int(at), min(int(at) + TURNS, simulations))
+            out.append(_lower("L", int(s), np.reshape(h, (-1, 2)), a, np.zeros((0, 2)), int(m), own, turns, points, seed).tolist())
         return pd.Series(out)
 
     def around(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -545,17 +552,24 @@ def _squares_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
-def _pairs_by_distance(pattern: np.ndarray, reach: float, bins: int) -> np.ndarray:
-    """Pairs of points nearer than `reach`, counted in equal bins of distance. Points that stand close in x meet those after them in x within reach."""
-    pattern, total = pattern[np.argsort(pattern[:, 0], kind="stable")], np.zeros(bins, int)
-    for i in range(0, len(pattern), 64):
-        block = pattern[i : i + 64]
-        last = np.searchsorted(pattern[:, 0], block[-1, 0] + reach * (1 + 1e-9), side="right")
-        d2 = _squares_between(block, pattern[i:last])
-        d2[:, : len(block)][np.tri(len(block), dtype=bool)] = np.inf  # each pair of the block once
+def _pairs_by_distance(pattern: np.ndarray, reach: float, bins: int, most: int | None = None) -> np.ndarray:
+    """Pairs of points nearer than `reach`, counted in equal bins of distance (most: in the first ones only). Points that stand close in x meet those after them in x
+    within reach."""
+    total, most = np.zeros(bins, int), bins if most is None else most
+    for d2 in _pairs_within(pattern, reach * most / bins):
         at = (np.sqrt(d2[d2 < reach * reach]) * (bins / reach)).astype(int)
         total += np.bincount(np.minimum(at, bins - 1), minlength=bins)
-    return total
+    return total[:most]
+
+
+def _pairs_within(points: np.ndarray, reach: float) -> Iterator[np.ndarray]:
+    """The squared distances of all pairs nearer than reach and of some no farther than a hair beyond it, each pair once, in parts."""
+    points, reach = points[np.argsort(points[:, 0], kind="stable")], reach * (1 + 1e-9)
+    for i in range(0, len(points), 64):
+        block = points[i : i + 64]
+        d2 = _squares_between(block, points[i : np.searchsorted(points[:, 0], block[-1, 0] + reach, side="right")])
+        d2[:, : len(block)][np.tri(len(block), dtype=bool)] = np.inf  # each pair of the block once
+        yield d2[d2 <= reach * reach]
 
 
 def _to_nearest(at: np.ndarray, pattern: np.ndarray, reach: float, k: int = 1) -> np.ndarray:
@@ -678,6 +692,34 @@ def _lower_shares(at: np.ndarray, x: np.ndarray, y: np.ndarray, area: float, gri
     return (lower & (np.arange(len(edges)) >= first[:, None])).sum(0)
 
 
+#: Points after each one, by squares, that meet it before all do.
+AFTER = 3
+
+
+def _lower_levels(x: np.ndarray, y: np.ndarray, grid: _Grid, reach: float, bins: int, level: Callable[[np.ndarray], np.ndarray], own: np.ndarray) -> np.ndarray:
+    """At each edge the number of patterns (rows of x and y) whose level() of the pairs nearer than it is lower than `own`.
+
+    level() does not fall with the pairs. So where some of the pairs, those of points that follow each other by squares, give no lower level than own, all do not; up to the
+    last other edge all pairs are counted.
+    """
+    order = np.argsort(grid.square(x, y), axis=1, kind="stable") + np.arange(0, x.size, x.shape[1])[:, None]
+    sx, sy = x.ravel()[order], y.ravel()[order]
+    least, turn, hits = np.zeros(len(x) * bins, int), np.arange(len(x))[:, None] * bins, np.zeros(bins + 1, int)
+    for after in range(1, min(AFTER, x.shape[1] - 1) + 1):
+        d, dy = sx[:, after:] - sx[:, :-after], sy[:, after:] - sy[:, :-after]
+        d *= d
+        dy *= dy
+        d += dy
+        at = (np.sqrt(d) * (bins / reach * (1 + 1e-9))).astype(int)
+        least += np.bincount((at + turn)[at < bins], minlength=len(least))
+    unsure = level(np.pad(np.cumsum(least.reshape(-1, bins), axis=1), ((0, 0), (1, 0)))) < own
+    for t in np.flatnonzero(unsure.any(1)):
+        last = bins - int(unsure[t][::-1].argmax())
+        pairs = _pairs_by_distance(np.stack([x[t], y[t]], 1), reach, bins, last)
+        hits[: last + 1] += (level(np.concatenate([[0], np.cumsum(pairs)])) < own[: last + 1])
+    return hits
+
+
 def _area(h: np.ndarray) -> float:
     x, y = h[:, 0], h[:, 1]
     return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2 if len(h) > 2 else 0.0

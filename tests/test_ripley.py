@@ -63,7 +63,7 @@ def test_corners_of_a_hull_are_those_of_all_points(monkeypatch):
     assert all(np.array_equal(g, spatial._hull(p.astype(float))) for g, p in zip(got, shapes, strict=True))
 
 
-@pytest.mark.parametrize("mode", ["G"])
+@pytest.mark.parametrize("mode", ["G", "L"])
 def test_ripley_curves_of_small_specimens_need_no_join(spark, monkeypatch, mode):
     df = _specimens(spark)
     for label in (None, 2):
@@ -91,3 +91,18 @@ def test_g_of_simulations_is_compared_as_far_as_it_is_unsure(monkeypatch):
         met.clear()
         assert (spatial._lower("G", 5, hull, area, at, len(at), own, range(12), 1000, 0) == want).all()
         assert len(at) != 120 or sum(met) < 0.01 * 12 * 120 * 1000
+
+
+def test_l_of_simulations_is_compared_as_far_as_it_is_unsure(monkeypatch):
+    """As from all pairs, of which few are met where the cells are few."""
+    plain, met = spatial._squares_between, []
+    monkeypatch.setattr(spatial, "_squares_between", lambda a, b: met.append(len(a) * len(b)) or plain(a, b))
+    for at, hull, patterns, area in _patterns():
+        reach = math.sqrt(area / 2) / 4
+        level = lambda p, n=len(at), a=area, r=reach: spatial._levels(np.concatenate([[0], np.cumsum(spatial._pairs_by_distance(p, r, 99))]), n, a)
+        own = level(at)
+        for few in (own, own / 9):
+            want = sum((level(p) < few).astype(int) for p in patterns)
+            met.clear()
+            assert (spatial._lower("L", 5, hull, area, at[:0], len(at), few, range(12), 1000, 0) == want).all()
+            assert len(at) != 120 or sum(met) < 0.01 * 12 * 1000 * 1000
